@@ -8,6 +8,8 @@ from cohortspark.llm.common import ORACLES, QUERIES
 
 for _name in (
     "language_id",
+    "quality_cnn",
+    "embedding_dedup",
 ):
     import_module(f"cohortspark.llm.{_name}")
 
