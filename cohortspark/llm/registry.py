@@ -10,6 +10,7 @@ for _name in (
     "language_id",
     "quality_cnn",
     "embedding_dedup",
+    "license_scan",
 ):
     import_module(f"cohortspark.llm.{_name}")
 
