@@ -11,6 +11,7 @@ for _name in (
     "quality_cnn",
     "embedding_dedup",
     "license_scan",
+    "packing",
     "pii_crf",
 ):
     import_module(f"cohortspark.llm.{_name}")
