@@ -12,6 +12,7 @@ for _name in (
     "embedding_dedup",
     "license_scan",
     "packing",
+    "substring_dedup",
     "pii_crf",
 ):
     import_module(f"cohortspark.llm.{_name}")
