@@ -11,6 +11,7 @@ for _name in (
     "quality_cnn",
     "embedding_dedup",
     "license_scan",
+    "ngram_join",
     "packing",
     "substring_dedup",
     "pii_crf",
