@@ -9,6 +9,7 @@ from cohortspark.llm.common import ORACLES, QUERIES
 for _name in (
     "language_id",
     "quality_cnn",
+    "decontamination",
     "embedding_dedup",
     "license_scan",
     "ngram_join",
