@@ -150,6 +150,13 @@ def identify(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str =
     return out.withColumnRenamed("k", key)
 
 
+def accepted(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that identify() doesn't reject, with all their columns."""
+    names = docs.columns
+    gone = identify(docs, model, key, text).where("rejected").select(F.col(key).alias("_gone"))
+    return docs.join(gone, docs[key] == gone["_gone"], "left_anti").select(*[docs[n] for n in names])
+
+
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -274,6 +274,21 @@ def find(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text", r
     return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
+def redacted(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
+    """The same rows and columns with every span in `text` replaced by its kind in brackets; null texts stay null."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for part in text_chunks(iter([batch]), text, 4 << 20):
+                texts = part.column(at).to_pylist()
+                marked = annotate([t or "" for t in texts], model)
+                new = pa.array([None if t is None else redact(t, s) for t, (_, s) in zip(texts, marked, strict=True)], part.schema.field(at).type)
+                yield part.set_column(at, part.schema.field(at), new)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 @query("op1_pii_crf")
 def op1_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from importlib import import_module
 
+import corpus_pipeline
 from cohortspark.llm.common import ORACLES, QUERIES
 
 for _name in (
+    "pii_crf",
+    "tool_calls",
+    "packing",
+    "ngram_join",
     "language_id",
-    "quality_cnn",
     "decontamination",
+    "quality_cnn",
+    "substring_dedup",
     "embedding_dedup",
     "license_scan",
-    "ngram_join",
-    "packing",
-    "substring_dedup",
-    "pii_crf",
 ):
     import_module(f"cohortspark.llm.{_name}")
 
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 __all__ = ["ORACLES", "QUERIES"]
