@@ -26,7 +26,8 @@ LENGTH = 100  #: bytes that must repeat
 _GRAM = 32
 _REACH = LENGTH - _GRAM  # of an anchor inside its window
 _HOT = 256  # distinct surroundings from which an anchor's windows travel singly
-_FLUSH = 1_000_000
+_FLUSH = 500_000
+_SLAB = 8_000  # pieces whose bytes are handled at once
 
 _ENTRY = ["u4", "u8", "i8", "i8", "u1"]  # anchor, piece, document, first window, further windows
 _REQUEST = ["u8", "i8", "i8", "u1", "u1", "u1"]  # group, document, first window, further windows, anchor's offset, hot
@@ -228,13 +229,17 @@ def _surroundings(texts: DataFrame, asked: DataFrame, n: int) -> DataFrame:
         order = np.argsort(ids)
         base = offsets[order[np.searchsorted(ids[order], doc)]]
         at = base + start
-        for lo in range(0, len(doc), 50_000):
-            part = np.arange(lo, min(len(doc), lo + 50_000))
+
+        def copied(pick):
+            size = more[pick].astype(np.int64) + LENGTH
+            upto = np.concatenate([[0], np.cumsum(size)])
+            return upto, data[np.arange(upto[-1]) + np.repeat(at[pick] - upto[:-1], size)]
+
+        for lo in range(0, len(doc), _SLAB):
+            part = np.arange(lo, min(len(doc), lo + _SLAB))
             calm, busy = part[hot[part] == 0], part[hot[part] == 1]
             if len(calm):
-                size = more[calm].astype(np.int64) + LENGTH
-                upto = np.concatenate([[0], np.cumsum(size)])
-                body = data[np.arange(upto[-1]) + np.repeat(at[calm] - upto[:-1], size)]
+                upto, body = copied(calm)
                 target = (group[calm] % np.uint64(n)).astype(np.int64)
                 by = np.argsort(target, kind="stable")
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(target[by])) + 1, [len(by)]])
@@ -247,11 +252,11 @@ def _surroundings(texts: DataFrame, asked: DataFrame, n: int) -> DataFrame:
                 yield blobs.rows(4, out)
             if len(busy):
                 n_w = more[busy].astype(np.int64) + 1
-                upto = np.concatenate([[0], np.cumsum(n_w)])
-                step = np.arange(upto[-1]) - np.repeat(upto[:-1], n_w)
-                where = np.repeat(at[busy], n_w) + step
-                lo_b, hi_b = int(where.min()), int(where.max()) + LENGTH
-                hashes = span_hashes(prefix_sums(data[lo_b:hi_b]), where - lo_b, where - lo_b + LENGTH)
+                w_upto = np.concatenate([[0], np.cumsum(n_w)])
+                step = np.arange(w_upto[-1]) - np.repeat(w_upto[:-1], n_w)
+                upto, body = copied(busy)
+                where = np.repeat(upto[:-1], n_w) + step
+                hashes = span_hashes(prefix_sums(body), where, where + LENGTH)
                 d, s = np.repeat(doc[busy], n_w), np.repeat(start[busy], n_w) + step
                 o, new = _firsts(hashes, d, s)
                 yield blobs.rows(1, _span_rows(d[o[~new]], s[o[~new]], s[o[~new]] + LENGTH, n))
@@ -343,11 +348,13 @@ def _match(pieces: DataFrame, n: int) -> DataFrame:
 
 def _anchor_offsets(bodies: list, more: np.ndarray) -> np.ndarray:
     """Where in each piece its anchor stands, found again from its bytes."""
-    sizes = np.array([len(b) for b in bodies])
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    _, start, _, anchor, _, _ = anchors(np.concatenate(bodies), offsets)
-    # a piece's windows all have one anchor, so each piece is one run
-    return anchor - start
+    out = []
+    for at in range(0, len(bodies), _SLAB):
+        part = bodies[at : at + _SLAB]
+        offsets = np.concatenate([[0], np.cumsum([len(b) for b in part])])
+        _, start, _, anchor, _, _ = anchors(np.concatenate(part), offsets)
+        out.append(anchor - start)  # a piece's windows all have one anchor, so each piece is one run
+    return np.concatenate(out)
 
 
 def _finish(texts: DataFrame, spans: DataFrame, n: int, clean: bool) -> DataFrame:
