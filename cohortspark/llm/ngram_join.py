@@ -14,6 +14,8 @@ Shingles are compared by 48-bit hashes inside a pair of sets, classes by 64-bit
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -125,12 +127,13 @@ def _common(shingles: DataFrame, n: int) -> DataFrame:
     return shingles.repartitionById(n, F.col("target")).mapInArrow(live, blobs.SCHEMA)
 
 
-_SURVIVOR = "doc long, name long, n long, tokens binary, prefix array<long>, g1 long, g2 long"
+_SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x27BB2EE687B0B0FD)  # fixed values: any four would do
+_SURVIVOR = "doc long, name long, n long, tokens binary, prefix array<long>, " + ", ".join(f"g{i} long" for i in range(len(_SEEDS)))
 
 
 def _survivors(common: DataFrame, n: int, percent: int, shared: int) -> DataFrame:
     """Documents with their classes (doc set), and the classes that may link with another (doc null) with their common shingles, rarest first."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * len(_SEEDS)]
     fields = [f.split()[0] for f in _SURVIVOR.split(", ")]
 
     def batch(rows):
@@ -142,7 +145,7 @@ def _survivors(common: DataFrame, n: int, percent: int, shared: int) -> DataFram
             doc, name, size = blobs.unpacked(blob, ["i8"] * 3)
             none = [None] * len(doc)
             cols = [doc, np.where(name < 0, 0, name), size]
-            yield pa.RecordBatch.from_pydict({f: pa.array(c if c is not none else none, k) for f, k, c in zip(fields, kinds, [*cols, none, none, none, none], strict=True)})
+            yield pa.RecordBatch.from_pydict({f: pa.array(c if c is not none else none, k) for f, k, c in zip(fields, kinds, [*cols, *[none] * (len(fields) - 3)], strict=True)})
         name, size = blobs.joined(own.get(1, []), ["i8", "i8"])
         if not len(name):
             return
@@ -159,7 +162,7 @@ def _survivors(common: DataFrame, n: int, percent: int, shared: int) -> DataFram
             need = -(-percent * total // 100)
             # the prefix of all shingles starts with those that no other class has
             prefix = t[: max(0, total - need + min(shared, need) - (total - len(t)))]
-            rows.append((None, int(name[i]), total, t.tobytes(), prefix.astype(np.int64).tolist(), int(mix(t ^ np.uint64(0x5851F42D4C957F2D)).min() >> np.uint64(1)), int(mix(t ^ np.uint64(0x14057B7EF767814F)).min() >> np.uint64(1))))
+            rows.append((None, int(name[i]), total, t.tobytes(), prefix.astype(np.int64).tolist(), *[int(mix(t ^ np.uint64(x)).min() >> np.uint64(1)) for x in _SEEDS]))
             if len(rows) >= 2000:
                 yield batch(rows)
                 rows = []
@@ -237,21 +240,32 @@ def _inside(classes: DataFrame, group: str, percent: int, n: int) -> DataFrame:
 def _across(classes: DataFrame, roots: DataFrame, percent: int, shared: int, n: int) -> DataFrame:
     """Edges (a, b) that join components: one for each pair of groups and query where a link exists."""
     comp = classes.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("comp", F.coalesce("root", "name")).drop("root")
-    big = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK)
-    comp = comp.join(big, "comp", "left")
-    gid = F.xxhash64("comp", F.pmod(F.xxhash64("name"), F.ceil(F.coalesce("size", F.lit(1)) / CHUNK)))
-    comp = cut(comp.select("name", "n", "tokens", "prefix", "comp", gid.alias("gid")))
-    # the token-group matrix: each group's rare tokens, with the sizes of the sets that have them
-    cells = comp.select("comp", "gid", "n", F.explode("prefix").alias("token")).groupBy("token", "gid", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+    comp = comp.join(sizes, "comp")
+    gid = F.xxhash64("comp", F.pmod(F.xxhash64("name"), F.ceil(F.col("members") / CHUNK)))
+    comp = cut(comp.select("name", "n", "tokens", "prefix", "comp", "members", gid.alias("gid")))
+    # the token-group matrix: each component's rare tokens, with the sizes of the sets that have them; single sets bring their whole prefix
+    cells = comp.select("comp", "n", F.when(F.col("members") == 1, F.col("prefix")).alias("alone"), F.explode("prefix").alias("token"))
+    cells = cells.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("alone").alias("alone"))
     several = cells.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
     cells = cut(cells.join(several, "token", "left_semi"))
     x, y = cells.alias("x"), cells.alias("y")
-    fits = (F.col("x.comp") < F.col("y.comp")) & (F.col("x.most") * 100 >= F.col("y.least") * percent) & (F.col("y.most") * 100 >= F.col("x.least") * percent)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).groupBy(F.col("x.gid").alias("g1"), F.col("y.gid").alias("g2")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("x.least", "y.least")).alias("least"))
+    fits = lambda a, b: (F.col(f"{a}.most") * 100 >= F.col(f"{b}.least") * percent) & (F.col(f"{b}.most") * 100 >= F.col(f"{a}.least") * percent)
     # two sets that link share the first of their common tokens in both prefixes, `shared` of them or all that they need
-    pairs = pairs.where(F.col("k") >= F.least(F.lit(shared), F.ceil(F.col("least") * percent / 100)))
-    # a group travels once to each of its hosts: the first group of a pair, dealt by the second one's hash where it has many
-    hosts = cut(pairs.select("g1", "g2"))
+    enough = F.least(F.lit(shared), F.ceil(F.least("x.least", "y.least") * percent / 100))
+    common = F.array_intersect("x.alone", "y.alone")
+    # two single sets meet once, at their smallest common token, and only with enough of them
+    meet = F.coalesce((F.array_min(common) == F.col("x.token")) & (F.size(common) >= enough), F.col("x.alone").isNull() | F.col("y.alone").isNull())
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & fits("x", "y") & meet)
+    single = F.col("x.alone").isNotNull() & F.col("y.alone").isNotNull()
+    pairs = pairs.groupBy(F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")).agg(F.count(F.lit(1)).alias("k"), F.bool_or(single).alias("single"), F.min(F.least("x.least", "y.least")).alias("least"))
+    pairs = cut(pairs.where(F.col("single") | (F.col("k") >= F.least(F.lit(shared), F.ceil(F.col("least") * percent / 100)))).select("c1", "c2"))
+    chunks = cut(comp.groupBy("comp", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("size")))
+    x, y = chunks.alias("x"), chunks.alias("y")
+    met = pairs.join(x, F.col("c1") == F.col("x.comp")).join(y, F.col("c2") == F.col("y.comp")).where(fits("x", "y"))
+    # the smaller group travels to the larger one, whose members are dealt to several hosts where many groups come
+    larger = F.col("x.size") >= F.col("y.size")
+    hosts = cut(met.select(F.when(larger, F.col("x.gid")).otherwise(F.col("y.gid")).alias("g1"), F.when(larger, F.col("y.gid")).otherwise(F.col("x.gid")).alias("g2")))
     many = hosts.groupBy("g1").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CHUNK)
     hosts = hosts.join(many, "g1", "left").select("g1", "g2", F.xxhash64("g1", F.pmod("g2", F.ceil(F.coalesce("c", F.lit(1)) / CHUNK))).alias("host"))
     hosts = cut(hosts)
@@ -297,8 +311,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     both = cut(_survivors(_common(_shingles(rows, words, n), n), n, percent, SHARED))
     member = both.where("doc is not null").select(F.col("doc").alias("doc_id"), "name", F.col("n").alias("n_shingles"))
-    classes = both.where("doc is null").select("name", "n", "tokens", "prefix", "g1", "g2")
-    near = cut(_inside(classes, "g1", percent, n).unionAll(_inside(classes, "g2", percent, n)))
+    classes = both.where("doc is null").drop("doc")
+    near = cut(reduce(DataFrame.unionAll, [_inside(classes, f"g{i}", percent, n) for i in range(len(_SEEDS))]))
     roots = components(near)
     far = cut(_across(classes, roots, percent, SHARED, n))
     if not far.isEmpty():
