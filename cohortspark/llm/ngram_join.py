@@ -9,7 +9,7 @@
    meet where they share enough of them. A query's overlap with a group's token union bounds its overlap with
    every member: only qualifying groups are opened and compared member by member.
 
-Shingles are compared by 48-bit hashes inside a pair of sets, classes by 64-bit ones.
+Shingles are compared by hashes of 40 bits and their partition number, classes by 64-bit ones.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ PERCENT = 75
 CHUNK = 128  #: members of one chunk of a group, about
 SHARED = 4  #: rare tokens that two sets must share: prefixes are longer by as many less one
 _FLUSH = 2_000_000
-_MASK = np.uint64((1 << 48) - 1)
+_BITS = 40  #: of a shingle's hash beside its partition number, which travels for free
 
 
 def _sets(column: pa.Array, n: int):
@@ -56,8 +57,9 @@ def _shingles(docs: DataFrame, words: int, n: int) -> DataFrame:
         if sets:
             size = np.array([len(s) for s in sets.values()])
             name = np.repeat(np.array(list(sets), np.int64), size)
-            token = np.concatenate(list(sets.values())) & _MASK
+            token = np.concatenate(list(sets.values())) % np.uint64(n << _BITS)
             target = (token % np.uint64(n)).astype(np.int64)
+            token //= np.uint64(n)
             order = np.argsort(target, kind="stable")
             target, token, name = target[order], token[order], name[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(target)) + 1, [len(target)]])
@@ -65,7 +67,7 @@ def _shingles(docs: DataFrame, words: int, n: int) -> DataFrame:
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 first = np.concatenate([[0], np.flatnonzero(np.diff(name[a:b])) + 1])
                 runs = blobs.packed([name[a:b][first], np.diff(np.concatenate([first, [b - a]])).astype(np.uint32)])
-                out.append((int(target[a]), runs + blobs.packed([token[a:b].astype(np.uint32), (token[a:b] >> np.uint64(32)).astype(np.uint16)])))
+                out.append((int(target[a]), runs + blobs.packed([token[a:b].astype(np.uint32), (token[a:b] >> np.uint64(32)).astype(np.uint8)])))
             yield blobs.rows(0, out)
             names = np.array(list(sets), np.int64)
             yield blobs.rows(1, blobs.dealt(names % n, [names, size.astype(np.int64)]))
@@ -94,7 +96,7 @@ def _common(shingles: DataFrame, n: int) -> DataFrame:
     """Kind 0: shingles of at least two classes, with their number of classes (255: or more), to the classes' partitions."""
 
     def run(batches):
-        own = blobs.gathered(batches)
+        own, part = blobs.gathered(batches), np.uint64(TaskContext.get().partitionId())
         for kind in (1, 2):
             for blob in own.get(kind, []):
                 cols = blobs.unpacked(blob, ["i8"] * (kind + 1))
@@ -103,9 +105,9 @@ def _common(shingles: DataFrame, n: int) -> DataFrame:
         names, tokens = [], []
         for blob in own.get(0, []):
             name, runs = blobs.unpacked(blob, ["i8", "u4"])
-            low, high = blobs.unpacked(memoryview(blob)[8 + 12 * len(name) :], ["u4", "u2"])
+            low, high = blobs.unpacked(memoryview(blob)[8 + 12 * len(name) :], ["u4", "u1"])
             names.append(np.repeat(name, runs))
-            tokens.append(_wide(low, high))
+            tokens.append(_wide(low, high) * np.uint64(n) + part)
         if not names:
             return
         name, token = np.concatenate(names), np.concatenate(tokens)
@@ -119,7 +121,7 @@ def _common(shingles: DataFrame, n: int) -> DataFrame:
         count = np.diff(np.concatenate([first, [len(token)]]))
         df = np.repeat(count, count)
         m = df > 1
-        yield blobs.rows(0, blobs.dealt(name[m] % n, [name[m], token[m].astype(np.uint32), (token[m] >> np.uint64(32)).astype(np.uint16), np.minimum(df[m], 255).astype(np.uint8)]))
+        yield blobs.rows(0, blobs.dealt(name[m] % n, [name[m], token[m], np.minimum(df[m], 255).astype(np.uint8)]))
 
     def live(batches):
         yield from filter(None, run(batches))
@@ -151,8 +153,7 @@ def _survivors(common: DataFrame, n: int, percent: int, shared: int) -> DataFram
             return
         name, at = np.unique(name, return_index=True)
         size = size[at]
-        owner, low, high, df = blobs.joined(own.get(0, []), ["i8", "u4", "u2", "u1"])
-        token = _wide(low, high)
+        owner, token, df = blobs.joined(own.get(0, []), ["i8", "u8", "u1"])
         order = np.lexsort((token, df, owner))
         owner, token = owner[order], token[order]
         lo, hi = np.searchsorted(owner, name), np.searchsorted(owner, name, side="right")
@@ -244,11 +245,12 @@ def _across(classes: DataFrame, roots: DataFrame, percent: int, shared: int, n:
     comp = comp.join(sizes, "comp")
     gid = F.xxhash64("comp", F.pmod(F.xxhash64("name"), F.ceil(F.col("members") / CHUNK)))
     comp = cut(comp.select("name", "n", "tokens", "prefix", "comp", "members", gid.alias("gid")))
-    # the token-group matrix: each component's rare tokens, with the sizes of the sets that have them; single sets bring their whole prefix
-    cells = comp.select("comp", "n", F.when(F.col("members") == 1, F.col("prefix")).alias("alone"), F.explode("prefix").alias("token"))
-    cells = cells.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.first("alone").alias("alone"))
+    # the token-group matrix: each component's rare tokens, with the sizes of the sets that have them; single sets bring all of theirs that others have
+    cells = comp.select("comp", "n", "members", F.explode("prefix").alias("token")).groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("members").alias("members"))
     several = cells.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
     cells = cut(cells.join(several, "token", "left_semi"))
+    alone = cells.where("members = 1").groupBy("comp").agg(F.collect_list("token").alias("alone"))
+    cells = cut(cells.join(alone, "comp", "left"))
     x, y = cells.alias("x"), cells.alias("y")
     fits = lambda a, b: (F.col(f"{a}.most") * 100 >= F.col(f"{b}.least") * percent) & (F.col(f"{b}.most") * 100 >= F.col(f"{a}.least") * percent)
     # two sets that link share the first of their common tokens in both prefixes, `shared` of them or all that they need
