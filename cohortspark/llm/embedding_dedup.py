@@ -70,12 +70,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     n_links counts the other vectors whose cosine in double precision is at least the threshold. Vectors that are null, empty, zero
     or hold null or non-finite components link with nothing; vectors of different length don't link. Equal vectors are
-    compared once and each counts for all of them. An empty table gives no rows. Keys are taken to be unique.
+    compared once and each counts for all of them. An empty table gives no rows. A row that repeats another counts as one more
+    vector; rows with a null key link with nothing and have a null component.
     """
     v = F.col("v")
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     good = v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("good", good)
+    rows = rows.withColumn("good", good & F.col("id").isNotNull())
     # equal vectors under one number: the smallest key that has them; adding 0.0 turns -0.0 into 0.0
     rows = rows.withColumn("sig", F.when(F.col("good"), F.sha2(F.concat_ws(",", F.transform(v, lambda x: (x + 0.0).cast("string"))), 256)))
     classes = cut(rows.where("good").groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
@@ -125,7 +126,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     known = cut(known.select("sig", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
     out = rows.select("id", "sig").join(known, "sig", "left")
     out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.col("id") == F.col("component_id")).withColumnRenamed("id", key)
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", key)
 
 
 @query("op9_embedding_dedup")

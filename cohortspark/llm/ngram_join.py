@@ -307,10 +307,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """Columns (key, n_shingles, component_id): each document's number of distinct shingles and the smallest key it is linked to, itself included.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets. A text of fewer words has one shingle of all its words; null, empty and white
-    texts have none and link with nothing. Equal sets link. Keys must be unique and not null. An empty table gives no rows.
+    texts have none and link with nothing. Equal sets link. Rows that repeat a key come out as often. Rows with a null key link with nothing and have a null component. An empty table gives no rows.
     """
     n = parts or partitions(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    every = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = every.where("k is not null")
     both = cut(_survivors(_common(_shingles(rows, words, n), n), n, percent, SHARED))
     member = both.where("doc is not null").select(F.col("doc").alias("doc_id"), "name", F.col("n").alias("n_shingles"))
     classes = both.where("doc is null").drop("doc")
@@ -325,7 +326,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     least = cut(named.groupBy("root").agg(F.min("first").alias("component_id")))
     label = cut(named.select("name", "root").join(least, "root").select("name", "component_id"))
     out = member.join(label, "name", "left")
-    return out.select(F.col("doc_id").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select(F.col("doc_id").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+    def sizes(batches):
+        for batch in text_chunks(batches, "t", 2 << 20):
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(s) for s in _sets(batch.column("t"), words)], pa.int64())})
+
+    no_key = every.where("k is null").mapInArrow(sizes, "n long")
+    return out.unionAll(no_key.select(F.lit(None).cast("long"), "n", F.lit(None).cast("long")))
 
 
 @query("op4_ngram_join")

@@ -66,8 +66,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
 
 
 def _firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by keys (the first is the main one), and whether each entry in it differs in all but the last two keys from the one before."""
+    """The order by keys (the first is the main one) without entries that repeat one in all keys, and whether each entry in it differs in all but the last two keys from the one before."""
     order = np.lexsort(keys[::-1])
+    if len(order) > 1:
+        same = np.all([k[order][1:] == k[order][:-1] for k in keys], axis=0)
+        order = order[np.concatenate([[True], ~same])]
     new = np.ones(len(order), bool)
     if len(order) > 1:
         new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys[:-2]], axis=0)
@@ -387,14 +390,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", par
     """Columns (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): each text without the bytes that a LENGTH-byte string covers which also starts earlier.
 
     Earlier means a smaller key, or the same document and a smaller start; matches never cross documents and are judged on the input. A null text counts as empty;
-    texts under LENGTH bytes lose nothing. Of equal texts only the one with the smallest key stays. Keys must be unique and not null.
+    texts under LENGTH bytes lose nothing. Of equal texts only the one with the smallest key stays. Rows that repeat a key with its text count as one
+    document and get the same result; other keys must be unique. Rows with a null key take no part: they lose nothing and remove nothing.
     """
     n = parts or partitions(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    every = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
+    rows = every.where("k is not null")
     texts = _texts(rows, n)
     first = cut(_resolve(_pieces(rows, hot_anchors(rows), n), n))
     second = cut(_match(_surroundings(texts, first.where("kind = 2"), n), n))
     out = _finish(texts, first.where("kind = 1").unionAll(second), n, kept)
+    zero = F.lit(0).cast("long")
+    out = out.unionAll(every.where("k is null").select("k", F.length("t").cast("long"), zero, zero, F.sha2("t", 256), *[F.col("t")] * kept))
     return out.withColumnRenamed("doc_id", key)
 
 
