@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -187,7 +186,3 @@ def progress(rows: DataFrame, key: str, tokens: str, done: DataFrame) -> DataFra
     marked = long.join(done.select("token").distinct().withColumn("_d", F.lit(1)), "token", "left")
     n, d = F.count_distinct("token"), F.count_distinct(F.when(F.col("_d") == 1, F.col("token")))
     return marked.agg(n.alias("total"), d.alias("done"), F.round(F.coalesce(F.try_divide(d * 100.0, n), F.lit(0.0)), 6).alias("pct"), F.count_distinct(F.when(F.col("_d") == 1, F.col(key))).alias("rows_touched"))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,26 +19,31 @@ def select_columns(df: DataFrame, columns: list[str], text: list[str] = ()) -> D
     return df.select(*[F.col(c).cast("string").alias(c) if c in text else F.col(c) for c in columns])
 
 
-def row_window(df: DataFrame, key: str, start: int = 0, stop: int | None = None) -> DataFrame:
-    """Rows number start to stop (from 0, exclusive) by the order of a unique key; Spark tables have no order of their own.
+def row_window(df: DataFrame, key: str, start: int = 0, stop: int | None = None, ranges: int = 1000) -> DataFrame:
+    """Rows number start to stop (from 0, exclusive) by the order of a unique numeric key; Spark tables have no order of their own.
 
-    The key is dealt out by ranges and each range counts its own rows, so no task sorts the whole table.
+    Keys are counted in equal ranges first; only ranges that reach into the window are numbered, each by itself, so no task sorts the whole table.
     """
     if start < 0 or (stop is not None and stop < start):
         raise ValueError("0 <= start <= stop is needed")
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = {r["_part"]: r["n"] for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, base = 0, []
-    for p in sorted(counts):
-        base += [F.lit(p), F.lit(before)]
-        before += counts[p]
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return df.limit(0)
+    width = max(1, -(-(int(high) - int(low) + 1) // ranges))
+    at = F.floor((F.col(key) - F.lit(int(low))) / F.lit(width))
+    counts = sorted((r["b"], r["n"]) for r in df.where(F.col(key).isNotNull()).groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, base, total = [], {}, 0
+    for b, n in counts:
+        if total + n > start and (stop is None or total < stop):
+            before += [F.lit(b), F.lit(total)]
+            base[b] = total
+        total += n
     if not base:
-        return df
-    at = F.create_map(*base)[F.col("_part")] + F.col("_in")
-    keep = (at >= start) if stop is None else (at >= start) & (at < stop)
-    return dealt.where(keep).select(*df.columns)
+        return df.limit(0)
+    inside = df.where(at.between(min(base), max(base))).withColumn("_range", at)
+    number = F.create_map(*before)[F.col("_range")] + F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    keep = (F.col("_at") >= start) if stop is None else (F.col("_at") >= start) & (F.col("_at") < stop)
+    return inside.withColumn("_at", number).where(keep).select(*df.columns)
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str], text: list[str] = (), encoding: str = "UTF-8") -> DataFrame:
