@@ -27,10 +27,13 @@ def uniform(value: Column) -> Column:
 POISSON_STEPS = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
 
 
-def poisson(value: Column) -> Column:
-    """A Poisson(1) weight by the inverse of the distribution function."""
-    u = uniform(value)
+def poisson_of(u: Column) -> Column:
+    """A Poisson(1) weight by the inverse of the distribution function, from a uniform column."""
     out = F.lit(0)
     for step in POISSON_STEPS:
         out = out + F.when(u >= F.lit(step), 1).otherwise(0)
     return out
+
+
+def poisson(value: Column) -> Column:
+    return poisson_of(uniform(value))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.hashing import poisson
+from cohortspark.functions.hashing import POISSON_STEPS, poisson_of, uniform
 from cohortspark.functions.values import flag
 
 KEYS = ["model"]
@@ -58,7 +58,8 @@ def resampled(scored: DataFrame, reps: int, unit: str = "rid", threshold: float
     `unit` is the row, or the entity for a cluster bootstrap. Rows of weight 0 are dropped before anything is aggregated. One aggregate
     by score serves all four metrics.
     """
-    w = scored.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", poisson(F.concat_ws("-", unit, "rep"))).where("w > 0")
+    w = scored.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_u", uniform(F.concat_ws("-", unit, "rep")))
+    w = w.where(F.col("_u") >= POISSON_STEPS[0]).withColumn("w", poisson_of(F.col("_u")))  # the filter hashes each row once, not once per step
     keys = ["model", "rep"]
     g = w.groupBy(*keys, "risk").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("w"))).alias("neg"))
     up, down = Window.partitionBy(*keys).orderBy("risk"), Window.partitionBy(*keys).orderBy(F.desc("risk"))
