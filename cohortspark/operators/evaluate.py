@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.hashing import POISSON_STEPS, poisson_of, uniform
+from cohortspark.functions.hashing import poisson_of, uniform
 from cohortspark.functions.values import flag
 
 KEYS = ["model"]
@@ -55,13 +55,13 @@ def metrics(scored: DataFrame, keys: list[str] = KEYS, threshold: float = 0.5) -
 def resampled(scored: DataFrame, reps: int, unit: str = "rid", threshold: float = 0.5) -> DataFrame:
     """auc, ap, brier and balanced accuracy of each model and replicate under Poisson weights that depend on (unit, replicate) alone, so models are paired.
 
-    `unit` is the row, or the entity for a cluster bootstrap. Rows of weight 0 are dropped before anything is aggregated. One aggregate
+    `unit` is the row, or the entity for a cluster bootstrap. Scores of weight 0 are dropped before the windows. One aggregate
     by score serves all four metrics.
     """
     w = scored.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_u", uniform(F.concat_ws("-", unit, "rep")))
-    w = w.where(F.col("_u") >= POISSON_STEPS[0]).withColumn("w", poisson_of(F.col("_u")))  # the filter hashes each row once, not once per step
+    w = w.withColumn("w", poisson_of(F.col("_u")))  # a filter here would hash every row again
     keys = ["model", "rep"]
-    g = w.groupBy(*keys, "risk").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("w"))).alias("neg"))
+    g = w.groupBy(*keys, "risk").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("w"))).alias("neg")).where("pos + neg > 0")
     up, down = Window.partitionBy(*keys).orderBy("risk"), Window.partitionBy(*keys).orderBy(F.desc("risk"))
     g = g.select("*", (F.sum("neg").over(up) - F.col("neg")).alias("below"), F.sum("pos").over(down).alias("tp"), (F.sum("pos").over(down) + F.sum("neg").over(down)).alias("taken"))
     r, high = F.col("risk"), F.col("risk") >= threshold
