@@ -1,6 +1,7 @@
 """Views over the given tables that have the shapes the operators need; one text serves Spark and the SQL checks.
 
-$h(x) is the first eight hex digits of md5 of x as a number, $s(x) is x as a string.
+$h(x) is the first eight hex digits of md5 of x as a number, $s(x) is x as a string, $lines(x, k) joins the texts x of a group by '|' in the order of k.
+v_tokens_wide has 13 text columns at any size: the last one holds the 13th line of an order and all later ones.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ VIEWS = {
     "v_tokens_long": (["lineitem", "part"], f"""SELECT visit_id, CAST(row_number() OVER (PARTITION BY visit_id ORDER BY l_linenumber, rh) AS INT) AS pos,
         CASE rh % 11 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat('*', p_name, '*') WHEN 2 THEN '*not codable*' WHEN 3 THEN 'N/A' WHEN 4 THEN '' WHEN 5 THEN concat(' ', p_name, '  |', upper(p_name), ' | unknown') WHEN 6 THEN NULL ELSE p_name END AS raw
         FROM (SELECT l_orderkey AS visit_id, l_linenumber, $h({ROW}) AS rh, p_name FROM lineitem JOIN part ON l_partkey = p_partkey)"""),
-    "v_tokens_wide": (["orders", "v_tokens_long"], "SELECT o_orderkey AS visit_id, " + ", ".join(f"w.drug{k}" for k in range(1, 14)) + " FROM orders LEFT JOIN (SELECT visit_id, " + ", ".join(f"max(CASE WHEN pos = {k} THEN raw END) AS drug{k}" for k in range(1, 14)) + " FROM v_tokens_long GROUP BY visit_id) AS w ON w.visit_id = o_orderkey"),
+    "v_tokens_wide": (["orders", "v_tokens_long"], "SELECT o_orderkey AS visit_id, " + ", ".join(f"w.drug{k}" for k in range(1, 14)) + " FROM orders LEFT JOIN (SELECT visit_id, " + ", ".join(f"max(CASE WHEN pos = {k} THEN raw END) AS drug{k}" for k in range(1, 13)) + ", $lines(CASE WHEN pos >= 13 THEN raw END, pos) AS drug13 FROM v_tokens_long GROUP BY visit_id) AS w ON w.visit_id = o_orderkey"),
     "v_aliases": ([], "SELECT * FROM (VALUES ('red rod', 'red bar', 1), ('blue rod', 'blue bar', 1), ('small rod', 'small bar', 1), ('red ring', 'red hoop', 1), ('red ring', 'red circle', 2), ('blue gear', 'blue cog', 1), ('tiny rod', 'tiny bar', 2), ('widget', 'gadget', 1)) AS t(alias, canonical, batch)"),
     "v_dictionary": (["part"], """SELECT token, CAST($h(concat('a', token)) % 2 AS INT) AS f1, CAST($h(concat('b', token)) % 3 % 2 AS INT) AS f2, CAST($h(concat('c', token)) % 2 AS INT) AS f3, CAST($h(concat('d', token)) % 5 % 2 AS INT) AS f4, CAST($h(concat('e', token)) % 2 AS INT) AS f5, CAST($h(concat('f', token)) % 3 % 2 AS INT) AS f6,
         CAST($h(concat('g', token)) % 2 AS INT) AS f7, CAST($h(concat('h', token)) % 7 % 2 AS INT) AS f8, ($h(concat('i', token)) % 101) / 100.0E0 AS confidence, CASE WHEN $h(concat('j', token)) % 3 = 0 THEN 'rules' ELSE 'model' END AS provider, CAST($h(concat('k', token)) % 4 AS INT) AS attempts, CAST($h(concat('l', token)) % 1000 AS INT) AS elapsed,
@@ -56,11 +57,14 @@ def _macros(text: str, spark: bool) -> str:
                 return i
         raise ValueError(t[at : at + 40])
 
-    while m := re.search(r"\$(h|sha|s)\(", text):
+    while m := re.search(r"\$(h|sha|s|lines)\(", text):
         end = close(text, m.end() - 1)
         x = text[m.end() : end]
         if m[1] == "s":
             new = f"CAST({x} AS {kind})"
+        elif m[1] == "lines":
+            x, _, k = x.rpartition(",")
+            new = f"listagg({x}, '|') WITHIN GROUP (ORDER BY {k})" if spark else f"string_agg({x}, '|' ORDER BY {k})"
         elif m[1] == "sha":
             new = f"sha2({x}, 256)" if spark else f"sha256({x})"
         else:
