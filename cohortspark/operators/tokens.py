@@ -141,10 +141,31 @@ def first_seen(texts: DataFrame, text: str, order: str, n: int) -> DataFrame:
     return texts.where(F.col(text) != "").groupBy(text).agg(F.min(order).alias("first")).orderBy("first", text).limit(n)
 
 
-def by_coverage(texts: DataFrame, text: str, share: float, most: int) -> DataFrame:
-    """Texts by descending frequency until they cover the share of all non-empty rows, `most` of them at most. The window runs over distinct texts."""
+def _ranges(texts: DataFrame, text: str, ranges: int) -> list[str]:
+    """Texts that cut the distinct texts into about equal ranges, from the same sample each time: that of the smallest hashes."""
+    some = texts.where(F.col(text) != "").select(F.col(text).alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(ranges * 20).collect()
+    some = sorted(r["t"] for r in some)
+    return some[20::20]
+
+
+def by_coverage(texts: DataFrame, text: str, share: float, most: int | None = None, ranges: int = 64) -> DataFrame:
+    """Texts by descending frequency, ties by text, until they cover the share of all non-empty rows; `most` of them at most, if given.
+
+    No window runs over all texts: frequencies are added up over the distinct ones, and the texts of one frequency are ranked
+    inside counted ranges of the text.
+    """
+    cuts = _ranges(texts, text, ranges)
     counts = texts.where(F.col(text) != "").groupBy(text).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("n"), text)
-    every = Window.partitionBy()
-    ranked = counts.select(text, "n", F.sum("n").over(w).alias("running"), F.row_number().over(w).alias("rank"), F.sum("n").over(every).alias("total"))
-    return ranked.where((F.col("running") - F.col("n") < F.col("total") * share) & (F.col("rank") <= most)).select(text, "n", "rank")
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(text))) if cuts else F.lit(0)
+    counts = counts.withColumn("_range", at)
+    cells = counts.groupBy("n", "_range").agg(F.count(F.lit(1)).alias("k"))
+    down = Window.orderBy(F.desc("n"))
+    freq = cells.groupBy("n").agg(F.sum("k").alias("k"))
+    freq = freq.select("n", (F.sum("k").over(down) - F.col("k")).alias("_ahead"), (F.sum(F.col("n") * F.col("k")).over(down) - F.col("n") * F.col("k")).alias("_rows"), F.sum(F.col("n") * F.col("k")).over(Window.partitionBy()).alias("_total"))
+    before = F.sum("k").over(Window.partitionBy("n").orderBy("_range")) - F.col("k")
+    taken = lambda inside: F.col("_rows") + inside * F.col("n") < F.col("_total") * share
+    starts = cells.select("n", "_range", before.alias("_inside")).join(freq, "n").where(taken(F.col("_inside")))
+    inside = F.col("_inside") + F.row_number().over(Window.partitionBy("n", "_range").orderBy(text)) - 1
+    ranked = counts.join(F.broadcast(starts), ["n", "_range"]).withColumn("_at", inside)
+    ranked = ranked.where(taken(F.col("_at"))).select(text, "n", (F.col("_ahead") + F.col("_at") + 1).alias("rank"))
+    return ranked if most is None else ranked.where(F.col("rank") <= most)

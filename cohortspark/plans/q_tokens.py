@@ -141,6 +141,9 @@ def select_first(spark, sf):
     return T.first_seen(_texts(spark, sf), "txt", "visit_id", 50)
 
 
-@query(sql("v_tokens_wide", _TEXT + ", c AS (SELECT txt, count(*) AS n FROM jt WHERE txt <> '' GROUP BY txt), r AS (SELECT *, sum(n) OVER (ORDER BY n DESC, txt ROWS UNBOUNDED PRECEDING) AS running, row_number() OVER (ORDER BY n DESC, txt) AS rank, sum(n) OVER () AS total FROM c);; SELECT txt, n, rank FROM r WHERE running - n < total * 0.4 AND rank <= 3000"))
+COVERAGE = 0.80
+
+
+@query(sql("v_tokens_wide", _TEXT + f", c AS (SELECT txt, count(*) AS n FROM jt WHERE txt <> '' GROUP BY txt), r AS (SELECT *, sum(n) OVER (ORDER BY n DESC, txt ROWS UNBOUNDED PRECEDING) AS running, row_number() OVER (ORDER BY n DESC, txt) AS rank, sum(n) OVER () AS total FROM c);; SELECT txt, n, rank FROM r WHERE running - n < total * {COVERAGE}"))
 def select_by_coverage(spark, sf):
-    return T.by_coverage(_texts(spark, sf), "txt", 0.4, 3000)
+    return T.by_coverage(_texts(spark, sf), "txt", COVERAGE)

@@ -1,5 +1,7 @@
 """Registered queries do the whole job: expected rows come from plain Python over the input rows, not from the SQL texts."""
 
+from collections import Counter
+
 import duckdb
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -28,3 +30,28 @@ def test_orders_of_more_than_13_lines(spark, tmp_path):
     for t in ("orders", "part", "lineitem"):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     assert con.execute(f"SELECT token_text FROM ({ORACLES['wide_to_token_array']}) WHERE visit_id = {one}").fetchone()[0] == got["token_text"]
+
+
+def by_hand(texts, share, most=None):
+    counts = sorted(Counter(t for t in texts if t).items(), key=lambda x: (-x[1], x[0]))
+    total, seen, out = sum(n for _, n in counts), 0, []
+    for rank, (t, n) in enumerate(counts, 1):
+        if seen < total * share and (most is None or rank <= most):
+            out.append((t, n, rank))
+        seen += n
+    return out
+
+
+def test_coverage_alone_ends_the_selection(spark):
+    texts = [f"t{i % 90 if i % 3 else i}" for i in range(700)] + ["", None, "ü", "Z"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "txt string")
+    for share, most in ((0.4, None), (0.8, None), (1.0, None), (0.8, 25), (0.0, None)):
+        for ranges in (1, 7, 64):
+            got = tokens.by_coverage(df, "txt", share, most, ranges)
+            assert sorted((r["txt"], r["n"], r["rank"]) for r in got.collect()) == sorted(by_hand(texts, share, most))
+    assert tokens.by_coverage(df.where("false"), "txt", 0.8).count() == 0
+    sf = "/root/testdata/sf0.01"
+    texts = [r["token_text"] for r in QUERIES["wide_to_token_array"](spark, sf).collect()]
+    got = sorted(map(tuple, QUERIES["select_by_coverage"](spark, sf).collect()))
+    assert len(got) > 3000 and got == sorted(by_hand(texts, 0.8))
+    assert sum(n for _, n, _ in got) >= 0.8 * sum(t != "" for t in texts)
