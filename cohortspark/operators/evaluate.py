@@ -58,10 +58,13 @@ def resampled(scored: DataFrame, reps: int, unit: str = "rid", threshold: float
     `unit` is the row, or the entity for a cluster bootstrap. Scores of weight 0 are dropped before the windows. One aggregate
     by score serves all four metrics.
     """
-    w = scored.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_u", uniform(F.concat_ws("-", unit, "rep")))
-    w = w.withColumn("w", poisson_of(F.col("_u")))  # a filter here would hash every row again
+    # a unit's rows of all models share one hash per replicate
+    rows = scored.groupBy(unit, "model", "risk", (F.coalesce(F.col("y") == 1, F.lit(False))).alias("_event")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.groupBy(unit).agg(F.collect_list(F.struct("model", "risk", "_event", "_n")).alias("_rows"))
+    w = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_u", uniform(F.concat_ws("-", unit, "rep")))
+    w = w.withColumn("_w", poisson_of(F.col("_u"))).select("rep", "_w", F.inline("_rows")).withColumn("w", F.col("_w") * F.col("_n"))  # a filter here would hash every row again
     keys = ["model", "rep"]
-    g = w.groupBy(*keys, "risk").agg(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(F.col("w"))).alias("neg")).where("pos + neg > 0")
+    g = w.groupBy(*keys, "risk").agg(F.sum(F.when(F.col("_event"), F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("_event"), 0).otherwise(F.col("w"))).alias("neg")).where("pos + neg > 0")
     up, down = Window.partitionBy(*keys).orderBy("risk"), Window.partitionBy(*keys).orderBy(F.desc("risk"))
     g = g.select("*", (F.sum("neg").over(up) - F.col("neg")).alias("below"), F.sum("pos").over(down).alias("tp"), (F.sum("pos").over(down) + F.sum("neg").over(down)).alias("taken"))
     r, high = F.col("risk"), F.col("risk") >= threshold

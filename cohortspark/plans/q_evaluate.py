@@ -145,7 +145,7 @@ def metrics_table(spark, sf):
 
 
 _U = "$h(rid || '-' || rep) / 4294967296.0E0"
-REPS = 10
+REPS = 200
 
 
 def boot_sql(body):

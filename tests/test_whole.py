@@ -1,12 +1,15 @@
 """Registered queries do the whole job: expected rows come from plain Python over the input rows, not from the SQL texts."""
 
+import hashlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortspark.operators import tokens
+from cohortspark.functions.hashing import POISSON_STEPS
+from cohortspark.operators import evaluate, tokens
 from cohortspark.plans import ORACLES, QUERIES
 from cohortspark.plans.views import view
 
@@ -55,3 +58,36 @@ def test_coverage_alone_ends_the_selection(spark):
     got = sorted(map(tuple, QUERIES["select_by_coverage"](spark, sf).collect()))
     assert len(got) > 3000 and got == sorted(by_hand(texts, 0.8))
     assert sum(n for _, n, _ in got) >= 0.8 * sum(t != "" for t in texts)
+
+
+def replicates(rows, reps):
+    """auc, ap, brier and balanced accuracy of each replicate by the definitions, over repeated rows."""
+    out = {"auc": [], "ap": [], "brier": [], "balanced_accuracy": []}
+    for rep in range(reps):
+        w = [sum(int(hashlib.md5(f"{rid}-{rep}".encode()).hexdigest()[:8], 16) / 2**32 >= s for s in POISSON_STEPS) for rid, _, _ in rows]
+        pos = [(r, k) for (_, y, r), k in zip(rows, w, strict=True) if y == 1 and k]
+        neg = [(r, k) for (_, y, r), k in zip(rows, w, strict=True) if y == 0 and k]
+        p, q = sum(k for _, k in pos), sum(k for _, k in neg)
+        if not p or not q:
+            continue
+        out["auc"].append(sum(k * j * ((r > s) + 0.5 * (r == s)) for r, k in pos for s, j in neg) / (p * q))
+        at = lambda side, r: sum(k for s, k in side if s >= r)
+        out["ap"].append(sum(k * at(pos, r) / (at(pos, r) + at(neg, r)) for r, k in pos) / p)
+        out["brier"].append((sum(k * (1 - r) ** 2 for r, k in pos) + sum(k * r * r for r, k in neg)) / (p + q))
+        out["balanced_accuracy"].append((at(pos, 0.5) / p + 1 - at(neg, 0.5) / q) / 2)
+    return {m: np.array(x) for m, x in out.items()}
+
+
+def test_bootstrap_of_200_replicates(spark):
+    rows = [(f"r{i % 22}", int(i % 3 == 0), round((i * 7 % 10) / 10, 1)) for i in range(25)]  # some identifiers repeat
+    other = [(rid, y, round(1 - r * r, 2)) for rid, y, r in rows]
+    df = spark.createDataFrame([("a", *x) for x in rows] + [("b", *x) for x in other], "model string, rid string, y int, risk double")
+    a, b = replicates(rows, 200), replicates(other, 200)
+    assert len(a["auc"]) > 190
+    for r in evaluate.bootstrap(df, 200).collect():
+        x = (a if r["model"] == "a" else b)[r["metric"]]
+        assert r["n_valid"] == len(x) and np.allclose([r["low"], r["high"]], np.quantile(x, [0.025, 0.975]))
+    for r in evaluate.bootstrap_delta(df, [("a", "b")], 200).collect():
+        x = b[r["metric"]] - a[r["metric"]]
+        assert r["n_valid"] == len(x) and np.allclose([r["low"], r["high"]], np.quantile(x, [0.025, 0.975]))
+    assert {r["n_valid"] for r in QUERIES["bootstrap_ci"](spark, "/root/testdata/sf0.001").collect()} == {200}
