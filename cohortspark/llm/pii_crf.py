@@ -1,7 +1,8 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns give the base spans. Tokens that could be personal data (with a digit, an @, or very long) become nodes of a CRF:
-neighbouring nodes share chain potentials, and repeats of one token anywhere in the document share skip potentials.
+neighbouring nodes share chain potentials, and all repeats of one token in a document share a hub node by skip potentials.
+What the repeats have in common (the token's shape) counts once, at the hub; each repeat adds its own context.
 Loopy message passing then labels every node, so that what is plain in one place also counts in the others.
 """
 
@@ -127,10 +128,10 @@ def _prior() -> np.ndarray:
     return w
 
 
-def _unary(model_w: np.ndarray, feats: np.ndarray) -> np.ndarray:
-    """Label scores; labels whose shape a token can't have (an email without @, a card number without its digits) are ruled out."""
+def _unary(model_w: np.ndarray, feats: np.ndarray, shape: np.ndarray | None = None) -> np.ndarray:
+    """Label scores; labels whose shape a token can't have (an email without @, a card number without its digits) are ruled out, by the features `shape` if given."""
     z = feats @ model_w
-    f = feats > 0
+    f = (feats if shape is None else shape) > 0
     digits = f[:, 5] | f[:, 7] | f[:, 8] | f[:, 16] | f[:, 17]
     possible = np.stack([f[:, 1], f[:, 3], f[:, 5] | f[:, 17], digits | f[:, 9], f[:, 10] | f[:, 14] | f[:, 12], np.ones(len(f), bool)], axis=1)
     return np.where(possible, z, -20.0)
@@ -140,7 +141,7 @@ def _unary(model_w: np.ndarray, feats: np.ndarray) -> np.ndarray:
 class Crf:
     unary: np.ndarray  # features by labels
     chain: np.ndarray  # labels by labels, of neighbouring nodes
-    skip: np.ndarray  # labels by labels, of repeats of one token
+    skip: np.ndarray  # labels by labels, of repeats of one token and of a repeat and its hub
 
 
 def _graph(texts: list[str], near: int = 24):
@@ -164,29 +165,72 @@ def _graph(texts: list[str], near: int = 24):
     return spans, docs, np.array(feats, np.float32).reshape(-1, _FEATURES), edge(chain), edge(skip)
 
 
-def marginals(model: Crf, feats: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 12, damping: float = 0.3) -> np.ndarray:
-    """Node marginals by damped loopy sum-product over both kinds of edges, all documents at once."""
-    unary = _unary(model.unary, feats)
-    edges = np.concatenate([chain, skip])
+def _hubs(skip: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The repeated nodes and the number of each one's hub, from edges that chain the repeats of a token in ascending order."""
+    first = np.arange(n)
+    for a, b in skip:
+        first[b] = first[a]
+    copies = np.unique(skip)
+    _, hub = np.unique(first[copies], return_inverse=True)
+    return copies, hub
+
+
+def marginals(model: Crf, feats: np.ndarray, chain: np.ndarray, skip: np.ndarray, damping: float = 0.3, settled: float = 1e-4) -> np.ndarray:
+    """Node marginals by damped loopy sum-product, all documents at once, until the messages settle.
+
+    Any two repeats of a token are two edges apart, by their hub. Messages round a cycle need not settle by themselves: the damping
+    grows slowly, so that the rounds end.
+    """
+    n = len(feats)
+    copies, hub = _hubs(skip, n)
+    own, shape = feats.copy(), feats.copy()
+    if len(copies):
+        common = np.full((hub.max() + 1, feats.shape[1]), np.inf, np.float32)
+        np.minimum.at(common, hub, feats[copies])
+        every = np.zeros_like(common)
+        np.maximum.at(every, hub, feats[copies])
+        own[copies] -= common[hub]
+        shape[copies] = every[hub]
+        own, shape = np.concatenate([own, common]), np.concatenate([shape, every])
+    unary = _unary(model.unary, own, shape)
+    ruled_out = np.zeros((n, unary.shape[1]))
+    if len(copies):
+        # a repeat without evidence has to send its hub a flat message, or many would outvote one cue: labels are ruled out at the hub and at the end
+        ruled_out[copies] = np.where(unary[hub + n] == -20.0, -20.0, 0.0)
+        unary[copies] = own[copies] @ model.unary
+    edges = np.concatenate([chain, np.stack([copies, hub + n], axis=1).astype(np.int64)])
     if not len(edges):
         e = np.exp(unary - unary.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
-    pot = np.concatenate([np.repeat(np.exp(model.chain)[None], len(chain), 0), np.repeat(np.exp(model.skip)[None], len(skip), 0)])
-    src = np.concatenate([edges[:, 0], edges[:, 1]])
-    dst = np.concatenate([edges[:, 1], edges[:, 0]])
+    star = np.exp(model.skip)
+    star = star / star.sum(0)  # of a repeat, given its hub
+    # the neighbours of m repeats count as a share each: the same plain line m times is no more evidence than once
+    m = np.ones(n)
+    m[copies] = np.bincount(hub)[hub] if len(copies) else 1
+    pot = np.exp(model.chain[None] / np.maximum(m[chain[:, 0]], m[chain[:, 1]])[:, None, None])
+    pot = np.concatenate([pot, np.repeat(star[None], len(copies), 0)])
     pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
+    src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     message = np.zeros((len(src), unary.shape[1]))
-    for _ in range(rounds):
-        belief = unary.astype(np.float64).copy()
-        np.add.at(belief, dst, message)
-        out = belief[src] - message[back]
+    belief = unary.astype(np.float64)
+    stale = np.arange(len(src))  # messages whose input has changed
+    while len(stale):
+        out = belief[src[stale]] - message[back[stale]]
         out = np.exp(out - out.max(1, keepdims=True))
-        new = np.log(np.einsum("ea,eab->eb", out, pot) + 1e-300)
+        new = np.log(np.einsum("ea,eab->eb", out, pot[stale]) + 1e-300)
         new -= new.max(1, keepdims=True)
-        message = damping * message + (1 - damping) * new
-    belief = unary.astype(np.float64).copy()
-    np.add.at(belief, dst, message)
+        step = (1 - damping) * (new - message[stale])
+        message[stale] += step
+        np.add.at(belief, dst[stale], step)
+        moved = np.abs(step).max(1) > settled
+        touched = np.zeros(len(belief), bool)
+        touched[dst[stale[moved]]] = True
+        again = touched[src]
+        again[stale[moved]] = True
+        stale = np.flatnonzero(again)
+        damping += (1 - damping) * 0.01
+    belief = belief[:n] + ruled_out
     e = np.exp(belief - belief.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 

@@ -126,6 +126,17 @@ def test_crf_carries_labels(spark, docs, texts):
     assert all("secret:" in got[k]["spans"] for k in secrets)
 
 
+def test_crf_labels_all_repeats_by_one_cue(docs):
+    model = pii_crf.fit(docs)
+    for key in ("Ab9dEf3hIj5lMn7pQr1tUv3x", "04dbebab91ab85687d33eeaaf9ac699e1188f962"):
+        for far in (" and then many plain words follow in the text ", "\nline {i}: 10.0.0.1 GET "):
+            first = f'token = "{key}"'
+            for text in (first + "".join(far.replace("{i}", str(i)) + key for i in range(99)), "".join(key + far.replace("{i}", str(i)) for i in range(99)) + first):
+                _, spans = pii_crf.annotate([text], model)[0]
+                assert sum(k == 4 and text[a:b] == key for a, b, k in spans) == 100
+                assert key not in pii_crf.redact(text, spans)
+
+
 def test_pii_odd(odd):
     model = pii_crf.fit_texts([])
     assert pii_crf.find(odd, model).count() == 10 and pii_crf.find(odd.where("false"), model).count() == 0
