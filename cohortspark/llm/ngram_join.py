@@ -257,7 +257,7 @@ def _across(classes: DataFrame, roots: DataFrame, percent: int, shared: int, n:
     enough = F.least(F.lit(shared), F.ceil(F.least("x.least", "y.least") * percent / 100))
     common = F.array_intersect("x.alone", "y.alone")
     # two single sets meet once, at their smallest common token, and only with enough of them
-    meet = F.coalesce((F.array_min(common) == F.col("x.token")) & (F.size(common) >= enough), F.col("x.alone").isNull() | F.col("y.alone").isNull())
+    meet = F.when(F.col("x.alone").isNull() | F.col("y.alone").isNull(), True).otherwise((F.array_min(common) == F.col("x.token")) & (F.size(common) >= enough))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & fits("x", "y") & meet)
     single = F.col("x.alone").isNotNull() & F.col("y.alone").isNotNull()
     pairs = pairs.groupBy(F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")).agg(F.count(F.lit(1)).alias("k"), F.bool_or(single).alias("single"), F.min(F.least("x.least", "y.least")).alias("least"))

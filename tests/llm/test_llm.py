@@ -143,6 +143,20 @@ def test_pii_odd(odd):
     assert pii_crf.redacted(odd, model).columns == odd.columns
 
 
+def test_single_set_meets_a_component_in_any_session(spark):
+    made = [(k, 20, np.array(sorted([*range(1, 20), 100 + k]), np.uint64).tobytes(), list(range(1, 20))) for k in (1, 2, 3)]
+    classes = spark.createDataFrame(made, "name long, n long, tokens binary, prefix array<long>")
+    roots = spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for setting in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", setting)
+            edges = ngram_join._across(classes, roots, 80, ngram_join.SHARED, 4).collect()
+            assert any(3 in (r["a"], r["b"]) for r in edges)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+
+
 # ---- tool calls
 def test_tool_calls(spark):
     calls = spark.createDataFrame([("a", "search", '{"limit":3,"query":"x"}', None), ("b", "search", '{"limit":99,"other":1}', ["a"]), ("c", "search", "no json", ["b", "missing"]), ("d", "unknown", "{}", ["e"]), ("e", "lookup", '{"query":"é\\n"}', ["d"]), ("a", "search", '{"limit":3,"query":"x"}', None), (None, "x", "{}", None)], "id string, name string, arguments string, needs array<string>")
