@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,17 +36,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Set a checkpoint folder only where the session names none."""
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share; one is made only where the session names none and runs in one process."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        import tempfile
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile
 
-        where = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    sc.setCheckpointDir(where)
+            where = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(where)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -54,6 +57,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """The rows written as a table in the shared folder and read again, and aggregates of them that come with the writing."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    seen = Observation()
+    noted = df.observe(seen, *[c.alias(k) for k, c in counts.items()]) if counts else df
+    noted.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get if counts else {}
+
+
 def held_out(doc_id):
     """True where crc32 of doc_id as text has remainder 0 by 5."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0

@@ -1,12 +1,16 @@
 """Exact removal of repeated substrings, by longest-previous-factor arrays over anchored pieces.
 
-Every window of `LENGTH` bytes has one anchor: its k-gram of the smallest hash. Equal windows have equal anchors at equal
-offsets, so only pieces (the windows around one anchor occurrence) with the same anchor can match. In the first pass
-pieces travel as hashes: a piece that an earlier place repeats whole is removed at once, an anchor seen once needs
-nothing. Only pieces whose anchor has several surroundings travel with their bytes: there suffixes that start at the
-same distance before the anchor are put in suffix order, ties by position, and the previous smaller position in that order, where
-it is LENGTH bytes alike, is the earlier match of a longest-previous-factor array. Anchors that hold a large share of all documents send each window by itself
-instead, so that no task gets a hot group.
+Every window of `LENGTH` bytes has one anchor: its k-gram of the smallest hash. Equal windows have equal anchors at equal distances,
+so only pieces (the windows round one place of an anchor) with the same anchor can match: a group of such pieces is a small text of its
+own. Its suffixes are put in suffix order with their common prefixes, and the previous and next smaller positions in that order give
+each suffix's longest previous factor. A window goes where that factor has LENGTH bytes or more; nothing else removes any.
+
+1. Each task lays the pieces of its texts, and removes what its own earlier texts hold, by the same arrays: copies don't travel.
+2. Pieces go to their anchors' groups without bytes. A group of one piece has no match.
+3. The others get their bytes from the texts and meet again by group, where the arrays give spans.
+4. Spans go to their documents.
+
+An anchor that many documents have (a common line) sends narrower pieces, each keyed by all the bytes that its windows share.
 """
 
 from __future__ import annotations
@@ -15,24 +19,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm import blobs
-from cohortspark.llm.common import cut, flat_bytes, mix, partitions, prefix_sums, query, span_hashes, table, text_chunks
+from cohortspark.llm.common import flat_bytes, mix, prefix_sums, query, span_hashes, stored, table, text_chunks
 
 LENGTH = 100  #: bytes that must repeat
 _GRAM = 32
 _REACH = LENGTH - _GRAM  # of an anchor inside its window
-_HOT = 256  # distinct surroundings from which an anchor's windows travel singly
-_FLUSH = 500_000
-_SLAB = 8_000  # pieces whose bytes are handled at once
+_WIDTH = _REACH + LENGTH  # of all windows that an anchor can have
+_NARROW = 9  # distances to a narrow piece
+_SLAB = 30_000  # pieces whose arrays are built at once; a group stays whole
+_LOCAL = 6 << 20  # bytes of text that a task searches for its own repeats at once
+_FAR = np.int64(1) << 62
 
-_ENTRY = ["u4", "u8", "i8", "i8", "u1"]  # anchor, piece, document, first window, further windows
-_REQUEST = ["u8", "i8", "i8", "u1", "u1", "u1"]  # group, document, first window, further windows, anchor's offset, hot
-_SPAN = ["i8", "i8", "i8"]  # document, start, end
-_WINDOW = ["u8", "i8", "i8"]  # hash, document, start
+_PIECE = "g long, doc long, start int, more int, lead int"
+_SPAN = "doc long, start int, end int"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray):
@@ -65,16 +67,94 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     return doc, start, more, anchor[first], gram[anchor[first]], sums
 
 
-def _firsts(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by keys (the first is the main one) without entries that repeat one in all keys, and whether each entry in it differs in all but the last two keys from the one before."""
-    order = np.lexsort(keys[::-1])
-    if len(order) > 1:
-        same = np.all([k[order][1:] == k[order][:-1] for k in keys], axis=0)
-        order = order[np.concatenate([[True], ~same])]
-    new = np.ones(len(order), bool)
-    if len(order) > 1:
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys[:-2]], axis=0)
-    return order, new
+def aligned(data: np.ndarray, at: np.ndarray, more: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """One row of bytes per piece, with its anchor in column _REACH and zeros where the piece has no bytes; `at`: where it starts in data."""
+    size = more + LENGTH
+    upto = np.cumsum(size) - size
+    step = np.arange(int(size.sum())) - np.repeat(upto, size)
+    out = np.zeros(len(at) * _WIDTH, np.uint8)
+    to = np.repeat(np.arange(len(at)) * _WIDTH + _REACH - lead, size) + step
+    out[to] = data[np.repeat(at, size) + step]
+    return out.reshape(-1, _WIDTH)
+
+
+def _smaller_before(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The common prefix of each suffix with the nearest one before it in suffix order that has a smaller place.
+
+    Below LENGTH it isn't followed further. Entries jump over each other's known ranges, so that runs of larger places take few rounds.
+    """
+    near, common = np.arange(len(lcp)) - 1, lcp.copy()
+    todo = np.flatnonzero(common >= LENGTH)
+    while len(todo):
+        todo = todo[place[near[todo]] >= place[todo]]
+        by = near[todo]
+        common[todo] = np.minimum(common[todo], common[by])
+        near[todo] = near[by]
+        todo = todo[common[todo] >= LENGTH]
+    return common
+
+
+def previous_factors(group: np.ndarray, place: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Lengths of the longest previous factors: one row per piece, one column per distance (0 to _REACH) that a suffix starts before the anchor.
+
+    `group`: ascending numbers of the pieces' groups; `place`: the order of the pieces in the corpus (equal: the same place); `rows`: their
+    bytes as aligned() gives them; a piece's own suffixes are those at distances first to last. Lengths under LENGTH are not exact, and 0 stands
+    for suffixes that a piece doesn't have.
+
+    The suffixes at distance 0 are sorted; those one byte longer take their order from that byte and the order before (induced sorting), and their
+    common prefixes from the least one between them. Windows at different distances never match, so each distance has an array of its own.
+    """
+    n = len(group)
+    out = np.zeros((n, _REACH + 1), np.int16)
+    if n < 2:
+        return out
+    _, number = np.unique(group, return_inverse=True)
+    number = number.astype(np.uint16 if number[-1] < 1 << 16 else np.int64)
+    right = rows[:, _REACH:]
+    key = np.ascontiguousarray(np.concatenate([number.astype(">u8").view(np.uint8).reshape(n, 8), right], axis=1))
+    order = np.argsort(key.view(f"S{key.shape[1]}").ravel(), kind="stable")
+    g, sorted_rows = number[order], right[order]
+    differs = sorted_rows[1:] != sorted_rows[:-1]
+    lcp = np.zeros(n, np.int16)
+    lcp[1:] = np.where(g[1:] == g[:-1], np.where(differs.any(1), differs.argmax(1), LENGTH), 0)
+    for d in range(_REACH + 1):
+        if d:
+            byte = rows[order, _REACH - d]
+            by = np.argsort(byte, kind="stable")
+            by = by[np.argsort(g[by], kind="stable")]
+            least = np.minimum.reduceat(np.append(lcp, np.int16(0)), by + 1)[:-1]
+            order, byte, g = order[by], byte[by], g[by]
+            lcp = np.zeros(n, np.int16)
+            lcp[1:] = np.where((g[1:] == g[:-1]) & (byte[1:] == byte[:-1]), least + 1, 0)
+        if not (lcp >= LENGTH).any():
+            continue
+        own = ((first <= d) & (d <= last))[order]
+        here = np.where(own, place[order], _FAR)
+        before = _smaller_before(here, lcp)
+        after = _smaller_before(here[::-1], np.append(np.int16(0), lcp[:0:-1]))[::-1]
+        out[order, d] = np.where(own, np.maximum(before, after), 0)
+    return out
+
+
+def _repeats(group, doc, anchor, lead, more, rows_of) -> np.ndarray:
+    """Of each piece (row) and distance (column), whether its window repeats an earlier one; pieces ascend by group."""
+    hit = np.zeros((len(group), _REACH + 1), bool)
+    ends = np.concatenate([np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+    lo = 0
+    while lo < len(group):
+        # whole groups, up to a slab of pieces
+        hi = int(ends[max(0, np.searchsorted(ends, lo + _SLAB, side="right") - 1)])
+        if hi <= lo:
+            hi = int(ends[np.searchsorted(ends, lo, side="right")])
+        part = slice(lo, hi)
+        by = np.lexsort((anchor[part], doc[part]))
+        d, a = doc[part][by], anchor[part][by]
+        place = np.empty(hi - lo, np.int64)
+        place[by] = np.cumsum(np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] != a[:-1])]))
+        factors = previous_factors(group[part], place, rows_of(part), lead[part] - more[part], lead[part])
+        hit[part] = factors >= LENGTH
+        lo = hi
+    return hit
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
@@ -93,48 +173,26 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndar
     return [doc[at], start[at], np.maximum.reduceat(end, at)]
 
 
-def _home(doc: np.ndarray, n: int) -> np.ndarray:
-    return (mix(doc.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column of each run of True."""
+    edge = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    edge[:, 1:-1] = mask
+    step = np.diff(edge, axis=1)
+    row, first = np.nonzero(step == 1)
+    _, last = np.nonzero(step == -1)
+    return row, first, last - 1
 
 
-def _texts(docs: DataFrame, n: int) -> DataFrame:
-    """Documents as compressed blobs for their home partitions."""
-
-    def run(batches):
-        for batch in text_chunks(batches, "t", 8 << 20):
-            data, offsets = flat_bytes(batch.column("t"))
-            ids = batch.column("k").to_numpy(zero_copy_only=False).astype(np.int64)
-            home = _home(ids, n)
-            order = np.argsort(home, kind="stable")
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(home[order])) + 1, [len(order)]])
-            whole, squeeze = data.tobytes(), zstandard.ZstdCompressor(level=1)
-            out = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                pick = order[a:b]
-                body = b"".join(whole[offsets[i] : offsets[i + 1]] for i in pick)
-                out.append((int(home[pick[0]]), blobs.packed([ids[pick], np.diff(offsets)[pick]]) + squeeze.compress(body)))
-            yield blobs.rows(0, out)
-
-    return docs.mapInArrow(run, blobs.SCHEMA)
-
-
-def _read_texts(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, n + 1 offsets and bytes of a partition's documents."""
-    ids, lengths, body = [], [], []
-    for blob in parts:
-        i, n = blobs.unpacked(blob, ["i8", "i8"])
-        ids.append(i)
-        lengths.append(n)
-        body.append(zstandard.decompress(memoryview(blob)[8 + 16 * len(i) :], max_output_size=int(n.sum()) or 1))
-    if not ids:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint8)
-    return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]), np.frombuffer(b"".join(body), np.uint8)
+def _batch(schema: str, columns: list[np.ndarray]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_pydict({name: pa.array(c.astype(np.int64), kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
 
 
 def hot_anchors(docs: DataFrame, share: int = 64, least: int = 16, part: float = 0.001) -> np.ndarray:
     """Anchors in at least `least` and a thousandth of a sample of documents: only how they travel depends on it, no result does.
 
-    Fewer than some hundred thousand can reach that share, whatever the corpus.
+    Documents have some hundreds of anchors, so fewer than some hundred thousand can reach that share, whatever the corpus.
     """
     sample = docs.where(F.pmod(F.xxhash64("k"), F.lit(share)) == 0)
     total = sample.count()
@@ -146,263 +204,175 @@ def hot_anchors(docs: DataFrame, share: int = 64, least: int = 16, part: float =
             h, n = np.unique(pairs[:, 1], return_counts=True)
             yield pa.RecordBatch.from_pydict({"h": pa.array(h.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    most = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, part * total))
+    counts = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    most = counts.where(F.col("n") >= max(least, part * total))
     return np.sort(np.array([r["h"] for r in most.select("h").collect()], np.int64).astype(np.uint64))
 
 
-def _pieces(docs: DataFrame, hot: np.ndarray, n: int) -> DataFrame:
-    """First pass: pieces as hashes to their anchors' partitions (kind 0), local repeats as spans to their documents' (kind 1)."""
+def _narrowed(start, more, lead, sums, at):
+    """Each piece cut at fixed distances from its anchor: which piece, first window, further windows, anchor's offset, and the hash of the shared bytes."""
+    which, first, last, low, high = [], [], [], [], []
+    for lo in range(0, _REACH + 1, _NARROW):
+        hi = min(lo + _NARROW - 1, _REACH)
+        far, close = np.minimum(lead, hi), np.maximum(lead - more, lo)
+        own = np.flatnonzero(far >= close)
+        which.append(own)
+        first.append(far[own])
+        last.append(close[own])
+        low.append(np.full(len(own), lo))
+        high.append(np.full(len(own), hi))
+    which, far, close, lo, hi = (np.concatenate(x) for x in (which, first, last, low, high))
+    anchor = at[which] + lead[which]
+    shared = span_hashes(sums, anchor - lo, anchor + LENGTH - hi)
+    return which, start[which] + lead[which] - far, far - close, far, mix(shared + lo.astype(np.uint64))
+
+
+def _pieces(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Pieces without bytes, and spans of the windows that repeat one of the same task (g null, more: the span's end)."""
 
     def flush(held):
-        anchor, piece, doc, start, more = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, new = _firsts(anchor, piece, doc, start)
-        again = order[~new]
-        yield blobs.rows(1, _span_rows(doc[again], start[again], start[again] + more[again] + LENGTH, n))
-        keep = np.sort(order[new])
-        is_hot = np.isin(anchor[keep], hot)
-        target = (np.where(is_hot, piece[keep], anchor[keep]) % np.uint64(n)).astype(np.int64)
-        short = (anchor[keep] >> np.uint64(32)).astype(np.uint32)
-        for kind, m in ((0, ~is_hot), (3, is_hot)):
-            yield blobs.rows(kind, blobs.dealt(target[m], [short[m], piece[keep][m], doc[keep][m], start[keep][m], more[keep][m].astype(np.uint8)]))
+        data = np.concatenate([h[0] for h in held])
+        base = np.cumsum([0] + [len(h[0]) for h in held])[:-1]
+        at = np.concatenate([h[1] + b for h, b in zip(held, base, strict=True)])
+        key, doc, start, more, lead = (np.concatenate(x) for x in list(zip(*held, strict=True))[2:])
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        again = np.zeros(len(k), bool)
+        again[1:] = k[1:] == k[:-1]
+        again[:-1] |= again[1:]
+        several, single = order[again], order[~again]
+        windows = [(single, start[single], more[single], lead[single])]
+        if len(several):
+            rows = lambda part: aligned(data, at[several[part]], more[several[part]], lead[several[part]])
+            hit = _repeats(key[several], doc[several], start[several] + lead[several], lead[several], more[several], rows)
+            row, close, far = _runs(hit)
+            s = start[several[row]] + lead[several[row]] - far
+            d, s, e = _merged(doc[several[row]], s, s + far - close + LENGTH)
+            yield pa.RecordBatch.from_pydict({"g": pa.nulls(len(d), pa.int64()), "doc": d, "start": pa.array(s, pa.int32()), "more": pa.array(e, pa.int32()), "lead": pa.array(np.zeros(len(d)), pa.int32())})
+            distance = np.arange(_REACH + 1)
+            own = (distance >= (lead - more)[several, None]) & (distance <= lead[several, None]) & ~hit
+            row, close, far = _runs(own)
+            p = several[row]
+            windows.append((p, start[p] + lead[p] - far, far - close, far))
+        which, start2, more2, lead2 = (np.concatenate(x) for x in zip(*windows, strict=True))
+        is_hot = np.isin(key[which], hot) if len(hot) else np.zeros(len(which), bool)
+        calm = which[~is_hot]
+        yield _batch(_PIECE, [key[calm], doc[calm], start2[~is_hot], more2[~is_hot], lead2[~is_hot]])
+        if is_hot.any():
+            w, s, m, le = which[is_hot], start2[is_hot], more2[is_hot], lead2[is_hot]
+            own, s, m, le, g = _narrowed(s, m, le, prefix_sums(data), at[w] + s - start[w])
+            yield _batch(_PIECE, [g, doc[w[own]], s, m, le])
 
     def run(batches):
         held, size = [], 0
         for batch in text_chunks(batches, "t", 1 << 20):
             data, offsets = flat_bytes(batch.column("t"))
             ids = batch.column("k").to_numpy(zero_copy_only=False).astype(np.int64)
-            doc, start, more, anchor, hashes, sums = anchors(data, offsets)
-            piece = mix(span_hashes(sums, start, start + more + LENGTH) + (anchor - start).astype(np.uint64))
-            held.append((hashes, piece, ids[doc], start - offsets[doc], more))
-            size += len(doc)
-            if size >= _FLUSH:
-                yield from filter(None, flush(held))
+            doc, start, more, anchor, hashes, _ = anchors(data, offsets)
+            held.append((data.copy(), start, hashes, ids[doc], start - offsets[doc], more, anchor - start))
+            size += len(data)
+            if size >= _LOCAL:
+                yield from flush(held)
                 held, size = [], 0
-        if size:
-            yield from filter(None, flush(held))
+        if held:
+            yield from flush(held)
 
-    return docs.mapInArrow(run, blobs.SCHEMA)
+    return docs.mapInArrow(run, _PIECE)
 
 
-def _span_rows(doc, start, end, n):
-    doc, start, end = _merged(doc, start, end)
-    return blobs.dealt(_home(doc, n), [doc, start, end])
+def _match(pieces: DataFrame) -> DataFrame:
+    """Spans of the windows that repeat earlier ones; pieces come with their bytes, sorted by group."""
 
-
-def _resolve(pieces: DataFrame, n: int) -> DataFrame:
-    """Whole repeats become spans (kind 1); pieces whose anchor has several surroundings are asked for (kind 2)."""
+    def spans(own: pa.Table):
+        g, doc, start, more, lead = (own[c].to_numpy().astype(np.int64) for c in ("g", "doc", "start", "more", "lead"))
+        data, offsets = flat_bytes(own["b"].combine_chunks())
+        # bytes are short only where a key repeats with a shorter text: such a piece has no window there
+        whole = np.flatnonzero(np.diff(offsets) == more + LENGTH)
+        g, doc, start, more, lead, at = (x[whole] for x in (g, doc, start, more, lead, offsets[:-1]))
+        rows = lambda part: aligned(data, at[part], more[part], lead[part])
+        row, close, far = _runs(_repeats(g, doc, start + lead, lead, more, rows))
+        s = start[row] + lead[row] - far
+        return _batch(_SPAN, _merged(doc[row], s, s + far - close + LENGTH))
 
     def run(batches):
-        own = blobs.gathered(batches)
-        if 1 in own:
-            doc, start, end = blobs.joined(own[1], _SPAN)
-            yield blobs.rows(1, _span_rows(doc, start, end, n))
-        for kind in (0, 3):
-            if kind not in own:
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n < _SLAB:
                 continue
-            anchor, piece, doc, start, more = blobs.joined(own[kind], _ENTRY)
-            order, new = _firsts(anchor, piece, doc, start)
-            again, keep = order[~new], order[new]
-            yield blobs.rows(1, _span_rows(doc[again], start[again], start[again] + more[again] + LENGTH, n))
-            a = anchor[keep]
-            if kind == 3:
-                ask, hot = np.ones(len(keep), bool), np.ones(len(keep), np.uint8)
-            else:
-                _, which, count = np.unique(a, return_inverse=True, return_counts=True)
-                ask, hot = count[which] > 1, (count[which] > _HOT).astype(np.uint8)
-            k = keep[ask]
-            # the anchor's bucket and its short hash name the group
-            group = a[ask].astype(np.uint64)
-            yield blobs.rows(2, blobs.dealt(_home(doc[k], n), [mix(group), doc[k], start[k], more[k], np.zeros(len(k), np.uint8), hot[ask]]))
-
-    def live(batches):
-        yield from filter(None, run(batches))
-
-    return pieces.repartitionById(n, F.col("target")).mapInArrow(live, blobs.SCHEMA)
-
-
-def _surroundings(texts: DataFrame, asked: DataFrame, n: int) -> DataFrame:
-    """Asked pieces with their bytes (kind 4) to their groups' partitions; windows of hot groups singly (kind 5), local repeats as spans (kind 1)."""
+            rows = pa.Table.from_batches(held)
+            g = rows["g"].to_numpy()
+            end = int(np.searchsorted(g, g[-1]))  # the last group may go on
+            if end:
+                yield spans(rows.slice(0, end))
+                held, n = rows.slice(end).to_batches(), rows.num_rows - end
+        if n:
+            yield spans(pa.Table.from_batches(held))
 
-    def run(batches):
-        own = blobs.gathered(batches)
-        group, doc, start, more, _, hot = blobs.joined(own.get(2, []), _REQUEST)
-        if not len(doc):
-            return
-        ids, offsets, data = _read_texts(own.get(0, []))
-        order = np.argsort(ids)
-        base = offsets[order[np.searchsorted(ids[order], doc)]]
-        at = base + start
-
-        def copied(pick):
-            size = more[pick].astype(np.int64) + LENGTH
-            upto = np.concatenate([[0], np.cumsum(size)])
-            return upto, data[np.arange(upto[-1]) + np.repeat(at[pick] - upto[:-1], size)]
-
-        for lo in range(0, len(doc), _SLAB):
-            part = np.arange(lo, min(len(doc), lo + _SLAB))
-            calm, busy = part[hot[part] == 0], part[hot[part] == 1]
-            if len(calm):
-                upto, body = copied(calm)
-                target = (group[calm] % np.uint64(n)).astype(np.int64)
-                by = np.argsort(target, kind="stable")
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(target[by])) + 1, [len(by)]])
-                out = []
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    p = by[a:b]
-                    own_bytes = b"".join(body[upto[i] : upto[i + 1]].tobytes() for i in p)
-                    c = calm[p]
-                    out.append((int(target[p[0]]), blobs.packed([group[c], doc[c], start[c], more[c]]) + own_bytes))
-                yield blobs.rows(4, out)
-            if len(busy):
-                n_w = more[busy].astype(np.int64) + 1
-                w_upto = np.concatenate([[0], np.cumsum(n_w)])
-                step = np.arange(w_upto[-1]) - np.repeat(w_upto[:-1], n_w)
-                upto, body = copied(busy)
-                where = np.repeat(upto[:-1], n_w) + step
-                hashes = span_hashes(prefix_sums(body), where, where + LENGTH)
-                d, s = np.repeat(doc[busy], n_w), np.repeat(start[busy], n_w) + step
-                o, new = _firsts(hashes, d, s)
-                yield blobs.rows(1, _span_rows(d[o[~new]], s[o[~new]], s[o[~new]] + LENGTH, n))
-                keep = o[new]
-                yield blobs.rows(5, blobs.dealt((hashes[keep] % np.uint64(n)).astype(np.int64), [hashes[keep], d[keep], s[keep]]))
-
-    def live(batches):
-        yield from filter(None, run(batches))
-
-    return texts.unionAll(asked).repartitionById(n, F.col("target")).mapInArrow(live, blobs.SCHEMA)
-
-
-def _prefix_classes(group: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix order of equally long byte strings inside their groups, and the common prefix of each with the one before (-1: another group)."""
-    key = np.concatenate([group.astype(">u8").view(np.uint8).reshape(-1, 8), side], axis=1)
-    order = np.argsort(np.ascontiguousarray(key).view(f"S{key.shape[1]}").ravel(), kind="stable")
-    s, g = side[order], group[order]
-    differs = s[1:] != s[:-1]
-    alike = np.where(differs.any(1), differs.argmax(1), side.shape[1])
-    return order, np.concatenate([[-1], np.where(g[1:] == g[:-1], alike, -1)])
-
-
-def previous_factors(group, doc, start, more, lead, body: list) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (document, start) of the given pieces that an earlier window of the same group repeats.
-
-    `lead`: bytes of each piece before its anchor. Suffixes at distance d before the anchor are alike for LENGTH bytes where d bytes before and
-    _REACH - d bytes after the anchor's k-gram agree; the order of both sides gives classes of such suffixes for every d. In a class sorted by
-    position the one before is the previous smaller position, hence the earlier match that a longest-previous-factor array names.
-    """
-    order = np.lexsort((start, doc))
-    group, doc, start, more, lead = group[order], doc[order], start[order], more[order], lead[order]
-    body = [body[i] for i in order]
-    left, right = np.zeros((len(doc), _REACH), np.uint8), np.zeros((len(doc), _REACH), np.uint8)
-    for i, b in enumerate(body):
-        k = lead[i]
-        left[i, :k] = b[:k][::-1]
-        r = b[k + _GRAM :][:_REACH]
-        right[i, : len(r)] = r
-    lo, la = _prefix_classes(group, left)
-    ro, ra = _prefix_classes(group, right)
-    first, last = lead - more, lead  # distances of the piece's last and first window
-    docs, starts = [], []
-    lc, rc = np.empty(len(doc), np.uint64), np.empty(len(doc), np.uint64)
-    for d in range(_REACH + 1):
-        own = np.flatnonzero((first <= d) & (d <= last))
-        if len(own) < 2:
-            continue
-        lc[lo] = np.cumsum(la < d).astype(np.uint64)
-        rc[ro] = np.cumsum(ra < _REACH - d).astype(np.uint64)
-        key = (lc[own] << np.uint64(32)) | rc[own]
-        by = np.argsort(key, kind="stable")  # pieces are in the order of their positions, so ties stay so
-        again = own[by[1:][key[by[1:]] == key[by[:-1]]]]
-        docs.append(doc[again])
-        starts.append(start[again] + lead[again] - d)
-    return (np.concatenate(docs), np.concatenate(starts)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return pieces.repartition("g").sortWithinPartitions("g").mapInArrow(run, _SPAN)
 
 
-def _match(pieces: DataFrame, n: int) -> DataFrame:
-    """Spans (kind 1) of the windows that repeat earlier ones."""
+def _finish(rows: DataFrame, clean: bool) -> DataFrame:
+    """The texts `t` without their spans `s`."""
 
     def run(batches):
-        own = blobs.gathered(batches)
-        if 1 in own:
-            yield blobs.rows(1, _span_rows(*blobs.joined(own[1], _SPAN), n))
-        if 5 in own:
-            h, d, s = blobs.joined(own[5], _WINDOW)
-            o, new = _firsts(h, d, s)
-            again = o[~new]
-            yield blobs.rows(1, _span_rows(d[again], s[again], s[again] + LENGTH, n))
-        if 4 in own:
-            heads, bodies = [], []
-            for blob in own[4]:
-                g, d, s, m = blobs.unpacked(blob, ["u8", "i8", "i8", "u1"])
-                size = m.astype(np.int64) + LENGTH
-                raw = np.frombuffer(blob, np.uint8, int(size.sum()), 8 + 25 * len(g))
-                at = np.cumsum(size) - size
-                heads.append((g, d, s, m.astype(np.int64)))
-                bodies += [raw[a : a + k] for a, k in zip(at, size, strict=True)]
-            g, d, s, m = (np.concatenate(x) for x in zip(*heads, strict=True))
-            lead = _anchor_offsets(bodies, m)
-            d, s = previous_factors(g, d, s, m, lead, bodies)
-            yield blobs.rows(1, _span_rows(d, s, s + LENGTH, n))
-
-    def live(batches):
-        yield from filter(None, run(batches))
-
-    return pieces.repartitionById(n, F.col("target")).mapInArrow(live, blobs.SCHEMA)
-
-
-def _anchor_offsets(bodies: list, more: np.ndarray) -> np.ndarray:
-    """Where in each piece its anchor stands, found again from its bytes."""
-    out = []
-    for at in range(0, len(bodies), _SLAB):
-        part = bodies[at : at + _SLAB]
-        offsets = np.concatenate([[0], np.cumsum([len(b) for b in part])])
-        _, start, _, anchor, _, _ = anchors(np.concatenate(part), offsets)
-        out.append(anchor - start)  # a piece's windows all have one anchor, so each piece is one run
-    return np.concatenate(out)
-
-
-def _finish(texts: DataFrame, spans: DataFrame, n: int, clean: bool) -> DataFrame:
-    def run(batches):
-        own = blobs.gathered(batches)
-        ids, offsets, data = _read_texts(own.get(0, []))
-        doc, start, end = _merged(*blobs.joined(own.get(1, []), _SPAN))
-        lo, hi = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
-        whole = data.tobytes()
-        for at in range(0, len(ids), 4096):
-            cols = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-            for i in range(at, min(len(ids), at + 4096)):
-                text, kept, done, removed = whole[offsets[i] : offsets[i + 1]], [], 0, 0
+        for batch in text_chunks(batches, "t", 4 << 20):
+            data, offsets = flat_bytes(batch.column("t"))
+            ids = batch.column("k").to_pylist()
+            spans = batch.column("s")
+            n = np.diff(spans.offsets.to_numpy())
+            flat = spans.flatten()
+            n = np.where(spans.is_valid().to_numpy(zero_copy_only=False), n, 0)
+            doc, start, end = _merged(np.repeat(np.arange(len(n)), n), *(flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "end")))
+            lo, hi = np.searchsorted(doc, np.arange(len(n))), np.searchsorted(doc, np.arange(len(n)), side="right")
+            whole = data.tobytes()
+            cols = {"k": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+            for i, k in enumerate(ids):
+                text, kept, done = whole[offsets[i] : offsets[i + 1]], [], 0
                 for j in range(lo[i], hi[i]):
                     kept.append(text[done : start[j]])
                     done = int(end[j])
-                    removed += int(end[j] - start[j])
                 kept = b"".join([*kept, text[done:]])
-                for k, v in zip(cols, (int(ids[i]), len(text), removed, int(hi[i] - lo[i]), hashlib.sha256(kept).hexdigest(), kept), strict=True):
-                    cols[k].append(v)
+                values = (k, len(text), len(text) - len(kept), int(hi[i] - lo[i]), hashlib.sha256(kept).hexdigest(), kept)
+                for name, v in zip(cols, values, strict=True):
+                    cols[name].append(v)
             if not clean:
                 cols.pop("kept")
-            yield pa.RecordBatch.from_pydict(cols)
+            yield pa.RecordBatch.from_pydict({"k": pa.array(cols.pop("k"), pa.int64()), **cols})
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * clean
-    return texts.unionAll(spans).repartitionById(n, F.col("target")).mapInArrow(run, schema)
+    schema = "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * clean
+    return rows.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int | None = None, kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: bool = False) -> DataFrame:
     """Columns (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): each text without the bytes that a LENGTH-byte string covers which also starts earlier.
 
     Earlier means a smaller key, or the same document and a smaller start; matches never cross documents and are judged on the input. A null text counts as empty;
     texts under LENGTH bytes lose nothing. Of equal texts only the one with the smallest key stays. Rows that repeat a key with its text count as one
-    document and get the same result; other keys must be unique. Rows with a null key take no part: they lose nothing and remove nothing.
+    document and get the same result; a key with different texts is not defined. Keys are whole numbers (another type raises an error). Rows with a null
+    key take no part: they lose nothing and remove nothing. An empty table gives no rows; other columns are ignored.
     """
-    n = parts or partitions(docs.sparkSession)
+    if dict(docs.dtypes)[key] not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{key} must be a whole number, not {dict(docs.dtypes)[key]}")
     every = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    rows = every.where("k is not null")
-    texts = _texts(rows, n)
-    first = cut(_resolve(_pieces(rows, hot_anchors(rows), n), n))
-    second = cut(_match(_surroundings(texts, first.where("kind = 2"), n), n))
-    out = _finish(texts, first.where("kind = 1").unionAll(second), n, kept)
+    texts = every.where("k is not null")
+    pieces = _pieces(texts, hot_anchors(texts))
+    several = pieces.withColumn("n", F.count("g").over(Window.partitionBy("g", F.when(F.col("g").isNull(), F.col("doc")))))
+    # a null group holds the spans that tasks have found themselves; they pass on with their documents
+    several, _ = stored(several.where("n > 1 or g is null").drop("n"))
+    asked = several.where("g is not null").groupBy(F.col("doc").alias("k")).agg(F.collect_list(F.struct("g", "start", "more", "lead")).alias("p"))
+    own = lambda x: F.struct(x["g"].alias("g"), x["start"].alias("start"), x["more"].alias("more"), x["lead"].alias("lead"), F.substring("t", x["start"] + 1, x["more"] + LENGTH).alias("b"))
+    bytes_ = texts.join(asked, "k").select(F.col("k").alias("doc"), F.explode(F.transform("p", own)).alias("x"))
+    found = _match(bytes_.select("x.g", "doc", "x.start", "x.more", "x.lead", "x.b"))
+    local = several.where("g is null").select("doc", "start", F.col("more").alias("end"))
+    spans = found.unionAll(local).groupBy(F.col("doc").alias("k")).agg(F.collect_list(F.struct("start", "end")).alias("s"))
+    out = _finish(texts.join(spans, "k", "left"), kept)
     zero = F.lit(0).cast("long")
     out = out.unionAll(every.where("k is null").select("k", F.length("t").cast("long"), zero, zero, F.sha2("t", 256), *[F.col("t")] * kept))
-    return out.withColumnRenamed("doc_id", key)
+    return out.withColumnRenamed("k", key)
 
 
 @query("op8_substring_dedup")

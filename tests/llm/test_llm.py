@@ -302,20 +302,68 @@ def test_repeats_against_brute_force(spark, docs, texts):
     assert got == brute_repeats(texts)
 
 
-@pytest.mark.parametrize("hot", [1, 256])
-def test_repeats_made(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "_HOT", hot)
-    r = random.Random(2)
+def made_repeats(r):
     line = "".join(r.choice("abcdefgh ") for _ in range(130))
     texts = {}
     for i in range(60):
         own = "".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 150)))
         texts[i] = own + line[: r.randint(90, 130)] + own[: r.randint(0, 150)] + ("ab" * 120 if i % 7 == 0 else "") + ("é" * 80 if i % 9 == 0 else "")
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return texts
+
+
+@pytest.mark.parametrize(("narrow", "slab", "local"), [(False, 30_000, 1), (True, 30_000, 1), (True, 8, 6 << 20), (False, 8, 4000)])
+def test_repeats_made(spark, monkeypatch, narrow, slab, local):
+    monkeypatch.setattr(substring_dedup, "_SLAB", slab)
+    monkeypatch.setattr(substring_dedup, "_LOCAL", local)
+    texts = made_repeats(random.Random(2))
+    every = np.unique(substring_dedup.anchors(*common.flat_bytes(pa.array(list(texts.values()))))[4])
+    monkeypatch.setattr(substring_dedup, "hot_anchors", lambda docs: every if narrow else every[:0])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in substring_dedup.remove_repeats(df).collect()}
     assert got == brute_repeats(texts)
 
 
+def test_hot_anchors(spark):
+    line = "a line that very many of all the documents of this table hold, and that is long enough for an anchor and its windows"
+    df = spark.createDataFrame([(i, f"{i * 7919} own words {i} " * 3 + line) for i in range(4000)], "k long, t string").withColumn("t", F.col("t").cast("binary"))
+    hot = substring_dedup.hot_anchors(df)
+    assert len(hot) and np.isin(hot, substring_dedup.anchors(*common.flat_bytes(pa.array([line])))[4]).any()
+
+
+def test_longest_previous_factors_decide():
+    r = random.Random(8)
+    n, reach = 90, substring_dedup._REACH
+    core = bytes(r.choice(b"abcd") for _ in range(substring_dedup._WIDTH))
+    rows = np.frombuffer(b"".join(core for _ in range(n)), np.uint8).reshape(n, -1).copy()
+    for row in rows:
+        for _ in range(r.randint(0, 3)):
+            row[r.choice([*range(reach), *range(substring_dedup.LENGTH, len(core))])] = r.choice(b"abcd")
+    group, place = np.sort(np.array([r.randrange(6) for _ in range(n)])), np.array(r.sample(range(n - 3), n - 3) + [0, 1, 2])
+    first = np.array([r.randint(0, 30) for _ in range(n)])
+    last = first + np.array([r.randint(0, 38) for _ in range(n)])
+    got = substring_dedup.previous_factors(group, place, rows, first, last)
+    for i in range(n):
+        for d in range(reach + 1):
+            alike = [len(os.path.commonprefix([bytes(rows[i, reach - d :]), bytes(rows[j, reach - d :])])) for j in range(n) if group[j] == group[i] and place[j] < place[i] and first[j] <= d <= last[j]]
+            want = max(alike, default=0) if first[i] <= d <= last[i] else 0
+            assert (got[i, d] == want) if want >= substring_dedup.LENGTH else got[i, d] < substring_dedup.LENGTH
+
+
+def test_nothing_goes_without_previous_factors(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "previous_factors", lambda group, *rest: np.zeros((len(group), substring_dedup._REACH + 1), np.int16))
+    texts = made_repeats(random.Random(2))
+    ids = np.arange(len(texts))
+    data, offsets = common.flat_bytes(pa.array(list(texts.values())))
+    doc, start, more, anchor, hashes, _ = substring_dedup.anchors(data, offsets)
+    order = np.argsort(hashes, kind="stable")
+    pick = lambda x: x[order]
+    rows = lambda part: substring_dedup.aligned(data, pick(start)[part], pick(more)[part], pick(anchor - start)[part])
+    args = pick(hashes), pick(ids[doc]), pick(anchor - offsets[doc]), pick(anchor - start), pick(more), rows
+    assert not substring_dedup._repeats(*args).any()
+    monkeypatch.undo()
+    assert substring_dedup._repeats(*args).any()
+
+
 def test_repeats_odd(odd):
     got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in substring_dedup.remove_repeats(odd).collect()}
     n = len(SAME.encode())
