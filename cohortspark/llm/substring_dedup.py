@@ -31,7 +31,6 @@ _WIDTH = _REACH + LENGTH  # of all windows that an anchor can have
 _NARROW = 9  # distances to a narrow piece
 _SLAB = 30_000  # pieces whose arrays are built at once; a group stays whole
 _LOCAL = 6 << 20  # bytes of text that a task searches for its own repeats at once
-_FAR = np.int64(1) << 62
 
 _PIECE = "g long, doc long, start int, more int, lead int"
 _SPAN = "doc long, start int, end int"
@@ -78,13 +77,13 @@ def aligned(data: np.ndarray, at: np.ndarray, more: np.ndarray, lead: np.ndarray
     return out.reshape(-1, _WIDTH)
 
 
-def _smaller_before(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
-    """The common prefix of each suffix with the nearest one before it in suffix order that has a smaller place.
+def _smaller_before(place: np.ndarray, lcp: np.ndarray, todo: np.ndarray) -> np.ndarray:
+    """The common prefix of each suffix of `todo` with the nearest one before it in suffix order that has a smaller place.
 
     Below LENGTH it isn't followed further. Entries jump over each other's known ranges, so that runs of larger places take few rounds.
     """
     near, common = np.arange(len(lcp)) - 1, lcp.copy()
-    todo = np.flatnonzero(common >= LENGTH)
+    todo = todo[common[todo] >= LENGTH]
     while len(todo):
         todo = todo[place[near[todo]] >= place[todo]]
         by = near[todo]
@@ -128,11 +127,20 @@ def previous_factors(group: np.ndarray, place: np.ndarray, rows: np.ndarray, fir
             lcp[1:] = np.where((g[1:] == g[:-1]) & (byte[1:] == byte[:-1]), least + 1, 0)
         if not (lcp >= LENGTH).any():
             continue
-        own = ((first <= d) & (d <= last))[order]
-        here = np.where(own, place[order], _FAR)
-        before = _smaller_before(here, lcp)
-        after = _smaller_before(here[::-1], np.append(np.int16(0), lcp[:0:-1]))[::-1]
-        out[order, d] = np.where(own, np.maximum(before, after), 0)
+        own = np.flatnonzero(((first <= d) & (d <= last))[order])
+        if len(own) < 2:
+            continue
+        # the array of this distance: own suffixes only, and of them those with a neighbour that is LENGTH bytes alike
+        common = np.append(np.int16(0), np.minimum.reduceat(np.append(lcp, np.int16(0)), own + 1)[:-1])
+        live = common >= LENGTH
+        live[:-1] |= live[1:]
+        own, common = own[live], common[live]
+        here, every = place[order[own]], np.arange(len(own))
+        before = _smaller_before(here, common, every)
+        # a whole suffix found before can't be longer after
+        rest = len(own) - 1 - np.flatnonzero(before < LENGTH + d)
+        after = _smaller_before(here[::-1], np.append(np.int16(0), common[:0:-1]), rest)[::-1]
+        out[order[own], d] = np.where(before < LENGTH + d, np.maximum(before, after), before)
     return out
 
 
@@ -147,12 +155,11 @@ def _repeats(group, doc, anchor, lead, more, rows_of) -> np.ndarray:
         if hi <= lo:
             hi = int(ends[np.searchsorted(ends, lo, side="right")])
         part = slice(lo, hi)
-        by = np.lexsort((anchor[part], doc[part]))
-        d, a = doc[part][by], anchor[part][by]
-        place = np.empty(hi - lo, np.int64)
-        place[by] = np.cumsum(np.concatenate([[True], (d[1:] != d[:-1]) | (a[1:] != a[:-1])]))
-        factors = previous_factors(group[part], place, rows_of(part), lead[part] - more[part], lead[part])
-        hit[part] = factors >= LENGTH
+        by = np.lexsort((anchor[part], doc[part], group[part]))
+        g, d, a, near, far = group[part][by], doc[part][by], anchor[part][by], (lead - more)[part][by], lead[part][by]
+        # places count within groups, which never meet
+        place = np.cumsum(np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1])]))
+        hit[np.arange(lo, hi)[by]] = previous_factors(g, place, rows_of(part)[by], near, far) >= LENGTH
         lo = hi
     return hit
 
