@@ -86,6 +86,26 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> It
             at = to
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
+    """Tables of at least `least` rows (the last may be smaller) that hold whole groups, from batches sorted by key."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n < least:
+            continue
+        rows = pa.Table.from_batches(held)
+        g = rows[key].to_numpy()
+        end = int(np.searchsorted(g, g[-1]))  # the last group may go on
+        if end:
+            yield rows.slice(0, end)
+            held, n = rows.slice(end).to_batches(), rows.num_rows - end
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column (null: empty) and the n + 1 offsets of its rows."""
     if column.null_count:

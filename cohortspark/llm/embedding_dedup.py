@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import cut, query, table
-from cohortspark.llm.components import components
+from cohortspark.llm.components import components, spanning
 
 BLOCK = 2048  #: vectors to a block, about
 
@@ -49,21 +49,6 @@ def tile_links(one: np.ndarray, two: np.ndarray, threshold: float, rows: int = 5
             yield a[keep], b[keep]
 
 
-def _spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Labels of n nodes under the given links: each the smallest index it is linked to."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, block: int = BLOCK) -> DataFrame:
     """Columns (key, n_links, component_id, kept), one row per vector.
 
@@ -105,13 +90,13 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                     i, j = i[i < j], j[i < j]
                 links += np.bincount(i, copies[j], len(rep)).astype(np.int64) + np.bincount(j, copies[i], len(rep)).astype(np.int64)
                 if len(i):
-                    label = _spanning(i, j, len(rep))
+                    label = spanning(i, j, len(rep))
                     hit = np.flatnonzero(label != np.arange(len(rep)))
                     ones.append(hit)
                     twos.append(label[hit])
             if ones:
                 i, j = np.concatenate(ones), np.concatenate(twos)
-                label = _spanning(i, j, len(rep))
+                label = spanning(i, j, len(rep))
                 low = np.full(len(rep), np.iinfo(np.int64).max)
                 np.minimum.at(low, label, rep)
                 hit = np.flatnonzero(links > 0)

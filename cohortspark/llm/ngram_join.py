@@ -5,33 +5,29 @@
    nothing, so it is done.
 2. The others are partitioned into groups of similar sets (by minimum hashes; large groups in chunks). Inside a chunk all overlaps
    come from one incidence matrix. The links found so far merge classes into components.
-3. Groups are then the components (in chunks). The matrix of tokens and groups holds each group's rarest tokens; groups of different components
-   meet where they share enough of them. A query's overlap with a group's token union bounds its overlap with
-   every member: only qualifying groups are opened and compared member by member.
+3. Every class is then in one unit: its component, or, without a link, its group of similar sets. The matrix of tokens and units holds each unit's
+   rarest tokens; units meet where they share enough of them. A query's overlap with the union of a chunk's tokens bounds its
+   overlap with every member: only qualifying chunks are opened and compared member by member.
 
-Shingles are compared by hashes of 40 bits and their partition number, classes by 64-bit ones.
+Shingles and classes are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import blobs
-from cohortspark.llm.common import cut, mix, partitions, query, shingle_hashes, table, text_chunks, word_hashes
-from cohortspark.llm.components import Forest, components
+from cohortspark.llm.common import cut, mix, partitions, query, shingle_hashes, stored, table, text_chunks, whole_groups, word_hashes
+from cohortspark.llm.components import components, spanning
 
 WORDS = 5
 PERCENT = 75
 CHUNK = 128  #: members of one chunk of a group, about
 SHARED = 4  #: rare tokens that two sets must share: prefixes are longer by as many less one
 _FLUSH = 2_000_000
-_BITS = 40  #: of a shingle's hash beside its partition number, which travels for free
 
 
 def _sets(column: pa.Array, n: int):
@@ -46,10 +42,6 @@ def _name(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s.copy()).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64))[0] >> np.uint64(1))
 
 
-def _wide(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-
-
 def _shingles(docs: DataFrame, words: int, n: int) -> DataFrame:
     """Kind 0: shingles to their partitions; kind 1: classes to theirs; kind 2: which document is in which class."""
 
@@ -57,9 +49,8 @@ def _shingles(docs: DataFrame, words: int, n: int) -> DataFrame:
         if sets:
             size = np.array([len(s) for s in sets.values()])
             name = np.repeat(np.array(list(sets), np.int64), size)
-            token = np.concatenate(list(sets.values())) % np.uint64(n << _BITS)
+            token = np.concatenate(list(sets.values()))
             target = (token % np.uint64(n)).astype(np.int64)
-            token //= np.uint64(n)
             order = np.argsort(target, kind="stable")
             target, token, name = target[order], token[order], name[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(target)) + 1, [len(target)]])
@@ -67,7 +58,7 @@ def _shingles(docs: DataFrame, words: int, n: int) -> DataFrame:
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 first = np.concatenate([[0], np.flatnonzero(np.diff(name[a:b])) + 1])
                 runs = blobs.packed([name[a:b][first], np.diff(np.concatenate([first, [b - a]])).astype(np.uint32)])
-                out.append((int(target[a]), runs + blobs.packed([token[a:b].astype(np.uint32), (token[a:b] >> np.uint64(32)).astype(np.uint8)])))
+                out.append((int(target[a]), runs + blobs.packed([token[a:b]])))
             yield blobs.rows(0, out)
             names = np.array(list(sets), np.int64)
             yield blobs.rows(1, blobs.dealt(names % n, [names, size.astype(np.int64)]))
@@ -96,7 +87,7 @@ def _common(shingles: DataFrame, n: int) -> DataFrame:
     """Kind 0: shingles of at least two classes, with their number of classes (255: or more), to the classes' partitions."""
 
     def run(batches):
-        own, part = blobs.gathered(batches), np.uint64(TaskContext.get().partitionId())
+        own = blobs.gathered(batches)
         for kind in (1, 2):
             for blob in own.get(kind, []):
                 cols = blobs.unpacked(blob, ["i8"] * (kind + 1))
@@ -105,9 +96,8 @@ def _common(shingles: DataFrame, n: int) -> DataFrame:
         names, tokens = [], []
         for blob in own.get(0, []):
             name, runs = blobs.unpacked(blob, ["i8", "u4"])
-            low, high = blobs.unpacked(memoryview(blob)[8 + 12 * len(name) :], ["u4", "u1"])
             names.append(np.repeat(name, runs))
-            tokens.append(_wide(low, high) * np.uint64(n) + part)
+            tokens.append(blobs.unpacked(memoryview(blob)[8 + 12 * len(name) :], ["u8"])[0])
         if not names:
             return
         name, token = np.concatenate(names), np.concatenate(tokens)
@@ -129,7 +119,7 @@ def _common(shingles: DataFrame, n: int) -> DataFrame:
     return shingles.repartitionById(n, F.col("target")).mapInArrow(live, blobs.SCHEMA)
 
 
-_SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x27BB2EE687B0B0FD)  # fixed values: any four would do
+_SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)  # fixed values: any two would do
 _SURVIVOR = "doc long, name long, n long, tokens binary, prefix array<long>, " + ", ".join(f"g{i} long" for i in range(len(_SEEDS)))
 
 
@@ -204,103 +194,116 @@ def _linked(one: list, n1: np.ndarray, two: list, n2: np.ndarray, percent: int)
     return np.nonzero((100 * both >= percent * (n1[:, None] + n2[None] - both)) & (both > 0))
 
 
-def _inside(classes: DataFrame, group: str, percent: int, n: int) -> DataFrame:
-    """Edges (a, b) that span what is linked inside each chunk of each group."""
-    big = classes.groupBy(group).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CHUNK)
-    rows = classes.select("name", "n", "tokens", F.col(group).alias("g")).join(big.select(F.col(group).alias("g"), "size"), "g", "left")
-    chunk = F.pmod(F.xxhash64("name", F.lit(group)), F.ceil(F.coalesce("size", F.lit(1)) / CHUNK))
-    rows = rows.select("name", "n", "tokens", F.xxhash64("g", chunk).alias("g"))
+def _groups(classes: DataFrame) -> DataFrame:
+    """Columns (name, seed, gid, members): the group of similar sets that each class falls in, once for each grouping; large ones in chunks."""
+    every = classes.select("name", F.posexplode(F.array(*[f"g{i}" for i in range(len(_SEEDS))])).alias("seed", "g"))
+    sizes = every.groupBy("seed", "g").agg(F.count(F.lit(1)).alias("members"))
+    chunk = F.pmod(F.xxhash64("name", "seed"), F.ceil(F.col("members") / CHUNK))
+    return every.join(sizes, ["seed", "g"]).select("name", "seed", F.xxhash64("seed", "g", chunk).alias("gid"), "members")
+
+
+_EDGE = "a long, b long"
+
+
+def _edges(one: list, two: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(one) if one else [], pa.int64()), "b": pa.array(np.concatenate(two) if two else [], pa.int64())})
+
+
+def _forest(i: np.ndarray, j: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few edges as join what the links i, j join."""
+    label = spanning(i, j, len(name))
+    hit = np.flatnonzero(label != np.arange(len(name)))
+    return name[hit], name[label[hit]]
+
+
+def _tokens(column: pa.ChunkedArray, lo: int, hi: int) -> list[np.ndarray]:
+    return [np.frombuffer(column[i].as_buffer(), np.uint64) for i in range(lo, hi)]
+
+
+def _inside(classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that span what is linked inside each chunk of each group; groups of one send nothing."""
+    rows = groups.where("members > 1").select("name", "gid").join(classes.select("name", "n", "tokens"), "name")
 
     def run(batches):
-        own = [b for b in batches if b.num_rows]
-        if not own:
-            return
-        rows = pa.Table.from_batches(own).sort_by([("g", "ascending"), ("name", "ascending")])
-        g, name, size = (rows[c].to_numpy() for c in ("g", "name", "n"))
-        tokens = rows["tokens"].combine_chunks() if rows.num_rows else None
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
-        a_out, b_out = [], []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi - lo < 2:
-                continue
-            sets = [np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in range(lo, hi)]
-            forest = Forest(hi - lo)
-            for i, j in zip(*_linked(sets, size[lo:hi], sets, size[lo:hi], percent), strict=True):
-                if i < j:
-                    forest.join(int(i), int(j))
-            for i in range(hi - lo):
-                r = forest.find(i)
-                if r != i:
-                    a_out.append(int(name[lo + i]))
-                    b_out.append(int(name[lo + r]))
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
-
-    return rows.repartition(n, "g").mapInArrow(run, "a long, b long")
-
-
-def _across(classes: DataFrame, roots: DataFrame, percent: int, shared: int, n: int) -> DataFrame:
-    """Edges (a, b) that join components: one for each pair of groups and query where a link exists."""
-    comp = classes.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("comp", F.coalesce("root", "name")).drop("root")
-    sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    comp = comp.join(sizes, "comp")
-    gid = F.xxhash64("comp", F.pmod(F.xxhash64("name"), F.ceil(F.col("members") / CHUNK)))
-    comp = cut(comp.select("name", "n", "tokens", "prefix", "comp", "members", gid.alias("gid")))
-    # the token-group matrix: each component's rare tokens, with the sizes of the sets that have them; single sets bring all of theirs that others have
-    cells = comp.select("comp", "n", "members", F.explode("prefix").alias("token")).groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("members").alias("members"))
-    several = cells.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
-    cells = cut(cells.join(several, "token", "left_semi"))
-    alone = cells.where("members = 1").groupBy("comp").agg(F.collect_list("token").alias("alone"))
-    cells = cut(cells.join(alone, "comp", "left"))
+        for own in whole_groups(batches, "gid", 1024):
+            gid, name, size = (own[c].to_numpy() for c in ("gid", "name", "n"))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(gid)) + 1, [len(gid)]])
+            one, two = [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi - lo < 2:
+                    continue
+                sets = _tokens(own["tokens"], lo, hi)
+                i, j = _linked(sets, size[lo:hi], sets, size[lo:hi], percent)
+                a, b = _forest(i, j, name[lo:hi])
+                one.append(a)
+                two.append(b)
+            yield _edges(one, two)
+
+    return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, _EDGE)
+
+
+def _across(classes: DataFrame, groups: DataFrame, roots: DataFrame, percent: int, shared: int) -> DataFrame:
+    """Edges (a, b) between the classes of different units that link: a component found so far, or a group of similar classes without a link.
+
+    Both kinds travel in chunks (gid). Units meet by the token-group matrix, then the union of a chunk's tokens bounds each query's overlap.
+    """
+    root = roots.select(F.col("node").alias("name"), "root")
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("linked"))
+    place = groups.where("seed = 0").select("name", "gid").join(root, "name", "left").join(sizes, "root", "left")
+    chunk = F.xxhash64("root", F.pmod(F.xxhash64("name"), F.ceil(F.col("linked") / CHUNK)))
+    place = place.select("name", F.coalesce("root", "gid").alias("unit"), F.when(F.col("root").isNull(), F.col("gid")).otherwise(chunk).alias("gid"))
+    place, _ = stored(place.join(classes.select("name", "n"), "name"))
+    # the token-group matrix: each unit's rare tokens, with the sizes of the sets that have them; tokens of one unit alone lead nowhere
+    cells = classes.select("name", F.explode("prefix").alias("token")).join(place, "name")
+    cells = cells.groupBy("token", "unit").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    several = cells.groupBy("token").agg(F.min("unit").alias("u1"), F.max("unit").alias("u2")).where("u1 <> u2").select("token")
+    cells, _ = stored(cells.join(several, "token", "left_semi"))
     x, y = cells.alias("x"), cells.alias("y")
     fits = lambda a, b: (F.col(f"{a}.most") * 100 >= F.col(f"{b}.least") * percent) & (F.col(f"{b}.most") * 100 >= F.col(f"{a}.least") * percent)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.unit") < F.col("y.unit")) & fits("x", "y"))
+    met = met.groupBy(F.col("x.unit").alias("u1"), F.col("y.unit").alias("u2")).agg(F.count(F.lit(1)).alias("k"), F.min(F.least("x.least", "y.least")).alias("least"))
     # two sets that link share the first of their common tokens in both prefixes, `shared` of them or all that they need
-    enough = F.least(F.lit(shared), F.ceil(F.least("x.least", "y.least") * percent / 100))
-    common = F.array_intersect("x.alone", "y.alone")
-    # two single sets meet once, at their smallest common token, and only with enough of them
-    meet = F.when(F.col("x.alone").isNull() | F.col("y.alone").isNull(), True).otherwise((F.array_min(common) == F.col("x.token")) & (F.size(common) >= enough))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & fits("x", "y") & meet)
-    single = F.col("x.alone").isNotNull() & F.col("y.alone").isNotNull()
-    pairs = pairs.groupBy(F.col("x.comp").alias("c1"), F.col("y.comp").alias("c2")).agg(F.count(F.lit(1)).alias("k"), F.bool_or(single).alias("single"), F.min(F.least("x.least", "y.least")).alias("least"))
-    pairs = cut(pairs.where(F.col("single") | (F.col("k") >= F.least(F.lit(shared), F.ceil(F.col("least") * percent / 100)))).select("c1", "c2"))
-    chunks = cut(comp.groupBy("comp", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("size")))
+    pairs = met.where(F.col("k") >= F.least(F.lit(shared), F.ceil(F.col("least") * percent / 100))).select("u1", "u2")
+    chunks = place.groupBy("unit", "gid").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("size"))
     x, y = chunks.alias("x"), chunks.alias("y")
-    met = pairs.join(x, F.col("c1") == F.col("x.comp")).join(y, F.col("c2") == F.col("y.comp")).where(fits("x", "y"))
-    # the smaller group travels to the larger one, whose members are dealt to several hosts where many groups come
+    met = pairs.join(x, F.col("u1") == F.col("x.unit")).join(y, F.col("u2") == F.col("y.unit")).where(fits("x", "y"))
+    # the smaller chunk travels to the larger one, which is dealt to several hosts where many come
     larger = F.col("x.size") >= F.col("y.size")
-    hosts = cut(met.select(F.when(larger, F.col("x.gid")).otherwise(F.col("y.gid")).alias("g1"), F.when(larger, F.col("y.gid")).otherwise(F.col("x.gid")).alias("g2")))
+    hosts, _ = stored(met.select(F.when(larger, F.col("x.gid")).otherwise(F.col("y.gid")).alias("g1"), F.when(larger, F.col("y.gid")).otherwise(F.col("x.gid")).alias("g2")))
     many = hosts.groupBy("g1").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CHUNK)
     hosts = hosts.join(many, "g1", "left").select("g1", "g2", F.xxhash64("g1", F.pmod("g2", F.ceil(F.coalesce("c", F.lit(1)) / CHUNK))).alias("host"))
-    hosts = cut(hosts)
-    trips = hosts.select("host", F.col("g1").alias("gid"), F.lit(True).alias("home")).distinct().unionAll(hosts.select("host", F.col("g2").alias("gid"), F.lit(False).alias("home")))
-    rows = trips.join(comp.select("gid", "name", "n", "tokens"), "gid")
+    home = hosts.select("host", F.col("g1").alias("gid"), F.lit(0).alias("query")).distinct()
+    trips = home.unionAll(hosts.select("host", F.col("g2").alias("gid"), F.lit(1)))
+    rows = trips.join(place.select("gid", "name"), "gid").join(classes.select("name", "n", "tokens"), "name")
 
     def run(batches):
-        own = [b for b in batches if b.num_rows]
-        if not own:
-            return
-        rows = pa.Table.from_batches(own).sort_by([("host", "ascending"), ("home", "descending"), ("name", "ascending")])
-        host, home, name, size = (rows[c].to_numpy() for c in ("host", "home", "name", "n"))
-        tokens = rows["tokens"].combine_chunks()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(host)) + 1, [len(host)]])
-        a_out, b_out = [], []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            mid = lo + int(home[lo:hi].sum())
-            members = [np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in range(lo, mid)]
-            union = np.unique(np.concatenate(members))
-            for at in range(mid, hi, CHUNK):
-                to = min(hi, at + CHUNK)
-                queries = [np.frombuffer(tokens[int(i)].as_buffer(), np.uint64) for i in range(at, to)]
-                # the union bounds the overlap with every member
-                bound = np.array([np.isin(q, union, assume_unique=True).sum() for q in queries])
-                opened = np.flatnonzero(100 * bound >= percent * size[at:to])
-                if not len(opened):
-                    continue
-                i, j = _linked(members, size[lo:mid], [queries[k] for k in opened], size[at:to][opened], percent)
-                a_out += name[lo + i].tolist()
-                b_out += name[at + opened[j]].tolist()
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
-
-    return rows.repartition(n, "host").mapInArrow(run, "a long, b long")
+        for own in whole_groups(batches, "host", 1024):
+            host, query_, name, size = (own[c].to_numpy() for c in ("host", "query", "name", "n"))
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(host)) + 1, [len(host)]])
+            one, two = [], []
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                mid = hi - int(query_[lo:hi].sum())
+                members = _tokens(own["tokens"], lo, mid)
+                for at in range(mid, hi, CHUNK):
+                    to = min(hi, at + CHUNK)
+                    queries = _tokens(own["tokens"], at, to)
+                    opened = qualifying(members, queries, size[at:to], percent)
+                    if not len(opened):
+                        continue
+                    i, j = _linked(members, size[lo:mid], [queries[k] for k in opened], size[at:to][opened], percent)
+                    a, b = _forest(i, mid - lo + j, np.concatenate([name[lo:mid], name[at:to][opened]]))
+                    one.append(a)
+                    two.append(b)
+            yield _edges(one, two)
+
+    return rows.repartition("host").sortWithinPartitions("host", "query").mapInArrow(run, _EDGE)
+
+
+def qualifying(members: list, queries: list, size: np.ndarray, percent: int) -> np.ndarray:
+    """The queries that open a group: the union of its members' tokens bounds a query's overlap with each of them."""
+    union = np.unique(np.concatenate(members))
+    bound = np.array([np.isin(q, union, assume_unique=True).sum() for q in queries])
+    return np.flatnonzero(100 * bound >= percent * size)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, parts: int | None = None) -> DataFrame:
@@ -309,24 +312,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     Two documents link when 100 * intersection >= percent * union of their shingle sets. A text of fewer words has one shingle of all its words; null, empty and white
     texts have none and link with nothing. Equal sets link. Rows that repeat a key come out as often. Rows with a null key link with nothing and have a null component. An empty table gives no rows.
     """
+    if dict(docs.dtypes)[key] not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{key} must be a whole number, not {dict(docs.dtypes)[key]}")
     n = parts or partitions(docs.sparkSession)
     every = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = every.where("k is not null")
     both = cut(_survivors(_common(_shingles(rows, words, n), n), n, percent, SHARED))
     member = both.where("doc is not null").select(F.col("doc").alias("doc_id"), "name", F.col("n").alias("n_shingles"))
     classes = both.where("doc is null").drop("doc")
-    near = cut(reduce(DataFrame.unionAll, [_inside(classes, f"g{i}", percent, n) for i in range(len(_SEEDS))]))
+    groups, _ = stored(_groups(classes))
+    near, _ = stored(_inside(classes, groups, percent))
     roots = components(near)
-    far = cut(_across(classes, roots, percent, SHARED, n))
-    if not far.isEmpty():
-        roots = components(near.unionAll(far))
+    far, seen = stored(_across(classes, groups, roots, percent, SHARED), n=F.count(F.lit(1)))
+    if seen["n"]:
+        roots = components(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(far))
     named = member.where("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("first"))
-    named = named.join(roots.select(F.col("node").alias("name"), "root"), "name", "left").select("name", "first", F.coalesce("root", "name").alias("root"))
-    named = cut(named)
-    least = cut(named.groupBy("root").agg(F.min("first").alias("component_id")))
-    label = cut(named.select("name", "root").join(least, "root").select("name", "component_id"))
+    named = named.join(roots.select(F.col("node").alias("name"), "root"), "name", "left")
+    named, _ = stored(named.select("name", "first", F.coalesce("root", "name").alias("root")))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    label = named.join(least, "root").select("name", "component_id")
     out = member.join(label, "name", "left")
-    out = out.select(F.col("doc_id").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    linked = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    out = out.select(F.col("doc_id").alias(key), "n_shingles", linked.alias("component_id"))
 
     def sizes(batches):
         for batch in text_chunks(batches, "t", 2 << 20):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import flat_bytes, mix, prefix_sums, query, span_hashes, stored, table, text_chunks
+from cohortspark.llm.common import flat_bytes, mix, prefix_sums, query, span_hashes, stored, table, text_chunks, whole_groups
 
 LENGTH = 100  #: bytes that must repeat
 _GRAM = 32
@@ -30,7 +30,7 @@ _REACH = LENGTH - _GRAM  # of an anchor inside its window
 _WIDTH = _REACH + LENGTH  # of all windows that an anchor can have
 _NARROW = 9  # distances to a narrow piece
 _SLAB = 30_000  # pieces whose arrays are built at once; a group stays whole
-_LOCAL = 6 << 20  # bytes of text that a task searches for its own repeats at once
+_LOCAL = 4 << 20  # bytes of text that a task searches for its own repeats at once
 
 _PIECE = "g long, doc long, start int, more int, lead int"
 _SPAN = "doc long, start int, end int"
@@ -302,22 +302,8 @@ def _match(pieces: DataFrame) -> DataFrame:
         return _batch(_SPAN, _merged(doc[row], s, s + far - close + LENGTH))
 
     def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            n += batch.num_rows
-            if n < _SLAB:
-                continue
-            rows = pa.Table.from_batches(held)
-            g = rows["g"].to_numpy()
-            end = int(np.searchsorted(g, g[-1]))  # the last group may go on
-            if end:
-                yield spans(rows.slice(0, end))
-                held, n = rows.slice(end).to_batches(), rows.num_rows - end
-        if n:
-            yield spans(pa.Table.from_batches(held))
+        for own in whole_groups(batches, "g", _SLAB):
+            yield spans(own)
 
     return pieces.repartition("g").sortWithinPartitions("g").mapInArrow(run, _SPAN)
 

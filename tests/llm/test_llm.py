@@ -143,20 +143,6 @@ def test_pii_odd(odd):
     assert pii_crf.redacted(odd, model).columns == odd.columns
 
 
-def test_single_set_meets_a_component_in_any_session(spark):
-    made = [(k, 20, np.array(sorted([*range(1, 20), 100 + k]), np.uint64).tobytes(), list(range(1, 20))) for k in (1, 2, 3)]
-    classes = spark.createDataFrame(made, "name long, n long, tokens binary, prefix array<long>")
-    roots = spark.createDataFrame([(1, 1), (2, 1)], "node long, root long")
-    ansi = spark.conf.get("spark.sql.ansi.enabled")
-    try:
-        for setting in ("true", "false"):
-            spark.conf.set("spark.sql.ansi.enabled", setting)
-            edges = ngram_join._across(classes, roots, 80, ngram_join.SHARED, 4).collect()
-            assert any(3 in (r["a"], r["b"]) for r in edges)
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", ansi)
-
-
 # ---- tool calls
 def test_tool_calls(spark):
     calls = spark.createDataFrame([("a", "search", '{"limit":3,"query":"x"}', None), ("b", "search", '{"limit":99,"other":1}', ["a"]), ("c", "search", "no json", ["b", "missing"]), ("d", "unknown", "{}", ["e"]), ("e", "lookup", '{"query":"é\\n"}', ["d"]), ("a", "search", '{"limit":3,"query":"x"}', None), (None, "x", "{}", None)], "id string, name string, arguments string, needs array<string>")
@@ -220,6 +206,37 @@ def test_join_of_a_large_family(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
+def test_units_meet_what_groups_miss(spark):
+    r = random.Random(4)
+    tails = [[f"t{k}-{i}" for i in range(8)] for k in range(40)]
+    texts = {}
+    for i in range(700):
+        core = [f"v{r.randrange(10**9)}" for _ in range(56)]
+        for k, tail in enumerate(r.sample(tails, 2)):
+            texts[2 * i + k] = " ".join(core + tail)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_components(texts)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.near_duplicates(df).collect()} == want
+    both = ngram_join._survivors(ngram_join._common(ngram_join._shingles(df.select(F.col("doc_id").alias("k"), F.col("text").alias("t")), 5, 4), 4), 4, 75, ngram_join.SHARED)
+    classes = common.cut(both.where("doc is null").drop("doc"))
+    groups = common.cut(ngram_join._groups(classes))
+    near = common.cut(ngram_join._inside(classes, groups, 75))
+    far = ngram_join._across(classes, groups, components.components(near), 75, ngram_join.SHARED).count()
+    # pairs with the same least shingle meet in a group, the others only across units
+    assert near.count() > 100 and far > 2
+
+
+def test_unions_bound_overlaps():
+    a, b, c, q = (np.array(x, np.uint64) for x in ([1, 2, 3, 4], [3, 4, 5, 6], [7, 8], [1, 2, 5, 9]))
+    assert ngram_join.qualifying([a, b, c], [q, c, a], np.array([4, 2, 4]), 75).tolist() == [0, 1, 2]
+    assert ngram_join.qualifying([b, c], [q], np.array([4]), 75).tolist() == []
+
+
+def test_shingles_of_units(spark):
+    with pytest.raises(TypeError):
+        ngram_join.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_join_odd(odd):
     got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.near_duplicates(odd).collect()}
     assert got[(1, 0)] == 1 and got[(2, 0)] == 2 and got[(3, 0)] == 3 and got[(4, 1)] == 4 and got[(None, 11)] is None
