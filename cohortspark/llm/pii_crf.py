@@ -1,9 +1,10 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
 Patterns give the base spans. Tokens that could be personal data (with a digit, an @, or very long) become nodes of a CRF:
-neighbouring nodes share chain potentials, and all repeats of one token in a document share a hub node by skip potentials.
-What the repeats have in common (the token's shape) counts once, at the hub; each repeat adds its own context.
-Loopy message passing then labels every node, so that what is plain in one place also counts in the others.
+neighbouring nodes share chain potentials; all repeats of one token in a document share a hub node by skip potentials, and the hubs of
+similar tokens (equally long, two characters apart at most) are linked too. What the repeats have in common (the token's shape) counts once,
+at the hub; each repeat adds its own context. Loopy message passing then labels every node, so that what is plain in one place also
+counts in the others. Unary, chain, skip and similarity weights are fitted together, by the pseudo-likelihood of distant labels.
 """
 
 from __future__ import annotations
@@ -83,7 +84,8 @@ def nodes(text: str) -> list[tuple[int, int]]:
     return out
 
 
-_FEATURES = 18
+_FEATURES = 20
+_ASSIGNED = re.compile(r"[=:]\s{0,3}[\"'#$%&*]{0,6}$")
 
 
 def features(text: str, start: int, end: int) -> np.ndarray:
@@ -94,6 +96,7 @@ def features(text: str, start: int, end: int) -> np.ndarray:
     n = len(core)
     cue = _CUE.search(text, max(0, start - 48), start) is not None
     hexlike = n >= 16 and digits > 0 and letters > 0 and re.fullmatch(r"[0-9A-Fa-f]+", core) is not None
+    mixed = n >= 8 and digits > 0 and letters > 0 and "@" not in core
     parts = core.split(".")
     f = np.zeros(_FEATURES, np.float32)
     f[0] = 1
@@ -114,11 +117,15 @@ def features(text: str, start: int, end: int) -> np.ndarray:
     f[15] = digits == 0
     f[16] = digits == n and n > 19
     f[17] = re.fullmatch(r"[0-9]+(?:-[0-9]+)+", core) is not None
+    f[18] = mixed
+    f[19] = mixed and cue and _ASSIGNED.search(text, max(0, start - 12), start) is not None
     return f
 
 
 #: Prior unary weights (feature, label, weight) that training starts from and is drawn to, so that labels rare in the sample keep their shape.
-_PRIOR = [(0, _O, 2.0), (2, 0, 6.0), (4, 1, 6.0), (6, 2, 5.0), (9, 3, 3.0), (17, 3, 1.0), (10, 4, 1.0), (11, 4, 4.0), (12, 4, 0.5), (13, 4, 0.5), (14, 4, 0.5)]
+#: A string without a cue stays unlabelled by itself: its repeats and likenesses decide.
+_PRIOR = [(0, _O, 2.0), (2, 0, 6.0), (4, 1, 6.0), (6, 2, 5.0), (9, 3, 3.0), (17, 3, 1.0), (10, 4, 0.5), (11, 4, 3.0), (12, 4, 0.5), (13, 4, 0.3), (14, 4, 0.2), (19, 4, 4.0)]
+_AGREE, _LIKE = 2.5, 1.5  # prior weights of equal labels on skip and similarity edges
 
 
 def _prior() -> np.ndarray:
@@ -133,7 +140,8 @@ def _unary(model_w: np.ndarray, feats: np.ndarray, shape: np.ndarray | None = No
     z = feats @ model_w
     f = (feats if shape is None else shape) > 0
     digits = f[:, 5] | f[:, 7] | f[:, 8] | f[:, 16] | f[:, 17]
-    possible = np.stack([f[:, 1], f[:, 3], f[:, 5] | f[:, 17], digits | f[:, 9], f[:, 10] | f[:, 14] | f[:, 12], np.ones(len(f), bool)], axis=1)
+    secret = f[:, 10] | f[:, 14] | f[:, 12] | f[:, 18]
+    possible = np.stack([f[:, 1], f[:, 3], f[:, 5] | f[:, 17], digits | f[:, 9], secret, np.ones(len(f), bool)], axis=1)
     return np.where(possible, z, -20.0)
 
 
@@ -141,14 +149,47 @@ def _unary(model_w: np.ndarray, feats: np.ndarray, shape: np.ndarray | None = No
 class Crf:
     unary: np.ndarray  # features by labels
     chain: np.ndarray  # labels by labels, of neighbouring nodes
-    skip: np.ndarray  # labels by labels, of repeats of one token and of a repeat and its hub
+    skip: np.ndarray  # labels by labels, of a repeat and its hub
+    similar: np.ndarray  # labels by labels, of two similar tokens
 
 
-def _graph(texts: list[str], near: int = 24):
-    """Nodes of all texts, their features and document numbers, and the chain and skip edges."""
-    spans, docs, feats, chain, skip = [], [], [], [], []
+@dataclass
+class Graph:
+    """Nodes of all texts with their documents and features, chain edges, repeats (each with the one before) and first places of similar tokens."""
+
+    spans: list
+    docs: list
+    feats: np.ndarray
+    chain: np.ndarray
+    skip: np.ndarray
+    similar: np.ndarray
+
+
+def _alike(first: dict[str, int]) -> list[tuple[int, int]]:
+    """Edges between similar tokens of a document: of equal length and kind, with one half equal and at most two characters apart.
+
+    In each bucket a token is linked to the next in order only, so that edges grow with the tokens.
+    """
+    buckets: dict[tuple, list[str]] = {}
+    for name in first:
+        if len(name) >= 8 and any(c.isdigit() for c in name):
+            kind = len(name), any(c.isalpha() for c in name), "@" in name
+            half = len(name) // 2
+            buckets.setdefault((*kind, 0, name[:half]), []).append(name)
+            buckets.setdefault((*kind, 1, name[half:]), []).append(name)
+    out = set()
+    for names in buckets.values():
+        names.sort()
+        for a, b in zip(names[:-1], names[1:], strict=True):
+            if sum(x != y for x, y in zip(a, b, strict=True)) <= 2:
+                out.add((min(first[a], first[b]), max(first[a], first[b])))
+    return sorted(out)
+
+
+def graph(texts: list[str], near: int = 24) -> Graph:
+    spans, docs, feats, chain, skip, similar = [], [], [], [], [], []
     for d, text in enumerate(texts):
-        last, seen = None, {}
+        last, seen, first = None, {}, {}
         for start, end in nodes(text):
             i = len(spans)
             spans.append((start, end))
@@ -160,9 +201,11 @@ def _graph(texts: list[str], near: int = 24):
             if name in seen:
                 # repeats are linked one after the other, so edges grow with the tokens, not with their pairs
                 skip.append((seen[name], i))
+            first.setdefault(name, i)
             seen[name] = last = i
+        similar += _alike(first)
     edge = lambda e: np.array(e, np.int64).reshape(-1, 2)
-    return spans, docs, np.array(feats, np.float32).reshape(-1, _FEATURES), edge(chain), edge(skip)
+    return Graph(spans, docs, np.array(feats, np.float32).reshape(-1, _FEATURES), edge(chain), edge(skip), edge(similar))
 
 
 def _hubs(skip: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,15 +218,20 @@ def _hubs(skip: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return copies, hub
 
 
-def marginals(model: Crf, feats: np.ndarray, chain: np.ndarray, skip: np.ndarray, damping: float = 0.3, settled: float = 1e-4) -> np.ndarray:
-    """Node marginals by damped loopy sum-product, all documents at once, until the messages settle.
+def _neutral(weights: np.ndarray) -> np.ndarray:
+    """exp(weights) with rows and columns scaled to 1: a node that knows nothing then tells its neighbour nothing."""
+    p = np.exp((weights + weights.T) / 2)
+    for _ in range(200):
+        p /= np.sqrt(p.sum(0, keepdims=True) * p.sum(1, keepdims=True))
+    return p
 
-    Any two repeats of a token are two edges apart, by their hub. Messages round a cycle need not settle by themselves: the damping
-    grows slowly, so that the rounds end.
-    """
-    n = len(feats)
-    copies, hub = _hubs(skip, n)
+
+def factors(model: Crf, g: Graph):
+    """Scores of all variables (the nodes, then one hub per repeated token), edges between them with their potentials, and the nodes' ruled out labels."""
+    feats, n = g.feats, len(g.feats)
+    copies, hub = _hubs(g.skip, n)
     own, shape = feats.copy(), feats.copy()
+    var = np.arange(n)  # the variable that stands for a token: its hub, if it has one
     if len(copies):
         common = np.full((hub.max() + 1, feats.shape[1]), np.inf, np.float32)
         np.minimum.at(common, hub, feats[copies])
@@ -192,28 +240,34 @@ def marginals(model: Crf, feats: np.ndarray, chain: np.ndarray, skip: np.ndarray
         own[copies] -= common[hub]
         shape[copies] = every[hub]
         own, shape = np.concatenate([own, common]), np.concatenate([shape, every])
-    unary = _unary(model.unary, own, shape)
+        var[copies] = hub + n
+    unary = _unary(model.unary, own, shape).astype(np.float64)
     ruled_out = np.zeros((n, unary.shape[1]))
     if len(copies):
         # a repeat without evidence has to send its hub a flat message, or many would outvote one cue: labels are ruled out at the hub and at the end
         ruled_out[copies] = np.where(unary[hub + n] == -20.0, -20.0, 0.0)
         unary[copies] = own[copies] @ model.unary
-    edges = np.concatenate([chain, np.stack([copies, hub + n], axis=1).astype(np.int64)])
-    if not len(edges):
-        e = np.exp(unary - unary.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-    star = np.exp(model.skip)
-    star = star / star.sum(0)  # of a repeat, given its hub
     # the neighbours of m repeats count as a share each: the same plain line m times is no more evidence than once
     m = np.ones(n)
     m[copies] = np.bincount(hub)[hub] if len(copies) else 1
-    pot = np.exp(model.chain[None] / np.maximum(m[chain[:, 0]], m[chain[:, 1]])[:, None, None])
-    pot = np.concatenate([pot, np.repeat(star[None], len(copies), 0)])
-    pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
+    share = np.maximum(m[g.chain[:, 0]], m[g.chain[:, 1]])[:, None, None]
+    star = np.stack([copies, hub + n], axis=1).astype(np.int64)
+    like = var[g.similar]
+    edges = np.concatenate([g.chain, star, like])
+    pots = [np.exp(model.chain[None] / share), np.repeat(_neutral(model.skip)[None], len(star), 0), np.repeat(_neutral(model.similar)[None], len(like), 0)]
+    return unary, edges, np.concatenate(pots), ruled_out
+
+
+def sum_product(unary: np.ndarray, edges: np.ndarray, pots: np.ndarray, damping: float = 0.3, settled: float = 1e-4) -> np.ndarray:
+    """Log beliefs (up to a constant per variable) by damped loopy message passing until the messages settle; exact where the graph has no cycle.
+
+    Messages round a cycle need not settle by themselves: the damping grows slowly, so that the rounds end.
+    """
+    belief = unary.astype(np.float64)
+    pot = np.concatenate([pots, pots.transpose(0, 2, 1)])
     src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     message = np.zeros((len(src), unary.shape[1]))
-    belief = unary.astype(np.float64)
     stale = np.arange(len(src))  # messages whose input has changed
     while len(stale):
         out = belief[src[stale]] - message[back[stale]]
@@ -230,55 +284,79 @@ def marginals(model: Crf, feats: np.ndarray, chain: np.ndarray, skip: np.ndarray
         again[stale[moved]] = True
         stale = np.flatnonzero(again)
         damping += (1 - damping) * 0.01
-    belief = belief[:n] + ruled_out
+    return belief
+
+
+def marginals(model: Crf, g: Graph) -> np.ndarray:
+    """Label probabilities of all nodes of all documents at once. Any two repeats of a token are two edges apart, by their hub."""
+    unary, edges, pots, ruled_out = factors(model, g)
+    belief = sum_product(unary, edges, pots)[: len(g.feats)] + ruled_out
     e = np.exp(belief - belief.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
 
 
-def _labels_by_rule(texts: list[str], spans, docs, feats: np.ndarray) -> np.ndarray:
-    """Distant labels: a node's base kind where a base span covers it, `secret` for hex or mixed strings after a cue."""
-    y = np.full(len(spans), _O)
+def _labels_by_rule(texts: list[str], g: Graph) -> np.ndarray:
+    """Distant labels: a node's base kind where a base span covers it, `secret` for strings after a cue, and for all repeats of such a string."""
+    y = np.full(len(g.spans), _O)
+    secret = KINDS.index("secret")
     bases = [base_spans(t) for t in texts]
-    for i, (start, end) in enumerate(spans):
-        for a, b, kind in bases[docs[i]]:
+    for i, (start, end) in enumerate(g.spans):
+        for a, b, kind in bases[g.docs[i]]:
             if a < end and start < b:
                 y[i] = kind
                 break
         else:
-            if feats[i][12] and (feats[i][10] or feats[i][14]):
-                y[i] = KINDS.index("secret")
+            f = g.feats[i]
+            if (f[12] and (f[10] or f[14])) or f[19]:
+                y[i] = secret
+    copies, hub = _hubs(g.skip, len(y))
+    if len(copies):
+        said = np.zeros(hub.max() + 1, bool)
+        np.logical_or.at(said, hub, y[copies] == secret)
+        y[copies[said[hub] & (y[copies] == _O)]] = secret
     return y
 
 
 def fit_texts(texts: list[str], rounds: int = 300) -> Crf:
-    """Unary weights by logistic regression on distant labels, pair weights as smoothed log-odds of the label pairs on edges."""
-    spans, docs, feats, chain, skip = _graph(texts)
+    """All weights together, by gradient descent on the pseudo-likelihood: each node's label given its features and the labels of its neighbours on
+    the chain, of its token's other repeats and of a similar token; drawn to the prior weights."""
+    g = graph(texts)
     k = len(KINDS) + 1
-    y = _labels_by_rule(texts, spans, docs, feats)
-    w = prior = _prior()
-    if len(y):
-        onehot = np.eye(k)[y]
-        for step in range(rounds):
-            z = _unary(w, feats)
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            w -= 4.0 / (1 + step / 150) * (feats.T @ (p - onehot) / len(y) + 1e-3 * (w - prior))
-    share = (np.bincount(y, minlength=k) + 1) / (len(y) + k)
-
-    def pairs(edges: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        n = prior.copy()
-        np.add.at(n, (y[edges[:, 0]], y[edges[:, 1]]), 1)
-        n = (n + n.T) / 2
-        # log-odds against independence, bounded so that no edge outweighs a plain token
-        return np.clip(np.log(n / n.sum()) - np.log(share[:, None] * share[None]), -3, 3)
-
-    return Crf(w, pairs(chain, len(chain) * 0.2 * np.outer(share, share) + 1e-3), pairs(skip, np.eye(k) * 2 + 0.05))
-
-
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 1500) -> Crf:
-    """A CRF from at most `most` texts that hold a digit or an @ (the documented bound; rows by hash order of the key)."""
-    order = F.xxhash64(F.col(key))
-    rows = docs.where(F.col(text).rlike("[@+]|[0-9]{4}|[0-9]\\.[0-9]")).select(F.col(text).alias("t"), order.alias("o"))
+    prior = [_prior(), np.zeros((k, k)), _AGREE * np.eye(k), _LIKE * np.eye(k)]
+    w, chain, skip, similar = (p.copy() for p in prior)
+    n = len(g.spans)
+    if not n:
+        return Crf(w, chain, skip, similar)
+    y = _labels_by_rule(texts, g)
+    onehot = np.eye(k)[y]
+    left, right, others, like = (np.zeros((n, k)) for _ in range(4))
+    right[g.chain[:, 0]] = onehot[g.chain[:, 1]]
+    left[g.chain[:, 1]] = onehot[g.chain[:, 0]]
+    copies, hub = _hubs(g.skip, n)
+    if len(copies):
+        total = np.zeros((hub.max() + 1, k))
+        np.add.at(total, hub, onehot[copies])
+        rest = total[hub] - onehot[copies]
+        others[copies] = rest / rest.sum(1, keepdims=True)
+    like[g.similar[:, 0]] = onehot[g.similar[:, 1]]
+    like[g.similar[:, 1]] = onehot[g.similar[:, 0]]
+    for step in range(rounds):
+        z = _unary(w, g.feats) + left @ chain + right @ chain.T + others @ skip + like @ similar
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        d = (p - onehot) / n
+        rate = 4.0 / (1 + step / 150)
+        grads = [g.feats.T @ d, left.T @ d + (right.T @ d).T, others.T @ d, like.T @ d]
+        for x, gr, x0 in zip((w, chain, skip, similar), grads, prior, strict=True):
+            x -= rate * (gr + 1e-3 * (x - x0))
+    bounded = lambda x: np.clip(x, -3, 3)  # noqa: E731  no edge outweighs a plain token
+    return Crf(w, bounded(chain), bounded((skip + skip.T) / 2), bounded((similar + similar.T) / 2))
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 1500, longest: int = 200_000) -> Crf:
+    """A CRF from at most `most` texts of at most `longest` characters that hold a digit or an @ (the documented bounds; rows by hash order of the key, then text)."""
+    order = F.xxhash64(F.col(key), F.col(text))
+    rows = docs.where((F.length(text) <= longest) & F.col(text).rlike("[@+]|[0-9]{4}|[0-9]\\.[0-9]")).select(F.col(text).alias("t"), order.alias("o"))
     n = rows.count()
     thin = rows.where(F.pmod(F.col("o"), F.lit(1_000_000)) < int(min(1.0, 2.0 * most / max(n, 1)) * 1_000_000) + 1)
     return fit_texts([r["t"] for r in thin.orderBy("o").limit(most).collect()])
@@ -287,10 +365,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 15
 def annotate(texts: list[str], model: Crf, sure: float = 0.5) -> list[tuple[list, list]]:
     """Of each text, its base spans and all spans: the base ones and the CRF's tokens that touch none of them."""
     bases = [base_spans(t) for t in texts]
-    spans, docs, feats, chain, skip = _graph(texts)
+    g = graph(texts)
+    spans, docs = g.spans, g.docs
     extra = [[] for _ in texts]
     if spans:
-        p = marginals(model, feats, chain, skip)
+        p = marginals(model, g)
         best = p.argmax(1)
         for i in np.flatnonzero((best != _O) & (p.max(1) >= sure)):
             start, end = spans[i]

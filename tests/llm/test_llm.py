@@ -137,6 +137,49 @@ def test_crf_labels_all_repeats_by_one_cue(docs):
                 assert key not in pii_crf.redact(text, spans)
 
 
+KEY = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+
+
+def labelled(model, text):
+    return [text[a:b] for a, b, k in pii_crf.annotate([text], model)[0][1] if k == 4]
+
+
+def test_skip_edges_decide(docs):
+    model = pii_crf.fit(docs)
+    near = KEY[:-1] + "3"
+    for key, cue in ((KEY, "token = "), ("Ab9dEf3hIj5lMn7pQr1tUv3x", "api_key: "), ("sess4f7a9b21", "password = ")):
+        text = f'first {key} some words {cue}"{key}" and much later once more {key} here'
+        assert labelled(model, f"some words {key} and others") == [] and labelled(model, text) == [key] * 3
+        alone = pii_crf.Crf(model.unary, model.chain, np.zeros_like(model.skip), model.similar)
+        assert labelled(alone, text) == [key]
+    text = f'token = "{KEY}" and elsewhere {near} stands'
+    assert labelled(model, text) == [KEY, near]
+    assert labelled(pii_crf.Crf(model.unary, model.chain, model.skip, np.zeros_like(model.similar)), text) == [KEY]
+
+
+@pytest.mark.parametrize("cycle", [False, True])
+def test_marginals_by_enumeration(cycle):
+    r = np.random.default_rng(11)
+    for _ in range(20):
+        n, k = 6, 4
+        unary = r.normal(0, 1.5, (n, k))
+        edges = np.array([(int(r.integers(0, i)), i) for i in range(1, n)] + [(0, n - 1)] * cycle)
+        pots = np.exp(r.normal(0, 0.3 if cycle else 1.5, (len(edges), k, k)))
+        grid = np.indices((k,) * n).reshape(n, -1)
+        p = np.exp(sum(unary[i, grid[i]] for i in range(n)) + sum(np.log(pots[e, grid[a], grid[b]]) for e, (a, b) in enumerate(edges)))
+        want = np.array([[p[grid[i] == x].sum() for x in range(k)] for i in range(n)]) / p.sum()
+        got = pii_crf.sum_product(unary, edges, pots, settled=1e-9)
+        got = np.exp(got - got.max(1, keepdims=True))
+        assert np.abs(got / got.sum(1, keepdims=True) - want).max() < (0.03 if cycle else 1e-5)
+
+
+def test_graph_of_repeats_and_likenesses():
+    g = pii_crf.graph(["a1b2c3d4e5 x a1b2c3d4e5 word a1b2c3d4e6 999999999", "a1b2c3d4e5"])
+    assert g.skip.tolist() == [[0, 1]] and g.similar.tolist() == [[0, 2]] and [0, 1] in g.chain.tolist() and g.docs == [0, 0, 0, 0, 1]
+    unary, edges, pots, _ = pii_crf.factors(pii_crf.fit_texts([]), g)
+    assert len(unary) == 6 and [5, 2] in edges.tolist() and len(edges) == len(pots)
+
+
 def test_pii_odd(odd):
     model = pii_crf.fit_texts([])
     assert pii_crf.find(odd, model).count() == 10 and pii_crf.find(odd.where("false"), model).count() == 0
