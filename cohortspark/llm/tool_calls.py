@@ -8,24 +8,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import cut, query, table
+from cohortspark.llm.common import cut, query, stored, table
 
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+def _same(a, b) -> bool:
+    """Equality of JSON values: true is not 1, at any depth."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return a == b
+
+
+def _is(value, kind: str) -> bool:
+    if kind in ("integer", "number"):
+        if isinstance(value, bool) or not isinstance(value, (int, float)):
+            return False
+        return kind == "number" or isinstance(value, int) or value.is_integer()
+    return isinstance(value, _TYPES[kind])
+
+
 def violations(value, schema: dict, at: str = "$") -> list[str]:
     """What in a parsed value breaks a schema (type, enum, required, properties, additionalProperties, items, lengths and bounds), in document order."""
     kinds = schema.get("type")
-    if kinds is not None:
-        kinds = [kinds] if isinstance(kinds, str) else kinds
-        number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        if not any(number and (k == "number" or float(value).is_integer()) if k in ("integer", "number") else isinstance(value, _TYPES[k]) for k in kinds):
-            return [f"{at}:type"]
+    if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
+        return [f"{at}:type"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         out.append(f"{at}:enum")
     if isinstance(value, str):
-        out += [f"{at}:{k}" for k, bad in (("minLength", len(value) < schema.get("minLength", 0)), ("maxLength", len(value) > schema.get("maxLength", len(value)))) if bad]
+        size = len(value)
+        out += [f"{at}:{k}" for k, bad in (("minLength", size < schema.get("minLength", 0)), ("maxLength", size > schema.get("maxLength", size))) if bad]
     elif isinstance(value, (int, float)) and not isinstance(value, bool):
         out += [f"{at}:{k}" for k, bad in (("minimum", value < schema.get("minimum", value)), ("maximum", value > schema.get("maximum", value))) if bad]
     elif isinstance(value, list):
@@ -42,28 +59,56 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
     return out
 
 
+def _object(pairs: list) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key repeats")
+    return out
+
+
+def _finite(text: str) -> float:
+    x = float(text)
+    if x in (float("inf"), float("-inf")):
+        raise ValueError("too large")
+    return x
+
+
+def _no_constant(name: str):
+    raise ValueError(name)
+
+
+def parsed(text: str):
+    """The value of a JSON text. ValueError for what is none or has no canonical form: NaN and infinities, numbers beyond double precision's
+    range, repeated keys, lone surrogates, and nesting or integers beyond Python's limits."""
+    try:
+        value = json.loads(text, parse_constant=_no_constant, parse_float=_finite, object_pairs_hook=_object)
+        canonical(value).encode()
+    except RecursionError as e:
+        raise ValueError("nested too deep") from e
+    return value
+
+
 def canonical(value) -> str:
     """JSON with sorted keys, no white space and no escapes beyond the necessary ones."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def levels(ids: DataFrame, needs: DataFrame, most_rounds: int = 200) -> DataFrame:
+def levels(ids: DataFrame, needs: DataFrame) -> DataFrame:
     """Columns (id, level): 0 for calls that need none, else one more than the highest level needed; null on a cycle or behind one.
 
-    One round per level; the rounds end when none gets a level.
+    One round per level, however many there are; the rounds end when none gets a level.
     """
-    needs = cut(needs.distinct().join(ids.select(F.col("id").alias("need")), "need", "left_semi"))
-    done = cut(ids.join(needs, "id", "left_anti").select("id", F.lit(0).cast("long").alias("level")))
-    left = needs
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
+    some = F.count(F.lit(1))
+    left, open_ = stored(needs.distinct().join(ids.select(F.col("id").alias("need")), "need", "left_semi"), n=some)
+    done, _ = stored(ids.join(left, "id", "left_anti").select("id", F.lit(0).cast("long").alias("level")))
+    while open_["n"]:
         seen = left.join(done.select(F.col("id").alias("need"), "level"), "need", "left")
-        ready = cut(seen.groupBy("id").agg(F.max("level").alias("top"), F.count_if(F.col("level").isNull()).alias("open")).where("open = 0").select("id", (F.col("top") + 1).alias("level")))
-        if ready.isEmpty():
+        ready = seen.groupBy("id").agg(F.max("level").alias("top"), F.count_if(F.col("level").isNull()).alias("open"))
+        ready, new = stored(ready.where("open = 0").select("id", (F.col("top") + 1).alias("level")), n=some)
+        if not new["n"]:
             break
-        left = cut(left.join(ready, "id", "left_anti"))
-        done = done.unionAll(ready)
+        left, open_ = stored(left.join(ready, "id", "left_anti"), n=some)
+        done, _ = stored(done.unionAll(ready))
     return ids.join(done, "id", "left")
 
 
@@ -71,9 +116,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     """One row per identifier of `calls` (id, name, arguments, needs: array of ids) or `results` (id, content).
 
     Columns: id, name, status (`linked`, `no_result`, `no_call`), level, n_calls, n_results, n_errors, errors, canonical. Of several calls or results with one identifier the least
-    row counts, and the counts tell how many there were. errors joins by `;` what the arguments break: `$:json` where they aren't JSON, `$:tool` where no schema has the name,
+    row counts, and the counts tell how many there were. errors joins by `;` what the arguments break: `$:json` where parsed() refuses them, `$:tool` where no schema has the name,
     else paths and rules. canonical is {"arguments", "id", "level", "name", "result"}; unreadable arguments stay a string. Rows with a null identifier can't be linked and are left out;
-    needs of unknown identifiers are ignored. `schemas` is configuration, one per tool.
+    needs of unknown identifiers are ignored. Empty tables give no rows; other columns are ignored. `schemas` is configuration, one per tool.
     """
     c = calls.where("id is not null").groupBy("id").agg(F.min(F.struct(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("arguments", F.lit("")).alias("arguments"), F.coalesce("needs", F.array().cast("array<string>")).alias("needs"))).alias("c"), F.count(F.lit(1)).alias("n_calls"))
     c = cut(c.select("id", "c.name", "c.arguments", "c.needs", "n_calls"))
@@ -90,9 +135,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                 found, value = [], None
                 if row["status"] != "no_call":
                     try:
-                        value = json.loads(row["arguments"])
+                        value = parsed(row["arguments"])
                         found = violations(value, schemas[row["name"]]) if row["name"] in schemas else ["$:tool"]
-                    except ValueError:
+                    except (ValueError, RecursionError):
                         value, found = row["arguments"], ["$:json"]
                 errors.append(found)
                 texts.append(canonical({"arguments": value, "id": row["id"], "level": row["level"], "name": row["name"], "result": row["content"]}))
