@@ -1,6 +1,6 @@
 """Near-duplicate embeddings: int8 tile products with rigorous error bounds, then double precision where needed.
 
-Distinct vectors are dealt into blocks; every pair of blocks is one tile. A tile multiplies int8 codes (exact in
+Distinct vectors are dealt into blocks, each packed into one value; every pair of blocks is one tile. A tile multiplies int8 codes (exact in
 float32, as the sums stay below 2^24), bounds each cosine by the two vectors' quantisation errors, and computes again in
 double precision the pairs whose bound reaches the threshold. A tile reports link counts per vector and the edges
 of a spanning forest, never its pairs.
@@ -9,11 +9,11 @@ of a spanning forest, never its pairs.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.llm.common import cut, query, table
+from cohortspark.llm.common import query, stored, table
 from cohortspark.llm.components import components, spanning
 
 BLOCK = 2048  #: vectors to a block, about
@@ -49,65 +49,93 @@ def tile_links(one: np.ndarray, two: np.ndarray, threshold: float, rows: int = 5
             yield a[keep], b[keep]
 
 
+def _packed(floats: str):
+    """One row per block and length of vectors: class numbers, copies and components as bytes."""
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("c")
+        size = rows["size"][0].as_py()
+        v = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(floats)
+        cells = [rows["c"].to_numpy().astype("<i8"), rows["copies"].to_numpy().astype("<i8"), v]
+        return pa.table({"blk": rows["blk"][:1], "size": pa.array([size], pa.int32()), "cells": pa.array([b"".join(x.tobytes() for x in cells)], pa.binary())})
+
+    return pack
+
+
+def _unpacked(cells: bytes, size: int, floats: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class numbers, copies and unit vectors."""
+    n = len(cells) // (16 + size * np.dtype(floats).itemsize)
+    m = np.frombuffer(cells, floats, n * size, 16 * n).reshape(n, size).astype(np.float64)
+    m /= np.abs(m).max(axis=1, keepdims=True)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    return np.frombuffer(cells, "<i8", n), np.frombuffer(cells, "<i8", n, 8 * n), m
+
+
+def _tile(threshold: float, floats: str):
+    """Link counts and roots of a tile's vectors: two blocks, or one with itself."""
+
+    def tile(rows: pa.Table) -> pa.Table:
+        size = rows["size"][0].as_py()
+        parts = [_unpacked(x.as_buffer(), size, floats) for x in rows["cells"]]
+        two = len(parts) > 1
+        c, copies = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        shift = len(parts[0][0]) if two else 0
+        links = np.zeros(len(c), np.int64)
+        ones, twos = [], []
+        for i, j in tile_links(parts[0][2], parts[-1][2], threshold):
+            if two:
+                j = j + shift
+            else:
+                i, j = i[i < j], j[i < j]
+            links += np.bincount(i, copies[j], len(c)).astype(np.int64) + np.bincount(j, copies[i], len(c)).astype(np.int64)
+            if len(i):
+                label = spanning(i, j, len(c))
+                hit = np.flatnonzero(label != np.arange(len(c)))
+                ones.append(hit)
+                twos.append(label[hit])
+        label = spanning(np.concatenate(ones), np.concatenate(twos), len(c)) if ones else np.arange(len(c))
+        hit = np.flatnonzero(links > 0)
+        return pa.table({"c": pa.array(c[hit], pa.int64()), "links": pa.array(links[hit], pa.int64()), "root": pa.array(c[label[hit]], pa.int64())})
+
+    return tile
+
+
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, block: int = BLOCK) -> DataFrame:
     """Columns (key, n_links, component_id, kept), one row per vector.
 
     n_links counts the other vectors whose cosine in double precision is at least the threshold. Vectors that are null, empty, zero
     or hold null or non-finite components link with nothing; vectors of different length don't link. Equal vectors are
-    compared once and each counts for all of them. An empty table gives no rows. A row that repeats another counts as one more
-    vector; rows with a null key link with nothing and have a null component.
+    compared once and each counts for all of them. An empty table gives no rows. Every row is a vector of its own, also where a key repeats with
+    the same or another vector; component_id is the smallest key of the component. Rows with a null key link with nothing and have a null
+    component. Keys are whole numbers (another type raises an error); other columns are ignored.
     """
+    kinds = dict(vectors.dtypes)
+    if kinds[key] not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{key} must be a whole number, not {kinds[key]}")
+    floats = "<f4" if kinds[vector] == "array<float>" else "<f8"
     v = F.col("v")
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    good = v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
+    finite = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    good = v.isNotNull() & finite & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("good", good & F.col("id").isNotNull())
-    # equal vectors under one number: the smallest key that has them; adding 0.0 turns -0.0 into 0.0
+    # equal vectors are one class; adding 0.0 turns -0.0 into 0.0
     rows = rows.withColumn("sig", F.when(F.col("good"), F.sha2(F.concat_ws(",", F.transform(v, lambda x: (x + 0.0).cast("string"))), 256)))
-    classes = cut(rows.where("good").groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
-    n = classes.count()
-    blocks = max(1, -(-n // block))
-    dealt = classes.select("rep", "copies", F.array_distinct(F.array(F.size("v"))).getItem(0).alias("size"), "v", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("blk"))
+    classes = rows.where("good").groupBy("sig").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    # numbered and written, so that the numbers stay: keys may repeat, these don't
+    classes, seen = stored(classes.withColumn("c", F.monotonically_increasing_id()), n=F.count(F.lit(1)))
+    blocks = max(1, -(-seen["n"] // block))
+    dealt = classes.select("c", "copies", F.size("v").alias("size"), "v", F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int").alias("blk"))
+    packed, _ = stored(dealt.groupBy("blk", "size").applyInArrow(_packed(floats), "blk int, size int, cells binary"))
+    # every pair of blocks is a tile: a block goes to as many tiles as there are blocks, as one value of bytes
     mates = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("blk", o).alias("x"), F.greatest("blk", o).alias("y")))
-    tiles = dealt.withColumn("t", F.explode(mates)).select("t.x", "t.y", "rep", "copies", "size", "v", "blk")
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for size, same in pdf.groupby("size"):
-            m = np.vstack(same["v"].to_numpy()).astype(np.float64)
-            m /= np.abs(m).max(axis=1, keepdims=True)
-            m /= np.linalg.norm(m, axis=1, keepdims=True)
-            rep, copies, blk = same["rep"].to_numpy(), same["copies"].to_numpy(), same["blk"].to_numpy()
-            order = np.lexsort((rep, blk))
-            m, rep, copies, blk = m[order], rep[order], copies[order], blk[order]
-            x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-            a = np.flatnonzero(blk == x)
-            b = np.flatnonzero(blk == y)
-            links = np.zeros(len(rep), np.int64)
-            ones, twos = [], []
-            for i, j in tile_links(m[a], m[b], threshold):
-                i, j = a[i], b[j]
-                if x == y:
-                    i, j = i[i < j], j[i < j]
-                links += np.bincount(i, copies[j], len(rep)).astype(np.int64) + np.bincount(j, copies[i], len(rep)).astype(np.int64)
-                if len(i):
-                    label = spanning(i, j, len(rep))
-                    hit = np.flatnonzero(label != np.arange(len(rep)))
-                    ones.append(hit)
-                    twos.append(label[hit])
-            if ones:
-                i, j = np.concatenate(ones), np.concatenate(twos)
-                label = spanning(i, j, len(rep))
-                low = np.full(len(rep), np.iinfo(np.int64).max)
-                np.minimum.at(low, label, rep)
-                hit = np.flatnonzero(links > 0)
-                parts.append(pd.DataFrame({"rep": rep[hit], "links": links[hit], "root": low[label[hit]]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"rep": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-
-    found = cut(tiles.groupBy("x", "y").applyInPandas(tile, "rep long, links long, root long"))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = classes.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    known = cut(known.select("sig", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
+    tiles = packed.withColumn("t", F.explode(mates)).select("t.x", "t.y", "size", "cells")
+    found, _ = stored(tiles.groupBy("x", "y", "size").applyInArrow(_tile(threshold, floats), "c long, links long, root long"))
+    counts = found.groupBy("c").agg(F.sum("links").alias("links"))
+    roots = components(found.where("c <> root").select(F.col("c").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "c")
+    known = classes.drop("v").join(counts, "c", "left").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    known, _ = stored(known)
+    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
+    known = known.join(least, "root").select("sig", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.select("id", "sig").join(known, "sig", "left")
     out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", key)
