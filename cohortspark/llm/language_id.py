@@ -8,11 +8,12 @@ rejected where its cosine is far below what the language's own training texts ha
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import flat_bytes, held_out, query, table, text_chunks
@@ -39,6 +40,22 @@ class Centroids:
     units: np.ndarray
     floor: np.ndarray
 
+    def predict(self, texts: pa.Array, letters: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score and whether it is rejected, of each text (null: empty); `letters`: whether it has any."""
+        data, offsets = flat_bytes(texts)
+        letters = letters.to_numpy(zero_copy_only=False)
+        if len(self.languages):
+            cos = _vectors(_counts(data, offsets), self.idf) @ self.units.T
+            at = np.argmax(cos, axis=1)
+            score = np.clip(cos[np.arange(len(at)), at].astype(np.float64), 0, 1)
+            owner = self.owner[at]
+            names = np.array(self.languages, object)[owner]
+            far = score < self.floor[owner] * np.sqrt(np.minimum(1, np.diff(offsets) / FULL_BYTES))
+        else:
+            n = len(offsets) - 1
+            score, names, far = np.zeros(n), np.full(n, "und", object), np.ones(n, bool)
+        return np.where(letters, names, "und"), np.where(letters, score, 0.0), far | ~letters
+
 
 def _counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Of each row, hashed counts of letter n-grams; digits, punctuation and runs of white space count as one space."""
@@ -83,41 +100,36 @@ def _clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, centroids: int = 4, slack: float = 0.5) -> Centroids:
-    """Centroids from at most `per_language` labelled rows of each language (the documented bound; rows by hash order of the key).
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, centroids: int = 4, slack: float = 0.5, least: int = 40, longest: int = 200_000) -> Centroids:
+    """Centroids from at most `per_language` labelled rows of each language (the documented bound; rows by hash order of key and text).
 
-    Only rows with a non-null text and label count. `slack`: the accepted cosine is this share of the lowest percentile
-    of a language's own training texts. Without any labelled row the model knows no language.
+    Only rows with a non-null text of at most `longest` characters and a label count; those of up to `least` characters count where a language has no
+    longer ones. `slack`: the accepted cosine is this share of the lowest percentile of a language's own training texts. Without any
+    labelled row the model knows no language.
     """
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 40))
-    order = F.xxhash64(F.col(key))
-    best = rows.groupBy(F.col(lang).alias("_l")).agg(F.min_by(F.struct(F.col(key).alias("k")), order).alias("one"), F.count(F.lit(1)).alias("n"))
-    names = sorted((r["_l"], r["n"]) for r in best.select("_l", "n").collect())
-    sample = []
-    for name, n in names:
-        # a hash threshold thins each language to about twice the bound before the exact cut
-        share = min(1.0, 2.0 * per_language / n)
-        thin = rows.where((F.col(lang) == name) & (F.pmod(order, F.lit(1_000_000)) < int(share * 1_000_000) + 1))
-        sample.append(thin.select(F.col(lang).alias("_l"), F.col(text).alias("_t"), order.alias("_o")).orderBy("_o").limit(per_language))
-    if not sample:
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) <= longest))
+    rows = rows.select(F.col(lang).alias("_l"), F.col(text).alias("_t"), F.xxhash64(F.col(key), F.col(text)).alias("_o"), (F.length(text) > least).alias("_long"))
+    names = sorted((r["_l"], r["n"], r["k"]) for r in rows.groupBy("_l").agg(F.count(F.lit(1)).alias("n"), F.count_if("_long").alias("k")).collect())
+    if not names:
         return Centroids([], np.zeros(0, int), np.ones(_DIMS, np.float32), np.zeros((0, _DIMS), np.float32), np.zeros(0))
-    frame = sample[0]
-    for s in sample[1:]:
-        frame = frame.unionAll(s)
-    got = frame.toPandas().sort_values(["_l", "_o"])
+    # a hash threshold thins each language to about twice the bound before the exact cut; one scan serves all languages
+    at = F.pmod("_o", F.lit(1_000_000))
+    thin = reduce(lambda x, y: x | y, [(F.col("_l") == name) & (F.col("_long") | F.lit(not k)) & (at < int(min(1.0, 2.0 * per_language / (k or n)) * 1_000_000) + 1) for name, n, k in names])
+    number = F.row_number().over(Window.partitionBy("_l").orderBy("_o", "_t"))
+    got = rows.where(thin).withColumn("_n", number).where(F.col("_n") <= per_language).select("_l", "_t", "_o").toPandas().sort_values(["_l", "_o", "_t"])
     data, offsets = flat_bytes(pa.array(got["_t"].tolist(), pa.string()))
     counts = _counts(data, offsets)
     df = sum((c > 0).astype(np.float64) for c in counts)
     idf = np.sqrt(np.log((1 + len(counts)) / (1 + df)) + 0.05).astype(np.float32)  # the square root: as for the counts
     x, label = _vectors(counts, idf), got["_l"].to_numpy()
     units, owner, floor = [], [], []
-    for i, (name, _) in enumerate(names):
+    for i, (name, _, _) in enumerate(names):
         mine = x[label == name]
         c = _clusters(mine, centroids)
         units.append(c)
         owner += [i] * len(c)
         floor.append(slack * np.quantile((mine @ c.T).max(1), 0.01))
-    return Centroids([n for n, _ in names], np.array(owner), idf, np.concatenate(units), np.array(floor))
+    return Centroids([name for name, _, _ in names], np.array(owner), idf, np.concatenate(units), np.array(floor))
 
 
 def identify(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,20 +141,8 @@ def identify(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str =
 
     def predict(batches):
         for batch in text_chunks(batches, "t", 1 << 20):
-            data, offsets = flat_bytes(batch.column("t"))
-            x = _vectors(_counts(data, offsets), model.idf)
-            letters = batch.column("letters").to_numpy(zero_copy_only=False)
-            if len(model.languages):
-                cos = x @ model.units.T
-                at = np.argmax(cos, axis=1)
-                score = np.clip(cos[np.arange(len(at)), at].astype(np.float64), 0, 1)
-                owner = model.owner[at]
-                names = np.array(model.languages, object)[owner]
-                far = score < model.floor[owner] * np.sqrt(np.minimum(1, np.diff(offsets) / FULL_BYTES))
-            else:
-                score, names, far = np.zeros(len(x)), np.full(len(x), "und", object), np.ones(len(x), bool)
-            names = np.where(letters, names, "und")
-            yield pa.RecordBatch.from_pydict({"k": batch.column("k"), "lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(np.where(letters, score, 0.0)), "rejected": pa.array(far | ~letters)})
+            names, score, rejected = model.predict(batch.column("t"), batch.column("letters"))
+            yield pa.RecordBatch.from_pydict({"k": batch.column("k"), "lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(score), "rejected": pa.array(rejected)})
 
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.withColumn("letters", F.col("t").rlike(r"\p{L}"))
@@ -150,11 +150,17 @@ def identify(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str =
     return out.withColumnRenamed("k", key)
 
 
-def accepted(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that identify() doesn't reject, with all their columns."""
-    names = docs.columns
-    gone = identify(docs, model, key, text).where("rejected").select(F.col(key).alias("_gone"))
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti").select(*[docs[n] for n in names])
+def accepted(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
+    """The rows that identify() doesn't reject, with all their columns; each row by itself, so keys don't matter and nothing is shuffled."""
+    at = docs.columns.index(text)
+
+    def keep(batches):
+        for batch in text_chunks(batches, at, 1 << 20):
+            _, _, rejected = model.predict(batch.column(at), batch.column(batch.num_columns - 1))
+            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(~rejected))
+
+    marked = docs.select("*", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_has_letters"))
+    return marked.mapInArrow(keep, docs.schema)
 
 
 @query("op5_language_id")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import blobs
-from cohortspark.llm.common import cut, mix, partitions, query, shingle_hashes, stored, table, text_chunks, whole_groups, word_hashes
+from cohortspark.llm.common import mix, partitions, query, shingle_hashes, stored, table, text_chunks, whole_groups, word_hashes
 from cohortspark.llm.components import components, spanning
 
 WORDS = 5
@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     n = parts or partitions(docs.sparkSession)
     every = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = every.where("k is not null")
-    both = cut(_survivors(_common(_shingles(rows, words, n), n), n, percent, SHARED))
+    both, _ = stored(_survivors(_common(_shingles(rows, words, n), n), n, percent, SHARED))
     member = both.where("doc is not null").select(F.col("doc").alias("doc_id"), "name", F.col("n").alias("n_shingles"))
     classes = both.where("doc is null").drop("doc")
     groups, _ = stored(_groups(classes))

@@ -213,8 +213,11 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
 
     Every document (null text: empty) has its ids and END, each in exactly one piece. Sequences hold at most WINDOW ids; a shorter one is
     either a few ids short or as long as a power of two. Sequence ids are unique, not consecutive. A document with a null key keeps
-    its tokens under a null doc_id. The packing follows the input's partitions, so a task that runs again gives the same rows.
+    its tokens under a null doc_id, and rows that repeat a key are packed as often. Keys are whole numbers (another type raises an error). Empty tables give no
+    rows; other columns are ignored. The packing follows the input's partitions, so a task that runs again gives the same rows.
     """
+    if dict(docs.dtypes)[key] not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{key} must be a whole number, not {dict(docs.dtypes)[key]}")
     n = parts or partitions(docs.sparkSession)
 
     def first(batches):

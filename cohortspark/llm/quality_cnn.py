@@ -135,13 +135,14 @@ def fit_network(texts: list[bytes], labels: np.ndarray, epochs: int = 14, rate:
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500) -> Network:
-    """A network from at most `per_class` labelled rows of each class (the documented bound; rows by hash order of the key).
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500, longest: int = 200_000) -> Network:
+    """A network from at most `per_class` labelled rows of each class, with texts of at most `longest` bytes (the documented bounds; rows by hash order of the key).
 
-    Null texts count as empty, null labels don't count. Its offset is moved so that the sample's class balance, which differs
+    Null texts count as empty, null labels don't count. Of a key's labels the smallest counts, of its texts the first in byte order. Its offset is moved so that the sample's class balance, which differs
     from the table's, doesn't shift the probabilities.
     """
-    marks = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).alias("_y")).dropDuplicates(["_k"])
+    marks = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).alias("_y"))
+    marks = marks.groupBy("_k").agg(F.min("_y").alias("_y"))
     shares = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not shares:
         return fit_network([], np.zeros(0))
@@ -151,17 +152,22 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         part = marks.where((F.col("_y") == y) & (F.pmod(order, F.lit(1_000_000)) < int(min(1.0, 2.0 * per_class / n) * 1_000_000) + 1)).orderBy(order).limit(per_class)
         picked = part if picked is None else picked.unionAll(part)
     # at most two times per_class keys, so they are few enough to send to every task
-    rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_t")).join(F.broadcast(picked), "_k").toPandas()
-    rows = rows.sort_values("_k").drop_duplicates("_k")
+    rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_t"))
+    rows = rows.where(F.length("_t") <= longest).join(F.broadcast(picked), "_k").toPandas()
+    rows["_t"] = [bytes(t) for t in rows["_t"]]
+    rows = rows.sort_values(["_k", "_t"]).drop_duplicates("_k")
     y = rows["_y"].to_numpy().astype(np.float32)
-    net = fit_network([bytes(t) for t in rows["_t"]], y)
+    net = fit_network(rows["_t"].tolist(), y)
     if len(shares) == 2 and 0 < y.mean() < 1:
         net.offset += float(np.log(shares[1] / shares[0]) - np.log(y.mean() / (1 - y.mean())))
     return net
 
 
 def score(docs: DataFrame, net: Network, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Columns (key, score, predicted) of every row; null and empty texts get the network's score for no bytes."""
+    """Columns (key, score, predicted) of every row; null and empty texts get the network's score for no bytes.
+
+    Equal texts get equal scores, whatever their keys; repeated rows come out as often. Empty tables give no rows; other columns are ignored.
+    """
 
     def run(batches):
         for batch in text_chunks(batches, "t", 1 << 20):
