@@ -15,25 +15,28 @@ from cohortspark.llm import decontamination, language_id, ngram_join, packing, p
 from cohortspark.llm.common import held_out, shared_dir, table
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not in gone; rows without a doc_id stay."""
-    gone = gone.select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no known language: null texts, texts without a letter, and texts far from every centroid."""
     return language_id.accepted(docs, language_id.fit(docs.where(~held_out(F.col("doc_id")))))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the smallest doc_id."""
-    return _without(docs, ngram_join.near_duplicates(docs).where("component_id <> doc_id"))
+    """Keeps of each group of linked documents the one with the smallest doc_id; texts without words and rows without a doc_id stay.
+
+    Rows that repeat the doc_id which stays all stay, as one document. An empty table stays empty.
+    """
+    found = ngram_join.near_duplicates(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of a benchmark item."""
-    return _without(docs, decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    """Drops documents that hold a passage of a benchmark item; null and empty texts hold none.
+
+    Documents are told apart by a hash of their text, on which alone the decision depends: rows with repeated or null doc_ids are decided each by its text.
+    """
+    named = docs.select(F.xxhash64("text").alias("_text"), "text")
+    found = decontamination.decontaminate(named, table(spark, sf_dir, "benchmark"), key="_text").select("_text").distinct()
+    return docs.join(found, F.xxhash64(docs["text"]) == found["_text"], "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences."""
+    """Packs all documents into sequences: one row per piece; null and empty texts are pieces of one id, rows without a doc_id keep their pieces."""
     return packing.pack(docs, packing.vocabulary_path())
 
 
@@ -55,8 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
-    shared_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
