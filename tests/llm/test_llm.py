@@ -200,6 +200,24 @@ def test_tool_calls(spark):
     assert tool_calls.violations([1, "a", True], {"type": "array", "items": {"type": ["integer", "string"], "enum": [1, "a"]}}) == ["$[2]:type"]
 
 
+def test_arguments_without_a_canonical_form(spark):
+    bad = ["[" * 100_000, '{"a":' * 3000 + "1" + "}" * 3000, '{"a":"\\ud800"}', '{"a":NaN}', '{"a":-Infinity}', '{"a":1e999}', '{"a":1,"a":2}', "9" * 5000, ""]
+    good = ['{"a":' + "9" * 400 + "}", '{"a":1.0}', "null", '"\\ud83d\\ude00"']
+    calls = spark.createDataFrame([(f"b{i}", "t", x, None) for i, x in enumerate(bad)] + [(f"g{i}", "t", x, None) for i, x in enumerate(good)], "id string, name string, arguments string, needs array<string>")
+    calls = calls.withColumn("content", F.lit("clash")).withColumn("level", F.lit(9))
+    results = spark.createDataFrame([], "id string, content string").withColumn("name", F.lit("x"))
+    got = {r["id"]: r["errors"] for r in tool_calls.link(calls, results, {"t": {}}).collect()}
+    assert all(got[f"b{i}"] == "$:json" for i in range(len(bad))) and all(got[f"g{i}"] == "" for i in range(len(good)))
+    assert tool_calls.violations(True, {"enum": [1]}) == ["$:enum"] and tool_calls.violations([1.0], {"enum": [[1]]}) == [] and tool_calls.violations({"a": True}, {"enum": [{"a": 1}]}) == ["$:enum"]
+    assert tool_calls.violations(10**400, {"type": "integer"}) == [] and tool_calls.violations(1.5, {"type": "integer"}) == ["$:type"]
+
+
+def test_long_chains_have_levels(spark):
+    ids = spark.createDataFrame([(str(i),) for i in range(12)], "id string")
+    needs = spark.createDataFrame([(str(i), str(i - 1)) for i in range(1, 12)] + [("3", "0")], "id string, need string")
+    assert {r["id"]: r["level"] for r in tool_calls.levels(ids, needs).collect()} == {str(i): i for i in range(12)}
+
+
 # ---- packing
 def test_round_trip(spark, docs, texts):
     tokenizer = packing.tokenizer(packing.vocabulary_path())
@@ -300,6 +318,42 @@ def test_language_held_out(spark, docs):
     assert len(held) and (held["lang"] == held["lang_pred"]).mean() > 0.95 and out["score"].between(0, 1).all()
 
 
+def test_language_against_brute_force(spark, docs, texts):
+    model = language_id.fit(docs)
+
+    def grams(t):
+        b = bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode())
+        b = bytes(0x20 if c < 0x80 and not 97 <= c <= 122 and not (c < 9 or 13 < c < 32) and not c == 0 else c for c in b)
+        b = re.sub(rb"\xc3([\x80-\x9e])", lambda m: bytes([0xC3, m[1][0] + 32]), b)
+        b = re.sub(rb" +", b" ", b)
+        for k in (1, 2, 3):
+            for i in range(len(b) - k + 1):
+                if k == 1:
+                    yield b[i] & 4095
+                else:
+                    g = (b[i] * 257 + b[i + 1]) & 0xFFFFFFFF
+                    g = g if k == 2 else (g * 263 + b[i + 2]) & 0xFFFFFFFF
+                    yield ((g * 2654435761 & 0xFFFFFFFF) >> 20) + (k - 1) * 4096
+
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    for k in sorted(texts)[:40]:
+        counts = Counter(grams(texts[k] or ""))
+        v = {i: n**0.5 * float(model.idf[i]) for i, n in counts.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5 or 1
+        cos = [sum(x * float(c[i]) for i, x in v.items()) / norm for c in model.units]
+        best = max(range(len(cos)), key=lambda i: cos[i])
+        assert got[k]["score"] == pytest.approx(max(0, min(1, cos[best])), abs=1e-4)
+        assert got[k]["lang_pred"] == model.languages[model.owner[best]] or sorted(cos)[-1] - sorted(cos)[-2] < 1e-4
+
+
+def test_languages_of_short_texts_only(spark):
+    rows = [(i, "a rather long text in the first language, of some words " * 2, "aa") for i in range(30)] + [(100 + i, "ßüß öäö", "bb") for i in range(5)] + [(200, "x", None)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "bb"]
+    seen = language_id.identify(spark.createDataFrame([(1, "ßü öäö ßß")], "doc_id long, text string"), model).first()
+    assert seen["lang_pred"] == "bb"
+
+
 def test_language_odd(odd, docs):
     model = language_id.fit(docs)
     got = {r["doc_id"]: r for r in language_id.identify(odd, model).collect()}
@@ -330,10 +384,86 @@ def test_leaks_against_brute_force(spark, docs, texts):
     assert got == pytest.approx(want)
 
 
+def leaky(spark, r, edits=0):
+    items = [" ".join(f"w{r.randrange(500)}" for _ in range(r.randint(3, 70))) for _ in range(30)]
+    texts = []
+    for i in range(120):
+        own = [f"w{r.randrange(500)}" for _ in range(r.randint(0, 60))]
+        item = r.choice(items).split()
+        for _ in range(edits):
+            item[r.randrange(len(item))] = "edited"
+        texts.append(" ".join(own[: len(own) // 2] + (item if i % 3 else []) + own[len(own) // 2 :]))
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), texts, items
+
+
+def brute_leaks(texts, items):
+    runs = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] * bool(w))
+    out = {}
+    for k, t in enumerate(texts):
+        w = t.split()
+        for i, item in enumerate(items):
+            m = item.split()
+            b = runs(m)
+            best = max((sum((a & b).values()) / sum((a | b).values()), -s) for s in range(max(1, len(w) - len(m) + 1)) for a in [runs(w[s : s + len(m)])])
+            if best[0] >= 0.75:
+                out[(k, i)] = (best[0], -best[1], len(m))
+    return out
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_every_copied_item_is_found(spark, monkeypatch, most):
+    monkeypatch.setattr(decontamination, "_BROADCAST_ROWS", most)
+    docs, items, texts, made = leaky(spark, random.Random(21))
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"], r["n_words"]) for r in decontamination.decontaminate(docs, items).collect()}
+    want = brute_leaks(texts, made)
+    assert len(want) > 70 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_most_edited_items_are_found(spark):
+    docs, items, texts, made = leaky(spark, random.Random(22), edits=1)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.decontaminate(docs, items).collect()}
+    want = set(brute_leaks(texts, made))
+    assert got <= want and len(got) >= 0.9 * len(want) > 15
+
+
+def test_hamming_index_finds_all_within_the_radius(spark):
+    r = random.Random(9)
+    known = [(i, 8, r.getrandbits(60), r.getrandbits(60)) for i in range(40)]
+    seen = []
+    for j in range(400):
+        _, length, x, y = r.choice(known)
+        for b in r.sample(range(120), r.randint(0, 24)):
+            x, y = (x ^ (1 << b), y) if b < 60 else (x, y ^ (1 << (b - 60)))
+        seen.append((j, length if j % 7 else 16, x, y))
+    a = spark.createDataFrame(seen, "doc long, length int, x long, y long")
+    b = spark.createDataFrame(known, "item long, length int, x long, y long")
+    got = {(row["doc"], row["item"]) for row in decontamination.hamming(a, b).collect()}
+    assert got == {(j, i) for j, m, x, y in seen for i, n, p, q in known if m == n and (x ^ p).bit_count() + (y ^ q).bit_count() <= decontamination.RADIUS}
+    with pytest.raises(ValueError, match="index"):
+        decontamination.hamming(a, b, 20)
+
+
+def test_fingerprints_by_brute_force(spark):
+    r = random.Random(1)
+    words = [[f"w{r.randrange(40)}" for _ in range(n)] for n in (0, 7, 8, 30, 61)]
+    df = spark.createDataFrame(list(enumerate(words)), "doc long, w array<string>")
+    hashes = {w["w"]: (w["h"]["x"] & (1 << 63) - 1, w["h"]["y"] & (1 << 63) - 1) for w in decontamination._hashed(df).selectExpr("inline(arrays_zip(w, h))").distinct().collect()}
+    strided = decontamination.lengths(45)
+    assert strided == [8, 16, 24, 40]
+    got = {(x["doc"], x["start"], x["length"]): (x["x"], x["y"]) for x in decontamination._fingerprints(decontamination._windows(df, strided, [5]), ["doc", "start"]).collect()}
+    want = {}
+    for d, w in enumerate(words):
+        places = [(s, n) for n in strided for s in range(0, len(w) - n + 1, 8)] + [(s, 5) for s in range(len(w) - 4)]
+        for s, n in places:
+            half = [sum(1 << b for b in range(60) if 2 * sum(hashes[x][k] >> b & 1 for x in w[s : s + n]) > n) for k in (0, 1)]
+            want[(d, s, n)] = tuple(half)
+    assert got == want
+
+
 def test_leaks_odd(odd, spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, SAME), (4, SAME.upper()), (5, "ok")], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in decontamination.decontaminate(odd, items).collect())
-    assert got == [(7, 3), (7, 4), (8, 3), (8, 4)] or got == [(6, 5), (7, 3), (7, 4), (8, 3), (8, 4)]
+    assert got == [(6, 5), (7, 3), (7, 4), (8, 3), (8, 4)]
     edited = SAME.split()
     edited[20] = "other"
     near = spark.createDataFrame([(1, "before " + " ".join(edited) + " after")], "doc_id long, text string")
@@ -356,6 +486,29 @@ def test_quality_odd(odd):
     assert len(got) == 10 and all(0 <= r["score"] <= 1 for r in got) and quality_cnn.score(odd.where("false"), net).count() == 0
 
 
+def test_network_by_brute_force():
+    r = random.Random(3)
+    net = quality_cnn.fit_network([bytes(r.randrange(32, 127) for _ in range(r.randrange(0, 400))) for _ in range(60)], np.array([0, 1] * 30, np.float32), epochs=2)
+    texts = [b"", b"x", bytes(range(256)) * 3, bytes(r.randrange(256) for _ in range(1000)), b"word " * 77]
+    for t in texts:
+        pad = t + b"\0" * (((len(t) + 8 + 127) // 128) * 128 - len(t)) + b"\0" * 4
+        x = net.embed[np.frombuffer(pad, np.uint8)]
+        steps = [np.maximum(x[i : i + 8].ravel() @ net.filters + net.bias, 0) if i + 8 <= len(pad) else None for i in range(0, len(pad) - 4, 4)]
+        blocks = [np.max(steps[i : i + 32], axis=0) for i in range(0, len(steps), 32)]
+        chunks = [np.maximum(a, b) for a, b in zip(blocks, [*blocks[1:], blocks[-1]], strict=True)]
+        z = np.concatenate([np.max(blocks, axis=0), np.mean(chunks, axis=0)]) @ net.unit + net.offset
+        data = np.frombuffer(b"ahead" + t + b"behind", np.uint8)
+        got = quality_cnn.predict(net, data, np.array([0, 5, 5 + len(t), len(data)]))[1]
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_ties_of_training_rows(spark):
+    docs = spark.createDataFrame([(i, f"good text {i} " * 5) for i in range(20)] + [(0, "another text of the same key")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 0), (4, None), (5, 7)], "doc_id long, quality int")
+    one, two = (quality_cnn.fit(d.repartition(n), m.repartition(n)) for d, m, n in ((docs, labels, 2), (docs, labels, 5)))
+    assert all(np.array_equal(getattr(one, f), getattr(two, f)) for f in ("embed", "filters", "bias", "unit"))
+
+
 # ---- substrings
 def test_repeats_against_brute_force(spark, docs, texts):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.remove_repeats(docs).collect()}
@@ -459,6 +612,14 @@ def test_embeddings_odd(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_a_key_with_two_vectors(spark):
+    df = spark.createDataFrame([(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [0.01, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, block=1).collect())
+    assert got == [(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5)]
+    apart = {(r["vec_id"], r["component_id"]) for r in embedding_dedup.near_duplicates(df.withColumn("vec_id", F.when(F.col("embedding")[1] == 1, 9).otherwise(F.col("vec_id")))).collect()}
+    assert apart == {(5, 5), (6, 5), (9, 7), (7, 7)}
+
+
 def test_quantisation_bound():
     m = np.random.default_rng(0).normal(size=(300, 24))
     m[150:] = m[:150] + np.random.default_rng(1).normal(size=(150, 24)) * 0.3
