@@ -428,26 +428,27 @@ def test_most_edited_items_are_found(spark):
 
 def test_hamming_index_finds_all_within_the_radius(spark):
     r = random.Random(9)
-    known = [(i, 8, r.getrandbits(60), r.getrandbits(60)) for i in range(40)]
+    known = [(i, 8, r.getrandbits(56), r.getrandbits(56)) for i in range(40)]
     seen = []
     for j in range(400):
         _, length, x, y = r.choice(known)
-        for b in r.sample(range(120), r.randint(0, 24)):
-            x, y = (x ^ (1 << b), y) if b < 60 else (x, y ^ (1 << (b - 60)))
+        for b in r.sample(range(112), r.randint(0, 20)):
+            x, y = (x ^ (1 << b), y) if b < 56 else (x, y ^ (1 << (b - 56)))
         seen.append((j, length if j % 7 else 16, x, y))
     a = spark.createDataFrame(seen, "doc long, length int, x long, y long")
     b = spark.createDataFrame(known, "item long, length int, x long, y long")
     got = {(row["doc"], row["item"]) for row in decontamination.hamming(a, b).collect()}
     assert got == {(j, i) for j, m, x, y in seen for i, n, p, q in known if m == n and (x ^ p).bit_count() + (y ^ q).bit_count() <= decontamination.RADIUS}
     with pytest.raises(ValueError, match="index"):
-        decontamination.hamming(a, b, 20)
+        decontamination.hamming(a, b, 16)
 
 
 def test_fingerprints_by_brute_force(spark):
     r = random.Random(1)
     words = [[f"w{r.randrange(40)}" for _ in range(n)] for n in (0, 7, 8, 30, 61)]
-    df = spark.createDataFrame(list(enumerate(words)), "doc long, w array<string>")
-    hashes = {w["w"]: (w["h"]["x"] & (1 << 63) - 1, w["h"]["y"] & (1 << 63) - 1) for w in decontamination._hashed(df).selectExpr("inline(arrays_zip(w, h))").distinct().collect()}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc long, t string")
+    pairs = decontamination._hashed(df.select(decontamination._words(F.col("t")).alias("w"))).selectExpr("inline(arrays_zip(w, h))").distinct().collect()
+    hashes = {w["w"]: (w["h"]["x"], w["h"]["y"]) for w in pairs}
     strided = decontamination.lengths(45)
     assert strided == [8, 16, 24, 40]
     got = {(x["doc"], x["start"], x["length"]): (x["x"], x["y"]) for x in decontamination._fingerprints(decontamination._windows(df, strided, [5]), ["doc", "start"]).collect()}
@@ -455,11 +456,17 @@ def test_fingerprints_by_brute_force(spark):
     for d, w in enumerate(words):
         places = [(s, n) for n in strided for s in range(0, len(w) - n + 1, 8)] + [(s, 5) for s in range(len(w) - 4)]
         for s, n in places:
-            half = [sum(1 << b for b in range(60) if 2 * sum(hashes[x][k] >> b & 1 for x in w[s : s + n]) > n) for k in (0, 1)]
+            half = [sum(1 << b for b in range(56) if 2 * sum(hashes[x][k] >> b & 1 for x in w[s : s + n]) > n) for k in (0, 1)]
             want[(d, s, n)] = tuple(half)
     assert got == want
 
 
+def test_words_of_documents(spark):
+    texts = ["", "  ", "A b", " a  b\tc\nd\x0be ", "x\r\ny", None, "é É", "one"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", decontamination._words(F.col("t")).alias("w")).collect()
+    assert [r["w"] for r in sorted(got)] == [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for t in texts]
+
+
 def test_leaks_odd(odd, spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, SAME), (4, SAME.upper()), (5, "ok")], "item_id long, text string")
     got = sorted((r["doc_id"], r["item_id"]) for r in decontamination.decontaminate(odd, items).collect())
