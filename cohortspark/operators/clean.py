@@ -65,7 +65,12 @@ def replace_codes(df: DataFrame, codes: list[float], columns: list[str], keep: d
     return df.select(*[without_codes(F.col(c), [*codes, *by_column.get(c, [])], keep.get(c, [])).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def codes_from_codebook(codebook: DataFrame, terms: list[str]) -> DataFrame:
+# What labels of missing values say.
+MISSING_TERMS = ["missing", "unknown", "not available", "not assessed", "not asked", "not applicable", "not app", "not collected", "did not collect", "not done", "not performed", "refused", "don't know", "dont know",
+                 "unable to determine", "no information", "blank", "not reported", "not recorded", "not obtained", "not administered", "form version", "skipped"]
+
+
+def codes_from_codebook(codebook: DataFrame, terms: list[str] = MISSING_TERMS) -> DataFrame:
     """(column_name, code) that the codebook declares missing: numbers in its missing-code cells, and codes whose label reads like missing."""
     number = r"(?<![A-Za-z0-9])-?\d+(?:\.\d+)?(?![A-Za-z0-9])"
     listed = F.coalesce(F.regexp_extract_all(F.col("missing_codes"), F.lit(number), F.lit(0)), F.array().cast("array<string>"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.hashing import poisson_of, uniform
 from cohortspark.functions.values import flag
+from cohortspark.operators.ranges import exact_quantiles, with_range
 
 KEYS = ["model"]
 
@@ -33,13 +34,20 @@ def _by_score(scored: DataFrame, keys: list[str], weight: Column | None = None)
 def ranking(scored: DataFrame, keys: list[str] = KEYS, weight: Column | None = None) -> DataFrame:
     """auc (ties count half) and average precision over distinct thresholds; null without both classes.
 
-    The windows run over distinct scores, not over rows.
+    Distinct scores are cut into ranges of about equal numbers; sums over ranges carry over, and windows run inside a range only.
     """
-    g = _by_score(scored, keys, weight)
-    up = Window.partitionBy(*keys).orderBy("risk")
-    down = Window.partitionBy(*keys).orderBy(F.desc("risk"))
-    g = g.select("*", (F.sum("neg").over(up) - F.col("neg")).alias("below"), F.sum("pos").over(down).alias("tp"), (F.sum("pos").over(down) + F.sum("neg").over(down)).alias("taken"))
-    out = g.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("below") + 0.5 * F.col("pos") * F.col("neg")).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(F.col("pos") * F.try_divide(F.col("tp").cast("double"), F.col("taken"))).alias("ap"))
+    g = with_range(_by_score(scored, keys, weight), keys, "risk")
+    inside = [*keys, "_range"]
+    up, every = Window.partitionBy(*keys).orderBy("_range"), Window.partitionBy(*keys)
+    part = g.groupBy(*inside).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
+    above = lambda c: F.sum(c).over(every) - F.sum(c).over(up) + F.col(c)  # noqa: E731  of this range and greater ones
+    part = part.select(*inside, (F.sum("_q").over(up) - F.col("_q")).alias("_below"), above("_p").alias("_p"), above("_q").alias("_q"))
+    at = Window.partitionBy(*inside).orderBy("risk")
+    upto = lambda c: F.sum(c).over(at) - F.col(c)
+    g = g.join(part, inside).withColumns({"below": F.col("_below") + upto("neg"), "tp": F.col("_p") - upto("pos"), "fp": F.col("_q") - upto("neg")})
+    u = F.sum(F.col("pos") * F.col("below") + 0.5 * F.col("pos") * F.col("neg"))
+    ap = F.sum(F.col("pos") * F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")))
+    out = g.groupBy(*keys).agg(u.alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("q"), ap.alias("ap"))
     ok = (F.col("p") > 0) & (F.col("q") > 0)
     return out.select(*keys, F.when(ok, F.col("u") / (F.col("p").cast("double") * F.col("q"))).alias("auc"), F.when(ok, F.col("ap") / F.col("p")).alias("ap"))
 
@@ -112,11 +120,12 @@ def with_quantile_bin(scored: DataFrame, keys: list[str], bins: int = 10, value:
 
     Edges are exact percentiles, one array per key; the keys' table is small and joins back.
     """
-    at = ", ".join(f"{i / bins}D" for i in range(bins + 1))
-    edges = scored.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.expr(f"percentile({value}, array({at}))"))).alias("_e")) if keys else scored.agg(F.array_sort(F.array_distinct(F.expr(f"percentile({value}, array({at}))"))).alias("_e"))
-    both = scored.join(edges, keys) if keys else scored.join(edges, how="cross")
+    edges = exact_quantiles(scored, keys, value, [i / bins for i in range(bins + 1)])
+    edges = edges.select(*keys, F.array_sort(F.array_distinct("quantiles")).alias("_e"))
+    both = scored.join(edges, keys, "left") if keys else scored.join(F.broadcast(edges.agg(F.first("_e").alias("_e"))), how="cross")
     below = F.size(F.filter("_e", lambda e: e < F.col(value)))
-    return both.withColumn(out, F.when(F.col(value).isNull() | (F.size("_e") < 2), -1).otherwise(F.greatest(F.lit(1), below) - 1)).drop("_e")
+    flat = F.col("_e").isNull() | (F.size("_e") < 2)
+    return both.withColumn(out, F.when(F.col(value).isNull() | flat, -1).otherwise(F.greatest(F.lit(1), below) - 1)).drop("_e")
 
 
 def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:

@@ -32,14 +32,25 @@ def arm_matrix(sets: dict[str, list[str]], families: list[str]) -> list[Arm]:
 
 
 def fit(train: DataFrame, arm: Arm, label: str = "label") -> PipelineModel:
-    """A fitted arm; classes are balanced by weights. Logistic: L2 with strength c; gbt: shallow boosted trees."""
+    """A fitted arm; classes are balanced by weights. Logistic: L2 with strength c; gbt: shallow boosted trees.
+
+    Trees stop early with the parameter `stop`, a share of the training rows (by a hash of their features) on which the loss must go on falling by `tolerance`;
+    under 100 rows, or 5 of a class, all rows train and all trees are grown. `least` is the smallest leaf.
+    """
+    p = arm.parameters
     weighted = S.balanced_weights(train, label)
     assembler = VectorAssembler(inputCols=list(arm.features), outputCol="_features", handleInvalid="keep")
     if arm.family == "logistic":
         total = weighted.agg(F.sum("weight")).first()[0] or 1.0
-        model = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="weight", regParam=1.0 / (arm.parameters.get("c", 1.0) * total), maxIter=arm.parameters.get("iterations", 50), standardization=False)
+        model = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="weight", regParam=1.0 / (p.get("c", 1.0) * total), maxIter=p.get("iterations", 50), standardization=False)
     else:
-        model = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="weight", maxDepth=arm.parameters.get("depth", 3), maxIter=arm.parameters.get("trees", 10), minInstancesPerNode=arm.parameters.get("least", 20), seed=7)
+        model = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="weight", maxDepth=p.get("depth", 3), maxIter=p.get("trees", 10), stepSize=p.get("rate", 0.1), minInstancesPerNode=p.get("least", 20), seed=7)
+        counts = [r["count"] for r in train.groupBy(label).count().collect()]
+        if p.get("stop") and sum(counts) >= 100 and len(counts) == 2 and min(counts) >= 5:
+            held = F.pmod(F.xxhash64(*arm.features), F.lit(1000)) < int(p["stop"] * 1000)
+            weighted = weighted.withColumn("_held", held)
+            model = model.setValidationIndicatorCol("_held")
+            model.set(model.validationTol, p.get("tolerance", 0.01))
     return Pipeline(stages=[assembler, model]).fit(weighted)
 
 

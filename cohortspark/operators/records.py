@@ -21,26 +21,70 @@ def identity(token: Column, provider: Column, score: Column) -> list[Column]:
     return [norm.alias("normalized"), F.when(norm == "", F.lit("")).otherwise(F.sha2(norm, 256)).alias("token_key"), provider.alias("provider"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("similarity")]
 
 
-def _first_object(text: str | None) -> str | None:
-    """The first JSON object in a noisy text: the inside of `response`, the first object of a list; None without any."""
-    if not text:
+_DEEPEST = 100  # envelopes inside envelopes that are opened
+
+
+def _balanced(text: str):
+    """Stretches of the text from an outer opening brace to the brace that closes it; braces inside strings don't count, and one never closed has none."""
+    start, depth, quoted, skip = -1, 0, False, False
+    for i, c in enumerate(text):
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = c == "\\", c != '"'
+        elif c == '"' and depth:
+            quoted = True
+        elif c == "{":
+            start, depth = (i, 1) if not depth else (start, depth + 1)
+        elif c == "}" and depth:
+            depth -= 1
+            if not depth:
+                yield text[start : i + 1]
+
+
+def _parsed(text: str):
+    """The JSON value of a text; None for none, and for what is nested too deep or holds what JSON has no value for."""
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
         return None
-    decoder = json.JSONDecoder()
-    at = text.find("{")
-    while at >= 0:
-        try:
-            value, _ = decoder.raw_decode(text, at)
-        except ValueError:
-            at = text.find("{", at + 1)
-            continue
-        inner = value.get("response")
-        if isinstance(inner, str):
-            inner = json.loads(_first_object(inner) or "null")
-        return json.dumps(inner if isinstance(inner, dict) else value)
+
+
+def _object(text: str, required: list[str], depth: int = 0) -> dict | None:
+    """The object of a whole text, else of its first balanced stretch that is JSON; of a list its first element.
+
+    An envelope (`response`, and none of the required keys) stands for what it holds, itself or as text.
+    """
+    for part in [text, *_balanced(text)]:
+        value = _parsed(part)
+        if isinstance(value, list):
+            value = value[0] if value and isinstance(value[0], dict) else None
+        for _ in range(_DEEPEST):
+            if not isinstance(value, dict) or "response" not in value or any(k in value for k in required):
+                break
+            value = value["response"]
+            if isinstance(value, str):
+                return _object(value, required, depth + 1) if depth < _DEEPEST else None
+            if not isinstance(value, dict):
+                return None
+        if isinstance(value, dict):
+            return value
     return None
 
 
-def extract_json(df: DataFrame, response: str, schema: str = RECORD, out: str = "record") -> DataFrame:
+def first_object(text: str | None, required: list[str] = ()) -> str | None:
+    """The first JSON object in a noisy text; None without any.
+
+    Only outer, closed objects count: of a cut-off answer no inner object is taken for it. What is nested beyond Python's limit counts as none.
+    """
+    try:
+        found = _object(text, list(required)) if text else None
+        return None if found is None else json.dumps(found)
+    except RecursionError:
+        return None
+
+
+def extract_json(df: DataFrame, response: str, schema: str = RECORD, out: str = "record", required: list[str] = ("f1", "f2")) -> DataFrame:
     """Adds the parsed record (null where no object is found) and json_text.
 
     Texts that are one clean object stay on the JVM; only the others go through Python, in Arrow batches.
@@ -48,7 +92,7 @@ def extract_json(df: DataFrame, response: str, schema: str = RECORD, out: str =
 
     @F.pandas_udf("string")
     def noisy(texts: pd.Series) -> pd.Series:
-        return texts.map(_first_object)
+        return texts.map(lambda t: first_object(t, required))
 
     c = F.trim(F.col(response))
     clean = c.startswith("{") & c.endswith("}") & ~c.contains('"response"') & F.json_object_keys(c).isNotNull()
@@ -100,21 +144,31 @@ def by_rules(text: Column, n: Column, flags: dict[str, Column], labels: dict[str
     return [*[c.alias(k) for k, c in flags.items()], some.alias("domain_count"), F.when(text == "", 0.20).when(some > 0, 0.80).otherwise(0.65).alias("confidence"), flag(text == "").alias("review"), summary.alias("summary")]
 
 
+def _answers(ask: Callable, texts: list[str], retries: int) -> list:
+    """One answer per text, None where there is none: a batch that fails or comes back short is halved, so that one bad text costs no other its answer."""
+    for _ in range(retries + 1):
+        try:
+            got = list(ask(texts))
+        except Exception:  # noqa: BLE001  whatever the client raises, the rows must not be lost
+            continue
+        if len(got) == len(texts):
+            return got
+    if len(texts) < 2:
+        return [None] * len(texts)
+    half = len(texts) // 2
+    return _answers(ask, texts[:half], 0) + _answers(ask, texts[half:], 0)
+
+
 def call_in_batches(pending: DataFrame, token: str, client: Callable[[], Callable[[list[str]], list[dict | None]]], parts: int, retries: int = 2) -> DataFrame:
-    """Answers of an injected client for each pending text: `parts` tasks bound the concurrency, failed batches are tried again, texts without an answer come back with status `fallback`."""
+    """Answers of an injected client for each pending text: `parts` tasks bound the concurrency, failed batches are tried again and then halved, texts without an answer come back with status `fallback`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = client()
         for pdf in batches:
-            texts, answers = pdf[token].tolist(), None
-            for _ in range(retries + 1):
-                try:
-                    answers = ask(texts)
-                    break
-                except Exception:  # noqa: BLE001  whatever the client raises, the rows must not be lost
-                    continue
-            answers = answers or [None] * len(texts)
-            yield pd.DataFrame({token: texts, "response": [None if a is None else json.dumps(a, sort_keys=True) for a in answers], "status": ["fallback" if a is None else "called" for a in answers]})
+            texts = pdf[token].tolist()
+            answers = _answers(ask, texts, retries)
+            responses = [None if a is None else json.dumps(a, sort_keys=True) for a in answers]
+            yield pd.DataFrame({token: texts, "response": responses, "status": ["fallback" if a is None else "called" for a in answers]})
 
     return pending.select(token).repartition(parts, token).mapInPandas(run, f"{token} string, response string, status string")
 
@@ -149,11 +203,20 @@ def certification_summary(df: DataFrame, top: int = 20) -> DataFrame:
     return one.join(told, how="cross")  # one row by one row
 
 
-def rolled_up(profiles: DataFrame, key: str, tokens: str, records: DataFrame, flags: list[str] = FLAGS) -> DataFrame:
-    """One record per distinct profile from its tokens' records: largest flags and review, smallest confidence, summed attempts and time, provider all/mixed/none."""
+def rolled_up(profiles: DataFrame, key: str, tokens: str, records: DataFrame, flags: list[str] = FLAGS, most_sent: int = 100_000, salts: int = 16) -> DataFrame:
+    """One record per distinct profile from its tokens' records: largest flags and review, smallest confidence, summed attempts and time, provider all/mixed/none.
+
+    Up to `most_sent` records (rows of a fixed width) are sent to every task; more meet the profiles by salted keys.
+    """
     distinct = profiles.select(tokens).distinct().withColumn("_profile", F.sha2(F.array_join(tokens, "|"), 256))
     long = distinct.select("_profile", F.explode(tokens).alias("token")).withColumn("token_key", F.sha2("token", 256)).drop("token")
-    joined = long.join(records.withColumn("token_key", F.sha2("token", 256)).drop("token"), "token_key")
+    keyed = records.withColumn("token_key", F.sha2("token", 256)).drop("token")
+    if keyed.limit(most_sent + 1).count() <= most_sent:
+        joined = long.join(F.broadcast(keyed), "token_key")
+    else:
+        # a token of most profiles is one hot key: its record goes to several places, profiles are dealt among them
+        spread = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = long.withColumn("_salt", F.pmod(F.hash("_profile"), F.lit(salts)).cast("int")).join(spread, ["token_key", "_salt"]).drop("_salt")
     n, true = F.count(F.lit(1)), F.count_if(F.col("provider") == "model")
     rolled = joined.groupBy("_profile").agg(*[F.max(f).alias(f) for f in flags], F.max("review").alias("review"), F.min(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))).alias("confidence"), F.sum("attempts").alias("attempts"), F.sum("elapsed").alias("elapsed"), F.when(true == n, "all").when(true > 0, "mixed").otherwise("none").alias("provider_mix"), n.alias("n_known"))
     out = profiles.withColumn("_profile", F.sha2(F.array_join(tokens, "|"), 256)).join(rolled, "_profile", "left")

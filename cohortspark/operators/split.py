@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.functions.hashing import bucket
 from cohortspark.functions.values import flag
+from cohortspark.operators.ranges import exact_quantiles
 
 SIZE = 10_000
 
@@ -21,16 +22,23 @@ def three_way(entity: Column, test: float, validation: float, salt: str = "") ->
     return F.when(b < t, "test").when(b < t + int(round(validation * SIZE)), "validation").otherwise("train")
 
 
-def first_valid_salt(df: DataFrame, entity: str, label: str, salts: list[str], test: float, validation: float) -> str | None:
-    """The first salt under which every part has both classes; all salts are counted in one aggregate, only the counts come to the driver."""
-    aggs = []
-    for i, s in enumerate(salts):
-        part = three_way(F.col(entity), test, validation, s)
-        for p in ("train", "validation", "test"):
-            for y in (0, 1):
-                aggs.append(F.count_if((part == p) & (F.col(label) == y)).alias(f"{i}_{p}_{y}"))
-    row = df.agg(*aggs).first()
-    return next((s for i, s in enumerate(salts) if all(row[f"{i}_{p}_{y}"] for p in ("train", "validation", "test") for y in (0, 1))), None)
+def first_valid_salt(df: DataFrame, entity: str, label: str, salts: list[str], test: float, validation: float, block: int = 5) -> str | None:
+    """The first salt under which every part has both classes; None without any.
+
+    Labels are counted per entity, and a few salts are tried at once in one aggregate: the first block mostly holds one. Only counts come to the driver.
+    """
+    y = F.col(label)
+    counted = df.groupBy(entity).agg(F.count_if(y == 0).alias("_n0"), F.count_if(y == 1).alias("_n1"))
+    parts = ("train", "validation", "test")
+    for at in range(0, len(salts), block):
+        some = salts[at : at + block]
+        marked = counted.select("_n0", "_n1", *[three_way(F.col(entity), test, validation, x).alias(f"p{i}") for i, x in enumerate(some)])
+        sums = [F.sum(F.when(F.col(f"p{i}") == p, F.col(f"_n{c}"))).alias(f"{i}_{p}_{c}") for i in range(len(some)) for p in parts for c in (0, 1)]
+        row = marked.agg(*sums).first()
+        for i, salt in enumerate(some):
+            if all(row[f"{i}_{p}_{c}"] for p in parts for c in (0, 1)):
+                return salt
+    return None
 
 
 def summary(df: DataFrame, entity: str, label: str, split: str = "split") -> DataFrame:
@@ -86,7 +94,11 @@ def impute_mode(df: DataFrame, train: Column, columns: list[str]) -> DataFrame:
 
 def impute_median(df: DataFrame, train: Column, columns: list[str]) -> DataFrame:
     """Missing values become the exact training median."""
-    fitted = df.where(train).agg(*[F.expr(f"percentile(`{c}`, 0.5D)").alias(f"_m_{c}") for c in columns])
+    part = df.where(train)
+    fitted = None
+    for c in columns:
+        one = exact_quantiles(part, [], c, [0.5]).agg(F.first(F.get("quantiles", F.lit(0))).alias(f"_m_{c}"))
+        fitted = one if fitted is None else fitted.join(one, how="cross")  # one row by one row
     return _beside(df, fitted).select(*[F.coalesce(F.col(c).cast("double"), f"_m_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 

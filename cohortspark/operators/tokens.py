@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.values import flag
+from cohortspark.sources.tables import written
 
 # Texts that name no token, as they read once punctuation is gone.
 PLACEHOLDERS = ["", "nan", "none", "unknown", "unk", "not reported", "not recorded", "not available", "missing", "n a", "na", "null", "no", "no meds", "no med", "no medication", "no medications", "not applicable", "not app",
@@ -37,13 +38,32 @@ def tokens_of_columns(columns: list[str]) -> Column:
 def dictionary(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Each token with the number of rows that have it, its source columns, its rank (by frequency, then token) and sha256 key.
 
-    The rank is a window over the dictionary, which is far smaller than the table.
+    The dictionary is written once, as its ranks take it several times; no window runs over all tokens.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("source"), tokens_of(F.col(c)).alias("tokens")) for c in columns])
     long = df.select(F.col(key).alias("_row"), F.explode(cells).alias("x")).select("_row", "x.source", F.explode("x.tokens").alias("token"))
     per = long.groupBy("token", "_row").agg(F.collect_set("source").alias("s"))
     out = per.groupBy("token").agg(F.count(F.lit(1)).alias("row_frequency"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("s")))), ";").alias("source_columns"))
-    return out.select("token", "row_frequency", "source_columns", F.row_number().over(Window.orderBy(F.desc("row_frequency"), "token")).alias("rank"), F.sha2("token", 256).alias("token_key"))
+    out = numbered(written(out), "token", "row_frequency")
+    return out.select("token", "row_frequency", "source_columns", "rank", F.sha2("token", 256).alias("token_key"))
+
+
+def numbered(counts: DataFrame, text: str, n: str, ranges: int = 64) -> DataFrame:
+    """Adds the rank of each distinct text by descending frequency, ties by text.
+
+    Windows run over the distinct frequencies and inside counted ranges of the texts of one frequency.
+    """
+    cuts = _ranges(counts, text, ranges)
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(text))) if cuts else F.lit(0)
+    counts = counts.withColumn("_range", at)
+    cells = counts.groupBy(n, "_range").agg(F.count(F.lit(1)).alias("_k"))
+    freq = cells.groupBy(n).agg(F.sum("_k").alias("_f"))
+    freq = freq.select(n, (F.sum("_f").over(Window.orderBy(F.desc(n))) - F.col("_f")).alias("_ahead"))
+    before = F.sum("_k").over(Window.partitionBy(n).orderBy("_range")) - F.col("_k")
+    starts = cells.select(n, "_range", before.alias("_inside")).join(freq, n)
+    row = F.row_number().over(Window.partitionBy(n, "_range").orderBy(text))
+    both = counts.join(starts, [n, "_range"]).withColumn("rank", (F.col("_ahead") + F.col("_inside") + row).cast("int"))
+    return both.drop("_range", "_ahead", "_inside")
 
 
 def aliases(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -61,14 +81,18 @@ def alias_map(table: DataFrame) -> Column | None:
     return F.create_map(*[F.lit(x) for r in rows for x in (r["alias"], r["canonical"])]) if rows else F.create_map().cast("map<string,string>")
 
 
-def canonical_tokens(df: DataFrame, key: str, tokens: str, table: DataFrame, out: str = "canonical") -> DataFrame:
-    """Adds the tokens under their canonical names, distinct and sorted: by a map literal for small alias tables, by a join beyond."""
+def canonical_tokens(df: DataFrame, tokens: str, table: DataFrame, out: str = "canonical") -> DataFrame:
+    """Adds the tokens under their canonical names, distinct and sorted; a null array stays null, repeated rows stay as they are.
+
+    A small alias table becomes a map literal; a larger one is joined to the distinct token arrays, which then join back. Both give the same rows.
+    """
     names = alias_map(table)
     if names is not None:
         return df.withColumn(out, F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.coalesce(names[t], t)))))
-    long = df.select(key, F.explode(tokens).alias("alias")).join(table, "alias", "left")
-    got = long.groupBy(key).agg(F.array_sort(F.collect_set(F.coalesce("canonical", "alias"))).alias(out))
-    return df.join(got, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+    every = df.select(F.col(tokens).alias("_t")).where("_t is not null").distinct()
+    long = every.select("_t", F.explode_outer("_t").alias("alias")).join(table.select("alias", "canonical"), "alias", "left")
+    got = long.groupBy("_t").agg(F.array_sort(F.collect_set(F.coalesce("canonical", "alias"))).alias(out))
+    return df.join(got, df[tokens] == got["_t"], "left").drop("_t")
 
 
 def _any_of(terms: list[str]) -> str:
@@ -166,6 +190,6 @@ def by_coverage(texts: DataFrame, text: str, share: float, most: int | None = No
     taken = lambda inside: F.col("_rows") + inside * F.col("n") < F.col("_total") * share
     starts = cells.select("n", "_range", before.alias("_inside")).join(freq, "n").where(taken(F.col("_inside")))
     inside = F.col("_inside") + F.row_number().over(Window.partitionBy("n", "_range").orderBy(text)) - 1
-    ranked = counts.join(F.broadcast(starts), ["n", "_range"]).withColumn("_at", inside)
+    ranked = counts.join(starts, ["n", "_range"]).withColumn("_at", inside)
     ranked = ranked.where(taken(F.col("_at"))).select(text, "n", (F.col("_ahead") + F.col("_at") + 1).alias("rank"))
     return ranked if most is None else ranked.where(F.col("rank") <= most)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.hashing import hash32
@@ -69,12 +69,19 @@ def audit(df: DataFrame, vector: str) -> DataFrame:
     return df.agg(F.count(v).alias("vectors"), F.count_distinct(v).alias("distinct_vectors"), F.count_if(~F.exists(v, lambda x: x != 0)).alias("zero_vectors"), F.min(F.size(v)).alias("least_size"), F.max(F.size(v)).alias("most_size"))
 
 
-def cosine_top(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, blocks: int = 8) -> DataFrame:
-    """The k nearest rows of the corpus to each query by cosine, ties by key: every block of the corpus keeps its own k first, then those meet."""
+def cosine_top(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int, rows: int = 4096) -> DataFrame:
+    """The k nearest rows of the corpus to each query by cosine, ties by key.
+
+    The corpus is dealt into blocks of about `rows` rows, which every query visits: work is their product, but no task gathers more than the k best of
+    a query and block (Spark keeps no others below the window). A stated, smaller set of queries is meant to come against a large corpus.
+    """
+    blocks = max(1, -(-corpus.count() // rows))
     norm = lambda v: F.sqrt(dot(v, v))
     q = queries.select(F.col(key).alias("q"), F.col(vector).alias("qv")).withColumn("qn", norm(F.col("qv"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     c = corpus.select(F.col(key).alias("c"), F.col(vector).alias("cv")).withColumn("cn", norm(F.col("cv"))).withColumn("block", F.pmod(F.hash("c"), F.lit(blocks)))
-    pairs = q.join(c, "block").where("q <> c").select("q", "block", F.struct((-F.round(F.try_divide(dot(F.col("qv"), F.col("cv")), F.col("qn") * F.col("cn")), 9)).alias("s"), "c").alias("x"))
-    own = pairs.groupBy("q", "block").agg(F.slice(F.array_sort(F.collect_list("x")), 1, k).alias("x"))
-    best = own.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("x"))), 1, k).alias("x"))
-    return best.select("q", F.posexplode("x").alias("rank", "x")).select(F.col("q").alias(key), (F.col("rank") + 1).alias("rank"), F.col("x.c").alias("neighbour"), (-F.col("x.s")).alias("cosine"))
+    cosine = F.round(F.try_divide(dot(F.col("qv"), F.col("cv")), F.col("qn") * F.col("cn")), 9)
+    pairs = q.join(c, "block").where("q <> c").select("q", "block", cosine.alias("cosine"), "c")
+    best_first = (F.col("cosine").desc_nulls_first(), "c")
+    own = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q", "block").orderBy(*best_first))).where(F.col("r") <= k)
+    best = own.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(*best_first))).where(F.col("rank") <= k)
+    return best.select(F.col("q").alias(key), "rank", F.col("c").alias("neighbour"), "cosine")

@@ -1,7 +1,5 @@
 """Queries on coded tables: cleaning, profiles, audits, guards, sinks and codebooks."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from cohortspark.functions.values import is_blank, recode_binary, to_number
@@ -13,7 +11,6 @@ from cohortspark.sources import cache, codebooks, tables
 CODES = [-4.0, -4.4, -5.0]
 KEEP = {"c1": [8.0], "c2": [88.0]}
 BY = {"c1": [8.0, 9.0], "c2": [88.0, 99.0]}
-TERMS = ["missing", "unknown", "not available", "not collected", "refused"]
 _COLS = ["c1", "c2", "c3"]
 
 
@@ -33,11 +30,7 @@ def coded(spark, sf):
     return view(spark, sf, "v_coded")
 
 
-def place(spark):
-    """A new folder in the shared checkpoint folder, or in the warehouse where none is set."""
-    d = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = d.get() if d.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/tables-{uuid.uuid4().hex}"
+place = tables.scratch
 
 
 @query(sql("v_coded", "SELECT visit_id, c1, c2, state FROM (SELECT *, row_number() OVER (ORDER BY visit_id) - 1 AS n FROM v_coded) WHERE n >= 100 AND n < 900"))
@@ -45,14 +38,24 @@ def scan_columns_window(spark, sf):
     return tables.row_window(tables.select_columns(coded(spark, sf), ["visit_id", "c1", "c2", "state"], ["c1", "c2"]), "visit_id", 100, 900)
 
 
+def _books(spark, sf):
+    """The codebook of the parts as two books of CSV files: with other headers, one in UTF-8, the other in Latin-1; beside them a file that is none."""
+    out = place(spark)
+    v = view(spark, sf, "v_codebook")
+    one = v.where("book = 'book1'").select("line", F.col("name").alias("Variable Name"), F.col("description").alias("Short Descriptor"), "missing_codes")
+    two = v.where("book = 'book2'").select("line", F.col("name").alias("FIELD"), F.col("description").alias("Definition"), "code", "label")
+    for number, (book, encoding) in enumerate(((one, "UTF-8"), (two, "ISO-8859-1")), 1):
+        keep = book.write.option("header", True).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        keep.csv(f"{out}/book{number}")
+    spark.range(1).select(F.lit("<html>, no codebook at all</html>")).write.text(f"{out}/book3")
+    return out
+
+
 def _united(spark, sf):
-    book = view(spark, sf, "v_codebook")
-    one = book.where("file = 1").select("line", F.col("name").alias("Variable Name"), F.col("description").alias("Short Descriptor"), "missing_codes")
-    two = book.where("file = 2").select("line", F.col("name").alias("FIELD"), F.col("description").alias("Definition"), "code")
-    return codebooks.unite([(1, one), (2, two)])
+    return codebooks.unite(codebooks.read_books(spark, _books(spark, sf)))
 
 
-_UNITED = "u AS (SELECT upper(name) AS key, file, line, name, description FROM v_codebook QUALIFY row_number() OVER (PARTITION BY upper(name) ORDER BY file, line) = 1)"
+_UNITED = "u AS (SELECT upper(trim(name)) AS key, book, line, trim(name) AS name, trim(description) AS description FROM v_codebook WHERE lower(trim(name)) NOT IN ('', 'nan', 'none') AND trim(description) <> '' QUALIFY row_number() OVER (PARTITION BY upper(trim(name)) ORDER BY book, line) = 1)"
 
 
 @query(sql("v_codebook", _UNITED + ";; SELECT * FROM u"))
@@ -60,20 +63,17 @@ def scan_codebook_union(spark, sf):
     return _united(spark, sf)
 
 
-@query(sql("v_codebook v_coded", _UNITED + ", n AS (SELECT unnest(['entity', 'visit_id', 'y', 'm', 'd', 'state', 'price', 'priority', 'c1', 'c2', 'c3', 'c4']) AS column_name);; SELECT column_name, coalesce(description, 'no description of ' || column_name) AS description, file, CASE WHEN key IS NULL THEN 'fallback' WHEN name = column_name THEN 'exact' ELSE 'case_insensitive' END AS match FROM n LEFT JOIN u ON upper(column_name) = key"))
+@query(sql("v_codebook v_variables", _UNITED + ";; SELECT column_name, coalesce(description, 'no description of ' || column_name) AS description, book, CASE WHEN key IS NULL THEN 'fallback' WHEN name = column_name THEN 'exact' ELSE 'case_insensitive' END AS match FROM v_variables LEFT JOIN u ON upper(column_name) = key"))
 def codebook_description_lookup(spark, sf):
-    df = coded(spark, sf)
-    names = spark.createDataFrame([(c,) for c in df.columns], "column_name string")
-    return codebooks.look_up(names, _united(spark, sf), F.concat(F.lit("no description of "), "column_name"))
+    return codebooks.look_up(view(spark, sf, "v_variables"), _united(spark, sf), F.concat(F.lit("no description of "), "column_name"))
+
 
+_HAVE = "n AS (SELECT unnest(['book1', 'book2', 'book3', 'book4']) AS name), have AS (SELECT DISTINCT book AS name, true AS h FROM v_codebook UNION ALL SELECT 'book3', true)"
 
-@query()
+
+@query(sql("v_codebook", _HAVE + ";; SELECT name, h IS NOT NULL AS exists, h IS NOT NULL AND name <> 'book3' AS valid, CASE WHEN h IS NULL THEN 'missing' WHEN name = 'book3' THEN 'invalid' ELSE 'ok' END AS status FROM n LEFT JOIN have USING (name)"))
 def codebook_file_audit(spark, sf):
-    out = place(spark)
-    _united(spark, sf).select("key", "description").coalesce(1).write.option("header", True).csv(f"{out}/books")
-    found = codebooks.file_audit(spark, f"{out}/books", ["codebook_a.csv", "codebook_b.csv"])
-    have = spark.read.format("binaryFile").load(f"{out}/books").select((F.col("length") > 20).alias("valid"))
-    return found.unionByName(have.select(F.lit("written").alias("name"), F.lit(True).alias("exists"), "valid", F.when(F.col("valid"), "ok").otherwise("invalid").alias("status")))
+    return codebooks.file_audit(spark, _books(spark, sf), ["book1", "book2", "book3", "book4"])
 
 
 @query(sql("v_visits", "SELECT visit_id, round_even(price / 7, 2) AS unit, CAST(flag_a AS INT) AS flag_a, CAST(state AS BIGINT) AS state FROM v_visits"))
@@ -175,9 +175,13 @@ def missing_codes_by_column(spark, sf):
     return K.replace_codes(coded(spark, sf), CODES, _COLS, KEEP, BY).select("visit_id", "c1", "c2")
 
 
-@query(sql("v_codebook", "a AS (SELECT lower(trim(name)) AS column_name, unnest(regexp_split_to_array(missing_codes, '[^0-9A-Za-z.-]+')) AS x FROM v_codebook WHERE missing_codes IS NOT NULL), b AS (SELECT lower(trim(name)) AS column_name, code AS x FROM v_codebook WHERE regexp_matches(lower(label), '\\b(missing|unknown|not available|not collected|refused)\\b'));; SELECT DISTINCT column_name, TRY_CAST(x AS DOUBLE) AS code FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE TRY_CAST(x AS DOUBLE) IS NOT NULL"))
+_TERMS_SQL = "(" + "|".join(t.replace("'", "''") for t in K.MISSING_TERMS) + ")"
+
+
+@query(sql("v_codebook", f"a AS (SELECT lower(trim(name)) AS column_name, unnest(regexp_split_to_array(missing_codes, '[^0-9A-Za-z.-]+')) AS x FROM v_codebook WHERE missing_codes IS NOT NULL), b AS (SELECT lower(trim(name)) AS column_name, code AS x FROM v_codebook WHERE regexp_matches(lower(label), '\\b{_TERMS_SQL}\\b'));; SELECT DISTINCT column_name, TRY_CAST(x AS DOUBLE) AS code FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE TRY_CAST(x AS DOUBLE) IS NOT NULL AND column_name <> 'nan'"))
 def missing_codes_from_codebook(spark, sf):
-    return K.codes_from_codebook(view(spark, sf, "v_codebook"), TERMS)
+    books = codebooks.read_books(spark, _books(spark, sf), ["missing_codes", "code", "label"])
+    return K.codes_from_codebook(books.where("lower(name) <> 'nan'"))
 
 
 @query(sql("v_coded", f"SELECT visit_id, {_without('c1', [-4.0, -4.4, -5.0, 9.0])} AS c1, {_without('c2', [-4.0, -4.4, -5.0, 99.0])} AS c2 FROM v_coded"))
@@ -236,7 +240,7 @@ def column_domain(spark, sf):
     return df.select("column_name", K.column_domain(F.col("column_name"), PREFIXES, MEMBERS, "other").alias("domain"))
 
 
-@query()
+@query(sql("", "n AS (SELECT unnest(['y', 'm', 'd', 'state', 'price', 'priority', 'flag_a', 'flag_b']) AS column_name);; SELECT CASE WHEN column_name LIKE 'flag\\_%' ESCAPE '\\' THEN 'binary' ELSE 'numeric' END AS family, column_name FROM n"))
 def feature_lists(spark, sf):
     lists = K.feature_lists(view(spark, sf, "v_cohort"), {"flag_": "binary"}, ["entity", "visit_id", "label"])
     return spark.createDataFrame([(k, c) for k, v in lists.items() for c in v], "family string, column_name string")

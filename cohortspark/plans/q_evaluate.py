@@ -310,14 +310,17 @@ def _part(df, *names):
     return df.where(F.col("split").isin(*names))
 
 
-@query()
+_MODE = "(SELECT min(f) FROM (SELECT flag_b AS f, count(*) AS n FROM sp WHERE split = 'train' AND flag_b IS NOT NULL GROUP BY 1 QUALIFY rank() OVER (ORDER BY n DESC) = 1))"
+
+
+@query(sql("v_cohort", _SP + f";; SELECT visit_id, round((price - (SELECT avg(price) FROM sp WHERE split = 'train')) / (SELECT stddev_pop(price) FROM sp WHERE split = 'train'), 6) AS price, CAST(priority AS DOUBLE) AS priority, flag_a, coalesce(flag_b, {_MODE}) AS flag_b FROM sp"))
 def feature_frame(spark, sf):
-    return modelled(spark, sf).select("visit_id", *SETS["flags"])
+    return rounded(modelled(spark, sf).select("visit_id", *SETS["flags"]), 6)
 
 
 def _fit(spark, sf, family):
     df = modelled(spark, sf)
-    arm = M.Arm(family, family, tuple(SETS["flags"]))
+    arm = M.Arm(family, family, tuple(SETS["flags"]), {"trees": 30, "stop": 0.15, "least": 30} if family == "gbt" else {})
     return M.fit(_part(df, "train"), arm), df
 
 

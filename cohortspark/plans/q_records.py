@@ -251,7 +251,7 @@ def cosine_topk(spark, sf):
     return V.cosine_top(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 3)
 
 
-@query()
+@query(sql("v_cohort v_dictionary", "SELECT count(*) AS rows, count(DISTINCT entity) AS entities, CAST(sum(label) AS BIGINT) AS events, (SELECT count(*) FROM v_dictionary) AS tokens, '{\"index\": 3, \"target\": 4}' AS parameters FROM v_cohort"))
 def run_metadata_json(spark, sf):
     """Counts of the run's tables as one JSON document, written and read again."""
     c = view(spark, sf, "v_cohort").agg(F.struct(F.count(F.lit(1)).alias("rows"), F.count_distinct("entity").alias("entities"), F.sum("label").alias("events")).alias("cohort"))

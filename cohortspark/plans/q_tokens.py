@@ -69,7 +69,7 @@ def alias_normalize(spark, sf):
 
 @query(sql("v_aliases v_tokens_wide", LONG + ", " + _AL + ", k AS (SELECT DISTINCT visit_id, coalesce(canonical, token) AS c FROM firsts LEFT JOIN al ON alias = token);; SELECT o_orderkey AS visit_id, coalesce(string_agg(c, ' | ' ORDER BY c), '') AS canonical FROM orders LEFT JOIN k ON k.visit_id = o_orderkey GROUP BY 1"))
 def canonical_token_list(spark, sf):
-    return T.canonical_tokens(wide(spark, sf), "visit_id", "tokens", _aliases(spark, sf)).select("visit_id", F.array_join("canonical", " | ").alias("canonical"))
+    return T.canonical_tokens(wide(spark, sf), "tokens", _aliases(spark, sf)).select("visit_id", F.array_join("canonical", " | ").alias("canonical"))
 
 
 def _match(p):

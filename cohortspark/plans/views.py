@@ -25,13 +25,17 @@ VIEWS = {
         CASE k2 WHEN 0 THEN '-5' WHEN 1 THEN 'abc' WHEN 2 THEN '88' WHEN 3 THEN NULL WHEN 4 THEN '99' ELSE $s(k2 * 3) END AS c2,
         CASE k3 WHEN 0 THEN ' -4 ' WHEN 1 THEN '9' WHEN 2 THEN '8' WHEN 3 THEN '' ELSE concat($s(k3), '.5') END AS c3, CASE WHEN k1 % 2 = 0 THEN ' ' END AS c4
         FROM (SELECT *, CAST($h(concat('1', $s(visit_id))) % 17 AS INT) AS k1, CAST($h(concat('2', $s(visit_id))) % 17 AS INT) AS k2, CAST($h(concat('3', $s(visit_id))) % 17 AS INT) AS k3 FROM v_visits)"""),
-    "v_codebook": ([], """SELECT * FROM (VALUES (1, 1, 'C1', 'first code', '8=Unknown; -4.4 Not collected', CAST(NULL AS $STR), CAST(NULL AS $STR)), (1, 2, 'c2', 'second number', '88, 99', NULL, NULL), (1, 3, 'PRIORITY', 'urgency of the order', NULL, NULL, NULL),
-        (2, 1, 'c2', 'a later text', NULL, '99', 'missing value'), (2, 2, 'C3', 'third value', NULL, '9', 'Unknown'), (2, 3, 'c3', 'third again', NULL, '8', 'eight times'), (2, 4, 'state', 'diagnosis', NULL, '1', 'normal')) AS t(file, line, name, description, missing_codes, code, label)"""),
+    "v_codebook": (["part"], """SELECT book, CAST(p_partkey AS INT) AS line, CASE $h(concat('n', $s(p_partkey))) % 5 WHEN 0 THEN lower(v) WHEN 1 THEN concat(' ', v) WHEN 2 THEN 'nan' ELSE v END AS name, CASE WHEN $h(concat('t', $s(p_partkey))) % 5 = 0 THEN ' ' ELSE concat(p_name, ' é ', p_brand) END AS description,
+        CASE WHEN book = 'book1' THEN CASE p_partkey % 4 WHEN 0 THEN concat($s(p_size), '=Unknown; -4.4 Not collected') WHEN 1 THEN '88, 99' END END AS missing_codes, CASE WHEN book = 'book2' THEN $s(p_size) END AS code,
+        CASE WHEN book = 'book2' THEN CASE p_partkey % 5 WHEN 0 THEN 'missing value' WHEN 1 THEN 'Unknown' WHEN 2 THEN 'Not collected' ELSE concat(p_type, ' part') END END AS label
+        FROM (SELECT *, concat('V', $s(p_partkey - p_partkey % 3)) AS v, CASE WHEN $h(concat('f', $s(p_partkey))) % 2 = 0 THEN 'book1' ELSE 'book2' END AS book FROM part)"""),
+    "v_variables": (["lineitem"], """SELECT DISTINCT concat(CASE l_suppkey % 5 WHEN 0 THEN 'v' WHEN 1 THEN 'w' ELSE 'V' END, $s(l_partkey - l_partkey % 3)) AS column_name FROM lineitem"""),
     "v_tokens_long": (["lineitem", "part"], f"""SELECT visit_id, CAST(row_number() OVER (PARTITION BY visit_id ORDER BY l_linenumber, rh) AS INT) AS pos,
         CASE rh % 11 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat('*', p_name, '*') WHEN 2 THEN '*not codable*' WHEN 3 THEN 'N/A' WHEN 4 THEN '' WHEN 5 THEN concat(' ', p_name, '  |', upper(p_name), ' | unknown') WHEN 6 THEN NULL ELSE p_name END AS raw
         FROM (SELECT l_orderkey AS visit_id, l_linenumber, $h({ROW}) AS rh, p_name FROM lineitem JOIN part ON l_partkey = p_partkey)"""),
     "v_tokens_wide": (["orders", "v_tokens_long"], "SELECT o_orderkey AS visit_id, " + ", ".join(f"w.drug{k}" for k in range(1, 14)) + " FROM orders LEFT JOIN (SELECT visit_id, " + ", ".join(f"max(CASE WHEN pos = {k} THEN raw END) AS drug{k}" for k in range(1, 13)) + ", $lines(CASE WHEN pos >= 13 THEN raw END, pos) AS drug13 FROM v_tokens_long GROUP BY visit_id) AS w ON w.visit_id = o_orderkey"),
-    "v_aliases": ([], "SELECT * FROM (VALUES ('red rod', 'red bar', 1), ('blue rod', 'blue bar', 1), ('small rod', 'small bar', 1), ('red ring', 'red hoop', 1), ('red ring', 'red circle', 2), ('blue gear', 'blue cog', 1), ('tiny rod', 'tiny bar', 2), ('widget', 'gadget', 1)) AS t(alias, canonical, batch)"),
+    "v_aliases": (["part"], """SELECT DISTINCT p_name AS alias, CASE WHEN t.batch = 1 THEN first_name ELSE last_name END AS canonical, t.batch AS batch FROM (SELECT p_name, min(p_name) OVER (PARTITION BY substr(p_name, 1, 4)) AS first_name, max(p_name) OVER (PARTITION BY substr(p_name, 1, 4)) AS last_name FROM part)
+        CROSS JOIN (VALUES (1), (2)) AS t(batch) WHERE $h(concat('al', p_name)) % 3 = 0 AND (t.batch = 1 OR $h(concat('bl', p_name)) % 2 = 0)"""),
     "v_dictionary": (["part"], """SELECT token, CAST($h(concat('a', token)) % 2 AS INT) AS f1, CAST($h(concat('b', token)) % 3 % 2 AS INT) AS f2, CAST($h(concat('c', token)) % 2 AS INT) AS f3, CAST($h(concat('d', token)) % 5 % 2 AS INT) AS f4, CAST($h(concat('e', token)) % 2 AS INT) AS f5, CAST($h(concat('f', token)) % 3 % 2 AS INT) AS f6,
         CAST($h(concat('g', token)) % 2 AS INT) AS f7, CAST($h(concat('h', token)) % 7 % 2 AS INT) AS f8, ($h(concat('i', token)) % 101) / 100.0E0 AS confidence, CASE WHEN $h(concat('j', token)) % 3 = 0 THEN 'rules' ELSE 'model' END AS provider, CAST($h(concat('k', token)) % 4 AS INT) AS attempts, CAST($h(concat('l', token)) % 1000 AS INT) AS elapsed,
         CASE WHEN $h(concat('m', token)) % 6 = 0 THEN 1 ELSE 0 END AS review FROM (SELECT DISTINCT p_name AS token FROM part)"""),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,29 +21,45 @@ def select_columns(df: DataFrame, columns: list[str], text: list[str] = ()) -> D
     return df.select(*[F.col(c).cast("string").alias(c) if c in text else F.col(c) for c in columns])
 
 
-def row_window(df: DataFrame, key: str, start: int = 0, stop: int | None = None, ranges: int = 1000) -> DataFrame:
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder, or in the warehouse where none is set."""
+    d = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = d.get() if d.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/tables-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as a table in the shared folder and read again, for what is read several times."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def row_window(df: DataFrame, key: str, start: int = 0, stop: int | None = None, rows: int = 500_000) -> DataFrame:
     """Rows number start to stop (from 0, exclusive) by the order of a unique numeric key; Spark tables have no order of their own.
 
-    Keys are counted in equal ranges first; only ranges that reach into the window are numbered, each by itself, so no task sorts the whole table.
+    Keys are counted in ranges of about `rows` rows first, cut by an approximate percentile so that skewed keys fill no range; only ranges that
+    reach into the window are numbered, each by itself, so no task sorts the whole table.
     """
     if start < 0 or (stop is not None and stop < start):
         raise ValueError("0 <= start <= stop is needed")
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return df.limit(0)
-    width = max(1, -(-(int(high) - int(low) + 1) // ranges))
-    at = F.floor((F.col(key) - F.lit(int(low))) / F.lit(width))
-    counts = sorted((r["b"], r["n"]) for r in df.where(F.col(key).isNotNull()).groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-    before, base, total = [], {}, 0
+    keyed = df.where(F.col(key).isNotNull())
+    parts = min(10_000, max(1, -(-keyed.count() // rows)))
+    edges = []
+    if parts > 1:
+        edges = sorted(set(keyed.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0]))
+    at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(key))) if edges else F.lit(0)
+    counts = sorted((r["b"], r["n"]) for r in keyed.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before, total = {}, 0
     for b, n in counts:
         if total + n > start and (stop is None or total < stop):
-            before += [F.lit(b), F.lit(total)]
-            base[b] = total
+            before[b] = total
         total += n
-    if not base:
+    if not before:
         return df.limit(0)
-    inside = df.where(at.between(min(base), max(base))).withColumn("_range", at)
-    number = F.create_map(*before)[F.col("_range")] + F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    inside = keyed.withColumn("_range", at).where(F.col("_range").between(min(before), max(before)))
+    offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("_range")]
+    number = offset + F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
     keep = (F.col("_at") >= start) if stop is None else (F.col("_at") >= start) & (F.col("_at") < stop)
     return inside.withColumn("_at", number).where(keep).select(*df.columns)
 

@@ -1,12 +1,15 @@
 """Hand-made frames: nulls, ties, invalid dates, placeholders, empty tables."""
 
+import random
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cohortspark.functions import hashing, values
-from cohortspark.operators import clean, cohort, evaluate, records, split, tokens
+from cohortspark.operators import clean, cohort, evaluate, ranges, records, split, tokens, vectors
 from cohortspark.sources import cache, codebooks, tables
 from cohortspark.streaming import feed
 
@@ -56,10 +59,10 @@ def test_tokens(spark):
 
 
 def test_records(spark):
-    texts = ['{"f1": 1}', 'noise {"f1": 2, "f2": "no"} tail', '```json {"response": {"f1": true}} ```', '{"f1": 1, "con', "", None, "[]", '{"response": "{\\"f1\\": 0}"}']
+    texts = ['{"f1": 1}', 'noise {"f1": 2, "f2": "no"} tail', '```json {"response": {"f1": true}} ```', '{"f1": 1, "con', "", None, "[]", '{"response": "{\\"f1\\": 0}"}', '{"f1":' * 3000 + "1" + "}" * 3000, "x" + '{"f1":' * 3000 + "1" + "}" * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, response string")
     got = {r["k"]: r["record"] for r in records.extract_json(df, "response").collect()}
-    assert [got[i] and got[i]["f1"] for i in range(8)] == ["1", "2", "true", None, None, None, None, "0"]
+    assert [got[i] and got[i]["f1"] for i in range(10)] == ["1", "2", "true", None, None, None, None, "0", None, None]
     v, b = records.binary_with_violation(F.col("x"))
     seen = spark.createDataFrame([("1",), ("2",), ("yes",), (None,), ("?",), ("-1",)], "x string").select(v.alias("v"), b.alias("b")).collect()
     assert [tuple(r) for r in seen] == [(1, 0), (1, 1), (1, 0), (0, 0), (0, 1), (0, 1)]
@@ -74,6 +77,74 @@ def test_records(spark):
     assert sorted((r["t"], r["status"]) for r in out) == [("a", "fallback"), ("b", "fallback")]
 
 
+def test_json_objects():
+    first = records.first_object
+    assert first("{" * 100_000) is None and first('{"a":' * 200_000 + "1" + "}" * 200_000) is None
+    assert first('{"a": {"f1": 1}, "tru') is None and first('x {"a": "}"} y {"b": 1}') == '{"a": "}"}'
+    assert first('{"response": {"f1": 1}, "f2": 2}', ["f1", "f2"]) == '{"response": {"f1": 1}, "f2": 2}'
+    assert first('{"response": "text {\\"f1\\": 3}"}', ["f1"]) == '{"f1": 3}' and first('{"response": 5}', ["f1"]) is None
+    assert first('[{"f1": 1}, 2]') == '{"f1": 1}' and first("[1]") is None and first("no { brace } here") is None and first('{"f1": "\\ud800"}') is not None
+
+
+def test_batches_are_halved(spark):
+    def picky():
+        def ask(batch):
+            if "bad" in batch:
+                raise RuntimeError("no")
+            return [{"f1": 1}] * (len(batch) - (len(batch) > 3))
+
+        return ask
+
+    texts = [f"t{i}" for i in range(9)] + ["bad"]
+    out = records.call_in_batches(spark.createDataFrame([(t,) for t in texts], "t string"), "t", picky, 1).collect()
+    assert {r["t"]: r["status"] for r in out} == {t: "fallback" if t == "bad" else "called" for t in texts}
+
+
+def test_roll_up_by_salted_keys(spark):
+    profiles = spark.createDataFrame([(i, ["hot", f"t{i % 3}"]) for i in range(40)] + [(99, None)], "k int, tokens array<string>")
+    recs = spark.createDataFrame([(t, *[1] * 8, 0.5, "model", 1, 2, 0) for t in ("hot", "t0", "t1")], "token string, " + ", ".join(f"{f} int" for f in records.FLAGS) + ", confidence double, provider string, attempts int, elapsed int, review int")
+    rows = lambda n: sorted(map(str, records.rolled_up(profiles, "k", "tokens", recs, most_sent=n).collect()))
+    assert rows(0) == rows(100) and len(rows(0)) == 41
+
+
+def test_aliases_by_map_and_by_join(spark, monkeypatch):
+    table = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "alias string, canonical string")
+    df = spark.createDataFrame([("k", ["c", "a", "b", "q"]), ("k", ["b"]), (None, ["c"]), ("n", None), ("e", []), ("k", ["b"])], "key string, tokens array<string>")
+    small = sorted(map(str, tokens.canonical_tokens(df, "tokens", table).collect()))
+    monkeypatch.setattr(tokens, "_ALIAS_ROWS", 1)
+    assert sorted(map(str, tokens.canonical_tokens(df, "tokens", table).collect())) == small
+    assert "canonical=['q', 'x', 'y']" in str(small) and "canonical=None" in str(small) and "canonical=[]" in str(small)
+
+
+def test_ranges(spark):
+    r = random.Random(6)
+    data = [(f"k{i % 3}", None if r.random() < 0.1 else round(r.gauss(0, 1), 2)) for i in range(900)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(data, "k string, x double")
+    shares = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {row["k"]: row["quantiles"] for row in ranges.exact_quantiles(df, ["k"], "x", shares).collect()}
+    want = {row["k"]: row["q"] for row in df.groupBy("k").agg(F.expr(f"percentile(x, array({', '.join(map(str, shares))}))").alias("q")).collect() if row["q"]}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert ranges.exact_quantiles(df.where("false"), [], "x", [0.5]).first()["quantiles"] == []
+    counts = spark.createDataFrame([(f"t{i}", 1 + (i * 7) % 5) for i in range(200)], "t string, n int")
+    ranks = {row["t"]: row["rank"] for row in tokens.numbered(counts, "t", "n", 4).collect()}
+    assert ranks == {t: i for i, (_, t) in enumerate(sorted((-(1 + (i * 7) % 5), f"t{i}") for i in range(200)), 1)}
+    skewed = spark.createDataFrame([(i if i < 900 else i * 10**9,) for i in range(1000)], "id long")
+    assert sorted(row["id"] for row in tables.row_window(skewed, "id", 895, 905, rows=50).collect()) == [*range(895, 900), *[i * 10**9 for i in range(900, 905)]]
+
+
+def test_nearest_vectors(spark):
+    r = random.Random(3)
+    e = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(60)], "id long, v array<double>")
+    one = {(row["id"], row["rank"]): row["neighbour"] for row in vectors.cosine_top(e.where("id < 5"), e, "id", "v", 4, rows=7).collect()}
+    rows = {row["id"]: np.array(row["v"]) / np.linalg.norm(row["v"]) for row in e.collect()}
+    for q in range(5):
+        want = sorted((x for x in rows if x != q), key=lambda x: (-round(float(rows[q] @ rows[x]), 9), x))[:4]
+        assert [one[(q, k)] for k in range(1, 5)] == want
+    texts = spark.createDataFrame([(1, "a"), (2, "a"), (3, " "), (4, None)], "k int, t string")
+    seen = vectors.encode_distinct(texts, "t", lambda: lambda ts: [[1.0, 2.0] for _ in ts], 2).collect()
+    assert {row["k"]: row["vector"] for row in seen} == {1: [1.0, 2.0], 2: [1.0, 2.0], 3: [0.0, 0.0], 4: [0.0, 0.0]}
+
+
 def test_metrics(spark):
     rows = [("m", 1, 0.9), ("m", 0, 0.9), ("m", 0, 0.1), ("c", 1, 0.5), ("c", 0, 0.5), ("one", 1, 0.2)]
     s = spark.createDataFrame(rows, "model string, y int, risk double")
@@ -114,20 +185,31 @@ def test_sources(spark, tmp_path):
     assert sorted(r["id"] for r in tables.row_window(df, "id", 10, 15).collect()) == [10, 11, 12, 13, 14]
     with pytest.raises(tables.MissingColumns, match="nope"):
         tables.select_columns(df, ["id", "nope"])
-    (tmp_path / "a.csv").write_text("name,description\nC1,first code\n")
+    (tmp_path / "a.csv").write_bytes(b"\xef\xbb\xbf" + "name,description\nC1,first côde\nc2,\n".encode())
     (tmp_path / "b.csv").write_text("<html>,</html> not found at all")
-    got = {r["name"]: r["status"] for r in codebooks.file_audit(spark, str(tmp_path), ["a.csv", "b.csv", "c.csv"]).collect()}
-    assert got == {"a.csv": "ok", "b.csv": "invalid", "c.csv": "missing"}
+    (tmp_path / "d.csv").write_bytes("FIELD,Short Descriptor,code\nc1,låter,7\nC2,sécond,8\n".encode("latin1"))
+    (tmp_path / "e.csv").write_text("neither,nor\nno header, of use\n")
+    got = {r["name"]: r["status"] for r in codebooks.file_audit(spark, str(tmp_path), ["a.csv", "b.csv", "c.csv", "d.csv"]).collect()}
+    assert got == {"a.csv": "ok", "b.csv": "invalid", "c.csv": "missing", "d.csv": "ok"}
+    books = codebooks.read_books(spark, str(tmp_path), ["code"])
+    assert sorted((r["book"], r["line"], r["name"], r["code"]) for r in books.collect()) == [("a.csv", 1, "C1", None), ("a.csv", 2, "c2", None), ("d.csv", 1, "c1", "7"), ("d.csv", 2, "C2", "8")]
+    united = codebooks.unite(books)
+    assert {r["key"]: (r["book"], r["description"]) for r in united.collect()} == {"C1": ("a.csv", "first côde"), "C2": ("d.csv", "sécond")}
+    names = spark.createDataFrame([("C1",), ("c1",), ("zz",)], "column_name string")
+    assert sorted(r["match"] for r in codebooks.look_up(names, united, F.lit("none")).collect()) == ["case_insensitive", "exact", "fallback"]
+    with pytest.raises(ValueError, match="no usable"):
+        codebooks.read_books(spark, str(tmp_path / "e.csv"))
     assert tables.read_csv(spark, str(tmp_path / "a.csv"), ["name"]).first()["name"] == "C1"
     one = spark.createDataFrame([("k", 1, "old"), ("j", 1, "only")], "key string, batch int, v string")
     two = spark.createDataFrame([("k", 2, "new")], "key string, batch int, v string")
     assert {r["key"]: r["v"] for r in cache.upsert(one, two, "key").collect()} == {"k": "new", "j": "only"}
 
 
-def test_feed(spark, tmp_path):
+@pytest.mark.parametrize("compact", [1, 2, 50])
+def test_feed(spark, tmp_path, compact):
     src = tmp_path / "in"
     spark.createDataFrame([("a", "1"), ("b", "1")], "key string, v string").coalesce(1).write.parquet(str(src))
-    run = lambda: feed.feed(spark.readStream.schema("key string, v string").parquet(str(src)), str(tmp_path / "cache"), "key", str(tmp_path / "ckpt"))
+    run = lambda: feed.feed(spark.readStream.schema("key string, v string").parquet(str(src)), str(tmp_path / "cache"), "key", str(tmp_path / "ckpt"), compact)
     q = run()
     q.processAllAvailable()
     q.stop()
@@ -135,4 +217,4 @@ def test_feed(spark, tmp_path):
     q = run()
     q.processAllAvailable()
     q.stop()
-    assert {r["key"]: r["v"] for r in feed.latest(spark, str(tmp_path / "cache")).collect()} == {"a": "2", "b": "1"}
+    assert {r["key"]: r["v"] for r in feed.latest(spark, str(tmp_path / "cache"), "key").collect()} == {"a": "2", "b": "1"}
