@@ -451,7 +451,7 @@ def test_fingerprints_by_brute_force(spark):
     hashes = {w["w"]: (w["h"]["x"], w["h"]["y"]) for w in pairs}
     strided = decontamination.lengths(45)
     assert strided == [8, 16, 24, 40]
-    got = {(x["doc"], x["start"], x["length"]): (x["x"], x["y"]) for x in decontamination._fingerprints(decontamination._windows(df, strided, [5]), ["doc", "start"]).collect()}
+    got = {(x["doc"], x["start"], x["length"]): (x["x"], x["y"]) for x in decontamination._fingerprints(decontamination._windows(df.repartition("doc"), strided, [5]), ["doc", "start"]).collect()}
     want = {}
     for d, w in enumerate(words):
         places = [(s, n) for n in strided for s in range(0, len(w) - n + 1, 8)] + [(s, 5) for s in range(len(w) - 4)]
