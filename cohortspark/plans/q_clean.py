@@ -43,7 +43,7 @@ def _books(spark, sf):
     out = place(spark)
     v = view(spark, sf, "v_codebook")
     one = v.where("book = 'book1'").select("line", F.col("name").alias("Variable Name"), F.col("description").alias("Short Descriptor"), "missing_codes")
-    two = v.where("book = 'book2'").select("line", F.col("name").alias("FIELD"), F.col("description").alias("Definition"), "code", "label")
+    two = v.where("book = 'book2'").select("line", F.col("name").alias("FIELD"), F.col("description").alias("Definition"), "code", F.col("label").alias("code_label"))
     for number, (book, encoding) in enumerate(((one, "UTF-8"), (two, "ISO-8859-1")), 1):
         keep = book.write.option("header", True).option("encoding", encoding).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         keep.csv(f"{out}/book{number}")
@@ -180,8 +180,8 @@ _TERMS_SQL = "(" + "|".join(t.replace("'", "''") for t in K.MISSING_TERMS) + ")"
 
 @query(sql("v_codebook", f"a AS (SELECT lower(trim(name)) AS column_name, unnest(regexp_split_to_array(missing_codes, '[^0-9A-Za-z.-]+')) AS x FROM v_codebook WHERE missing_codes IS NOT NULL), b AS (SELECT lower(trim(name)) AS column_name, code AS x FROM v_codebook WHERE regexp_matches(lower(label), '\\b{_TERMS_SQL}\\b'));; SELECT DISTINCT column_name, TRY_CAST(x AS DOUBLE) AS code FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE TRY_CAST(x AS DOUBLE) IS NOT NULL AND column_name <> 'nan'"))
 def missing_codes_from_codebook(spark, sf):
-    books = codebooks.read_books(spark, _books(spark, sf), ["missing_codes", "code", "label"])
-    return K.codes_from_codebook(books.where("lower(name) <> 'nan'"))
+    books = codebooks.read_books(spark, _books(spark, sf), ["missing_codes", "code", "code_label"])
+    return K.codes_from_codebook(books.where("lower(name) <> 'nan'").withColumnRenamed("code_label", "label"))
 
 
 @query(sql("v_coded", f"SELECT visit_id, {_without('c1', [-4.0, -4.4, -5.0, 9.0])} AS c1, {_without('c2', [-4.0, -4.4, -5.0, 99.0])} AS c2 FROM v_coded"))
