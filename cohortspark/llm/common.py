@@ -71,8 +71,8 @@ def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str | int, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose texts hold about `most` bytes each; a longer text comes alone."""
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str | int, most: int, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of at most `rows` rows whose texts hold about `most` bytes each; a longer text comes alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -81,7 +81,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str | int, most: int)
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + most, side="right"))))
             yield batch.slice(at, to - at)
             at = to
 

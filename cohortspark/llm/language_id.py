@@ -23,6 +23,7 @@ _BITS = 12
 #: Texts shorter than this many bytes have smaller cosines for want of n-grams; the accepted cosine shrinks with them.
 FULL_BYTES = 400
 _DIMS = len(_ORDERS) << _BITS
+_ROWS = 256  # texts whose vectors are held at once
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[0x20, *range(0x09, 0x0E), *range(0x21, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0x20
@@ -140,7 +141,7 @@ def identify(docs: DataFrame, model: Centroids, key: str = "doc_id", text: str =
     """
 
     def predict(batches):
-        for batch in text_chunks(batches, "t", 1 << 20):
+        for batch in text_chunks(batches, "t", 1 << 20, _ROWS):
             names, score, rejected = model.predict(batch.column("t"), batch.column("letters"))
             yield pa.RecordBatch.from_pydict({"k": batch.column("k"), "lang_pred": pa.array(names.tolist(), pa.string()), "score": pa.array(score), "rejected": pa.array(rejected)})
 
@@ -155,7 +156,7 @@ def accepted(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame
     at = docs.columns.index(text)
 
     def keep(batches):
-        for batch in text_chunks(batches, at, 1 << 20):
+        for batch in text_chunks(batches, at, 1 << 20, _ROWS):
             _, _, rejected = model.predict(batch.column(at), batch.column(batch.num_columns - 1))
             yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(~rejected))
 

@@ -27,7 +27,7 @@ WORDS = 5
 PERCENT = 75
 CHUNK = 128  #: members of one chunk of a group, about
 SHARED = 4  #: rare tokens that two sets must share: prefixes are longer by as many less one
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 
 
 def _sets(column: pa.Array, n: int):
@@ -68,7 +68,7 @@ def _shingles(docs: DataFrame, words: int, n: int) -> DataFrame:
 
     def run(batches):
         sets, member, held = {}, [], 0
-        for batch in text_chunks(batches, "t", 2 << 20):
+        for batch in text_chunks(batches, "t", 1 << 20):
             for doc, s in zip(batch.column("k").to_pylist(), _sets(batch.column("t"), words), strict=True):
                 name = _name(s) if len(s) else -1
                 member.append((doc, name, len(s)))
@@ -336,7 +336,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     out = out.select(F.col("doc_id").alias(key), "n_shingles", linked.alias("component_id"))
 
     def sizes(batches):
-        for batch in text_chunks(batches, "t", 2 << 20):
+        for batch in text_chunks(batches, "t", 1 << 20):
             yield pa.RecordBatch.from_pydict({"n": pa.array([len(s) for s in _sets(batch.column("t"), words)], pa.int64())})
 
     no_key = every.where("k is null").mapInArrow(sizes, "n long")

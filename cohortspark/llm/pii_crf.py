@@ -400,7 +400,7 @@ def find(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text", r
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
-        for batch in text_chunks(batches, "t", 4 << 20):
+        for batch in text_chunks(batches, "t", 1 << 20):
             texts = batch.column("t").to_pylist()
             rows = annotate(texts, model)
             cols = {"k": batch.column("k")}
@@ -423,7 +423,7 @@ def redacted(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in text_chunks(iter([batch]), text, 4 << 20):
+            for part in text_chunks(iter([batch]), text, 1 << 20):
                 texts = part.column(at).to_pylist()
                 marked = annotate([t or "" for t in texts], model)
                 new = pa.array([None if t is None else redact(t, s) for t, (_, s) in zip(texts, marked, strict=True)], part.schema.field(at).type)
