@@ -41,7 +41,7 @@ def _padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _responses(net: Network, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The embedded steps, and each filter's response at each step."""
+    """The embedded steps, and each filter's response at each step; at a document's last step, all zeros, the caller sets it to the bias."""
     x = net.embed[flat].reshape(-1, STEP * _DEPTH)
     half = STEP * _DEPTH
     both = x @ np.concatenate([net.filters[:half], net.filters[half:]], axis=1)
@@ -67,10 +67,12 @@ def predict(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.zeros(0)
     flat, first = _padded(data, offsets)
     peaks = np.empty((len(flat) // BLOCK, _FILTERS), np.float32)
-    span = 2048
+    span, per = 2048, BLOCK // STEP
+    last = first[1:] * per - 1  # their windows would reach into the next document
     for at in range(0, len(peaks), span):
         to = min(len(peaks), at + span)
         _, y = _responses(net, flat[at * BLOCK : to * BLOCK + STEP * (to < len(peaks))])
+        y[last[np.searchsorted(last, at * per) : np.searchsorted(last, to * per)] - at * per] = net.bias
         peaks[at:to] = y[: (to - at) * (BLOCK // STEP)].reshape(to - at, BLOCK // STEP, _FILTERS).max(1)
     vector, _ = _pooled(np.maximum(peaks, 0), first)
     return 1 / (1 + np.exp(-np.clip(vector @ net.unit + net.offset, -30, 30).astype(np.float64)))
@@ -96,6 +98,9 @@ def fit_network(texts: list[bytes], labels: np.ndarray, epochs: int = 14, rate:
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
             flat, first = _padded(np.frombuffer(b"".join(parts), np.uint8), offsets)
             x, y = _responses(net, flat)
+            last = np.zeros(len(x), bool)
+            last[first[1:] * (BLOCK // STEP) - 1] = True
+            y[last] = net.bias
             inside = y.reshape(-1, BLOCK // STEP, _FILTERS)
             where = inside.argmax(1)
             peaks = np.maximum(np.take_along_axis(inside, where[:, None], 1)[:, 0], 0)
@@ -115,10 +120,12 @@ def fit_network(texts: list[bytes], labels: np.ndarray, epochs: int = 14, rate:
             d = d[row, f]
             pos = row * (BLOCK // STEP) + where[row, f]
             after = np.minimum(pos + 1, len(x) - 1)
-            window = np.concatenate([x[pos], x[after]], axis=1)
+            window = np.concatenate([x[pos], np.where(last[pos, None], 0, x[after])], axis=1)
             dw = np.stack([d[f == k] @ window[f == k] for k in range(_FILTERS)])
             db = np.bincount(f, d, _FILTERS)
-            dx = (d[:, None] * net.filters.T[f]).reshape(-1, _DEPTH)
+            dx = d[:, None] * net.filters.T[f]
+            dx[last[pos], half:] = 0
+            dx = dx.reshape(-1, _DEPTH)
             codes = flat.reshape(-1, STEP)
             codes = np.concatenate([codes[pos], codes[after]], axis=1).ravel()
             de = np.stack([np.bincount(codes, dx[:, k], 256) for k in range(_DEPTH)], axis=1)

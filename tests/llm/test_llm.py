@@ -201,7 +201,7 @@ def test_tool_calls(spark):
 
 
 def test_arguments_without_a_canonical_form(spark):
-    bad = ["[" * 100_000, '{"a":' * 3000 + "1" + "}" * 3000, '{"a":"\\ud800"}', '{"a":NaN}', '{"a":-Infinity}', '{"a":1e999}', '{"a":1,"a":2}', "9" * 5000, ""]
+    bad = ["[" * 100_000, '{"a":' * 200_000 + "1" + "}" * 200_000, '{"a":"\\ud800"}', '{"a":NaN}', '{"a":-Infinity}', '{"a":1e999}', '{"a":1,"a":2}', "9" * 5000, ""]
     good = ['{"a":' + "9" * 400 + "}", '{"a":1.0}', "null", '"\\ud83d\\ude00"']
     calls = spark.createDataFrame([(f"b{i}", "t", x, None) for i, x in enumerate(bad)] + [(f"g{i}", "t", x, None) for i, x in enumerate(good)], "id string, name string, arguments string, needs array<string>")
     calls = calls.withColumn("content", F.lit("clash")).withColumn("level", F.lit(9))
@@ -624,7 +624,7 @@ def test_a_key_with_two_vectors(spark):
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, block=1).collect())
     assert got == [(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5)]
     apart = {(r["vec_id"], r["component_id"]) for r in embedding_dedup.near_duplicates(df.withColumn("vec_id", F.when(F.col("embedding")[1] == 1, 9).otherwise(F.col("vec_id")))).collect()}
-    assert apart == {(5, 5), (6, 5), (9, 7), (7, 7)}
+    assert apart == {(5, 5), (6, 5), (9, 9)}
 
 
 def test_quantisation_bound():
