@@ -670,4 +670,6 @@ def test_pipeline_odd(spark, odd):
     state = odd
     for _, stage in corpus_pipeline.STAGES[:-1]:
         state = stage(spark, state, SF)
-    assert sorted(str(r["doc_id"]) for r in state.select("doc_id").collect()) in (["6", "7", "9", "None"], ["7", "9", "None"], ["6", "7", "None"], ["7", "None"])
+    kept = sorted(str(r["doc_id"]) for r in state.select("doc_id").collect())
+    # 1 to 4 have no letter, 6 is far from both languages, 8 repeats 7
+    assert kept == ["7", "9", "None"]
