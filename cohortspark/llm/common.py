@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,12 +58,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
-    """The rows written as a table in the shared folder and read again, and aggregates of them that come with the writing."""
+    """The rows written as a table in the shared folder and read again, and aggregates of the written table."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    seen = Observation()
-    noted = df.observe(seen, *[c.alias(k) for k, c in counts.items()]) if counts else df
-    noted.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get if counts else {}
+    df.write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    return kept, kept.agg(*[c.alias(k) for k, c in counts.items()]).first().asDict() if counts else {}
 
 
 def held_out(doc_id):

@@ -18,6 +18,7 @@ for _name in (
     "substring_dedup",
     "embedding_dedup",
     "license_scan",
+    "collocations",
 ):
     import_module(f"cohortspark.llm.{_name}")
 
