@@ -19,6 +19,8 @@ for _name in (
     "embedding_dedup",
     "license_scan",
     "collocations",
+    "mixing",
+    "spelling",
 ):
     import_module(f"cohortspark.llm.{_name}")
 
