@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,13 +28,26 @@ def uniform(value: Column) -> Column:
 POISSON_STEPS = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
 
 
-def poisson_of(u: Column) -> Column:
-    """A Poisson(1) weight by the inverse of the distribution function, from a uniform column."""
-    out = F.lit(0)
-    for step in POISSON_STEPS:
-        out = out + F.when(u >= F.lit(step), 1).otherwise(0)
-    return out
+MIXER = 73244475  #: odd multiplier of the replicates' bit mixer; products stay under 2^63
+
 
+def seeds(unit: Column) -> tuple[Column, Column]:
+    """Two 32-bit numbers of a unit from its md5, the second one odd; null counts as an empty text."""
+    hexed = F.md5(F.coalesce(unit.cast("string"), F.lit("")))
+    at = lambda i: F.conv(F.substring(hexed, i, 8), 16, 10).cast("long")
+    return at(1), at(9).bitwiseOR(F.lit(1))
 
-def poisson(value: Column) -> Column:
-    return poisson_of(uniform(value))
+
+def poisson_weights(one: np.ndarray, two: np.ndarray, reps: int) -> np.ndarray:
+    """Poisson(1) weights [unit, replicate] from the units' seeds: a mixed walk from the first seed by steps of the second."""
+    low, m, h = np.uint64(0xFFFFFFFF), np.uint64(MIXER), np.uint64(16)
+    x = (one.astype(np.uint64)[:, None] + np.arange(reps, dtype=np.uint64) * two.astype(np.uint64)[:, None]) & low
+    for _ in range(2):
+        x ^= x >> h
+        x *= m
+        x &= low
+    x ^= x >> h
+    out = np.zeros(x.shape, np.uint8)
+    for step in POISSON_STEPS:
+        out += x >= np.uint64(math.ceil(step * 4294967296))
+    return out

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.hashing import poisson_of, uniform
+from cohortspark.functions.hashing import poisson_weights, seeds
 from cohortspark.functions.values import flag
-from cohortspark.operators.ranges import exact_quantiles, with_range
+from cohortspark.operators.ranges import exact_quantiles, salted, with_range
 
 KEYS = ["model"]
 
@@ -34,9 +36,13 @@ def _by_score(scored: DataFrame, keys: list[str], weight: Column | None = None)
 def ranking(scored: DataFrame, keys: list[str] = KEYS, weight: Column | None = None) -> DataFrame:
     """auc (ties count half) and average precision over distinct thresholds; null without both classes.
 
-    Distinct scores are cut into ranges of about equal numbers; sums over ranges carry over, and windows run inside a range only.
+    Distinct scores are cut into ranges; sums over ranges carry over, and windows run inside a range only.
     """
-    g = with_range(_by_score(scored, keys, weight), keys, "risk")
+    return _areas(with_range(_by_score(scored, keys, weight), "risk"), keys).select(*keys, "auc", "ap")
+
+
+def _areas(g: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
+    """auc, ap, brier and balanced accuracy of each key from positives and negatives by distinct score and range; null without both classes."""
     inside = [*keys, "_range"]
     up, every = Window.partitionBy(*keys).orderBy("_range"), Window.partitionBy(*keys)
     part = g.groupBy(*inside).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
@@ -47,9 +53,11 @@ def ranking(scored: DataFrame, keys: list[str] = KEYS, weight: Column | None = N
     g = g.join(part, inside).withColumns({"below": F.col("_below") + upto("neg"), "tp": F.col("_p") - upto("pos"), "fp": F.col("_q") - upto("neg")})
     u = F.sum(F.col("pos") * F.col("below") + 0.5 * F.col("pos") * F.col("neg"))
     ap = F.sum(F.col("pos") * F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")))
-    out = g.groupBy(*keys).agg(u.alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("q"), ap.alias("ap"))
-    ok = (F.col("p") > 0) & (F.col("q") > 0)
-    return out.select(*keys, F.when(ok, F.col("u") / (F.col("p").cast("double") * F.col("q"))).alias("auc"), F.when(ok, F.col("ap") / F.col("p")).alias("ap"))
+    r, high = F.col("risk"), F.col("risk") >= threshold
+    squares = F.sum(F.col("pos") * (r - 1) * (r - 1) + F.col("neg") * r * r)
+    out = g.groupBy(*keys).agg(u.alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("q"), ap.alias("ap"), squares.alias("b"), F.sum(F.when(high, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(high, 0).otherwise(F.col("neg"))).alias("tn"))
+    p, q, ok = F.col("p").cast("double"), F.col("q").cast("double"), (F.col("p") > 0) & (F.col("q") > 0)
+    return out.select(*keys, *[F.when(ok, c).alias(k) for k, c in {"auc": F.col("u") / (p * q), "ap": F.col("ap") / p, "brier": F.col("b") / (p + q), "balanced_accuracy": (F.col("tp") / p + F.col("tn") / q) / 2}.items()])
 
 
 def brier(scored: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -60,25 +68,52 @@ def metrics(scored: DataFrame, keys: list[str] = KEYS, threshold: float = 0.5) -
     return confusion(scored, keys, threshold).join(ranking(scored, keys), keys).join(brier(scored, keys), keys)
 
 
+def _weighted(reps: int):
+    """Sums of the replicates' weights by (model, risk, event), made for 65,536 rows at a time so that few rows leave a task where scores repeat."""
+
+    def add(rows: pa.Table) -> pa.RecordBatch:
+        model = rows["model"].combine_chunks().dictionary_encode()
+        scores, risk = np.unique(rows["risk"].to_numpy(), return_inverse=True)
+        names = len(model.dictionary) + 1  # null is a model
+        key = (risk * names + model.indices.fill_null(names - 1).to_numpy()) * 2 + rows["event"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        keys, g = np.unique(key[order], return_inverse=True)
+        one, two = rows["one"].to_numpy()[order], rows["two"].to_numpy()[order]
+        sums = np.zeros((len(keys), reps), np.int64)
+        for at in range(0, len(g), 8192):
+            some = g[at : at + 8192]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(some)) + 1])
+            sums[some[cuts]] += np.add.reduceat(poisson_weights(one[at : at + 8192], two[at : at + 8192], reps), cuts, axis=0, dtype=np.int64)
+        g, rep = np.nonzero(sums)
+        which = keys[g] // 2 % names
+        models = model.dictionary.take(pa.array(which, mask=which == names - 1))
+        return pa.RecordBatch.from_pydict({"model": models, "risk": scores[keys[g] // 2 // names], "event": keys[g] % 2 == 1, "rep": rep.astype(np.int32), "w": sums[g, rep]})
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= 65_536:
+                yield add(pa.Table.from_batches(held))
+                held = []
+        if sum(x.num_rows for x in held):
+            yield add(pa.Table.from_batches(held))
+
+    return run
+
+
 def resampled(scored: DataFrame, reps: int, unit: str = "rid", threshold: float = 0.5) -> DataFrame:
     """auc, ap, brier and balanced accuracy of each model and replicate under Poisson weights that depend on (unit, replicate) alone, so models are paired.
 
-    `unit` is the row, or the entity for a cluster bootstrap. Scores of weight 0 are dropped before the windows. One aggregate
-    by score serves all four metrics.
+    `unit` is the row, or the entity for a cluster bootstrap. Rows bring two seeds of their unit, and no rows meet by unit. Weights are summed by score inside each
+    batch first. Ranges of scores are cut once, on the scores as they are; windows run inside a range of a replicate. Replicates without both classes are left out.
     """
-    # a unit's rows of all models share one hash per replicate
-    rows = scored.groupBy(unit, "model", "risk", (F.coalesce(F.col("y") == 1, F.lit(False))).alias("_event")).agg(F.count(F.lit(1)).alias("_n"))
-    rows = rows.groupBy(unit).agg(F.collect_list(F.struct("model", "risk", "_event", "_n")).alias("_rows"))
-    w = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_u", uniform(F.concat_ws("-", unit, "rep")))
-    w = w.withColumn("_w", poisson_of(F.col("_u"))).select("rep", "_w", F.inline("_rows")).withColumn("w", F.col("_w") * F.col("_n"))  # a filter here would hash every row again
-    keys = ["model", "rep"]
-    g = w.groupBy(*keys, "risk").agg(F.sum(F.when(F.col("_event"), F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("_event"), 0).otherwise(F.col("w"))).alias("neg")).where("pos + neg > 0")
-    up, down = Window.partitionBy(*keys).orderBy("risk"), Window.partitionBy(*keys).orderBy(F.desc("risk"))
-    g = g.select("*", (F.sum("neg").over(up) - F.col("neg")).alias("below"), F.sum("pos").over(down).alias("tp"), (F.sum("pos").over(down) + F.sum("neg").over(down)).alias("taken"))
-    r, high = F.col("risk"), F.col("risk") >= threshold
-    s = g.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(F.col("pos") * F.col("below") + 0.5 * F.col("pos") * F.col("neg")).alias("u"), F.sum(F.col("pos") * F.col("tp").cast("double") / F.col("taken")).alias("a"), F.sum(F.col("pos") * (r - 1) * (r - 1) + F.col("neg") * r * r).alias("b"), F.sum(F.when(high, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(high, 0).otherwise(F.col("neg"))).alias("tn"))
-    p, q = F.col("p").cast("double"), F.col("q").cast("double")
-    return s.where("p > 0 and q > 0").select(*keys, (F.col("u") / (p * q)).alias("auc"), (F.col("a") / p).alias("ap"), (F.col("b") / (p + q)).alias("brier"), ((F.col("tp") / p + F.col("tn") / q) / 2).alias("balanced_accuracy"))
+    one, two = seeds(F.col(unit))
+    rows = scored.select("model", F.col("risk").cast("double").alias("risk"), F.coalesce(F.col("y") == 1, F.lit(False)).alias("event"), one.alias("one"), two.alias("two")).where("risk is not null")
+    w = rows.mapInArrow(_weighted(reps), "model string, risk double, event boolean, rep int, w long")
+    g = w.groupBy("model", "rep", "risk").agg(F.sum(F.when(F.col("event"), F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("event"), 0).otherwise(F.col("w"))).alias("neg"))
+    ranged = with_range(g, "risk", edges_of=rows.select("model", "risk").distinct())
+    return _areas(ranged, ["model", "rep"], threshold).where("auc is not null")
 
 
 def _long(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -115,23 +150,25 @@ def incremental(table: DataFrame, pairs: list[tuple[str, str, str]], names: list
     return named.join(a, "reference").join(b, "enhanced").select("label", "reference", "enhanced", *[(F.col(f"b_{m}") - F.col(f"a_{m}")).alias(f"delta_{m}") for m in names])
 
 
-def with_quantile_bin(scored: DataFrame, keys: list[str], bins: int = 10, value: str = "risk", out: str = "bin") -> DataFrame:
+def with_quantile_bin(scored: DataFrame, keys: list[str], bins: int = 10, value: str = "risk", out: str = "bin", weight: str | None = None) -> DataFrame:
     """Right-closed quantile bins from 0 with duplicate edges dropped; -1 for a null value and where all values are equal.
 
-    Edges are exact percentiles, one array per key; the keys' table is small and joins back.
+    Edges are exact percentiles, one array per key, and come back by salted keys, so that a hot key is dealt to many tasks. `weight`: how many rows a row stands for.
     """
-    edges = exact_quantiles(scored, keys, value, [i / bins for i in range(bins + 1)])
+    edges = exact_quantiles(scored, keys, value, [i / bins for i in range(bins + 1)], weight=weight)
     edges = edges.select(*keys, F.array_sort(F.array_distinct("quantiles")).alias("_e"))
-    both = scored.join(edges, keys, "left") if keys else scored.join(F.broadcast(edges.agg(F.first("_e").alias("_e"))), how="cross")
+    both = salted(scored, edges, keys, "left") if keys else scored.join(F.broadcast(edges.agg(F.first("_e").alias("_e"))), how="cross")
     below = F.size(F.filter("_e", lambda e: e < F.col(value)))
     flat = F.col("_e").isNull() | (F.size("_e") < 2)
     return both.withColumn(out, F.when(F.col(value).isNull() | flat, -1).otherwise(F.greatest(F.lit(1), below) - 1)).drop("_e")
 
 
 def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
-    """Observed and predicted risk per bin and their difference."""
-    b = with_quantile_bin(scored, KEYS, bins)
-    out = b.groupBy("model", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("events"), F.avg("y").alias("observed"), F.avg("risk").alias("mean_risk"), F.min("risk").alias("min_risk"), F.max("risk").alias("max_risk"))
+    """Observed and predicted risk per bin and their difference; bins are told for distinct scores."""
+    by = scored.groupBy("model", "risk").agg(F.count(F.lit(1)).alias("_c"), F.count("y").alias("_known"), F.sum("y").alias("_y"))
+    b = with_quantile_bin(by, KEYS, bins, weight="_c")
+    scores = F.sum(F.when(F.col("risk").isNotNull(), F.col("_c")))
+    out = b.groupBy("model", "bin").agg(F.sum("_c").alias("n"), F.sum("_y").cast("long").alias("events"), (F.sum("_y") / F.sum("_known")).alias("observed"), (F.sum(F.col("risk") * F.col("_c")) / scores).alias("mean_risk"), F.min("risk").alias("min_risk"), F.max("risk").alias("max_risk"))
     return out.withColumn("error", F.col("mean_risk") - F.col("observed"))
 
 

@@ -6,25 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 64
+SALTS = 16
 
 
-def with_range(df: DataFrame, keys: list[str], value: str, out: str = "_range", n: int = RANGES) -> DataFrame:
-    """Adds the number of a value's range within its key: about equal shares of the rows, ascending with the value, equal values in one range.
+def with_range(df: DataFrame, value: str, out: str = "_range", n: int = RANGES, edges_of: DataFrame | None = None) -> DataFrame:
+    """Adds the number of a value's range: ascending with the value, equal values in one range, and no range of any key with much over 1/n of all distinct rows.
 
-    The edges come from an approximate percentile, which Spark pre-aggregates; what is computed from the ranges stays exact.
+    The edges are one array for all keys, from an approximate percentile (of `edges_of`, else of the rows themselves), which Spark pre-aggregates;
+    what is computed from the ranges stays exact, whatever the edges.
     """
-    edges = df.groupBy(*keys).agg(F.percentile_approx(value, [i / n for i in range(1, n)], 1000).alias("_edges"))
-    both = df.join(edges, keys) if keys else df.join(F.broadcast(edges), how="cross")  # without keys, one row
+    edges = (df if edges_of is None else edges_of).agg(F.percentile_approx(value, [i / n for i in range(1, n)], 1000).alias("_edges"))
+    both = df.join(F.broadcast(edges), how="cross")  # one row
     return both.withColumn(out, F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0))).drop("_edges")
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], out: str = "quantiles") -> DataFrame:
-    """One row per key that has a value: its exact quantiles, with linear interpolation as percentile() has it. Without keys always one row, maybe with an empty array.
+def salted(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """A join with one row per key that deals a hot key to many tasks."""
+    few = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    mine = df.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in df.columns if c not in keys]), F.lit(salts)).cast("int"))
+    return mine.join(few, [*keys, "_salt"], how).drop("_salt")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], out: str = "quantiles", weight: str | None = None) -> DataFrame:
+    """One row per key that has a value: its exact quantiles, with linear interpolation as percentile() has it. Without keys always one row, maybe with an empty array. `weight`: how many rows a row stands for.
 
     Equal values are counted together, ranges of values are added up, and only the ranges that hold a wanted rank are ordered.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    counts = with_range(counts, keys, "_v")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_c"))
+    counts = with_range(counts, "_v")
     inside = [*keys, "_range"]
     up, whole = Window.partitionBy(*keys).orderBy("_range"), Window.partitionBy(*keys)
     sizes = counts.groupBy(*inside).agg(F.sum("_c").alias("_s"))

@@ -3,7 +3,7 @@
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from cohortspark.functions.hashing import POISSON_STEPS
+from cohortspark.functions.hashing import MIXER, POISSON_STEPS
 from cohortspark.operators import anchor as A
 from cohortspark.operators import evaluate as E
 from cohortspark.operators import models as M
@@ -144,16 +144,20 @@ def metrics_table(spark, sf):
     return rounded(table(spark, sf))
 
 
-_U = "$h(rid || '-' || rep) / 4294967296.0E0"
 REPS = 200
 
 
 def boot_sql(body):
-    w = " + ".join(f"CASE WHEN {_U} >= {s!r}E0 THEN 1 ELSE 0 END" for s in POISSON_STEPS)
-    return sql("v_scored", f"""w AS (SELECT model, rep, y, risk, {w} AS w FROM v_scored, range({REPS}) AS t(rep)), g AS (SELECT model, rep, risk, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN y = 1 THEN 0 ELSE w END) AS neg FROM w WHERE w > 0 GROUP BY ALL),
+    """Weights are made once for each (rid, rep), by the same walk and mixer as in the library, and then meet the models."""
+    mixed = f"(xor(x >> 16, x) * {MIXER}) % 4294967296"
+    w = " + ".join(f"CASE WHEN x / 4294967296.0E0 >= {s!r}E0 THEN 1 ELSE 0 END" for s in POISSON_STEPS)
+    seed = "CAST(concat('0x', substr(md5(rid), {at}, 8)) AS BIGINT)"
+    return sql("v_scored", f"""sc AS MATERIALIZED (SELECT * FROM v_scored), un AS (SELECT rid, {seed.format(at=1)} AS one, {seed.format(at=9)} | 1 AS two FROM (SELECT DISTINCT rid FROM sc)), x0 AS (SELECT rid, rep, (one + rep * two) % 4294967296 AS x FROM un, range({REPS}) AS t(rep)),
+x1 AS (SELECT rid, rep, {mixed} AS x FROM x0), x2 AS (SELECT rid, rep, {mixed} AS x FROM x1), x3 AS (SELECT rid, rep, xor(x >> 16, x) AS x FROM x2), wt AS MATERIALIZED (SELECT rid, rep, {w} AS w FROM x3),
+g AS (SELECT model, rep, risk, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN y = 1 THEN 0 ELSE w END) AS neg FROM wt JOIN sc USING (rid) WHERE w > 0 GROUP BY ALL),
 c AS (SELECT *, sum(neg) OVER (PARTITION BY model, rep ORDER BY risk) - neg AS below, sum(pos) OVER (PARTITION BY model, rep ORDER BY risk DESC) AS ctp, sum(pos + neg) OVER (PARTITION BY model, rep ORDER BY risk DESC) AS taken FROM g),
 m AS (SELECT model, rep, sum(pos * below + 0.5E0 * pos * neg) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS auc, sum(pos * (ctp / taken)) / sum(pos) AS ap, sum(pos * (risk - 1) * (risk - 1) + neg * risk * risk) / sum(pos + neg) AS brier, (sum(CASE WHEN risk >= 0.5 THEN pos ELSE 0 END) / sum(pos) + sum(CASE WHEN risk >= 0.5 THEN 0 ELSE neg END) / sum(neg)) / 2 AS balanced_accuracy FROM c GROUP BY ALL HAVING sum(pos) > 0 AND sum(neg) > 0),
-l AS (UNPIVOT m ON auc, ap, brier, balanced_accuracy INTO NAME metric VALUE value);; {body}""")
+l AS MATERIALIZED (UNPIVOT m ON auc, ap, brier, balanced_accuracy INTO NAME metric VALUE value);; {body}""")
 
 
 _CI = "count(*) AS n_valid, round(quantile_cont(value, 0.025), 8) AS low, round(quantile_cont(value, 0.975), 8) AS high"

@@ -176,7 +176,11 @@ def test_splits(spark):
 
 
 def test_poisson(spark):
-    got = spark.range(20000).select(hashing.poisson(F.col("id")).alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
+    one, two = hashing.seeds(F.col("id"))
+    seeds = spark.range(20000).select(one.alias("a"), two.alias("b")).toPandas()
+    w = hashing.poisson_weights(seeds["a"].to_numpy(), seeds["b"].to_numpy(), 40)
+    assert abs(np.corrcoef(w[:, :8].T) - np.eye(8)).max() < 0.03 and abs(np.bincount(w.ravel(), minlength=3)[:3] / w.size - [0.368, 0.368, 0.184]).max() < 0.003
+    got = w[:, 3].mean(), w[:, 3].var()
     assert abs(got[0] - 1) < 0.03 and abs(got[1] - 1) < 0.06
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortspark.functions.hashing import POISSON_STEPS
+from cohortspark.functions.hashing import MIXER, POISSON_STEPS
 from cohortspark.operators import evaluate, tokens
 from cohortspark.plans import ORACLES, QUERIES
 from cohortspark.plans.views import view
@@ -60,11 +60,20 @@ def test_coverage_alone_ends_the_selection(spark):
     assert sum(n for _, n, _ in got) >= 0.8 * sum(t != "" for t in texts)
 
 
+def weight_by_hand(unit, rep):
+    """The weight of a unit in a replicate, in whole numbers."""
+    hexed = hashlib.md5(unit.encode()).hexdigest()
+    x = (int(hexed[:8], 16) + rep * (int(hexed[8:16], 16) | 1)) % 2**32
+    for _ in range(2):
+        x = ((x >> 16) ^ x) * MIXER % 2**32
+    return sum(((x >> 16) ^ x) / 2**32 >= s for s in POISSON_STEPS)
+
+
 def replicates(rows, reps):
     """auc, ap, brier and balanced accuracy of each replicate by the definitions, over repeated rows."""
     out = {"auc": [], "ap": [], "brier": [], "balanced_accuracy": []}
     for rep in range(reps):
-        w = [sum(int(hashlib.md5(f"{rid}-{rep}".encode()).hexdigest()[:8], 16) / 2**32 >= s for s in POISSON_STEPS) for rid, _, _ in rows]
+        w = [weight_by_hand(rid, rep) for rid, _, _ in rows]
         pos = [(r, k) for (_, y, r), k in zip(rows, w, strict=True) if y == 1 and k]
         neg = [(r, k) for (_, y, r), k in zip(rows, w, strict=True) if y == 0 and k]
         p, q = sum(k for _, k in pos), sum(k for _, k in neg)
