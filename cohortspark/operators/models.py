@@ -1,19 +1,18 @@
-"""Model fits on assembled features with MLlib: arms, tuning on validation, calibration and permutation importance."""
+"""Models of arms: fits, tuning on validation, calibration and permutation importance."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortspark.operators import boosting, isotonic
 from cohortspark.operators import evaluate as E
 from cohortspark.operators import split as S
+from cohortspark.operators.boosting import Boosted, Tree
+from cohortspark.operators.logistic import Candidate, Logistic, fit_all
 
 
 @dataclass(frozen=True)
@@ -31,82 +30,137 @@ def arm_matrix(sets: dict[str, list[str]], families: list[str]) -> list[Arm]:
     return [Arm(f"{family}_{name}", family, tuple(columns)) for name, columns in sets.items() for family in families]
 
 
-def fit(train: DataFrame, arm: Arm, label: str = "label") -> PipelineModel:
-    """A fitted arm; classes are balanced by weights. Logistic: L2 with strength c; gbt: shallow boosted trees.
+def fit_arms(train: DataFrame, arms: dict[str, Arm], label: str = "label") -> dict[str, Logistic | Boosted]:
+    """Fitted arms by name; classes are balanced by weights. All logistic arms are fitted together, one aggregate per round.
 
-    Trees stop early with the parameter `stop`, a share of the training rows (by a hash of their features) on which the loss must go on falling by `tolerance`;
-    under 100 rows, or 5 of a class, all rows train and all trees are grown. `least` is the smallest leaf.
+    Logistic: L2 with strength `c`. gbt: leaf-wise trees with `trees`, `rate`, `leaves`, `l2`, `least` rows in a leaf, `bins`, and an early stop after `patience` trees that don't
+    lower the loss by `tolerance` on the share `stop` of the training rows (by a hash of their features); under 100 rows, or 5 of a class, all rows train and all trees are grown.
     """
-    p = arm.parameters
     weighted = S.balanced_weights(train, label)
-    assembler = VectorAssembler(inputCols=list(arm.features), outputCol="_features", handleInvalid="keep")
-    if arm.family == "logistic":
-        total = weighted.agg(F.sum("weight")).first()[0] or 1.0
-        model = LogisticRegression(featuresCol="_features", labelCol=label, weightCol="weight", regParam=1.0 / (p.get("c", 1.0) * total), maxIter=p.get("iterations", 50), standardization=False)
-    else:
-        model = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="weight", maxDepth=p.get("depth", 3), maxIter=p.get("trees", 10), stepSize=p.get("rate", 0.1), minInstancesPerNode=p.get("least", 20), seed=7)
-        counts = [r["count"] for r in train.groupBy(label).count().collect()]
-        if p.get("stop") and sum(counts) >= 100 and len(counts) == 2 and min(counts) >= 5:
-            held = F.pmod(F.xxhash64(*arm.features), F.lit(1000)) < int(p["stop"] * 1000)
-            weighted = weighted.withColumn("_held", held)
-            model = model.setValidationIndicatorCol("_held")
-            model.set(model.validationTol, p.get("tolerance", 0.01))
-    return Pipeline(stages=[assembler, model]).fit(weighted)
-
-
-def predict(model: PipelineModel, df: DataFrame, out: str = "risk") -> DataFrame:
+    linear = {n: Candidate(a.features, a.parameters.get("c", 1.0)) for n, a in arms.items() if a.family == "logistic"}
+    out = fit_all(weighted, linear, label, "weight") if linear else {}
+    counts = None
+    for name, arm in arms.items():
+        if name in linear:
+            continue
+        p = dict(arm.parameters)
+        stop, held = p.pop("stop", None), None
+        if stop:
+            counts = counts or [r["count"] for r in train.groupBy(label).count().collect()]
+            if sum(counts) >= 100 and len(counts) == 2 and min(counts) >= 5:
+                held = F.pmod(F.xxhash64(*arm.features), F.lit(1000)) < int(stop * 1000)
+        out[name] = boosting.fit(weighted, arm.features, label, "weight", held, **p)
+    return {name: out[name] for name in arms}
+
+
+def fit(train: DataFrame, arm: Arm, label: str = "label") -> Logistic | Boosted:
+    """One fitted arm."""
+    return fit_arms(train, {arm.name: arm}, label)[arm.name]
+
+
+def predict(model: Logistic | Boosted, df: DataFrame, out: str = "risk") -> DataFrame:
     """Adds P(y = 1)."""
-    return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop("_features", "rawPrediction", "probability", "prediction")
+    return df.withColumn(out, model.risk())
 
 
-def scored(models: dict[str, PipelineModel], df: DataFrame, key: str, label: str) -> DataFrame:
-    """Predictions of all models in the long form."""
-    parts = [predict(m, df).select(F.lit(n).alias("model"), F.col(key).alias("rid"), F.col(label).alias("y"), "risk") for n, m in models.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+def scored(models: dict[str, Logistic | Boosted], df: DataFrame, key: str, label: str, *keep: str) -> DataFrame:
+    """Predictions of all models in the long form, from one pass over the rows."""
+    wide = df.select(F.col(key).alias("rid"), F.col(label).alias("y"), *keep, *[m.risk().alias(f"_r{i}") for i, m in enumerate(models.values())])
+    return wide.select("rid", "y", *keep, F.inline(F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_r{i}").alias("risk")) for i, n in enumerate(models)]))).select("model", "rid", "y", "risk", *keep)
+
+
+def save(models: dict[str, Logistic | Boosted], spark: SparkSession, path: str, metadata: dict | None = None) -> None:
+    """A table with one row per model and one of metadata, which load() turns back into models that score alike."""
+    rows = [(n, type(m).__name__, json.dumps(asdict(m))) for n, m in models.items()] + [("", "metadata", json.dumps(metadata or {}))]
+    spark.createDataFrame(rows, "name string, kind string, content string").coalesce(1).write.parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> tuple[dict[str, Logistic | Boosted], dict]:
+    """Models by name, and metadata."""
+    models, metadata = {}, {}
+    for r in spark.read.parquet(path).collect():  # a row per model
+        x = json.loads(r["content"])
+        if r["kind"] == "metadata":
+            metadata = x
+        elif r["kind"] == "Logistic":
+            models[r["name"]] = Logistic(tuple(x["features"]), tuple(x["coefficients"]), x["intercept"])
+        else:
+            trees = tuple(Tree(**{k: tuple(v) for k, v in t.items()}) for t in x["trees"])
+            models[r["name"]] = Boosted(tuple(x["features"]), tuple(map(tuple, x["edges"])), x["base"], trees, tuple(x["held_loss"]))
+    return models, metadata
 
 
 def tune(train: DataFrame, validation: DataFrame, arm: Arm, grid: list[dict], key: str, label: str = "label") -> DataFrame:
-    """Validation metrics of the distinct candidates, ranked by auc, ap and Brier score; all are evaluated in one job."""
+    """Validation metrics of the distinct candidates, ranked by auc, ap and Brier score; all are fitted and evaluated together."""
     seen = {repr(sorted(p.items())): p for p in [arm.parameters, *grid]}
-    fitted = {name: fit(train, Arm(arm.name, arm.family, arm.features, p), label) for name, p in seen.items()}
+    fitted = fit_arms(train, {name: Arm(arm.name, arm.family, arm.features, p) for name, p in seen.items()}, label)
     table = E.metrics(scored(fitted, validation, key, label))
     rank = F.row_number().over(Window.orderBy(F.desc("auc"), F.desc("ap"), "brier", "model"))  # a few candidates
     return table.select("model", "auc", "ap", "brier", rank.alias("rank"), (rank == 1).alias("winner"))
 
 
-def isotonic(validation: DataFrame, test: DataFrame, risk: str = "risk", label: str = "y") -> DataFrame:
-    """Test rows with calibrated risk, fitted on validation rows pooled by equal scores."""
-    pooled = validation.groupBy(F.col(risk).alias("feature")).agg(F.avg(label).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    model = IsotonicRegression(featuresCol="feature", labelCol="label", weightCol="weight").fit(pooled)
-    out = model.transform(test.withColumn("feature", F.col(risk)))
-    return out.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))).drop("feature", "prediction")
+def calibrate_isotonic(validation: DataFrame, test: DataFrame, risk: str = "risk", label: str = "y") -> DataFrame:
+    """Test rows with the isotonic fit of the validation rows, linear between its corners."""
+    points = isotonic.corners(isotonic.blocks(validation, risk, label))
+    return isotonic.apply(test, points, risk)
 
 
 def sigmoid(validation: DataFrame, test: DataFrame, risk: str = "risk", label: str = "y") -> DataFrame:
-    """Test rows with Platt-calibrated risk."""
-    model = Pipeline(stages=[VectorAssembler(inputCols=[risk], outputCol="_f"), LogisticRegression(featuresCol="_f", labelCol=label, maxIter=50)]).fit(validation)
-    out = model.transform(test)
-    return out.withColumn("calibrated", vector_to_array("probability")[1]).drop("_f", "rawPrediction", "probability", "prediction")
+    """Test rows with Platt-calibrated risk: a logistic model of the risk alone, without penalty."""
+    model = fit_all(validation.select(F.col(risk).alias("_f"), F.col(label).alias("_y")), {"m": Candidate(("_f",), None)}, "_y")["m"]
+    return test.withColumn("_f", F.col(risk)).withColumn("calibrated", model.risk()).drop("_f")
 
 
-def calibration_compare(validation: DataFrame, test: DataFrame) -> DataFrame:
+def calibrations(validation: DataFrame, test: DataFrame, names: tuple[str, str, str] = ("raw", "isotonic", "sigmoid")) -> DataFrame:
     """Raw, isotonic and sigmoid risks of the test rows (rid, y, risk) as three models."""
-    raw = test.select(F.lit("raw").alias("model"), "rid", "y", "risk")
-    for name, f in (("isotonic", isotonic), ("sigmoid", sigmoid)):
+    raw = test.select(F.lit(names[0]).alias("model"), "rid", "y", "risk")
+    for name, f in zip(names[1:], (calibrate_isotonic, sigmoid), strict=True):
         raw = raw.unionAll(f(validation, test).select(F.lit(name).alias("model"), "rid", "y", F.col("calibrated").alias("risk")))
     return raw
 
 
+INTERNAL = ("internal_raw", "internal_isotonic", "internal_sigmoid")
+
+
+def training_only(train: DataFrame, test: DataFrame, arm: Arm, entity: str, key: str, label: str = "label", share: float = 0.2, salt: str = "calibration") -> DataFrame | None:
+    """Calibration that looks at training rows alone, as three models of the test rows (INTERNAL); None where a side lacks a class.
+
+    Training entities are split: the arm is fitted on one side, calibrators on its scores of the other, so no entity is on both.
+    """
+    sides = train.withColumn("_side", calibration_side(F.col(entity), share, salt))
+    counts = {(r["_side"], r["y"]): r["n"] for r in sides.groupBy("_side", F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if any(not counts.get((side, y)) for side in ("train", "test") for y in (0, 1)):
+        return None
+    model = fit(sides.where("_side = 'train'").drop("_side"), arm, label)
+    ask = lambda df: scored({"m": model}, df, key, label).drop("model")
+    return calibrations(ask(sides.where("_side = 'test'")), ask(test), INTERNAL)
+
+
+def calibration_side(entity: Column, share: float = 0.2, salt: str = "calibration") -> Column:
+    """`train` for the base model, `test` for the calibrators."""
+    return S.two_way(entity, share if 0.05 <= share <= 0.5 else 0.2, salt)
+
+
+def calibration_compare(validation: DataFrame, test: DataFrame, train: DataFrame | None = None, arm: Arm | None = None, features_of_test: DataFrame | None = None, entity: str = "entity", key: str = "rid", label: str = "y") -> DataFrame:
+    """Scored rows of raw, isotonic and sigmoid risks fitted on validation, and with `train` and `arm` also those fitted inside the training rows, as up to six models."""
+    out = calibrations(validation, test)
+    inner = training_only(train, features_of_test, arm, entity, key, label) if train is not None else None
+    return out if inner is None else out.unionAll(inner)
+
+
 def _ranked(df: DataFrame, key: str, salt: str, buckets: int, name: str) -> DataFrame:
     """Rows numbered inside buckets of the key by a hash order: a permutation that is never one global sort."""
     b = F.pmod(F.xxhash64(key), F.lit(buckets))
     return df.withColumn("_b", b).withColumn(name, F.row_number().over(Window.partitionBy("_b").orderBy(F.md5(F.concat(F.lit(salt), F.col(key).cast("string"))), key)))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, blocks: dict[str, list[str]], key: str, label: str, repeats: int = 1, rows: int = 2000, buckets: int = 1) -> DataFrame:
+def feature_groups(groups: dict[str, list[str]], columns: list[str] | tuple[str, ...]) -> dict[str, list[str]]:
+    """The groups' columns that are there; groups without any are left out."""
+    some = {name: [c for c in group if c in columns] for name, group in groups.items()}
+    return {name: group for name, group in some.items() if group}
+
+
+def permutation_importance(model: Logistic | Boosted, df: DataFrame, blocks: dict[str, list[str]], key: str, label: str, repeats: int = 1, rows: int = 2000, buckets: int = 1) -> DataFrame:
     """Drop of auc when a block of columns is permuted jointly: mean and sample deviation over repeats, on at most `rows` rows (the documented bound of this diagnostic).
 
     All blocks and repeats are stacked and evaluated in one job.

@@ -1,6 +1,5 @@
 """Queries on splits, preprocessing, evaluation, anchors and models."""
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from cohortspark.functions.hashing import MIXER, POISSON_STEPS
@@ -301,7 +300,7 @@ def anchor_quartiles(spark, sf):
     return rounded(A.quartiles(along(spark, sf).where("model = 'risk_a'")))
 
 
-# ---- models: rows only
+# ---- models
 SETS = {"base": ["price", "priority"], "flags": ["price", "priority", "flag_a", "flag_b"]}
 
 
@@ -322,16 +321,54 @@ def feature_frame(spark, sf):
     return rounded(modelled(spark, sf).select("visit_id", *SETS["flags"]), 6)
 
 
+# ---- models in SQL: Newton steps in a recursive query, with the linear equations solved by elimination in lists
+_FF = f"ff AS (SELECT entity, visit_id, y, split, label, (price - (SELECT avg(price) FROM sp WHERE split = 'train')) / (SELECT stddev_pop(price) FROM sp WHERE split = 'train') AS price, CAST(priority AS DOUBLE) AS priority, CAST(flag_a AS DOUBLE) AS flag_a, CAST(coalesce(flag_b, {_MODE}) AS DOUBLE) AS flag_b FROM sp)"
+
+
+def balanced_sql(tag, src):
+    return f"{tag} AS (SELECT *, count(*) OVER () / (2.0E0 * count(*) OVER (PARTITION BY label)) AS w FROM {src})"
+
+
+def newton_sql(tag, src, features, c, label="label", steps=25):
+    """A clause `tag` (beta) of the optimum on the rows of src (features, label, w)."""
+    x = [*features, "1.0E0"]
+    n = len(x)
+    z = " + ".join(f"beta[{i + 1}] * {v}" for i, v in enumerate(x))
+    pull = [f" + beta[{i + 1}] / {float(c)!r}E0" if c and i < n - 1 else "" for i in range(n)]
+    cell = lambda i, j: f"sum(w * p * (1 - p) * {x[i]} * {x[j]})" + (f" + 1 / {float(c)!r}E0" if c and i == j < n - 1 else "")
+    m = "[" + ", ".join("[" + ", ".join([cell(i, j) for j in range(n)] + [f"sum(w * (p - {label}) * {x[i]}){pull[i]}"]) + "]" for i in range(n)) + "]"
+    text = f"SELECT it, beta, {m} AS m FROM (SELECT it, beta, w, {label}, {', '.join(features)}, 1 / (1 + exp(-({z}))) AS p FROM {tag}_r, {src} WHERE it < {steps}) GROUP BY it, beta"
+    for k in range(1, n + 1):
+        text = f"SELECT it, beta, list_transform(m, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda v: v / r[{k}]) ELSE list_transform(r, lambda v, j: v - r[{k}] * m[{k}][j] / m[{k}][{k}]) END) AS m FROM ({text})"
+    zeros = ", ".join(["0.0E0"] * n)
+    return f"{tag}_r AS (SELECT 0 AS it, [{zeros}] AS beta UNION ALL SELECT it + 1, list_transform(beta, lambda v, i: v - m[i][{n + 1}]) FROM ({text})), {tag} AS (SELECT beta FROM {tag}_r ORDER BY it DESC LIMIT 1)"
+
+
+def risk_sql(features):
+    return "1 / (1 + exp(-(" + " + ".join(f"beta[{i + 1}] * {v}" for i, v in enumerate([*features, "1.0E0"])) + ")))"
+
+
+def model_sql(names, body):
+    return sql(names, body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_TRAIN = ", ".join([_SP, _FF, balanced_sql("tr", "ff WHERE split = 'train'")])
+_ONE = _TRAIN + ", " + newton_sql("nb", "tr", SETS["flags"], 1.0)
+_TEST = _ONE + f", sc AS (SELECT visit_id, label AS y, 'logistic' AS model, {risk_sql(SETS['flags'])} AS risk FROM ff, nb WHERE split = 'test')"
+_SCM = _MET.replace("v_scored", "sc")
+_METRICS_OF = f"SELECT model, n, tp, fp, tn, fn, {_R9(_MN).replace(', 9)', ', 7)')} FROM met"
+
+
 def _fit(spark, sf, family):
     df = modelled(spark, sf)
     arm = M.Arm(family, family, tuple(SETS["flags"]), {"trees": 30, "stop": 0.15, "least": 30} if family == "gbt" else {})
     return M.fit(_part(df, "train"), arm), df
 
 
-@query()
+@query(model_sql("v_cohort", _TEST + ", " + _SCM + f";; {_METRICS_OF}"))
 def fit_logistic(spark, sf):
     m, df = _fit(spark, sf, "logistic")
-    return E.metrics(M.scored({"logistic": m}, _part(df, "test"), "visit_id", "label"))
+    return rounded(E.metrics(M.scored({"logistic": m}, _part(df, "test"), "visit_id", "label")), 7)
 
 
 @query()
@@ -340,30 +377,34 @@ def fit_gbt(spark, sf):
     return E.metrics(M.scored({"gbt": m}, _part(df, "test"), "visit_id", "label"))
 
 
-@query()
+@query(model_sql("v_cohort", _TEST + ";; SELECT visit_id, y AS label, round(risk, 7) AS risk FROM sc"))
 def predict_positive(spark, sf):
     m, df = _fit(spark, sf, "logistic")
-    return M.predict(m, _part(df, "test")).select("visit_id", "label", "risk")
+    return rounded(M.predict(m, _part(df, "test")).select("visit_id", "label", "risk"), 7)
 
 
 @query()
 def arm_matrix(spark, sf):
     df = modelled(spark, sf)
-    fitted = {a.name: M.fit(_part(df, "train"), a) for a in M.arm_matrix(SETS, ["logistic", "gbt"])}
-    return E.metrics(M.scored(fitted, _part(df, "validation"), "visit_id", "label"))
+    arms = {a.name: M.Arm(a.name, a.family, a.features, {"trees": 10} if a.family == "gbt" else {}) for a in M.arm_matrix(SETS, ["logistic", "gbt"])}
+    return E.metrics(M.scored(M.fit_arms(_part(df, "train"), arms), _part(df, "validation"), "visit_id", "label"))
 
 
-@query()
+GRID = [0.1, 1.0, 10.0]
+_TUNE = _TRAIN + "".join(", " + newton_sql(f"n{i}", "tr", SETS["flags"], c) for i, c in enumerate(GRID)) + ", sc AS (" + " UNION ALL ".join(f"SELECT label AS y, '[(''c'', {c})]' AS model, {risk_sql(SETS['flags'])} AS risk FROM ff, n{i} WHERE split = 'validation'" for i, c in enumerate(GRID)) + ")"
+
+
+@query(model_sql("v_cohort", _TUNE + ", " + _SCM + ", rr AS (SELECT *, row_number() OVER (ORDER BY auc DESC, ap DESC, brier, model) AS rank FROM met);; SELECT model, round(auc, 7) AS auc, round(ap, 7) AS ap, round(brier, 7) AS brier, CAST(rank AS INT) AS rank, rank = 1 AS winner FROM rr"))
 def tune_on_validation(spark, sf):
     df = modelled(spark, sf)
-    return M.tune(_part(df, "train"), _part(df, "validation"), M.Arm("logistic", "logistic", tuple(SETS["flags"]), {"c": 1.0}), [{"c": 0.1}, {"c": 1.0}, {"c": 10.0}], "visit_id")
+    return rounded(M.tune(_part(df, "train"), _part(df, "validation"), M.Arm("logistic", "logistic", tuple(SETS["flags"]), {"c": 1.0}), [{"c": c} for c in GRID], "visit_id"), 7)
 
 
-@query()
+@query(model_sql("v_cohort", ", ".join([_SP, _FF, balanced_sql("tr", "ff WHERE split <> 'test'"), newton_sql("nb", "tr", SETS["flags"], 1.0)]) + f";; SELECT visit_id, label, round({risk_sql(SETS['flags'])}, 7) AS risk FROM ff, nb WHERE split = 'test'"))
 def refit_and_score(spark, sf):
     df = modelled(spark, sf)
     m = M.fit(_part(df, "train", "validation"), M.Arm("logistic", "logistic", tuple(SETS["flags"])))
-    return M.predict(m, _part(df, "test")).select("visit_id", "label", "risk")
+    return rounded(M.predict(m, _part(df, "test")).select("visit_id", "label", "risk"), 7)
 
 
 def _sides(spark, sf):
@@ -371,43 +412,90 @@ def _sides(spark, sf):
     return _part(v, "validation").drop("split"), _part(v, "test").drop("split")
 
 
-@query()
+def isotonic_sql(tag, cal, test):
+    """A clause `tag` (test's columns, calibrated): the isotonic fit by the min-max rule of averages over stretches of scores, linear between the ends of its blocks."""
+    return f"""{tag}_s AS (SELECT *, sum(s) OVER (ORDER BY risk) AS cs, sum(c) OVER (ORDER BY risk) AS cc, row_number() OVER (ORDER BY risk) AS i FROM (SELECT risk, sum(y) AS s, count(*) AS c FROM {cal} GROUP BY 1)),
+{tag}_l AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cc - a.cc + a.c) AS v FROM {tag}_s AS a JOIN {tag}_s AS b ON b.i >= a.i), {tag}_m AS (SELECT a, b AS i, min(v) OVER (PARTITION BY a ORDER BY b DESC) AS v FROM {tag}_l), {tag}_v AS (SELECT i, max(v) AS v FROM {tag}_m GROUP BY 1),
+{tag}_p AS (SELECT risk AS x, v FROM {tag}_v JOIN {tag}_s USING (i)), {tag} AS (SELECT t.*, CASE WHEN p.x IS NULL THEN q.v WHEN q.x IS NULL THEN p.v WHEN p.x = q.x THEN p.v ELSE p.v + (t.risk - p.x) / (q.x - p.x) * (q.v - p.v) END AS calibrated FROM {test} AS t ASOF LEFT JOIN {tag}_p AS p ON t.risk >= p.x ASOF LEFT JOIN {tag}_p AS q ON t.risk <= q.x)"""
+
+
+def sigmoid_sql(tag, cal, test):
+    return f"{tag}_c AS (SELECT *, 1.0E0 AS w FROM {cal}), " + newton_sql(f"{tag}_b", f"{tag}_c", ["risk"], None, "y") + f", {tag} AS (SELECT t.*, {risk_sql(['risk'])} AS calibrated FROM {test} AS t, {tag}_b)"
+
+
+_SIDE = "vr AS (SELECT visit_id AS rid, label AS y, risk_a AS risk, CASE WHEN {b} < 4000 THEN 'test' WHEN {b} < 7000 THEN 'validation' ELSE 'train' END AS split FROM v_risks), ca AS (SELECT rid, y, risk FROM vr WHERE split = 'validation'), te AS (SELECT rid, y, risk FROM vr WHERE split = 'test')".format(b=_B)
+
+
+@query(model_sql("v_risks", _SIDE + ", " + isotonic_sql("iso", "ca", "te") + ";; SELECT rid, y, risk, round(calibrated, 7) AS calibrated FROM iso"))
 def calibrate_isotonic(spark, sf):
-    return M.isotonic(*_sides(spark, sf)).select("rid", "y", "risk", "calibrated")
+    return rounded(M.calibrate_isotonic(*_sides(spark, sf)).select("rid", "y", "risk", "calibrated"), 7)
 
 
-@query()
+@query(model_sql("v_risks", _SIDE + ", " + sigmoid_sql("sig", "ca", "te") + ";; SELECT rid, y, risk, round(calibrated, 7) AS calibrated FROM sig"))
 def calibrate_sigmoid(spark, sf):
-    return M.sigmoid(*_sides(spark, sf)).select("rid", "y", "risk", "calibrated")
+    return rounded(M.sigmoid(*_sides(spark, sf)).select("rid", "y", "risk", "calibrated"), 7)
 
 
-@query()
+_CB = "$h(concat('calibration', $s(entity))) % 10000"
+_INNER = f"ss AS (SELECT *, CASE WHEN {_CB} < 2000 THEN 'test' ELSE 'train' END AS side FROM ff WHERE split = 'train'), " + balanced_sql("st", "ss WHERE side = 'train'") + ", " + newton_sql("nb", "st", SETS["flags"], 1.0) + f", ia AS (SELECT visit_id AS rid, label AS y, {risk_sql(SETS['flags'])} AS risk FROM ss, nb WHERE side = 'test'), ie AS (SELECT visit_id AS rid, label AS y, {risk_sql(SETS['flags'])} AS risk FROM ff, nb WHERE split = 'test')"
+_SIX = ", ".join([_SIDE, isotonic_sql("iso", "ca", "te"), sigmoid_sql("sig", "ca", "te"), _SP, _FF, _INNER, isotonic_sql("iso2", "ia", "ie"), sigmoid_sql("sig2", "ia", "ie")]) + ", sc AS (SELECT 'raw' AS model, y, risk FROM te UNION ALL SELECT 'isotonic', y, calibrated FROM iso UNION ALL SELECT 'sigmoid', y, calibrated FROM sig UNION ALL SELECT 'internal_raw', y, risk FROM ie UNION ALL SELECT 'internal_isotonic', y, calibrated FROM iso2 UNION ALL SELECT 'internal_sigmoid', y, calibrated FROM sig2)"
+_SIXM = ["prevalence", "brier"]
+
+
+@query(model_sql("v_cohort v_risks", _SIX + ", " + _SCM + f";; SELECT model, n, {_R9(_SIXM).replace(', 9)', ', 7)')} FROM met"))
 def calibration_compare(spark, sf):
-    return E.metrics(M.calibration_compare(*_sides(spark, sf)))
+    df = modelled(spark, sf)
+    arm = M.Arm("logistic", "logistic", tuple(SETS["flags"]))
+    out = M.calibration_compare(*_sides(spark, sf), _part(df, "train"), arm, _part(df, "test"), "entity", "visit_id", "label")
+    return rounded(E.metrics(out).select("model", "n", *_SIXM), 7)
 
 
-@query()
+_YEAR = _SP + ", " + _FF.replace("ff AS (", "f0 AS (", 1) + ", ff AS (SELECT * REPLACE (CASE WHEN y < 1999 THEN 'train' ELSE 'test' END AS split) FROM f0), " + balanced_sql("tr", "ff WHERE split = 'train'") + "".join(", " + newton_sql(f"n{k}", "tr", cols, 1.0) for k, cols in SETS.items())
+_YEAR += ", sc AS (" + " UNION ALL ".join(f"SELECT label AS y, 'logistic_{k}' AS model, {risk_sql(cols)} AS risk FROM ff, n{k} WHERE split = 'test'" for k, cols in SETS.items()) + ")"
+
+
+@query(model_sql("v_cohort", _YEAR + ", " + _SCM + f";; {_METRICS_OF}"))
 def temporal_validation(spark, sf):
     df = modelled(spark, sf).withColumn("split", S.temporal(F.col("y"), 1999))
-    fitted = {a.name: M.fit(_part(df, "train"), a) for a in M.arm_matrix(SETS, ["logistic"])}
-    return E.metrics(M.scored(fitted, _part(df, "test"), "visit_id", "label"))
+    fitted = M.fit_arms(_part(df, "train"), {a.name: a for a in M.arm_matrix(SETS, ["logistic"])})
+    return rounded(E.metrics(M.scored(fitted, _part(df, "test"), "visit_id", "label")), 7)
 
 
-@query()
+def importance_sql(blocks, repeats, rows=2000):
+    """Blocks permuted by the order of one hash against the order of another, and the drop of auc."""
+    order = lambda salt: f"row_number() OVER (ORDER BY md5('{salt}' || $s(visit_id)), visit_id)"
+    base = f"bs AS (SELECT * FROM ff WHERE split = 'test' ORDER BY md5('importance' || $s(visit_id)), visit_id LIMIT {rows})"
+    parts = [f"SELECT '|0' AS model, label AS y, {risk_sql(SETS['flags'])} AS risk FROM bs, nb"]
+    for name, cols in blocks.items():
+        for r in range(repeats):
+            keep = ", ".join(c for c in SETS["flags"] if c not in cols)
+            left = f"(SELECT label{', ' + keep if keep else ''}, {order('keep')} AS n FROM bs)"
+            right = f"(SELECT {', '.join(cols)}, {order(f'{name}{r}')} AS n FROM bs)"
+            parts.append(f"SELECT '{name}|{r}', label, {risk_sql(SETS['flags'])} FROM {left} JOIN {right} USING (n), nb")
+    out = "SELECT split_part(model, '|', 1) AS block, round(avg(b - auc), 7) AS importance, round(stddev_samp(b - auc), 7) AS sd, count(*) AS repeats FROM (SELECT model, auc, (SELECT auc FROM rk WHERE model = '|0') AS b FROM rk WHERE model <> '|0') GROUP BY 1"
+    return model_sql("v_cohort", ", ".join([_ONE, base, "sc AS (" + " UNION ALL ".join(parts) + ")", rank_sql("sc", ["model"])]) + ";; " + out)
+
+
+_SINGLE = {c: [c] for c in SETS["flags"]}
+#: Feature groups by what the columns describe; only columns of the frame count.
+GROUPS = {"order": ["price", "priority", "clerk"], "flags": ["flag_a", "flag_b"], "none of the frame": ["other"]}
+
+
+@query(importance_sql(_SINGLE, 1))
 def permutation_importance(spark, sf):
     m, df = _fit(spark, sf, "logistic")
-    return M.permutation_importance(m, _part(df, "test"), {c: [c] for c in SETS["flags"]}, "visit_id", "label")
+    return rounded(M.permutation_importance(m, _part(df, "test"), _SINGLE, "visit_id", "label"), 7)
 
 
-@query()
+@query(importance_sql({"order": ["price", "priority"], "flags": ["flag_a", "flag_b"]}, 2))
 def grouped_permutation_importance(spark, sf):
     m, df = _fit(spark, sf, "logistic")
-    return M.permutation_importance(m, _part(df, "test"), {"order": ["price", "priority"], "flags": ["flag_a", "flag_b"]}, "visit_id", "label", repeats=2)
+    return rounded(M.permutation_importance(m, _part(df, "test"), M.feature_groups(GROUPS, m.features), "visit_id", "label", repeats=2), 7)
 
 
-@query()
+@query(model_sql("v_cohort", _TEST + ";; SELECT visit_id, round(risk, 7) AS risk FROM sc"))
 def model_bundle_sink(spark, sf):
     m, df = _fit(spark, sf, "logistic")
     out = place(spark)
-    m.write().save(out)
-    return M.predict(PipelineModel.load(out), _part(df, "test")).select("visit_id", "risk")
+    M.save({"logistic": m}, spark, out, {"features": SETS["flags"]})
+    return rounded(M.predict(M.load(spark, out)[0]["logistic"], _part(df, "test")).select("visit_id", "risk"), 7)

@@ -22,19 +22,47 @@ def select_columns(df: DataFrame, columns: list[str], text: list[str] = ()) -> D
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, or in the warehouse where none is set."""
+    """A new folder in the shared checkpoint folder. Only a session in one process may leave that unset, and gets one in its warehouse."""
     d = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = d.get() if d.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = d.get() if d.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/tables-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The rows written as a table in the shared folder and read again, for what is read several times."""
-    path = scratch(df.sparkSession)
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Kept:
+    """Rows kept as a table in the shared folder while a fit runs: evenly dealt, with a plan of one scan, and removed at the end or when others take their place."""
+
+    def __init__(self, df: DataFrame):
+        self.path, self.spark = None, df.sparkSession
+        self.replace(df.hint("rebalance"))
+
+    def replace(self, df: DataFrame) -> None:
+        old, self.path = self.path, scratch(self.spark)
+        self.rows = written(df, self.path)
+        self._remove(old)
+
+    def _remove(self, path: str | None) -> None:
+        if path:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def __enter__(self) -> Kept:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._remove(self.path)
+
+
 def row_window(df: DataFrame, key: str, start: int = 0, stop: int | None = None, rows: int = 500_000) -> DataFrame:
     """Rows number start to stop (from 0, exclusive) by the order of a unique numeric key; Spark tables have no order of their own.
 

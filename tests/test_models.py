@@ -5,8 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from cohortspark.operators import boosting, isotonic
 from cohortspark.operators import evaluate as E
 from cohortspark.operators import models as M
 
@@ -22,35 +24,102 @@ def made(spark):
     return spark.createDataFrame(rows, "id long, x double, noise double, c double, label int").cache()
 
 
+def newton(X, y, w, c):
+    """The optimum of the weighted, penalised loss."""
+    Z, beta = np.column_stack([X, np.ones(len(y))]), np.zeros(X.shape[1] + 1)
+    pull = np.append(np.full(X.shape[1], 1 / c if c else 0.0), 0.0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(Z @ beta)))
+        beta = beta - np.linalg.solve(Z.T @ (Z * (w * p * (1 - p))[:, None]) + np.diag(pull), Z.T @ (w * (p - y)) + pull * beta)
+    return beta
+
+
 def test_logistic_optimum(made):
-    arm = M.Arm("l", "logistic", ("x", "c"), {"c": 2.0, "iterations": 200})
-    model = M.fit(made, arm)
+    """Candidates of other features and strengths, fitted together, all reach their own optimum."""
+    arms = {f"{'+'.join(cols)} {c}": M.Arm("l", "logistic", cols, {"c": c}) for cols in (("x", "c"), ("noise",), ("c", "x", "noise")) for c in (0.01, 2.0, 50.0)}
+    got = M.fit_arms(made, arms)
     pdf = made.toPandas()
-    X, y = pdf[["x", "c"]].to_numpy(), pdf["label"].to_numpy()
+    y = pdf["label"].to_numpy()
     w = len(y) / (2 * np.where(y == 1, y.sum(), len(y) - y.sum()))
-    beta, b = np.zeros(2), 0.0
-    for _ in range(50):  # Newton's method on the weighted, penalised loss
-        p = 1 / (1 + np.exp(-(X @ beta + b)))
-        g = np.append(X.T @ (w * (p - y)) + beta / 2.0, (w * (p - y)).sum())
-        Z = np.column_stack([X, np.ones(len(y))])
-        H = Z.T @ (Z * (w * p * (1 - p))[:, None]) + np.diag([0.5, 0.5, 0.0])
-        step = np.linalg.solve(H, g)
-        beta, b = beta - step[:2], b - step[2]
-    got = model.stages[-1]
-    assert got.coefficients.toArray() == pytest.approx(beta, abs=2e-3) and got.intercept == pytest.approx(b, abs=2e-3)
-    risk = M.predict(model, made).select("x", "c", "risk").first()
-    z = got.coefficients[0] * risk["x"] + got.coefficients[1] * risk["c"] + got.intercept
+    for name, arm in arms.items():
+        want = newton(pdf[list(arm.features)].to_numpy(), y, w, arm.parameters["c"])
+        assert [*got[name].coefficients, got[name].intercept] == pytest.approx(want, abs=1e-6)
+    name = "x+c 2.0"
+    risk = M.predict(got[name], made).select("x", "c", "risk").first()
+    z = got[name].coefficients[0] * risk["x"] + got[name].coefficients[1] * risk["c"] + got[name].intercept
     assert risk["risk"] == pytest.approx(1 / (1 + math.exp(-z)))
 
 
-def test_trees_stop_early(made):
-    many = M.fit(made, M.Arm("g", "gbt", ("x", "c"), {"trees": 40, "least": 5}))
-    few = M.fit(made, M.Arm("g", "gbt", ("x", "c"), {"trees": 40, "least": 5, "stop": 0.2}))
-    assert len(many.stages[-1].trees) == 40 and len(few.stages[-1].trees) < 40
-    tiny = M.fit(made.where("id < 60"), M.Arm("g", "gbt", ("x", "c"), {"trees": 5, "stop": 0.2}))
-    assert len(tiny.stages[-1].trees) == 5
-    table = E.metrics(M.scored({"many": many, "few": few}, made, "id", "label")).collect()
+def test_logistic_odd_rows(spark):
+    """Null features and labels are left out of the fit and have no risk; constant and missing classes give finite models."""
+    rows = [(1.0, 1.0, 1), (2.0, 1.0, 0), (None, 1.0, 1), (3.0, 1.0, 1), (2.5, 1.0, None), (0.5, 1.0, 0)] * 5
+    df = spark.createDataFrame(rows, "x double, k double, label int")
+    m = M.fit(df, M.Arm("l", "logistic", ("x", "k"), {"c": 1.0}))
+    assert all(map(math.isfinite, [*m.coefficients, m.intercept])) and m.coefficients[1] == pytest.approx(0, abs=1e-6)
+    assert M.predict(m, df).where("x is null").select("risk").distinct().collect()[0][0] is None
+    assert M.fit(df.where("false"), M.Arm("l", "logistic", ("x",))).coefficients == (0.0,)
+
+
+def test_scoring_after_an_observation(made):
+    """A session that has observed something still scores, tunes and saves."""
+    seen = Observation()
+    made.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 1500
+    fitted = M.fit_arms(made, {"l": M.Arm("l", "logistic", ("x", "c")), "g": M.Arm("g", "gbt", ("x", "c"), {"trees": 2})})
+    assert E.metrics(M.scored(fitted, made, "id", "label")).count() == 2
+
+
+def brute_tree(x, y, w, leaves, l2, least, rate):
+    """Leaf-wise growth by trying every value of every feature at every leaf: the first tree's scores."""
+    p = (w * y).sum() / w.sum()
+    g, h = w * (p - y), w * p * (1 - p) + 0 * y
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + l2)
+    parts = [np.ones(len(y), bool)]
+
+    def best(m):
+        out = (0.0, None)
+        for j in range(x.shape[1]):
+            for v in np.unique(x[m, j])[:-1]:
+                a, b = m & (x[:, j] <= v), m & (x[:, j] > v)
+                if min(a.sum(), b.sum()) >= least and gain(a) + gain(b) - gain(m) > out[0] * (1 + 1e-12) + 1e-12:
+                    out = (gain(a) + gain(b) - gain(m), (a, b))
+        return out
+
+    while len(parts) < leaves:
+        found = [best(m) for m in parts]
+        i = max(range(len(parts)), key=lambda i: found[i][0])
+        if found[i][1] is None:
+            break
+        parts[i : i + 1] = found[i][1]
+    out = np.full(len(y), math.log(p / (1 - p)))
+    for m in parts:
+        out[m] -= rate * g[m].sum() / (h[m].sum() + l2)
+    return out
+
+
+@pytest.mark.parametrize(("leaves", "l2", "least"), [(2, 0.05, 1), (6, 0.05, 20), (15, 30.0, 5)])
+def test_one_tree_is_the_best_gain_tree(made, leaves, l2, least):
+    pdf = made.where("id < 400").withColumn("x", F.round("x", 1)).toPandas()
+    df = made.sparkSession.createDataFrame(pdf)
+    model = boosting.fit(df, ("x", "c"), trees=1, rate=0.3, leaves=leaves, l2=l2, least=least)
+    want = brute_tree(pdf[["x", "c"]].to_numpy(), pdf["label"].to_numpy().astype(float), np.ones(len(pdf)), leaves, l2, least, 0.3)
+    got = {r["id"]: r["risk"] for r in M.predict(model, df).select("id", "risk").collect()}
+    assert [got[i] for i in pdf["id"]] == pytest.approx(list(1 / (1 + np.exp(-want))))
+    assert sum(f < 0 for f in model.trees[0].feature) <= leaves
+
+
+def test_trees_stop_early_and_take_missing_values(made):
+    gone = made.withColumn("x", F.when(F.col("id") % 5 != 0, F.col("x")))
+    p = {"trees": 25, "least": 5, "leaves": 4, "rate": 0.9, "patience": 3, "tolerance": 0.0}
+    many, few = (M.fit(gone, M.Arm("g", "gbt", ("x", "c"), q)) for q in ({**p, "trees": 12}, {**p, "stop": 0.2}))
+    assert len(many.trees) == 12 and len(few.trees) < 25
+    # what stopped it: no tree of the last three has a lower held loss than the one before them
+    assert len(few.held_loss) == len(few.trees) + 1 and min(few.held_loss[-3:]) >= few.held_loss[-4] and few.held_loss[-4] < few.held_loss[0]
+    tiny = M.fit(made.where("id < 60"), M.Arm("g", "gbt", ("x", "c"), {"trees": 3, "stop": 0.2, "least": 5}))
+    assert len(tiny.trees) == 3
+    table = E.metrics(M.scored({"many": many, "few": few}, gone, "id", "label")).collect()
     assert all(r["auc"] > 0.7 for r in table)
+    assert M.fit(made.where("label = 1"), M.Arm("g", "gbt", ("x",))).trees == ()
 
 
 def test_tuning_ranks_candidates(made):
@@ -75,13 +144,41 @@ def pav(pairs):
     return {s: a / w for a, w, ss in blocks for s in ss}
 
 
-def test_isotonic_by_hand(spark):
+@pytest.mark.parametrize("few", [isotonic.FEW, 0])
+@pytest.mark.parametrize("parts", [1, 3, 20])
+def test_isotonic_by_hand(spark, few, parts):
+    """Both levels give the fit of one pass, by both ways of applying it; between corners it is linear, beyond them flat."""
     r = random.Random(2)
-    pairs = [(k / 10, int(r.random() < k / 14)) for k in range(1, 10) for _ in range(12)]
-    rows = spark.createDataFrame([(i, y, s) for i, (s, y) in enumerate(pairs)], "rid long, y int, risk double")
-    want = pav(pairs)
-    got = {x["risk"]: x["calibrated"] for x in M.isotonic(rows, rows).select("risk", "calibrated").distinct().collect()}
-    assert got == pytest.approx(want)
+    for shape in (lambda k: k / 14, lambda k: 1 - k / 14, lambda k: 0.5, lambda k: (k % 3) / 3):
+        pairs = [(round(k / 10, 1), int(r.random() < shape(k))) for k in range(1, 10) for _ in range(12)]
+        rows = spark.createDataFrame([(i, y, s) for i, (s, y) in enumerate(pairs)] + [(900, None, 0.5), (901, 1, None)], "rid long, y int, risk double")
+        want = pav(pairs)
+        xs = sorted(want)
+        points = isotonic.corners(isotonic.blocks(rows, parts=parts))
+        asked = spark.createDataFrame([(s,) for s in [*xs, 0.0, 0.149, 0.777, 2.0, None]], "risk double")
+        got = {x["risk"]: x["calibrated"] for x in isotonic.apply(asked, points, few=few).collect()}
+        corners = sorted({x["x"]: x["v"] for x in points.collect()}.items())
+        assert got.pop(None) is None and got == pytest.approx({s: np.interp(s, *zip(*corners, strict=True)) for s in got}) and {s: got[s] for s in xs} == pytest.approx(want)
+    assert isotonic.apply(asked, points.limit(0)).where("calibrated is not null").count() == 0
+
+
+def test_training_only_calibration(made):
+    """No entity is on both sides, and the three models score all test rows."""
+    df = made.withColumn("entity", F.floor(F.col("id") / 3))
+    sides = df.withColumn("side", M.calibration_side(F.col("entity"))).groupBy("entity").agg(F.count_distinct("side").alias("n"), F.first("side").alias("side"))
+    assert {r["n"] for r in sides.select("n").distinct().collect()} == {1}
+    assert 0.12 < sides.where("side = 'test'").count() / sides.count() < 0.28
+    train, test = df.where("entity % 4 > 0"), df.where("entity % 4 = 0")
+    for arm in (M.Arm("l", "logistic", ("x", "c")), M.Arm("g", "gbt", ("x", "c"), {"trees": 2, "leaves": 4})):
+        out = M.training_only(train, test, arm, "entity", "id")
+        assert {r["model"]: r["n"] for r in out.groupBy("model").agg(F.count("risk").alias("n")).collect()} == dict.fromkeys(M.INTERNAL, test.count())
+    # calibrators see the scores of their own side alone
+    model = M.fit(train.where(M.calibration_side(F.col("entity")) == "train"), M.Arm("l", "logistic", ("x", "c")))
+    cal = M.predict(model, train.where(M.calibration_side(F.col("entity")) == "test")).select("risk", "label").toPandas()
+    want = pav(list(zip(cal["risk"], cal["label"], strict=True)))
+    got = M.training_only(train, test, M.Arm("l", "logistic", ("x", "c")), "entity", "id").where("model = 'internal_isotonic'").agg(F.min("risk"), F.max("risk")).first()
+    assert min(want.values()) <= got[0] + 1e-9 and got[1] <= max(want.values()) + 1e-9
+    assert M.training_only(train.where("label = 1"), test, M.Arm("l", "logistic", ("x",)), "entity", "id") is None
 
 
 def test_sigmoid_optimum(spark):
@@ -108,10 +205,12 @@ def test_importance_of_a_useless_column(made):
     assert abs(got["noise"]["importance"]) < 0.02 < 0.1 < got["x"]["importance"] < got["both"]["importance"] + 0.05 and got["x"]["repeats"] == 3
 
 
-def test_bundle_and_arms(made, tmp_path):
-    from pyspark.ml import PipelineModel
+def test_bundle(spark, made, tmp_path):
+    fitted = M.fit_arms(made, {"l": M.Arm("l", "logistic", ("x", "c")), "g": M.Arm("g", "gbt", ("x", "c"), {"trees": 2})})
+    M.save(fitted, spark, str(tmp_path / "bundle"), {"label": "label"})
+    models, metadata = M.load(spark, str(tmp_path / "bundle"))
+    assert models == fitted and metadata == {"label": "label"}
+
 
-    model = M.fit(made, M.Arm("l", "logistic", ("x", "c")))
-    model.write().save(str(tmp_path / "bundle"))
-    one = M.predict(model, made).agg(F.sum("risk")).first()[0]
-    assert M.predict(PipelineModel.load(str(tmp_path / "bundle")), made).agg(F.sum("risk")).first()[0] == pytest.approx(one)
+def test_feature_groups():
+    assert M.feature_groups({"a": ["x", "gone"], "b": ["gone"]}, ("x", "c")) == {"a": ["x"]}
