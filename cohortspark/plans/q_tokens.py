@@ -1,7 +1,10 @@
 """Queries on wide text columns."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
+from cohortspark.operators import matching as X
 from cohortspark.operators import tokens as T
 from cohortspark.plans.registry import query
 from cohortspark.plans.views import sql, view
@@ -117,11 +120,41 @@ def vocab_nearest_match(spark, sf):
     return T.nearest(view(spark, sf, "v_dictionary"), _vocab(spark, sf), 0.75)
 
 
-@query(sql("v_aliases v_dictionary", _VOC + ", " + _near("n1", "length(term) % 2 = 0", 0.75) + ", " + _near("n2", "length(term) % 3 < 2", 0.7) + """;; SELECT token, CASE WHEN a.status = 'kept_original' AND b.status = 'kept_original' THEN 'kept_original' WHEN a.match = b.match THEN 'agree' WHEN (a.status = 'exact') <> (b.status = 'exact') THEN 'exact_wins' ELSE 'best_score' END AS status,
+SIZE = 64
+
+
+def _bigrams(texts):
+    """Counts of pairs of characters, hashed to SIZE places: a stand-in for a text encoder."""
+    out = []
+    for t in texts:
+        v = [0.0] * SIZE
+        for i in range(len(t) - 1):
+            v[int(hashlib.md5(t[i : i + 2].encode()).hexdigest()[:8], 16) % SIZE] += 1.0
+        out.append(v)
+    return out
+
+
+def _vectors_sql(tag, src, column):
+    grams = f"SELECT x, $h(substr(x, i, 2)) % {SIZE} AS j FROM (SELECT x, unnest(range(1, length(x))) AS i FROM (SELECT DISTINCT {column} AS x FROM {src}))"
+    return f"{tag}c AS (SELECT x, j, count(*) AS n FROM ({grams}) GROUP BY ALL), {tag} AS (SELECT x, list_transform(v, lambda e: e / sqrt(list_inner_product(v, v))) AS v FROM (SELECT x, list_transform(range({SIZE}), lambda k: coalesce(m[k], 0.0E0)) AS v FROM (SELECT x, map(list(j), list(CAST(n AS DOUBLE))) AS m FROM {tag}c GROUP BY x)))"
+
+
+_VEC = _vectors_sql("va", "v_dictionary", "token") + ", " + _vectors_sql("vb", "voc", "term") + """, n2 AS (SELECT token, CASE WHEN own.term IS NOT NULL THEN token ELSE coalesce(b.term, token) END AS match, CASE WHEN own.term IS NOT NULL THEN 1.0E0 ELSE b.s END AS score, CASE WHEN own.term IS NOT NULL THEN 'exact' WHEN b.s IS NOT NULL THEN 'nearest' ELSE 'kept_original' END AS status FROM v_dictionary
+ LEFT JOIN voc AS own ON own.term = token LEFT JOIN (SELECT va.x AS t, vb.x AS term, round(list_inner_product(va.v, vb.v), 9) AS s FROM va, vb WHERE round(list_inner_product(va.v, vb.v), 9) >= 0.7 QUALIFY row_number() OVER (PARTITION BY va.x ORDER BY s DESC, vb.x) = 1) AS b ON b.t = token)"""
+
+
+@query(sql("v_aliases v_dictionary", _VOC + ", " + _near("n1", "true", 0.75) + ", " + _VEC + """;; SELECT token, CASE WHEN a.status = 'kept_original' AND b.status = 'kept_original' THEN 'kept_original' WHEN a.match = b.match THEN 'agree' WHEN (a.status = 'exact') <> (b.status = 'exact') THEN 'exact_wins' ELSE 'best_score' END AS status,
  CASE WHEN (a.status = 'exact') AND b.status <> 'exact' THEN a.match WHEN b.status = 'exact' AND a.status <> 'exact' THEN b.match WHEN coalesce(a.score, -1) >= coalesce(b.score, -1) THEN a.match ELSE b.match END AS match, nullif(greatest(coalesce(a.score, -1), coalesce(b.score, -1)), -1) AS score FROM n1 AS a JOIN n2 AS b USING (token)"""))
 def two_matcher_vote(spark, sf):
+    """The string matcher and the vector matcher vote."""
     d, v = view(spark, sf, "v_dictionary"), _vocab(spark, sf)
-    return T.vote(T.nearest(d, v.where(F.length("term") % 2 == 0), 0.75), T.nearest(d, v.where(F.length("term") % 3 < 2), 0.7))
+    return T.vote(T.nearest(d, v, 0.75), X.nearest_vectors(d, v, lambda: _bigrams, SIZE, 0.7))
+
+
+@query()
+def vocab_block_match(spark, sf):
+    """Nearest terms by matching blocks, which SQL can't express."""
+    return X.nearest_blocks(view(spark, sf, "v_dictionary"), _vocab(spark, sf), 0.75)
 
 
 _TEXT = LONG + ", jt AS (SELECT visit_id, array_to_string(tokens, ' | ') AS txt FROM rowtok)"
