@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.functions.values import flag, total
+from cohortspark.sources.tables import written
 
 FLAGS = [f"f{i}" for i in range(1, 9)]
 RECORD = "f1 string, f2 string, confidence double, summary string"
@@ -173,6 +176,50 @@ def call_in_batches(pending: DataFrame, token: str, client: Callable[[], Callabl
     return pending.select(token).repartition(parts, token).mapInPandas(run, f"{token} string, response string, status string")
 
 
+def answered(spark: SparkSession, folder: str, token: str) -> DataFrame:
+    """(token, response, status) of the answers committed in a folder, one row per text: an answer before a fallback."""
+    schema = f"{token} string, response string, status string"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(folder).groupBy(token).agg(F.min_by(F.struct("response", "status"), F.struct(F.col("status") != "called", "response")).alias("_x")).select(token, "_x.*")
+
+
+def call_committed(pending: DataFrame, token: str, client: Callable[[], Callable[[list[str]], list[dict | None]]], folder: str, parts: int = 4, flight: int = 4, batch: int = 8, rounds: int = 8, retries: int = 2) -> DataFrame:
+    """The answers to the pending texts, kept in `folder` as they come, so that a job that dies asks only for what is still pending.
+
+    Texts without a committed answer are dealt into waves of `parts` tasks of up to `batch` * `flight` * `rounds` texts. A task keeps at most `flight` calls of `batch` texts in flight, each thread with a
+    client of its own, and its answers are committed to the folder when it ends, also where its job fails later. Answers are keyed by text: what two attempts wrote twice counts once. Texts that got no answer come back as
+    `fallback` and are asked again by the next run only. Null texts are left out.
+    """
+    spark = pending.sparkSession
+    schema = f"{token} string, response string, status string"
+    done = answered(spark, folder, token).where("status = 'called'")
+    todo = written(pending.select(token).where(F.col(token).isNotNull()).distinct().join(done, token, "left_anti").withColumn("_at", F.xxhash64(token)))
+    size = parts * batch * flight * rounds
+    waves = -(-todo.count() // size)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = threading.local()
+
+        def one(texts: list[str]) -> list:
+            if not hasattr(own, "ask"):
+                own.ask = client()
+            return _answers(own.ask, texts, retries)
+
+        with ThreadPoolExecutor(flight) as pool:
+            for pdf in batches:
+                texts = pdf[token].tolist()
+                answers = [a for some in pool.map(one, [texts[i : i + batch] for i in range(0, len(texts), batch)]) for a in some]
+                yield pd.DataFrame({token: texts, "response": [None if a is None else json.dumps(a, sort_keys=True) for a in answers], "status": ["fallback" if a is None else "called" for a in answers]})
+
+    for wave in range(waves):
+        some = todo.where(F.pmod("_at", F.lit(waves)) == wave).select(token)
+        # a task's files move to the folder when the task commits, and stay there if the job fails
+        some.repartition(parts, token).mapInPandas(ask, schema).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(folder)
+    return pending.select(token).join(answered(spark, folder, token), token, "left")
+
+
 def source_class(provider: Column) -> Column:
     return F.when(provider == "model", "true_source").when(provider.isin("rules", "mock"), "local").otherwise("other")
 

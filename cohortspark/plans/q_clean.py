@@ -6,7 +6,7 @@ from cohortspark.functions.values import is_blank, recode_binary, to_number
 from cohortspark.operators import clean as K
 from cohortspark.plans.registry import query
 from cohortspark.plans.views import sql, view
-from cohortspark.sources import cache, codebooks, tables
+from cohortspark.sources import cache, codebooks, tables, textfiles
 
 CODES = [-4.0, -4.4, -5.0]
 KEEP = {"c1": [8.0], "c2": [88.0]}
@@ -35,7 +35,12 @@ place = tables.scratch
 
 @query(sql("v_coded", "SELECT visit_id, c1, c2, state FROM (SELECT *, row_number() OVER (ORDER BY visit_id) - 1 AS n FROM v_coded) WHERE n >= 100 AND n < 900"))
 def scan_columns_window(spark, sf):
-    return tables.row_window(tables.select_columns(coded(spark, sf), ["visit_id", "c1", "c2", "state"], ["c1", "c2"]), "visit_id", 100, 900)
+    """A window of the rows of CSV files in file order: the table is written in the order of its key first."""
+    out = place(spark)
+    keep = coded(spark, sf).orderBy("visit_id").write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    keep.csv(out)
+    rows = textfiles.csv_window(spark, out, ["visit_id", "c1", "c2", "state"], 100, 900)
+    return rows.withColumns({"visit_id": F.col("visit_id").cast("long"), "state": F.col("state").cast("int")})
 
 
 def _books(spark, sf):

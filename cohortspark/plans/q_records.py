@@ -100,7 +100,10 @@ def _mock():
 
 @query(sql("v_dictionary", "SELECT token, CASE WHEN length(token) % 9 = 0 THEN NULL ELSE '{\"confidence\": 0.9, \"f1\": ' || length(token) % 2 || ', \"f2\": 0, \"summary\": \"' || token || '\"}' END AS response, CASE WHEN length(token) % 9 = 0 THEN 'fallback' ELSE 'called' END AS status FROM v_dictionary WHERE attempts > 0"))
 def batch_abstraction(spark, sf):
-    return R.call_in_batches(view(spark, sf, "v_dictionary").where("attempts > 0"), "token", _mock, 4)
+    """Answers are committed by task; the second run finds them all and asks for the rest alone."""
+    pending, folder = view(spark, sf, "v_dictionary").where("attempts > 0").select("token"), place(spark)
+    R.call_committed(pending.where("length(token) % 2 = 0"), "token", _mock, folder)
+    return R.call_committed(pending, "token", _mock, folder)
 
 
 def _records(spark, sf):
