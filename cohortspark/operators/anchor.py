@@ -33,10 +33,12 @@ def summary(long: DataFrame) -> DataFrame:
 
 
 def associations(long: DataFrame) -> DataFrame:
-    """Mean risk by class, their difference, auc and ap of each outcome and model (null for one class)."""
+    """Mean risk by class, their difference, auc and ap of each outcome and model (null for one class); all from one aggregate by score."""
     keys = ["outcome", "model"]
-    means = long.groupBy(*keys).agg(F.avg(F.when(F.col("y") == 1, F.col("risk"))).alias("mean_positive"), F.avg(F.when(F.col("y") == 0, F.col("risk"))).alias("mean_negative"))
-    return means.withColumn("difference", F.col("mean_positive") - F.col("mean_negative")).join(E.ranking(long, keys), keys)
+    by = E.by_score(long, keys)
+    mean = lambda c: F.try_divide(F.sum(F.col("risk") * F.col(c)), F.sum(c))
+    means = by.groupBy(*keys).agg(mean("pos").alias("mean_positive"), mean("neg").alias("mean_negative"))
+    return means.withColumn("difference", F.col("mean_positive") - F.col("mean_negative")).join(E.ranking_of(by, keys), keys)
 
 
 def quartiles(long: DataFrame) -> DataFrame:

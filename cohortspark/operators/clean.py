@@ -70,12 +70,27 @@ MISSING_TERMS = ["missing", "unknown", "not available", "not assessed", "not ask
                  "unable to determine", "no information", "blank", "not reported", "not recorded", "not obtained", "not administered", "form version", "skipped"]
 
 
+def split_codes(cell: Column) -> Column:
+    """The codes of a cell as (number, text): parts lie between , ; and |, and a part gives its numbers, or itself where it has none.
+
+    A number is a word of digits with a decimal point or a sign at most; words end at other signs, and at a minus that follows a letter or a digit, as in a range.
+    """
+    def of(part: Column) -> Column:
+        words = F.split(F.regexp_replace(part, r"(?<=[0-9A-Za-z])-", " "), r"[^0-9A-Za-z.-]+")
+        numbers = F.filter(words, lambda w: w.rlike(r"^-?[0-9.]*[0-9]$") & to_number(w).isNotNull())
+        whole = F.array(F.struct(F.lit(None).cast("double").alias("number"), part.alias("text")))
+        return F.when(F.size(numbers) > 0, F.transform(numbers, lambda w: F.struct(to_number(w).alias("number"), F.lit(None).cast("string").alias("text")))).otherwise(whole)
+
+    cell = F.when(~F.lower(F.trim(cell)).isin("nan", "none", "null"), F.trim(cell))
+    parts = F.filter(F.transform(F.split(cell, r"[,;|]"), lambda p: F.trim(p)), lambda p: p != "")
+    return F.coalesce(F.flatten(F.transform(parts, of)), F.array().cast("array<struct<number:double,text:string>>"))
+
+
 def codes_from_codebook(codebook: DataFrame, terms: list[str] = MISSING_TERMS) -> DataFrame:
-    """(column_name, code) that the codebook declares missing: numbers in its missing-code cells, and codes whose label reads like missing."""
-    number = r"(?<![A-Za-z0-9])-?\d+(?:\.\d+)?(?![A-Za-z0-9])"
-    listed = F.coalesce(F.regexp_extract_all(F.col("missing_codes"), F.lit(number), F.lit(0)), F.array().cast("array<string>"))
-    label = F.when(F.lower("label").rlike("|".join(rf"\b{t}\b" for t in terms)), F.array("code")).otherwise(F.array().cast("array<string>"))
-    return codebook.select(F.lower(F.trim("name")).alias("column_name"), F.explode(F.concat(listed, label)).alias("code")).select("column_name", to_number(F.col("code")).alias("code")).where("code is not null").distinct()
+    """(column_name, code, text) that the codebook declares missing: the codes of its missing-code cells, and codes whose label holds one of the terms anywhere. A code that is no number stands in `text`."""
+    reads = reduce(lambda a, b: a | b, [F.lower("label").contains(t) for t in terms])
+    label = F.when(reads, split_codes(F.col("code"))).otherwise(F.array().cast("array<struct<number:double,text:string>>"))
+    return codebook.select(F.lower(F.trim("name")).alias("column_name"), F.explode(F.concat(split_codes(F.col("missing_codes")), label)).alias("x")).select("column_name", F.col("x.number").alias("code"), "x.text").distinct()
 
 
 def restore_preserved(clean: DataFrame, raw: DataFrame, key: str, keep: dict[str, list[float]]) -> DataFrame:
@@ -148,14 +163,19 @@ def analysis_columns(arms: list[list[str]]) -> list[str]:
     return list(dict.fromkeys(c for arm in arms for c in arm))
 
 
-def feature_lists(df: DataFrame, prefixes: dict[str, str], skip: list[str]) -> dict[str, list[str]]:
-    """Names by family (the first prefix that fits, else `numeric` or `text` by type), from the schema alone."""
-    out: dict[str, list[str]] = {}
-    for name, kind in df.dtypes:
-        if name not in skip:
-            family = next((f for p, f in prefixes.items() if name.startswith(p)), "text" if kind == "string" else "numeric")
-            out.setdefault(family, []).append(name)
-    return out
+def feature_lists(df: DataFrame, prefixes: dict[str, str], skip: list[str]) -> DataFrame:
+    """(family, column_name, n): the first prefix that fits, else `text` by type, else what the values are: `binary`, `integral`, `numeric`, or `empty` without any; one aggregate."""
+    names = [c for c, _ in df.dtypes if c not in skip]
+    texts = [c for c, kind in df.dtypes if kind == "string" and c in names]
+    numbers = [c for c in names if c not in texts]
+    profile = type_profile(df, numbers) if numbers else None
+    count = df.agg(*[F.count(c).alias(c) for c in texts]).unpivot([], texts, "column_name", "n").select("column_name", "n", F.lit("text").alias("kind")) if texts else None
+    kind = F.when(F.col("n") == 0, "empty").when(F.col("is_binary"), "binary").when(F.col("is_integral"), "integral").otherwise("numeric")
+    told = profile.select("column_name", "n", kind.alias("kind")) if numbers else count
+    if numbers and texts:
+        told = told.unionAll(count)
+    family = F.coalesce(*[F.when(F.startswith("column_name", F.lit(p)), f) for p, f in prefixes.items()], "kind") if prefixes else F.col("kind")
+    return told.select(family.alias("family"), "column_name", "n")
 
 
 def finalize(clean: DataFrame, raw: DataFrame, key: str, codes: list[float], columns: list[str], keep: dict[str, list[float]], binary: list[str], drop: list[str]) -> DataFrame:

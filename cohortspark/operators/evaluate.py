@@ -27,7 +27,7 @@ def confusion(scored: DataFrame, keys: list[str] = KEYS, threshold: float = 0.5)
     return c.withColumns({"balanced_accuracy": (F.col("sensitivity") + F.col("specificity")) / 2, "f1": _share(2 * tp, 2 * tp + fp + fn)})
 
 
-def _by_score(scored: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
+def by_score(scored: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
     """Positives and negatives of each distinct score: all that ranking metrics need, pre-aggregated by Spark."""
     w = F.lit(1) if weight is None else weight
     return scored.groupBy(*keys, "risk").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 1, 0).otherwise(w)).alias("neg"))
@@ -38,7 +38,12 @@ def ranking(scored: DataFrame, keys: list[str] = KEYS, weight: Column | None = N
 
     Distinct scores are cut into ranges; sums over ranges carry over, and windows run inside a range only.
     """
-    return _areas(with_range(_by_score(scored, keys, weight), "risk"), keys).select(*keys, "auc", "ap")
+    return ranking_of(by_score(scored, keys, weight), keys)
+
+
+def ranking_of(by: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """auc and average precision from positives and negatives by distinct score."""
+    return _areas(with_range(by, "risk"), keys).select(*keys, "auc", "ap")
 
 
 def _areas(g: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
@@ -174,7 +179,7 @@ def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
 
 def decision_curve(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     """Net benefit of each model at each threshold in (0, 1), of treating all and of treating none; one pass over the distinct scores."""
-    g = _by_score(scored, KEYS).withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds if 0 < t < 1])))
+    g = by_score(scored, KEYS).withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds if 0 < t < 1])))
     high = F.col("risk") >= F.col("threshold")
     s = g.groupBy("model", "threshold").agg(F.sum(F.when(high, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(high, F.col("neg")).otherwise(0)).alias("fp"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     odds, n = F.col("threshold") / (1 - F.col("threshold")), F.col("p") + F.col("q")

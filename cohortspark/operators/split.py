@@ -93,12 +93,10 @@ def impute_mode(df: DataFrame, train: Column, columns: list[str]) -> DataFrame:
 
 
 def impute_median(df: DataFrame, train: Column, columns: list[str]) -> DataFrame:
-    """Missing values become the exact training median."""
-    part = df.where(train)
-    fitted = None
-    for c in columns:
-        one = exact_quantiles(part, [], c, [0.5]).agg(F.first(F.get("quantiles", F.lit(0))).alias(f"_m_{c}"))
-        fitted = one if fitted is None else fitted.join(one, how="cross")  # one row by one row
+    """Missing values become the exact training median; the medians of all columns come from one pass over (column, value)."""
+    long = df.where(train).select(F.inline(F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns])))
+    medians = exact_quantiles(long, ["_column"], "_value", [0.5])
+    fitted = medians.agg(*[F.max(F.when(F.col("_column") == c, F.get("quantiles", F.lit(0)))).alias(f"_m_{c}") for c in columns])
     return _beside(df, fitted).select(*[F.coalesce(F.col(c).cast("double"), f"_m_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 

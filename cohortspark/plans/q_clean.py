@@ -180,10 +180,10 @@ def missing_codes_by_column(spark, sf):
     return K.replace_codes(coded(spark, sf), CODES, _COLS, KEEP, BY).select("visit_id", "c1", "c2")
 
 
-_TERMS_SQL = "(" + "|".join(t.replace("'", "''") for t in K.MISSING_TERMS) + ")"
+_HELD = " OR ".join("contains(lower(label), '" + t.replace("'", "''") + "')" for t in K.MISSING_TERMS)
 
 
-@query(sql("v_codebook", f"a AS (SELECT lower(trim(name)) AS column_name, unnest(regexp_split_to_array(missing_codes, '[^0-9A-Za-z.-]+')) AS x FROM v_codebook WHERE missing_codes IS NOT NULL), b AS (SELECT lower(trim(name)) AS column_name, code AS x FROM v_codebook WHERE regexp_matches(lower(label), '\\b{_TERMS_SQL}\\b'));; SELECT DISTINCT column_name, TRY_CAST(x AS DOUBLE) AS code FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE TRY_CAST(x AS DOUBLE) IS NOT NULL AND column_name <> 'nan'"))
+@query(sql("v_codebook", f"a AS (SELECT lower(trim(name)) AS column_name, missing_codes AS cell FROM v_codebook UNION ALL SELECT lower(trim(name)), code FROM v_codebook WHERE {_HELD}), p AS (SELECT column_name, trim(unnest(regexp_split_to_array(cell, '[,;|]'))) AS part FROM a WHERE cell IS NOT NULL), w AS (SELECT column_name, part, list_filter(regexp_extract_all(regexp_replace(part, '([0-9A-Za-z])-', '\\1 ', 'g'), '[0-9A-Za-z.-]+'), lambda x: TRY_CAST(x AS DOUBLE) IS NOT NULL) AS numbers FROM p WHERE part <> '');; SELECT DISTINCT column_name, code, text FROM (SELECT column_name, CAST(unnest(numbers) AS DOUBLE) AS code, CAST(NULL AS VARCHAR) AS text FROM w UNION ALL SELECT column_name, NULL, part FROM w WHERE len(numbers) = 0) WHERE column_name <> 'nan'"))
 def missing_codes_from_codebook(spark, sf):
     books = codebooks.read_books(spark, _books(spark, sf), ["missing_codes", "code", "code_label"])
     return K.codes_from_codebook(books.where("lower(name) <> 'nan'").withColumnRenamed("code_label", "label"))
@@ -238,17 +238,19 @@ MEMBERS = {"visit_time": ["y", "m", "d", "visit_id"], "severity": ["state", "pri
 _NAMES = ["entity", "visit_id", "y", "m", "d", "state", "price", "priority", "flag_a", "flag_b", "label"]
 
 
-@query(sql("", "n AS (SELECT unnest(['entity', 'visit_id', 'y', 'm', 'd', 'state', 'price', 'priority', 'flag_a', 'flag_b', 'label', 'drug1', 'traj_price_delta', 'MED_count']) AS column_name);; SELECT column_name, CASE WHEN lower(column_name) LIKE 'traj\\_%' ESCAPE '\\' THEN 'longitudinal' WHEN lower(column_name) LIKE 'llm\\_%' ESCAPE '\\' THEN 'record' WHEN lower(column_name) LIKE 'med\\_%' ESCAPE '\\' THEN 'token' WHEN lower(column_name) LIKE 'drug%' THEN 'source_text' WHEN column_name IN ('y', 'm', 'd', 'visit_id') THEN 'visit_time' WHEN column_name IN ('state', 'priority') THEN 'severity' WHEN column_name IN ('flag_a', 'flag_b') THEN 'comorbidity' ELSE 'other' END AS domain FROM n"))
+_KINDS = "k AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n, CASE WHEN count({c}) = 0 THEN 'empty' WHEN bool_and({c} IN (0, 1)) THEN 'binary' WHEN bool_and(abs({c} - round({c})) <= 1e-9) THEN 'integral' ELSE 'numeric' END AS kind FROM v_cohort" for c in _NAMES) + ")"
+
+
+@query(sql("v_cohort", _KINDS + ";; SELECT column_name, kind, n, CASE WHEN column_name IN ('y', 'm', 'd', 'visit_id') THEN 'visit_time' WHEN column_name IN ('state', 'priority') THEN 'severity' WHEN column_name IN ('flag_a', 'flag_b') THEN 'comorbidity' ELSE 'other' END AS domain FROM k"))
 def column_domain(spark, sf):
-    names = [*view(spark, sf, "v_cohort").columns, "drug1", "traj_price_delta", "MED_count"]
-    df = spark.createDataFrame([(c,) for c in names], "column_name string")
-    return df.select("column_name", K.column_domain(F.col("column_name"), PREFIXES, MEMBERS, "other").alias("domain"))
+    """The domain of each column by its name, with the kind and number of its values."""
+    kinds = K.feature_lists(view(spark, sf, "v_cohort"), {}, [])
+    return kinds.select("column_name", F.col("family").alias("kind"), "n", K.column_domain(F.col("column_name"), PREFIXES, MEMBERS, "other").alias("domain"))
 
 
-@query(sql("", "n AS (SELECT unnest(['y', 'm', 'd', 'state', 'price', 'priority', 'flag_a', 'flag_b']) AS column_name);; SELECT CASE WHEN column_name LIKE 'flag\\_%' ESCAPE '\\' THEN 'binary' ELSE 'numeric' END AS family, column_name FROM n"))
+@query(sql("v_cohort", _KINDS + ";; SELECT CASE WHEN column_name LIKE 'flag\\_%' ESCAPE '\\' THEN 'flag' ELSE kind END AS family, column_name, n FROM k WHERE column_name NOT IN ('entity', 'visit_id', 'label')"))
 def feature_lists(spark, sf):
-    lists = K.feature_lists(view(spark, sf, "v_cohort"), {"flag_": "binary"}, ["entity", "visit_id", "label"])
-    return spark.createDataFrame([(k, c) for k, v in lists.items() for c in v], "family string, column_name string")
+    return K.feature_lists(view(spark, sf, "v_cohort"), {"flag_": "flag"}, ["entity", "visit_id", "label"])
 
 
 @query(sql("v_cohort", "SELECT entity, visit_id, price, priority, flag_a, flag_b FROM v_cohort"))

@@ -7,6 +7,7 @@ from cohortspark.operators import anchor as A
 from cohortspark.operators import evaluate as E
 from cohortspark.operators import models as M
 from cohortspark.operators import split as S
+from cohortspark.operators.document import run_document
 from cohortspark.plans.q_clean import place
 from cohortspark.plans.registry import query
 from cohortspark.plans.views import sql, view
@@ -292,7 +293,8 @@ def anchor_summary(spark, sf):
 
 @query(sql("v_anchor", _AL + ", " + rank_sql("al", ["outcome", "model"]) + ";; SELECT outcome, model, round(avg(risk) FILTER (y = 1), 9) AS mean_positive, round(avg(risk) FILTER (y = 0), 9) AS mean_negative, round(avg(risk) FILTER (y = 1) - avg(risk) FILTER (y = 0), 9) AS difference, round(max(auc), 9) AS auc, round(max(ap), 9) AS ap FROM al JOIN rk USING (outcome, model) GROUP BY ALL"))
 def anchor_associations(spark, sf):
-    return rounded(A.associations(along(spark, sf)))
+    known = A.outcomes(view(spark, sf, "v_anchor"), RULES)
+    return rounded(A.associations(A.long_form(known, list(RULES), ["risk_a", "risk_b"], [])))
 
 
 @query(sql("v_anchor", _AL + ";; SELECT outcome, quartile, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, round(avg(y), 9) AS rate, round(avg(risk), 9) AS mean_risk FROM al WHERE model = 'risk_a' GROUP BY ALL"))
@@ -499,3 +501,20 @@ def model_bundle_sink(spark, sf):
     out = place(spark)
     M.save({"logistic": m}, spark, out, {"features": SETS["flags"]})
     return rounded(M.predict(M.load(spark, out)[0]["logistic"], _part(df, "test")).select("visit_id", "risk"), 7)
+
+
+@query(model_sql("v_cohort v_visits v_dictionary v_scored", _TUNE + ", " + _SCM + ", tn AS (SELECT model AS tuned FROM met ORDER BY met.auc DESC, met.ap DESC, met.brier, model LIMIT 1), x AS (SELECT split, entity, label FROM sp UNION ALL SELECT 'train+validation', entity, label FROM sp WHERE split <> 'test'), pa AS (SELECT split, count(*) AS rows, count(DISTINCT entity) AS entities, CAST(sum(label) AS BIGINT) AS events FROM x GROUP BY 1), ov AS (SELECT count(*) FILTER (n > 1) AS shared FROM (SELECT entity, count(DISTINCT split) AS n FROM sp GROUP BY 1));; SELECT split, rows, entities, events, (SELECT count(*) FROM v_visits) AS source_rows, (SELECT count(*) FROM v_cohort) AS cohort_rows, shared, tuned, 'signal' AS best_model, (SELECT count(*) FROM v_dictionary WHERE provider = 'model') AS model_rows, 2 AS base_numeric, 200 AS bootstrap FROM pa, ov, tn"))
+def run_metadata_json(spark, sf):
+    """The run's document, written as JSON and read again; a row for each part of the split."""
+    df = modelled(spark, sf)
+    tuning = M.tune(_part(df, "train"), _part(df, "validation"), M.Arm("logistic", "logistic", tuple(SETS["flags"]), {"c": 1.0}), [{"c": c} for c in GRID], "visit_id")
+    tuning = tuning.select(F.lit("logistic").alias("model"), F.col("model").alias("parameters"), "winner")
+    features = {"base": {"numeric": SETS["base"]}, "flags": {"numeric": SETS["base"], "binary": ["flag_a", "flag_b"]}}
+    made = run_document(three(spark, sf), "entity", "label", features, {"threshold": 0.5, "bootstrap": REPS, "calibration_bins": 10}, table(spark, sf), tuning, view(spark, sf, "v_dictionary"), view(spark, sf, "v_visits"))
+    out = place(spark)
+    made.coalesce(1).write.text(out)
+    d = spark.read.json(out)
+    shared = F.aggregate("overlaps", F.lit(0).cast("long"), lambda s, x: s + x["entities"])
+    model_rows = F.filter("providers", lambda x: x["provider"] == "model")[0]["rows"]
+    one = d.select(F.explode("splits").alias("s"), F.col("source.rows").alias("source_rows"), F.col("cohort.rows").alias("cohort_rows"), shared.alias("shared"), F.col("tuned")[0]["parameters"].alias("tuned"), "best_model", model_rows.alias("model_rows"), F.col("features.base.numeric").alias("base_numeric"), F.get_json_object("parameters", "$.bootstrap").cast("int").alias("bootstrap"))
+    return one.select("s.split", "s.rows", "s.entities", "s.events", *one.columns[1:])

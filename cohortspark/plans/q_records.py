@@ -252,13 +252,3 @@ def vector_audit(spark, sf):
 def cosine_topk(spark, sf):
     e = view(spark, sf, "embeddings")
     return V.cosine_top(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 3)
-
-
-@query(sql("v_cohort v_dictionary", "SELECT count(*) AS rows, count(DISTINCT entity) AS entities, CAST(sum(label) AS BIGINT) AS events, (SELECT count(*) FROM v_dictionary) AS tokens, '{\"index\": 3, \"target\": 4}' AS parameters FROM v_cohort"))
-def run_metadata_json(spark, sf):
-    """Counts of the run's tables as one JSON document, written and read again."""
-    c = view(spark, sf, "v_cohort").agg(F.struct(F.count(F.lit(1)).alias("rows"), F.count_distinct("entity").alias("entities"), F.sum("label").alias("events")).alias("cohort"))
-    d = view(spark, sf, "v_dictionary").agg(F.struct(F.count(F.lit(1)).alias("tokens"), F.map_from_entries(F.array(F.struct(F.lit("model"), F.count_if(F.col("provider") == "model")), F.struct(F.lit("rules"), F.count_if(F.col("provider") == "rules")))).alias("providers")).alias("dictionary"))
-    out = place(spark)
-    c.join(d, how="cross").withColumn("parameters", F.lit(json.dumps({"index": 3, "target": 4}, sort_keys=True))).write.json(out)
-    return spark.read.json(out).select("cohort.rows", "cohort.entities", "cohort.events", "dictionary.tokens", "parameters")

@@ -26,8 +26,8 @@ VIEWS = {
         CASE k3 WHEN 0 THEN ' -4 ' WHEN 1 THEN '9' WHEN 2 THEN '8' WHEN 3 THEN '' ELSE concat($s(k3), '.5') END AS c3, CASE WHEN k1 % 2 = 0 THEN ' ' END AS c4
         FROM (SELECT *, CAST($h(concat('1', $s(visit_id))) % 17 AS INT) AS k1, CAST($h(concat('2', $s(visit_id))) % 17 AS INT) AS k2, CAST($h(concat('3', $s(visit_id))) % 17 AS INT) AS k3 FROM v_visits)"""),
     "v_codebook": (["part"], """SELECT book, CAST(p_partkey AS INT) AS line, CASE $h(concat('n', $s(p_partkey))) % 5 WHEN 0 THEN lower(v) WHEN 1 THEN concat(' ', v) WHEN 2 THEN 'nan' ELSE v END AS name, CASE WHEN $h(concat('t', $s(p_partkey))) % 5 = 0 THEN ' ' ELSE concat(p_name, ' é ', p_brand) END AS description,
-        CASE WHEN book = 'book1' THEN CASE p_partkey % 4 WHEN 0 THEN concat($s(p_size), '=Unknown; -4.4 Not collected') WHEN 1 THEN '88, 99' END END AS missing_codes, CASE WHEN book = 'book2' THEN $s(p_size) END AS code,
-        CASE WHEN book = 'book2' THEN CASE p_partkey % 5 WHEN 0 THEN 'missing value' WHEN 1 THEN 'Unknown' WHEN 2 THEN 'Not collected' ELSE concat(p_type, ' part') END END AS label
+        CASE WHEN book = 'book1' THEN CASE p_partkey % 4 WHEN 0 THEN concat($s(p_size), '=Unknown; -4.4 Not collected') WHEN 1 THEN '88, 99' WHEN 2 THEN 'left blank | 5-8' END END AS missing_codes, CASE WHEN book = 'book2' THEN $s(p_size) END AS code,
+        CASE WHEN book = 'book2' THEN CASE p_partkey % 5 WHEN 0 THEN 'missing value' WHEN 1 THEN 'Unknown' WHEN 2 THEN 'Not collected' WHEN 3 THEN 'much missingness' ELSE concat(p_type, ' part') END END AS label
         FROM (SELECT *, concat('V', $s(p_partkey - p_partkey % 3)) AS v, CASE WHEN $h(concat('f', $s(p_partkey))) % 2 = 0 THEN 'book1' ELSE 'book2' END AS book FROM part)"""),
     "v_variables": (["lineitem"], """SELECT DISTINCT concat(CASE l_suppkey % 5 WHEN 0 THEN 'v' WHEN 1 THEN 'w' ELSE 'V' END, $s(l_partkey - l_partkey % 3)) AS column_name FROM lineitem"""),
     "v_tokens_long": (["lineitem", "part"], f"""SELECT visit_id, CAST(row_number() OVER (PARTITION BY visit_id ORDER BY l_linenumber, rh) AS INT) AS pos,

@@ -222,3 +222,32 @@ def test_feed(spark, tmp_path, compact):
     q.processAllAvailable()
     q.stop()
     assert {r["key"]: r["v"] for r in feed.latest(spark, str(tmp_path / "cache"), "key").collect()} == {"a": "2", "b": "1"}
+
+
+def test_split_codes(spark):
+    cells = {"8=Unknown; 9 Refused": [8.0, 9.0], "-4.4": [-4.4], "5-8": [5.0, 8.0], "a | -4,b2": ["a", -4.0, "b2"], " , ;": [], "NaN": [], None: [], "88, 99": [88.0, 99.0], "none left": ["none left"]}
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    for r in df.select("c", clean.split_codes(F.col("c")).alias("x")).collect():
+        assert [x["number"] if x["text"] is None else x["text"] for x in r["x"]] == cells[r["c"]]
+    book = spark.createDataFrame([("A ", None, "7", "Unknowns"), ("a", None, "x9", "form versions"), ("b", "1", "2", "known")], "name string, missing_codes string, code string, label string")
+    assert sorted((r["column_name"], r["code"], r["text"]) for r in clean.codes_from_codebook(book).collect() if r["code"]) == [("a", 7.0, None), ("b", 1.0, None)]
+    assert [(r["column_name"], r["text"]) for r in clean.codes_from_codebook(book).where("code is null").collect()] == [("a", "x9")]
+
+
+def test_feature_lists(spark):
+    df = spark.createDataFrame([(1, 0.5, "x", None, 3), (0, 2.0, None, None, 4)], "flag_z int, price double, note string, gone int, n int")
+    got = {r["column_name"]: (r["family"], r["n"]) for r in clean.feature_lists(df, {"flag_": "flag"}, ["n"]).collect()}
+    assert got == {"flag_z": ("flag", 2), "price": ("numeric", 2), "note": ("text", 1), "gone": ("empty", 0)}
+
+
+def test_run_document(spark):
+    import json
+
+    from cohortspark.operators.document import run_document
+
+    df = spark.createDataFrame([(1, 0, "train"), (1, 1, "train"), (2, 1, "validation"), (3, 0, "test"), (1, 0, "test")], "entity long, label int, split string")
+    models = spark.createDataFrame([("a", 0.7, 0.5, 0.2), ("b", 0.7, 0.6, 0.2)], "model string, auc double, ap double, brier double")
+    d = json.loads(run_document(df, "entity", "label", {"arm": {"numeric": ["x", "y"]}}, {"t": 0.5}, models, providers=spark.createDataFrame([("m",), ("m",), ("r",)], "provider string")).first()["document"])
+    assert d["cohort"] == {"rows": 5, "entities": 3, "events": 2} and d["best_model"] == "b" and d["features"] == {"arm": {"numeric": 2}} and json.loads(d["parameters"]) == {"t": 0.5}
+    assert {s["split"]: (s["rows"], s["entities"]) for s in d["splits"]} == {"train": (2, 1), "validation": (1, 1), "test": (2, 2), "train+validation": (3, 2)}
+    assert {o["pair"]: o["entities"] for o in d["overlaps"]} == {"train-validation": 0, "train-test": 1, "validation-test": 0} and {p["provider"]: p["rows"] for p in d["providers"]} == {"m": 2, "r": 1}
