@@ -40,14 +40,14 @@ def seeds(unit: Column) -> tuple[Column, Column]:
 
 def poisson_weights(one: np.ndarray, two: np.ndarray, reps: int) -> np.ndarray:
     """Poisson(1) weights [unit, replicate] from the units' seeds: a mixed walk from the first seed by steps of the second."""
-    low, m, h = np.uint64(0xFFFFFFFF), np.uint64(MIXER), np.uint64(16)
-    x = (one.astype(np.uint64)[:, None] + np.arange(reps, dtype=np.uint64) * two.astype(np.uint64)[:, None]) & low
-    for _ in range(2):
+    m, h, steps, out = np.uint32(MIXER), np.uint32(16), np.arange(reps, dtype=np.uint32), np.zeros((len(one), reps), np.uint8)
+    one, two = one.astype(np.uint32), two.astype(np.uint32)
+    for at in range(0, len(one), 512):  # small arrays stay in the cache; 32 bits wrap as the mixer wants
+        x = one[at : at + 512, None] + steps * two[at : at + 512, None]
+        for _ in range(2):
+            x ^= x >> h
+            x *= m
         x ^= x >> h
-        x *= m
-        x &= low
-    x ^= x >> h
-    out = np.zeros(x.shape, np.uint8)
-    for step in POISSON_STEPS:
-        out += x >= np.uint64(math.ceil(step * 4294967296))
+        for step in POISSON_STEPS:
+            out[at : at + 512] += x >= np.uint32(math.ceil(step * 4294967296))
     return out

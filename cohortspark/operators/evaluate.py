@@ -73,40 +73,61 @@ def metrics(scored: DataFrame, keys: list[str] = KEYS, threshold: float = 0.5) -
     return confusion(scored, keys, threshold).join(ranking(scored, keys), keys).join(brier(scored, keys), keys)
 
 
+_KEY = np.dtype([("model", np.int32), ("risk", np.float64), ("event", np.bool_)])
+_HELD = 20_000  #: keys whose sums a task holds, of one long per replicate
+
+
 def _weighted(reps: int):
-    """Sums of the replicates' weights by (model, risk, event), made for 65,536 rows at a time so that few rows leave a task where scores repeat."""
+    """Sums of the replicates' weights by (model, risk, event). A task adds blocks of 65,536 rows up and hands its sums on when it holds more than _HELD keys, so that few rows leave it where scores repeat."""
 
-    def add(rows: pa.Table) -> pa.RecordBatch:
-        model = rows["model"].combine_chunks().dictionary_encode()
+    def block(rows: pa.Table, names: dict) -> tuple[np.ndarray, np.ndarray]:
+        coded = rows["model"].combine_chunks().dictionary_encode()
+        ids = np.array([names.setdefault(m, len(names)) for m in [*coded.dictionary.to_pylist(), None]])  # null is a model
         scores, risk = np.unique(rows["risk"].to_numpy(), return_inverse=True)
-        names = len(model.dictionary) + 1  # null is a model
-        key = (risk * names + model.indices.fill_null(names - 1).to_numpy()) * 2 + rows["event"].to_numpy()
+        key = (risk * len(ids) + coded.indices.fill_null(len(ids) - 1).to_numpy()) * 2 + rows["event"].to_numpy()
         order = np.argsort(key, kind="stable")
-        keys, g = np.unique(key[order], return_inverse=True)
-        one, two = rows["one"].to_numpy()[order], rows["two"].to_numpy()[order]
-        sums = np.zeros((len(keys), reps), np.int64)
+        found, g = np.unique(key[order], return_inverse=True)
+        units, unit = np.unique(rows["one"].to_numpy() << 32 | rows["two"].to_numpy(), return_inverse=True)  # a unit's models share its weights
+        weights, unit = poisson_weights(units >> 32 & 0xFFFFFFFF, units & 0xFFFFFFFF, reps), unit[order]
+        sums = np.zeros((len(found), reps), np.int64)
         for at in range(0, len(g), 8192):
             some = g[at : at + 8192]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(some)) + 1])
-            sums[some[cuts]] += np.add.reduceat(poisson_weights(one[at : at + 8192], two[at : at + 8192], reps), cuts, axis=0, dtype=np.int64)
+            sums[some[cuts]] += np.add.reduceat(weights[unit[at : at + 8192]], cuts, axis=0, dtype=np.int64)
+        keys = np.zeros(len(found), _KEY)
+        keys["model"], keys["risk"], keys["event"] = ids[found // 2 % len(ids)], scores[found // 2 // len(ids)], found % 2 == 1
+        return keys, sums
+
+    def rows_of(keys: np.ndarray, sums: np.ndarray, names: dict) -> pa.RecordBatch:
         g, rep = np.nonzero(sums)
-        which = keys[g] // 2 % names
-        models = model.dictionary.take(pa.array(which, mask=which == names - 1))
-        return pa.RecordBatch.from_pydict({"model": models, "risk": scores[keys[g] // 2 // names], "event": keys[g] % 2 == 1, "rep": rep.astype(np.int32), "w": sums[g, rep]})
+        models = pa.array(list(names), pa.string()).take(pa.array(keys["model"][g]))
+        return pa.RecordBatch.from_pydict({"model": models, "risk": keys["risk"][g], "event": keys["event"][g], "rep": rep.astype(np.int32), "w": sums[g, rep]})
 
     def run(batches):
-        held = []
-        for batch in batches:
-            held.append(batch)
-            if sum(x.num_rows for x in held) >= 65_536:
-                yield add(pa.Table.from_batches(held))
-                held = []
-        if sum(x.num_rows for x in held):
-            yield add(pa.Table.from_batches(held))
+        names, held, keys, sums = {}, [], np.zeros(0, _KEY), np.zeros((0, reps), np.int64)
+        for batch in _ended(batches):
+            if batch is not None:
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= (65_536 if batch is not None else 1):
+                more, added = block(pa.Table.from_batches(held), names)
+                both, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
+                total = np.zeros((len(both), reps), np.int64)
+                total[where[: len(keys)]] = sums
+                total[where[len(keys) :]] += added
+                keys, sums, held = both, total, []
+            if len(keys) > _HELD or (batch is None and len(keys)):
+                yield rows_of(keys, sums, names)
+                keys, sums = np.zeros(0, _KEY), np.zeros((0, reps), np.int64)
 
     return run
 
 
+def _ended(batches):
+    """The batches, then None."""
+    yield from batches
+    yield None
+
+
 def resampled(scored: DataFrame, reps: int, unit: str = "rid", threshold: float = 0.5) -> DataFrame:
     """auc, ap, brier and balanced accuracy of each model and replicate under Poisson weights that depend on (unit, replicate) alone, so models are paired.
 
