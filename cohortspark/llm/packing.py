@@ -38,15 +38,34 @@ _PLAIN = np.ones(256, bool)
 _PLAIN[[*range(0, 9), 11, 12, *range(14, 32), 39, 60, 127, *range(0xC0, 0xC3), *range(0xC4, 256)]] = False
 
 
+_WORD_END = b"\x00"  # no plain text holds it
+_SLICE = 1 << 20  # bytes of words compared at once
+
+
+def _same(one: np.ndarray, at: np.ndarray, two: np.ndarray, at_two: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from `at` on in one buffer equal those from `at_two` on in the other, for each span."""
+    out = np.ones(len(n), bool)
+    ends = np.cumsum(n)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - n[lo] + _SLICE, side="right")))
+        m = n[lo:hi]
+        inside = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        differ = one[np.repeat(at[lo:hi], m) + inside] != two[np.repeat(at_two[lo:hi], m) + inside]
+        out[lo + np.repeat(np.arange(hi - lo), m)[differ]] = False
+        lo = hi
+    return out
+
+
 class WordTokenizer:
     """Ids of texts exactly as the vocabulary file's own tokenizer gives them, with each distinct word encoded once.
 
     Plain texts (ASCII and U+00C0 to U+00FF) are cut into runs of letters, single digits and runs of signs; each is looked up by hash
-    in a bounded cache, or merged by byte-pair ranks with a final byte that stands for the word's end. Other texts
-    go through the tokenizers library whole.
+    in a bounded cache, which keeps the word itself, and compared with it byte by byte. Texts with a word whose hash is another word's, and all
+    that aren't plain, go through the tokenizers library whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_000_000, most_bytes: int = 1 << 26):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -56,32 +75,41 @@ class WordTokenizer:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         ranks = {}
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         for token, i in vocab.items():
             if not token.startswith("<|"):
                 core = token.removesuffix("</w>")
-                ranks[bytes(back[c] for c in core) + b"\xff" * (core != token)] = i
-        self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.most = most
+                self.last[i] = core != token
+                ranks[bytes(back[c] for c in core) + _WORD_END * (core != token)] = i
+        if any(bytes([b]) + _WORD_END not in ranks for b in range(256)):
+            raise ValueError("the vocabulary needs every byte at a word's end")
+        self.ranks = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+        self.most, self.most_bytes = most, most_bytes
         self._forget()
 
     def _forget(self) -> None:
         self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1024, np.uint32), 0
+        self.words, self.word_at, self.word_n = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other and each one's number, merged by byte-pair ranks with a final byte that stands for a word's end."""
+        ids = np.array(self.ranks.encode_ordinary(b"".join(w + _WORD_END for w in words).decode()), np.uint32)
+        return ids, np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0)
 
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        if len(self.keys) + len(keys) > self.most:
-            self._forget()
-        lists = [self.merge(w + b"\xff") for w in words]
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        total = int(n.sum())
+        ids, n = self._encoded(words)
+        total = len(ids)
         if self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + total + 65536, np.uint32)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in lists for i in x), np.uint32, total)
-        at = self.used + np.cumsum(n) - n
+        self.ids[self.used : self.used + total] = ids
+        word_n = np.fromiter(map(len, words), np.int64, len(words))
+        more = {"keys": keys, "at": self.used + np.cumsum(n) - n, "n": n, "word_at": len(self.words) + np.cumsum(word_n) - word_n, "word_n": word_n}
         self.used += total
-        keys, at, n = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.n, n])
-        order = np.argsort(keys)
-        self.keys, self.at, self.n = keys[order], at[order], n[order]
+        self.words = np.concatenate([self.words, np.frombuffer(b"".join(words), np.uint8)])
+        order = np.argsort(np.concatenate([self.keys, keys]))
+        for name, values in more.items():
+            setattr(self, name, np.concatenate([getattr(self, name), values])[order])
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.keys, keys)
@@ -105,6 +133,7 @@ class WordTokenizer:
         new[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
         new[offsets] = True
         starts = np.flatnonzero(new[:-1] & (kind > 0))
+        starts = starts[plain[np.searchsorted(offsets, starts, side="right") - 1]]
         stop = np.flatnonzero(new)
         ends = stop[np.searchsorted(stop, starts, side="right")] if len(starts) else starts
         keys = span_hashes(prefix_sums(data), starts, ends)
@@ -113,11 +142,17 @@ class WordTokenizer:
         if not known.all():
             miss = np.flatnonzero(~known)
             whole = data.tobytes()
-            if len(self.keys) + len(miss) > self.most:
+            if len(self.keys) + len(miss) > self.most or len(self.words) > self.most_bytes:
                 self._forget()
                 miss = np.arange(len(distinct))
             self._learn(distinct[miss], [whole[a:b] for a, b in zip(starts[first[miss]], ends[first[miss]], strict=True)])
             at, known = self._find(distinct)
+        if len(starts):
+            word, size = at[which], ends - starts
+            other = self.word_n[word] != size
+            alike = np.flatnonzero(~other)
+            other[alike] = ~_same(data, starts[alike], self.words, self.word_at[word[alike]], size[alike])
+            plain[np.searchsorted(offsets, starts[other], side="right") - 1] = False
         each = self.n[at][which] if len(starts) else np.zeros(0, np.int64)
         upto = np.concatenate([[0], np.cumsum(each)])
         where = np.arange(upto[-1]) + np.repeat(self.at[at][which] - upto[:-1], each) if len(starts) else np.zeros(0, np.int64)
