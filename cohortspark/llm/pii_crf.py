@@ -2,7 +2,7 @@
 
 Patterns give the base spans. Tokens that could be personal data (with a digit, an @, or very long) become nodes of a CRF:
 neighbouring nodes share chain potentials; all repeats of one token in a document share a hub node by skip potentials, and the hubs of
-similar tokens (equally long, two characters apart at most) are linked too. What the repeats have in common (the token's shape) counts once,
+similar tokens (equally long, two characters apart at most) are linked too: two by an edge, more by a hub of their group. What the repeats have in common (the token's shape) counts once,
 at the hub; each repeat adds its own context. Loopy message passing then labels every node, so that what is plain in one place also
 counts in the others. Unary, chain, skip and similarity weights are fitted together, by the pseudo-likelihood of distant labels.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -155,7 +156,7 @@ class Crf:
 
 @dataclass
 class Graph:
-    """Nodes of all texts with their documents and features, chain edges, repeats (each with the one before) and first places of similar tokens."""
+    """Nodes of all texts with their documents and features, chain edges, repeats (each with the one before), and groups of similar tokens: (first place, group)."""
 
     spans: list
     docs: list
@@ -165,29 +166,49 @@ class Graph:
     similar: np.ndarray
 
 
-def _alike(first: dict[str, int]) -> list[tuple[int, int]]:
-    """Edges between similar tokens of a document: of equal length and kind, with one half equal and at most two characters apart.
+def _agreeing(letters: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Groups of the given rows (equally long words as code points) that agree in all places but two at most; any two rows at most two apart share a group.
 
-    In each bucket a token is linked to the next in order only, so that edges grow with the tokens.
+    Of three parts of the places that vary, two such rows agree in one: rows are parted by each of them in turn, until two places are left.
+    """
+    vary = np.flatnonzero((letters[rows] != letters[rows[0]]).any(0))
+    if len(vary) <= 2:
+        yield rows
+        return
+    for part in np.array_split(vary, 3):
+        cells = np.ascontiguousarray(letters[np.ix_(rows, part)])
+        _, which, size = np.unique(cells.view(np.dtype((np.void, cells.itemsize * len(part)))).ravel(), return_inverse=True, return_counts=True)
+        order = np.argsort(which, kind="stable")
+        for group in np.split(order, np.cumsum(size)[:-1]):
+            if len(group) > 1:
+                yield from _agreeing(letters, rows[group])
+
+
+def _alike(first: dict[str, int]) -> list[list[int]]:
+    """Groups of a document's similar tokens, by their first places: equally long and of one kind, and any two of a group two characters apart at most.
+
+    All such pairs share a group; a group inside another one is left out.
     """
     buckets: dict[tuple, list[str]] = {}
     for name in first:
         if len(name) >= 8 and any(c.isdigit() for c in name):
-            kind = len(name), any(c.isalpha() for c in name), "@" in name
-            half = len(name) // 2
-            buckets.setdefault((*kind, 0, name[:half]), []).append(name)
-            buckets.setdefault((*kind, 1, name[half:]), []).append(name)
-    out = set()
+            buckets.setdefault((len(name), any(c.isalpha() for c in name), "@" in name), []).append(name)
+    out = []
     for names in buckets.values():
-        names.sort()
-        for a, b in zip(names[:-1], names[1:], strict=True):
-            if sum(x != y for x, y in zip(a, b, strict=True)) <= 2:
-                out.add((min(first[a], first[b]), max(first[a], first[b])))
+        if len(names) > 1:
+            letters = np.array(names).view(np.uint32).reshape(len(names), -1)
+            at: list[set[int]] = [set() for _ in names]
+            found = sorted({tuple(g.tolist()) for g in _agreeing(letters, np.arange(len(names)))}, key=lambda g: (-len(g), g))
+            for k, group in enumerate(found):
+                if not set.intersection(*(at[r] for r in group)):
+                    out.append(sorted(first[names[r]] for r in group))
+                    for r in group:
+                        at[r].add(k)
     return sorted(out)
 
 
 def graph(texts: list[str], near: int = 24) -> Graph:
-    spans, docs, feats, chain, skip, similar = [], [], [], [], [], []
+    spans, docs, feats, chain, skip, similar, groups = [], [], [], [], [], [], 0
     for d, text in enumerate(texts):
         last, seen, first = None, {}, {}
         for start, end in nodes(text):
@@ -203,7 +224,9 @@ def graph(texts: list[str], near: int = 24) -> Graph:
                 skip.append((seen[name], i))
             first.setdefault(name, i)
             seen[name] = last = i
-        similar += _alike(first)
+        for group in _alike(first):
+            similar += [(i, groups) for i in group]
+            groups += 1
     edge = lambda e: np.array(e, np.int64).reshape(-1, 2)
     return Graph(spans, docs, np.array(feats, np.float32).reshape(-1, _FEATURES), edge(chain), edge(skip), edge(similar))
 
@@ -226,8 +249,17 @@ def _neutral(weights: np.ndarray) -> np.ndarray:
     return p
 
 
+def _likenesses(var: np.ndarray, similar: np.ndarray, n: int) -> np.ndarray:
+    """Edges of groups of similar tokens: two share an edge, the members of a larger group one each with the group's hub, which is numbered from n on."""
+    group = similar[:, 1]
+    two = np.bincount(group)[group] == 2 if len(group) else np.zeros(0, bool)
+    pairs = var[similar[two, 0]].reshape(-1, 2)
+    _, hub = np.unique(group[~two], return_inverse=True)
+    return np.concatenate([pairs, np.stack([var[similar[~two, 0]], hub + n], axis=1)])
+
+
 def factors(model: Crf, g: Graph):
-    """Scores of all variables (the nodes, then one hub per repeated token), edges between them with their potentials, and the nodes' ruled out labels."""
+    """Scores of all variables (the nodes, then one hub per repeated token, then one per group of three or more similar tokens), edges between them with their potentials, and the nodes' ruled out labels."""
     feats, n = g.feats, len(g.feats)
     copies, hub = _hubs(g.skip, n)
     own, shape = feats.copy(), feats.copy()
@@ -252,7 +284,8 @@ def factors(model: Crf, g: Graph):
     m[copies] = np.bincount(hub)[hub] if len(copies) else 1
     share = np.maximum(m[g.chain[:, 0]], m[g.chain[:, 1]])[:, None, None]
     star = np.stack([copies, hub + n], axis=1).astype(np.int64)
-    like = var[g.similar]
+    like = _likenesses(var, g.similar, len(unary))
+    unary = np.concatenate([unary, np.zeros((max(0, int(like.max(initial=-1)) + 1 - len(unary)), unary.shape[1]))])
     edges = np.concatenate([g.chain, star, like])
     pots = [np.exp(model.chain[None] / share), np.repeat(_neutral(model.skip)[None], len(star), 0), np.repeat(_neutral(model.similar)[None], len(like), 0)]
     return unary, edges, np.concatenate(pots), ruled_out
@@ -319,7 +352,7 @@ def _labels_by_rule(texts: list[str], g: Graph) -> np.ndarray:
 
 def fit_texts(texts: list[str], rounds: int = 300) -> Crf:
     """All weights together, by gradient descent on the pseudo-likelihood: each node's label given its features and the labels of its neighbours on
-    the chain, of its token's other repeats and of a similar token; drawn to the prior weights."""
+    the chain, of its token's other repeats and of similar tokens; drawn to the prior weights."""
     g = graph(texts)
     k = len(KINDS) + 1
     prior = [_prior(), np.zeros((k, k)), _AGREE * np.eye(k), _LIKE * np.eye(k)]
@@ -338,8 +371,12 @@ def fit_texts(texts: list[str], rounds: int = 300) -> Crf:
         np.add.at(total, hub, onehot[copies])
         rest = total[hub] - onehot[copies]
         others[copies] = rest / rest.sum(1, keepdims=True)
-    like[g.similar[:, 0]] = onehot[g.similar[:, 1]]
-    like[g.similar[:, 1]] = onehot[g.similar[:, 0]]
+    if len(g.similar):
+        place, group = g.similar.T
+        total = np.zeros((group.max() + 1, k))
+        np.add.at(total, group, onehot[place])
+        np.add.at(like, place, total[group] - onehot[place])
+        like /= np.maximum(like.sum(1, keepdims=True), 1)
     for step in range(rounds):
         z = _unary(w, g.feats) + left @ chain + right @ chain.T + others @ skip + like @ similar
         p = np.exp(z - z.max(1, keepdims=True))
@@ -395,7 +432,8 @@ def redact(text: str, spans) -> str:
 def find(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text", redacted: bool = False) -> DataFrame:
     """Columns (key, n_email, n_ip, n_card, n_phone, base_sha256, spans[, redacted]) of every row, over whole texts.
 
-    Null and empty texts have no spans (sha256 of nothing, empty `spans`). Positions count code points, ends are exclusive.
+    Null and empty texts have no spans (sha256 of nothing, empty `spans`). Positions count code points, ends are exclusive. Rows that repeat a key, and those
+    with a null one, are each a document of their own. Very long texts are read whole, alone in their batch. An empty table gives no rows; other columns are ignored.
     """
     kind = dict(docs.dtypes)[key]
 

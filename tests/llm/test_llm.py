@@ -175,11 +175,40 @@ def test_marginals_by_enumeration(cycle):
 
 def test_graph_of_repeats_and_likenesses():
     g = pii_crf.graph(["a1b2c3d4e5 x a1b2c3d4e5 word a1b2c3d4e6 999999999", "a1b2c3d4e5"])
-    assert g.skip.tolist() == [[0, 1]] and g.similar.tolist() == [[0, 2]] and [0, 1] in g.chain.tolist() and g.docs == [0, 0, 0, 0, 1]
+    assert g.skip.tolist() == [[0, 1]] and g.similar.tolist() == [[0, 0], [2, 0]] and [0, 1] in g.chain.tolist() and g.docs == [0, 0, 0, 0, 1]
     unary, edges, pots, _ = pii_crf.factors(pii_crf.fit_texts([]), g)
     assert len(unary) == 6 and [5, 2] in edges.tolist() and len(edges) == len(pots)
 
 
+def test_all_similar_tokens_share_a_factor():
+    rng = random.Random(4)
+    base = ["order-0000001", "4111222233334444", "user1@site.example", "ab12cd34ef56ab12cd34ef56"]
+    names = {b: 0 for b in base} | {f"order-{i:07d}": 0 for i in range(0, 300, 7)}
+    for b in base * 12:
+        w = list(b)
+        for _ in range(rng.choice([1, 1, 2, 2, 3])):
+            w[rng.randrange(len(w))] = rng.choice("0123456789")
+        names["".join(w)] = 0
+    first = {n: i for i, n in enumerate(names)}
+    kind = lambda n: (len(n), any(c.isalpha() for c in n), "@" in n)
+    near = lambda a, b: kind(a) == kind(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 2
+    want = {(i, j) for a, i in first.items() for b, j in first.items() if i < j and near(a, b)}
+    groups = pii_crf._alike(first)
+    assert {(i, j) for g in groups for k, i in enumerate(g) for j in g[k + 1 :]} == want
+    assert not any(set(a) <= set(b) for a in groups for b in groups if a is not b)
+    g = pii_crf.graph([" word ".join(names)])
+    unary, edges, pots, _ = pii_crf.factors(pii_crf.fit_texts([]), g)
+    assert len(edges) == len(pots) and edges.max() < len(unary)
+    assert pii_crf.marginals(pii_crf.fit_texts([]), g).shape == (len(g.spans), 6)
+
+
+def test_many_similar_tokens_share_a_hub():
+    text = " and ".join(f"ab12cd34ef5{c}" for c in "0123456789")
+    g = pii_crf.graph([text])
+    _, edges, _, _ = pii_crf.factors(pii_crf.fit_texts([]), g)
+    assert sum(e[1] == 10 for e in edges.tolist()) == 10 and len(edges) <= 10 + 9
+
+
 def test_pii_odd(odd):
     model = pii_crf.fit_texts([])
     assert pii_crf.find(odd, model).count() == 10 and pii_crf.find(odd.where("false"), model).count() == 0
@@ -240,6 +269,18 @@ def test_tokenizer_is_exact():
     assert t.encode(pa.array([None], pa.string()))[0].tolist() == [packing.END]
 
 
+def test_words_of_one_hash_keep_their_ids(monkeypatch, texts):
+    hashes = packing.span_hashes
+    monkeypatch.setattr(packing, "span_hashes", lambda *a: hashes(*a) & np.uint64(15))
+    monkeypatch.setattr(packing, "_SLICE", 100)
+    t = packing.WordTokenizer(packing.vocabulary_path(), most=8)
+    some = [x or "" for x in list(texts.values())[:40]]
+    for rows in (some[:20], some[20:]):
+        assert [a[:-1].tolist() for a in t.encode(pa.array(rows))] == [t.whole.encode(o, add_special_tokens=False).ids for o in rows]
+    words = packing.WordTokenizer(packing.vocabulary_path())
+    assert [words.encode(pa.array([w]))[0][:-1].tolist() == words.whole.encode(w, add_special_tokens=False).ids for w in ("one", "two", "three", "onetwo") for _ in range(2)] == [True] * 8
+
+
 def test_packing_odd(odd):
     got = packing.pack(odd, packing.vocabulary_path()).toPandas()
     assert got["length"].sum() == got.drop_duplicates(["doc_id", "doc_tokens"])["doc_tokens"].sum() + got[got.doc_id == 8]["doc_tokens"].iloc[0]
