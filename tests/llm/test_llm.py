@@ -668,12 +668,40 @@ def test_a_key_with_two_vectors(spark):
     assert apart == {(5, 5), (6, 5), (9, 9)}
 
 
-def test_quantisation_bound():
-    m = np.random.default_rng(0).normal(size=(300, 24))
-    m[150:] = m[:150] + np.random.default_rng(1).normal(size=(150, 24)) * 0.3
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    got = {(int(a), int(b)) for i, j in embedding_dedup.tile_links(m, m, 0.9) for a, b in zip(i, j, strict=True)}
-    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(m @ m.T >= 0.9), strict=True)}
+def near_vectors(n, size, seed=0):
+    """Unit vectors of which many pairs lie close to a cosine of 0.9."""
+    r = np.random.default_rng(seed)
+    m = r.normal(size=(n, size))
+    m[n // 2 :] = m[: n - n // 2] + r.normal(size=(n - n // 2, size)) * 0.48
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("size", [3, 24, 1100])
+def test_bounds_hold_and_leave_few_pairs(size):
+    m = near_vectors(300, size)
+    codes = embedding_dedup.quantise(m)
+    (_, sure, unsure), = embedding_dedup.tile_bounds(codes, codes, 0.9, False)
+    true = m @ m.T >= 0.9
+    assert not (sure & ~true).any() and not (true & ~sure & ~unsure).any() and not (sure & unsure).any()
+    assert unsure.any() and unsure.sum() < 0.05 * unsure.size
+    halves = [s for _, *s in embedding_dedup.tile_bounds(codes, codes, 0.9, True, rows=7)]
+    assert (np.concatenate([h[0] for h in halves]) == np.triu(sure, 1)).all() and (np.concatenate([h[1] for h in halves]) == np.triu(unsure, 1)).all()
+    some = np.arange(5, 300, 11)
+    (_, alone, _), = embedding_dedup.tile_bounds(tuple(x[some] for x in codes), codes, 0.9, False)
+    assert (alone == sure[some]).all()
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_unsure_pairs_are_decided_in_double_precision(spark, kind):
+    m = near_vectors(240, 24, 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], f"vec_id long, embedding array<{kind}>")
+    kept = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()])
+    kept /= np.linalg.norm(kept, axis=1, keepdims=True)
+    hit = (kept @ kept.T >= 0.9) & ~np.eye(len(kept), dtype=bool)
+    i, j = np.nonzero(hit)
+    label = components.spanning(i, j, len(kept))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, block=50).collect()}
+    assert got == {k: (int(hit[k].sum()), int(label[k])) for k in range(len(kept))}
 
 
 # ---- licences
