@@ -16,7 +16,10 @@ from cohortspark.llm.common import held_out, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no known language: null texts, texts without a letter, and texts far from every centroid."""
+    """Drops documents of no known language: null texts, texts without a letter, and texts far from every centroid.
+
+    Repeated rows are judged alike and stay as often, very long texts are read whole, an empty table stays empty.
+    """
     return language_id.accepted(docs, language_id.fit(docs.where(~held_out(F.col("doc_id")))))
 
 
@@ -32,15 +35,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of a benchmark item; null and empty texts hold none.
 
-    Documents are told apart by a hash of their text, on which alone the decision depends: rows with repeated or null doc_ids are decided each by its text.
+    Documents are told apart by the SHA-256 of their text, on which alone the decision depends: rows with repeated or null doc_ids are decided each by its text.
+    An empty table stays empty, very long texts are searched whole.
     """
-    named = docs.select(F.xxhash64("text").alias("_text"), "text")
+    name = lambda text: F.unhex(F.sha2(text, 256))
+    named = docs.select(name(F.col("text")).alias("_text"), "text")
     found = decontamination.decontaminate(named, table(spark, sf_dir, "benchmark"), key="_text").select("_text").distinct()
-    return docs.join(found, F.xxhash64(docs["text"]) == found["_text"], "left_anti")
+    return docs.join(found, name(docs["text"]) == found["_text"], "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets; n_chars follows the new text."""
+    """Replaces personal data by its kind in brackets; n_chars follows the new text.
+
+    Null and empty texts stay as they are; repeated rows become alike and stay as often; very long texts are read whole; an empty table stays empty.
+    """
     out = pii_crf.redacted(docs, pii_crf.fit(docs))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
