@@ -1,10 +1,10 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming search, with built-in functions only.
 
-1. Windows are laid over every whole document, at every 8th word, in a few lengths (8, 16, 24, 40, 64 ... words). An item is searched in the
-   longest of them that leaves eight offsets inside it, so that wherever a passage stands, one of the document's windows holds the very
-   words of one of the item's. Items under 15 words are searched by windows of their own length at every word.
-2. Windows and the item's windows at its first eight offsets get 112-bit SimHash fingerprints over their words. Bit counts are added seven to a long: by blocks of
-   eight words first, then from block to block of a document, which never leaves its partition.
+1. Windows of the items' sizes are laid over every whole document, at every 8th word: for an item of m words, the multiple of eight that is 7 to 14 words
+   below m (104 words at most), so that wherever a passage stands, one of the document's windows holds the very words of one of the item's.
+   Items under 15 words are searched by windows of their own length at every word.
+2. Windows of the documents and the item's windows at all of its offsets get 112-bit SimHash fingerprints over their words. Bit counts are added seven to a long:
+   by blocks of eight words first, then from block to block of a document, which never leaves its partition.
 3. Fingerprints within 15 bits differ by at most one bit in at least one of eight blocks of 14 bits. The index holds each block of each item with every such
    change, so that the lookup by block guarantees every fingerprint within the radius.
 4. Candidates are verified by the exact weighted Jaccard similarity of word shingles, at the place that the match implies and four words round it.
@@ -85,12 +85,9 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.transform("w", lambda w: F.struct(F.xxhash64(w).alias("x"), F.xxhash64(F.xxhash64(w)).alias("y"))))
 
 
-def lengths(longest: int) -> list[int]:
-    """Lengths of the windows at every 8th word: each the sum of the two before, so that their counts add up from theirs."""
-    out = [STRIDE, 2 * STRIDE]
-    while out[-1] + out[-2] <= min(longest, _LONGEST):
-        out.append(out[-1] + out[-2])
-    return [x for x in out if x <= longest]
+def fitting(size: int) -> int:
+    """The length of the windows that search an item of so many words: its own below 15 words, else the longest multiple of 8 that leaves eight offsets."""
+    return size if size < 2 * STRIDE - 1 else min((size - STRIDE + 1) // STRIDE * STRIDE, _LONGEST)
 
 
 def _windows(docs: DataFrame, strided: list[int], short: list[int]) -> DataFrame:
@@ -107,12 +104,11 @@ def _windows(docs: DataFrame, strided: list[int], short: list[int]) -> DataFrame
         laid = each.groupBy("doc", "row", "block").agg(F.count(F.lit(1)).alias("full"), *sums).where(F.col("full") == STRIDE)
         laid = laid.select("doc", "row", "block", F.struct(*_NAMES).alias("s0"))
         after = Window.partitionBy("doc", "row").orderBy("block")
-        for n in range(1, len(strided)):
-            # a window of this length is one of the length before, and behind it one of the length before that (of two equal ones at first)
-            before, behind = n - 1, max(0, n - 2)
-            laid = laid.withColumn("next", F.lead(f"s{behind}", strided[before] // STRIDE).over(after))
-            laid = laid.withColumn(f"s{n}", F.when(F.col("next").isNotNull(), _both(F.col(f"s{before}"), F.col("next")))).drop("next")
-        every = F.array(*[F.struct(F.lit(m).alias("length"), F.col(f"s{n}").alias("counts")) for n, m in enumerate(strided)])
+        for n in range(1, max(strided) // STRIDE):
+            # a window of n + 1 blocks is one of n blocks and the block behind it
+            laid = laid.withColumn("next", F.lead("s0", n).over(after))
+            laid = laid.withColumn(f"s{n}", F.when(F.col("next").isNotNull(), _both(F.col(f"s{n - 1}"), F.col("next")))).drop("next")
+        every = F.array(*[F.struct(F.lit(m).alias("length"), F.col(f"s{m // STRIDE - 1}").alias("counts")) for m in strided])
         parts.append(laid.select("doc", (F.col("block") * STRIDE).alias("start"), F.inline(every)).where("counts is not null"))
     hashed = _hashed(rows)
     for m in short:
@@ -162,19 +158,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     start counts words from 0, n_words is the item's length, similarity the weighted Jaccard similarity of the word shingles of window and item
     (a shingle weighs as often as it occurs). Null, empty and white texts match nothing, on either side; items of fewer than `words` words match as one
     whole shingle. The best window is the most alike, then the first. Equal items each match, as do rows that repeat an item's key. Rows that repeat a document's key
-    count as one document: its best window is that of any of them. Rows with a null key are not reported. Empty tables give no rows; other columns are ignored.
+    count as one document: its best window is that of any of them. Rows with a null key are not reported. Long texts and long items are searched whole. Empty tables give
+    no rows; other columns are ignored.
     """
     one = items.select(F.col(item).alias("item"), _words(F.col(item_text)).alias("w")).where(F.size("w") > 0).withColumn("m", F.size("w"))
     one, _ = stored(one)
     sizes = sorted(r["m"] for r in one.select("m").distinct().collect())  # one number per length, whatever the items
     short = [m for m in sizes if m < 2 * STRIDE - 1]
-    strided = lengths(max(sizes, default=0) - STRIDE + 1)
+    strided = sorted({fitting(m) for m in sizes if m not in short})
     plain = docs.select(F.col(key).alias("doc"), F.col(text).alias("t"))
     if not sizes:
         return plain.where("false").select(F.col("doc").alias(key), F.lit(None).cast(dict(items.dtypes)[item]).alias(item), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("similarity"))
-    fitting = F.array_max(F.filter(F.array(*map(F.lit, strided or [0])), lambda x: x <= F.col("m") - STRIDE + 1))
-    hashed = _hashed(one).withColumn("length", F.when(F.col("m") < 2 * STRIDE - 1, F.col("m")).otherwise(fitting))
-    hashed = hashed.select("item", "m", "length", "h", F.explode(F.sequence(F.lit(0), F.least(F.col("m") - F.col("length"), F.lit(STRIDE - 1)))).alias("off"))
+    multiple = F.least(F.floor((F.col("m") - STRIDE + 1) / STRIDE) * STRIDE, F.lit(_LONGEST)).cast("int")
+    hashed = _hashed(one).withColumn("length", F.when(F.col("m") < 2 * STRIDE - 1, F.col("m")).otherwise(multiple))
+    hashed = hashed.select("item", "m", "length", "h", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("length"))).alias("off"))
     known = hashed.select("item", "m", "off", "length", _counts(F.col("h"), F.col("off"), F.col("length")).alias("counts"))
     known, seen = stored(_fingerprints(known, ["item", "m", "off"]), n=F.count(F.lit(1)))
     small = seen["n"] * _BLOCKS * (_WIDTH + 1) <= _BROADCAST_ROWS

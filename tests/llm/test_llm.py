@@ -467,6 +467,33 @@ def test_most_edited_items_are_found(spark):
     assert got <= want and len(got) >= 0.9 * len(want) > 15
 
 
+def test_recall_by_kind_and_number_of_edits(spark):
+    """Items with one to four words replaced, inserted or deleted: of those still alike by brute force, nine in ten are found in every kind."""
+    r = random.Random(31)
+    runs = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    items, texts, alike = [], [], {}
+    for kind in ("replace", "insert", "delete"):
+        for n in (1, 2, 3, 4):
+            for _ in range(25):
+                item = [f"w{r.randrange(900)}" for _ in range(r.randint(15 + 35 * (n - 1), 40 + 35 * n))]
+                copy = list(item)
+                for _ in range(n):
+                    at = r.choice([r.randrange(len(copy)), r.choice([0, 1, len(copy) - 1])])
+                    copy[at : at + (kind != "insert")] = ["edited"] * (kind != "delete")
+                before = r.randrange(40)
+                w = [f"v{r.randrange(900)}" for _ in range(before)] + copy + [f"v{r.randrange(900)}" for _ in range(r.randrange(40))]
+                b = runs(item)
+                spots = [runs(w[s : s + len(item)]) for s in range(max(0, before - 8), min(before + 9, max(1, len(w) - len(item) + 1)))]
+                if any(4 * sum((a & b).values()) >= 3 * sum((a | b).values()) for a in spots):
+                    alike.setdefault((kind, n), []).append(len(items))
+                items.append(" ".join(item))
+                texts.append(" ".join(w))
+    docs, known = (spark.createDataFrame(list(enumerate(x)), f"{k} long, text string") for k, x in (("doc_id", texts), ("item_id", items)))
+    got = {x["doc_id"] for x in decontamination.decontaminate(docs, known).where("doc_id = item_id").collect()}
+    recall = {k: sum(i in got for i in v) / len(v) for k, v in alike.items()}
+    assert len(alike) == 12 and sum(map(len, alike.values())) > 100 and min(recall.values()) >= 0.9, recall
+
+
 def test_hamming_index_finds_all_within_the_radius(spark):
     r = random.Random(9)
     known = [(i, 8, r.getrandbits(56), r.getrandbits(56)) for i in range(40)]
@@ -490,8 +517,8 @@ def test_fingerprints_by_brute_force(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc long, t string")
     pairs = decontamination._hashed(df.select(decontamination._words(F.col("t")).alias("w"))).selectExpr("inline(arrays_zip(w, h))").distinct().collect()
     hashes = {w["w"]: (w["h"]["x"], w["h"]["y"]) for w in pairs}
-    strided = decontamination.lengths(45)
-    assert strided == [8, 16, 24, 40]
+    assert [decontamination.fitting(m) for m in (3, 14, 15, 22, 23, 45, 47, 52, 111, 500)] == [3, 14, 8, 8, 16, 32, 40, 40, 104, 104]
+    strided = [8, 24, 32, 40]
     got = {(x["doc"], x["start"], x["length"]): (x["x"], x["y"]) for x in decontamination._fingerprints(decontamination._windows(df.repartition("doc"), strided, [5]), ["doc", "start"]).collect()}
     want = {}
     for d, w in enumerate(words):
