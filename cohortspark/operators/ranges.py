@@ -48,5 +48,6 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     low, high = F.min(F.struct("_rank", "_v")), F.max(F.struct("_rank", "_v"))
     one = met.groupBy(*keys, "_i", "_at").agg(low.alias("_l"), high.alias("_h"))
     between = (F.col("_h._rank") - F.col("_at")) * F.col("_l._v") + (F.col("_at") - F.col("_l._rank")) * F.col("_h._v")
-    one = one.select(*keys, "_i", F.when(F.col("_l._rank") == F.col("_h._rank"), F.col("_l._v")).otherwise(between).alias("_x"))
+    # between equal values nothing is computed: the weights' products may add up to a neighbour of the value
+    one = one.select(*keys, "_i", F.when(F.col("_l._v") == F.col("_h._v"), F.col("_l._v")).otherwise(between).alias("_x"))
     return one.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias(out))

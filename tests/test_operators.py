@@ -128,6 +128,12 @@ def test_ranges(spark):
     counts = spark.createDataFrame([(f"t{i}", 1 + (i * 7) % 5) for i in range(200)], "t string, n int")
     ranks = {row["t"]: row["rank"] for row in tokens.numbered(counts, "t", "n", 4).collect()}
     assert ranks == {t: i for i, (_, t) in enumerate(sorted((-(1 + (i * 7) % 5), f"t{i}") for i in range(200)), 1)}
+
+
+def test_quantile_between_equal_values(spark):
+    df = spark.createDataFrame([(0.0, 1), (0.22, 35_999_998), (0.5, 1)], "x double, c long")  # at 7,199,999.8 of 0.22: 0.2 * 0.22 + 0.8 * 0.22 is less than 0.22
+    assert ranges.exact_quantiles(df, [], "x", [0.2], weight="c").first()["quantiles"] == [0.22]
+    assert evaluate.with_quantile_bin(df, [], 5, "x", weight="c").where("x = 0.22").first()["bin"] == 0
     skewed = spark.createDataFrame([(i if i < 900 else i * 10**9,) for i in range(1000)], "id long")
     assert sorted(row["id"] for row in tables.row_window(skewed, "id", 895, 905, rows=50).collect()) == [*range(895, 900), *[i * 10**9 for i in range(900, 905)]]
 
