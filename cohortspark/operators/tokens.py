@@ -16,23 +16,31 @@ PLACEHOLDERS = ["", "nan", "none", "unknown", "unk", "not reported", "not record
 _ALIAS_ROWS = 1000  #: larger alias tables are joined instead of becoming a map literal
 
 
+#: what is left of a text that names no token: a placeholder's words between any punctuation, or punctuation alone
+_NOTHING = r"^[^a-z0-9]*+(?:(?:" + "|".join(p.replace(" ", "[^a-z0-9]++") for p in PLACEHOLDERS if p) + r")[^a-z0-9]*+)?\z"
+
+
+def _plain(c: Column) -> Column:
+    """Lower case, without wrapping asterisks, quotes and back-ticks, white space collapsed; only stretches that differ from one space are replaced."""
+    return F.trim(F.regexp_replace(F.btrim(F.trim(F.lower(c)), F.lit("*\"'` ")), r"[^\S ]\s*+| \s++", " "))
+
+
 def clean_token(c: Column) -> Column:
     """Lower case, without wrapping asterisks, quotes and back-ticks, white space collapsed; empty for placeholders and null."""
-    t = F.trim(F.regexp_replace(F.btrim(F.trim(F.lower(F.coalesce(c, F.lit("")))), F.lit("*\"'` ")), r"\s+", " "))
-    key = F.trim(F.regexp_replace(t, r"[^a-z0-9]+", " "))
-    return F.when(key.isin(PLACEHOLDERS), F.lit("")).otherwise(t)
+    t = _plain(F.coalesce(c, F.lit("")))
+    return F.when(t.rlike(_NOTHING), F.lit("")).otherwise(t)
 
 
 def tokens_of(c: Column) -> Column:
     """The distinct clean tokens of a text with | between them, in their order."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), clean_token), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), _plain), lambda t: ~t.rlike(_NOTHING)))
 
 
 def tokens_of_columns(columns: list[str]) -> Column:
-    """Distinct tokens over all columns in their order; an empty array without columns."""
+    """Distinct tokens over all columns in their order; an empty array without columns. The columns are read as one text, so that parts are cleaned in one step."""
     if not columns:
         return F.array().cast("array<string>")
-    return F.array_distinct(F.flatten(F.array(*[tokens_of(F.col(c)) for c in columns])))
+    return tokens_of(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]))
 
 
 def dictionary(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -155,19 +163,24 @@ def vote(one: DataFrame, two: DataFrame) -> DataFrame:
     return both.select("token", status.alias("status"), F.when(first, F.col("a.match")).otherwise(F.col("b.match")).alias("match"), F.when(status == "kept_original", F.lit(None)).otherwise(F.greatest(sa, sb)).alias("score"))
 
 
+def _grouped(texts: DataFrame, text: str, value: Column) -> DataFrame:
+    """A value of each distinct non-empty text. Empty ones leave after the grouping: a filter below it would compute a text that is an expression once more."""
+    return texts.groupBy(text).agg(value, F.max(F.length(text)).alias("_size")).where("_size > 0").drop("_size")
+
+
 def most_frequent(texts: DataFrame, text: str, n: int) -> DataFrame:
     """The n most frequent non-empty texts, ties by text."""
-    return texts.where(F.col(text) != "").groupBy(text).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), text).limit(n)
+    return _grouped(texts, text, F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), text).limit(n)
 
 
 def first_seen(texts: DataFrame, text: str, order: str, n: int) -> DataFrame:
     """The n non-empty texts seen first."""
-    return texts.where(F.col(text) != "").groupBy(text).agg(F.min(order).alias("first")).orderBy("first", text).limit(n)
+    return _grouped(texts, text, F.min(order).alias("first")).orderBy("first", text).limit(n)
 
 
 def _ranges(texts: DataFrame, text: str, ranges: int) -> list[str]:
-    """Texts that cut the distinct texts into about equal ranges, from the same sample each time: that of the smallest hashes."""
-    some = texts.where(F.col(text) != "").select(F.col(text).alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(ranges * 20).collect()
+    """Texts that cut distinct texts into about equal ranges, from the same sample each time: that of the smallest hashes."""
+    some = texts.where(F.col(text) != "").select(F.col(text).alias("t")).orderBy(F.xxhash64("t"), "t").limit(ranges * 20).collect()
     some = sorted(r["t"] for r in some)
     return some[20::20]
 
@@ -176,10 +189,10 @@ def by_coverage(texts: DataFrame, text: str, share: float, most: int | None = No
     """Texts by descending frequency, ties by text, until they cover the share of all non-empty rows; `most` of them at most, if given.
 
     No window runs over all texts: frequencies are added up over the distinct ones, and the texts of one frequency are ranked
-    inside counted ranges of the text.
+    inside counted ranges of the text. The counts are written once, as they are read three times.
     """
-    cuts = _ranges(texts, text, ranges)
-    counts = texts.where(F.col(text) != "").groupBy(text).agg(F.count(F.lit(1)).alias("n"))
+    counts = written(_grouped(texts, text, F.count(F.lit(1)).alias("n")))
+    cuts = _ranges(counts, text, ranges)
     at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(text))) if cuts else F.lit(0)
     counts = counts.withColumn("_range", at)
     cells = counts.groupBy("n", "_range").agg(F.count(F.lit(1)).alias("k"))

@@ -66,7 +66,7 @@ def alias_map_load(spark, sf):
 
 @query(sql("v_aliases v_tokens_wide", LONG + ", " + _AL + ";; SELECT token, coalesce(canonical, token) AS canonical FROM (SELECT DISTINCT token FROM long) LEFT JOIN al ON alias = token"))
 def alias_normalize(spark, sf):
-    t = wide(spark, sf).select(F.explode("tokens").alias("token")).distinct()
+    t = wide(spark, sf).select(F.explode_outer("tokens").alias("token")).distinct().where("token is not null")  # explode() would filter the rows by tokens first, and compute them twice
     return t.join(_aliases(spark, sf), F.col("token") == F.col("alias"), "left").select("token", F.coalesce("canonical", "token").alias("canonical"))
 
 

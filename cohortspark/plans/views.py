@@ -1,4 +1,4 @@
-"""Views over the given tables that have the shapes the operators need; one text serves Spark and the SQL checks.
+"""Views over the given tables that have the shapes the operators need; one text serves Spark and the SQL checks, but for the views in WIDER, whose rows Spark gets by a shorter way.
 
 $h(x) is the first eight hex digits of md5 of x as a number, $s(x) is x as a string, $lines(x, k) joins the texts x of a group by '|' in the order of k.
 v_tokens_wide has 13 text columns at any size: the last one holds the 13th line of an order and all later ones.
@@ -14,6 +14,10 @@ BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 ROW = "concat_ws('|', $s(l_orderkey), $s(l_linenumber), $s(l_partkey), $s(l_suppkey), $s(CAST(round(l_quantity) AS BIGINT)), $s(CAST(round(l_extendedprice * 100) AS BIGINT)), $s(CAST(round(l_discount * 100) AS BIGINT)), $s(CAST(round(l_tax * 100) AS BIGINT)))"
 
+_RAW = f"""SELECT {{columns}},
+        CASE rh % 11 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat('*', p_name, '*') WHEN 2 THEN '*not codable*' WHEN 3 THEN 'N/A' WHEN 4 THEN '' WHEN 5 THEN concat(' ', p_name, '  |', upper(p_name), ' | unknown') WHEN 6 THEN NULL ELSE p_name END AS raw
+        FROM (SELECT l_orderkey AS visit_id, l_linenumber, $h({ROW}) AS rh, p_name FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+
 VIEWS = {
     "v_visits": (["orders"], """SELECT o_custkey AS entity, o_orderkey AS visit_id, CAST(year(o_orderdate) AS INT) AS y,
         CAST(CASE WHEN $h(o_orderkey) % 101 = 0 THEN 2 ELSE month(o_orderdate) END AS INT) AS m, CAST(CASE WHEN $h(o_orderkey) % 101 = 0 THEN 31 ELSE day(o_orderdate) END AS INT) AS d,
@@ -30,9 +34,7 @@ VIEWS = {
         CASE WHEN book = 'book2' THEN CASE p_partkey % 5 WHEN 0 THEN 'missing value' WHEN 1 THEN 'Unknown' WHEN 2 THEN 'Not collected' WHEN 3 THEN 'much missingness' ELSE concat(p_type, ' part') END END AS label
         FROM (SELECT *, concat('V', $s(p_partkey - p_partkey % 3)) AS v, CASE WHEN $h(concat('f', $s(p_partkey))) % 2 = 0 THEN 'book1' ELSE 'book2' END AS book FROM part)"""),
     "v_variables": (["lineitem"], """SELECT DISTINCT concat(CASE l_suppkey % 5 WHEN 0 THEN 'v' WHEN 1 THEN 'w' ELSE 'V' END, $s(l_partkey - l_partkey % 3)) AS column_name FROM lineitem"""),
-    "v_tokens_long": (["lineitem", "part"], f"""SELECT visit_id, CAST(row_number() OVER (PARTITION BY visit_id ORDER BY l_linenumber, rh) AS INT) AS pos,
-        CASE rh % 11 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat('*', p_name, '*') WHEN 2 THEN '*not codable*' WHEN 3 THEN 'N/A' WHEN 4 THEN '' WHEN 5 THEN concat(' ', p_name, '  |', upper(p_name), ' | unknown') WHEN 6 THEN NULL ELSE p_name END AS raw
-        FROM (SELECT l_orderkey AS visit_id, l_linenumber, $h({ROW}) AS rh, p_name FROM lineitem JOIN part ON l_partkey = p_partkey)"""),
+    "v_tokens_long": (["lineitem", "part"], _RAW.format(columns="visit_id, CAST(row_number() OVER (PARTITION BY visit_id ORDER BY l_linenumber, rh) AS INT) AS pos")),
     "v_tokens_wide": (["orders", "v_tokens_long"], "SELECT o_orderkey AS visit_id, " + ", ".join(f"w.drug{k}" for k in range(1, 14)) + " FROM orders LEFT JOIN (SELECT visit_id, " + ", ".join(f"max(CASE WHEN pos = {k} THEN raw END) AS drug{k}" for k in range(1, 13)) + ", $lines(CASE WHEN pos >= 13 THEN raw END, pos) AS drug13 FROM v_tokens_long GROUP BY visit_id) AS w ON w.visit_id = o_orderkey"),
     "v_aliases": (["part"], """SELECT DISTINCT p_name AS alias, CASE WHEN t.batch = 1 THEN first_name ELSE last_name END AS canonical, t.batch AS batch FROM (SELECT p_name, min(p_name) OVER (PARTITION BY substr(p_name, 1, 4)) AS first_name, max(p_name) OVER (PARTITION BY substr(p_name, 1, 4)) AS last_name FROM part)
         CROSS JOIN (VALUES (1), (2)) AS t(batch) WHERE $h(concat('al', p_name)) % 3 = 0 AND (t.batch = 1 OR $h(concat('bl', p_name)) % 2 = 0)"""),
@@ -50,6 +52,17 @@ VIEWS = {
 }
 
 
+_DRUGS = ", ".join(f"w.drug{k}" for k in range(1, 14))
+_LATE = "slice(lines, 13, size(lines))"
+
+#: Spark's own texts. The lines of an order are dealt to its task once and sorted there as one array, without a window and without a maximum per column; a column's lines in the order of v_tokens_long
+WIDER = {
+    "v_tokens_wide": f"""SELECT o_orderkey AS visit_id, {_DRUGS} FROM orders LEFT JOIN (SELECT visit_id, {", ".join(f"get(lines, {k - 1}).raw AS drug{k}" for k in range(1, 13))},
+        CASE WHEN size(lines) > 12 AND exists({_LATE}, x -> x.raw IS NOT NULL) THEN array_join(transform({_LATE}, x -> x.raw), '|') END AS drug13
+        FROM (SELECT visit_id, sort_array(collect_list(struct(l_linenumber, rh, raw))) AS lines FROM ({_RAW.format(columns="visit_id, l_linenumber, rh")} DISTRIBUTE BY visit_id) GROUP BY visit_id)) AS w ON w.visit_id = o_orderkey""",
+}
+
+
 def _macros(text: str, spark: bool) -> str:
     kind = "STRING" if spark else "VARCHAR"
 
@@ -90,7 +103,7 @@ def chain(*names: str, spark: bool = False) -> str:
 
     for n in names:
         need(n)
-    return ", ".join(f"{n} AS ({_macros(VIEWS[n][1], spark)})" for n in order)
+    return ", ".join(f"{n} AS ({_macros(WIDER.get(n, VIEWS[n][1]) if spark else VIEWS[n][1], spark)})" for n in order)
 
 
 def sql(names: str, body: str) -> str:

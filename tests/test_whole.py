@@ -100,3 +100,32 @@ def test_bootstrap_of_200_replicates(spark):
         x = b[r["metric"]] - a[r["metric"]]
         assert r["n_valid"] == len(x) and np.allclose([r["low"], r["high"]], np.quantile(x, [0.025, 0.975]))
     assert {r["n_valid"] for r in QUERIES["bootstrap_ci"](spark, "/root/testdata/sf0.001").collect()} == {200}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_are_computed_once(spark):
+    sf = "/root/testdata/sf0.001"
+    for name in ("select_first", "select_most_frequent", "alias_normalize", "wide_to_token_array"):
+        plan = plan_of(QUERIES[name](spark, sf))
+        assert plan.count("l_linenumber") and plan.count("split(") == 1 and "Window [row_number" not in plan, name
+    for name in ("select_by_coverage", "dictionary_rollup", "dictionary_attach", "abstraction_progress", "encode_distinct_texts"):
+        assert "l_linenumber" not in plan_of(QUERIES[name](spark, sf)), name  # rows that are read several times are written once
+
+
+def test_clean_tokens_by_hand(spark):
+    import re
+
+    some = ["", " ", "N/A", "n  a", "*not-codable*", "not app", "Not applicable!", "not  \t applied", "\t*abc*", "a\tb", "a \n b", "a  b", "a b", "nan.", "-", "--x--", "nano", "no", "none of", "`A'b`", "é", "n\u00e9a", "unk\u2028", "x\u00a0y", "  \" q \" "]
+
+    def by_hand(c):
+        t = re.sub(r"[ \t\n\x0b\f\r]+", " ", (c or "").lower().strip(" ").strip("*\"'` ")).strip(" ")
+        return "" if re.sub(r"[^a-z0-9]+", " ", t).strip(" ") in tokens.PLACEHOLDERS else t
+
+    df = spark.createDataFrame([(i, c) for i, c in enumerate([*some, None])], "i int, c string")
+    for r in df.select("c", tokens.clean_token(F.col("c")).alias("t")).collect():
+        assert r["t"] == by_hand(r["c"]), repr(r["c"])
+    wide = spark.createDataFrame([("a|B| n/a", None, "b|C", "", "*c* |d"), (None,) * 5], "a string, b string, c string, d string, e string")
+    assert [r["t"] for r in wide.select(tokens.tokens_of_columns(wide.columns).alias("t")).collect()] == [["a", "b", "c", "d"], []]
