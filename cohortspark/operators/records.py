@@ -253,9 +253,10 @@ def certification_summary(df: DataFrame, top: int = 20) -> DataFrame:
 def rolled_up(profiles: DataFrame, key: str, tokens: str, records: DataFrame, flags: list[str] = FLAGS, most_sent: int = 100_000, salts: int = 16) -> DataFrame:
     """One record per distinct profile from its tokens' records: largest flags and review, smallest confidence, summed attempts and time, provider all/mixed/none.
 
-    Up to `most_sent` records (rows of a fixed width) are sent to every task; more meet the profiles by salted keys.
+    Up to `most_sent` records (rows of a fixed width) are sent to every task; more meet the profiles by salted keys. The profiles are written once, as they are read twice.
     """
-    distinct = profiles.select(tokens).distinct().withColumn("_profile", F.sha2(F.array_join(tokens, "|"), 256))
+    profiles = written(profiles.withColumn("_profile", F.sha2(F.array_join(tokens, "|"), 256)))
+    distinct = profiles.select("_profile", tokens).distinct()
     long = distinct.select("_profile", F.explode(tokens).alias("token")).withColumn("token_key", F.sha2("token", 256)).drop("token")
     keyed = records.withColumn("token_key", F.sha2("token", 256)).drop("token")
     if keyed.limit(most_sent + 1).count() <= most_sent:
@@ -266,8 +267,7 @@ def rolled_up(profiles: DataFrame, key: str, tokens: str, records: DataFrame, fl
         joined = long.withColumn("_salt", F.pmod(F.hash("_profile"), F.lit(salts)).cast("int")).join(spread, ["token_key", "_salt"]).drop("_salt")
     n, true = F.count(F.lit(1)), F.count_if(F.col("provider") == "model")
     rolled = joined.groupBy("_profile").agg(*[F.max(f).alias(f) for f in flags], F.max("review").alias("review"), F.min(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence")))).alias("confidence"), F.sum("attempts").alias("attempts"), F.sum("elapsed").alias("elapsed"), F.when(true == n, "all").when(true > 0, "mixed").otherwise("none").alias("provider_mix"), n.alias("n_known"))
-    out = profiles.withColumn("_profile", F.sha2(F.array_join(tokens, "|"), 256)).join(rolled, "_profile", "left")
-    return out.drop("_profile")
+    return profiles.join(rolled, "_profile", "left").drop("_profile")
 
 
 def attached(rolled: DataFrame, flags: list[str] = FLAGS) -> DataFrame:
@@ -291,8 +291,12 @@ def agreement(one: DataFrame, two: DataFrame, key: str, flags: list[str]) -> Dat
 
 
 def progress(rows: DataFrame, key: str, tokens: str, done: DataFrame) -> DataFrame:
-    """One row: distinct tokens, those done, per cent, and rows with at least one done token."""
-    long = rows.select(key, F.explode(tokens).alias("token"))
-    marked = long.join(done.select("token").distinct().withColumn("_d", F.lit(1)), "token", "left")
-    n, d = F.count_distinct("token"), F.count_distinct(F.when(F.col("_d") == 1, F.col("token")))
-    return marked.agg(n.alias("total"), d.alias("done"), F.round(F.coalesce(F.try_divide(d * 100.0, n), F.lit(0.0)), 6).alias("pct"), F.count_distinct(F.when(F.col("_d") == 1, F.col(key))).alias("rows_touched"))
+    """One row: distinct tokens, those done, per cent, and rows with at least one done token.
+
+    The rows are written once: tokens and keys are counted apart, so that no row is repeated for each distinct count.
+    """
+    long = written(rows.select(key, tokens)).select(key, F.explode(tokens).alias("token"))
+    done = done.select("token").distinct().withColumn("_d", F.lit(1))
+    counts = long.select("token").distinct().join(done, "token", "left").agg(F.count("token").alias("total"), F.count("_d").alias("done"))
+    touched = long.join(done, "token").agg(F.count_distinct(key).alias("rows_touched"))
+    return counts.join(touched, how="cross").select("total", "done", F.round(F.coalesce(F.try_divide(F.col("done") * 100.0, F.col("total")), F.lit(0.0)), 6).alias("pct"), "rows_touched")  # one row by one row
