@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.hashing import hash32
+from cohortspark.sources.tables import written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -19,7 +20,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def encode_distinct(df: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]], list[list[float]]]], size: int) -> DataFrame:
-    """Adds `vector`: the injected encoder sees each distinct non-empty text once; empty texts get zeros."""
+    """Adds `vector`: the injected encoder sees each distinct non-empty text once; empty texts get zeros. The rows are written once, as they are read twice."""
+    df = written(df)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder()
