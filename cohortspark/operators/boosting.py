@@ -84,17 +84,17 @@ def _binned(x: np.ndarray, edges) -> np.ndarray:
     return out
 
 
-_STATE = "b binary, y double, w double, held boolean, raw double"
+_STATE = "b binary, y double, w double, held boolean, n long, raw double"  #: n: how many rows a row stands for
 
 
 def _batch(batch: pa.RecordBatch, width: int, trees: list[Tree], missing: int):
-    """Bins, labels, weights, held rows and scores of a kept batch, with the trees since then added."""
+    """Bins, labels, weights, held rows, numbers and scores of a kept batch, with the trees since then added."""
     data = batch.column("b")
     bins = np.frombuffer(b"".join(data.to_pylist()), np.int16).reshape(len(batch), width)
     raw = batch.column("raw").to_numpy().copy()
     for tree in trees:
         raw += tree.scores(bins, missing)
-    return bins, batch.column("y").to_numpy(), batch.column("w").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False), raw
+    return bins, batch.column("y").to_numpy(), batch.column("w").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(), raw
 
 
 def _histograms(trees: list[Tree], growing: Tree, slots: dict[int, int], width: int, missing: int):
@@ -107,7 +107,8 @@ def _histograms(trees: list[Tree], growing: Tree, slots: dict[int, int], width:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins, y, w, held, raw = _batch(batch, width, trees, missing)
+            bins, y, w, held, n, raw = _batch(batch, width, trees, missing)
+            w = w * n
             loss += float((w * (np.logaddexp(0, raw) - y * raw))[held].sum())
             weight += float(w[held].sum())
             slot = np.full(len(growing.feature), -1)
@@ -118,7 +119,7 @@ def _histograms(trees: list[Tree], growing: Tree, slots: dict[int, int], width:
             g, h = w[ok] * (p - y[ok]), w[ok] * p * (1 - p)
             for j in range(width):
                 key = (s * width + j) * size + bins[:, j]
-                for i, v in enumerate((g, h, None)):
+                for i, v in enumerate((g, h, n[ok])):
                     total[i] += np.bincount(key, weights=v, minlength=total.shape[1])
         some = np.flatnonzero(total[2])
         k = np.concatenate([some, [-1]])
@@ -211,6 +212,7 @@ def fit(rows: DataFrame, features: tuple[str, ...], label: str = "label", weight
 
     Features are cut into at most `bins` bins at approximate quantiles, in one aggregate. Each tree takes about as many passes as it is deep; a
     pass brings back one histogram per open node, so what reaches the driver depends on leaves, features and bins alone. Null features have a bin of their own; rows without a label are left out.
+    Rows that agree in bins, label, weight and being held are kept as one with their number, so that passes over few features don't grow with the rows.
     """
     names = list(features)
     some = rows.where(F.col(label).isNotNull())
@@ -222,11 +224,13 @@ def fit(rows: DataFrame, features: tuple[str, ...], label: str = "label", weight
     def binned(batches):
         for batch in batches:
             b = _binned(matrix(batch.column("x"), width), edges)
-            yield pa.RecordBatch.from_pydict({"b": pa.array([r.tobytes() for r in b], pa.binary()), "y": batch.column("y"), "w": batch.column("w"), "held": batch.column("held"), "raw": np.zeros(len(b))})
+            yield pa.RecordBatch.from_pydict({"b": pa.array([r.tobytes() for r in b], pa.binary()), "y": batch.column("y"), "w": batch.column("w"), "held": batch.column("held")})
 
     plain = some.select(F.array(*[F.col(f).cast("double") for f in names]).alias("x"), F.col(label).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), (F.lit(False) if held is None else F.coalesce(held, F.lit(False))).alias("held"))
-    with Kept(plain.mapInArrow(binned, _STATE)) as state:
-        mean = state.rows.where("not held").agg((F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("m")).first()["m"]
+    alike = plain.mapInArrow(binned, "b binary, y double, w double, held boolean").groupBy("b", "y", "w", "held").agg(F.count(F.lit(1)).alias("n"))
+    with Kept(alike.withColumn("raw", F.lit(0.0))) as state:
+        weights = F.col("n") * F.col("w")
+        mean = state.rows.where("not held").agg((F.sum(weights * F.col("y")) / F.sum(weights)).alias("m")).first()["m"]
         if mean is None or not 0 < mean < 1:
             return Boosted(tuple(names), edges, 0.0 if mean is None else math.copysign(30.0, mean - 0.5), ())
         base = math.log(mean / (1 - mean))

@@ -11,6 +11,7 @@ from cohortspark.operators.document import run_document
 from cohortspark.plans.q_clean import place
 from cohortspark.plans.registry import query
 from cohortspark.plans.views import sql, view
+from cohortspark.sources.tables import written
 
 
 def rounded(df, digits=9):
@@ -306,8 +307,13 @@ def anchor_quartiles(spark, sf):
 SETS = {"base": ["price", "priority"], "flags": ["price", "priority", "flag_a", "flag_b"]}
 
 
-def modelled(spark, sf):
-    v = S.impute_mode(three(spark, sf), F.col("split") == "train", ["flag_b"])
+def modelled(spark, sf, parts=None):
+    """The models' rows. The parts of the cohort and the prepared rows are written once each, as fits, scores and what preprocessing learns read them many times."""
+    return written(_prepared(written(three(spark, sf)) if parts is None else parts))
+
+
+def _prepared(parts):
+    v = S.impute_mode(parts, F.col("split") == "train", ["flag_b"])
     return S.standardize(v, F.col("split") == "train", ["price"]).select("entity", "visit_id", "y", "split", "label", *SETS["flags"]).withColumn("priority", F.col("priority").cast("double"))
 
 
@@ -320,7 +326,7 @@ _MODE = "(SELECT min(f) FROM (SELECT flag_b AS f, count(*) AS n FROM sp WHERE sp
 
 @query(sql("v_cohort", _SP + f";; SELECT visit_id, round((price - (SELECT avg(price) FROM sp WHERE split = 'train')) / (SELECT stddev_pop(price) FROM sp WHERE split = 'train'), 6) AS price, CAST(priority AS DOUBLE) AS priority, flag_a, coalesce(flag_b, {_MODE}) AS flag_b FROM sp"))
 def feature_frame(spark, sf):
-    return rounded(modelled(spark, sf).select("visit_id", *SETS["flags"]), 6)
+    return rounded(_prepared(three(spark, sf)).select("visit_id", *SETS["flags"]), 6)
 
 
 # ---- models in SQL: Newton steps in a recursive query, with the linear equations solved by elimination in lists
@@ -506,11 +512,12 @@ def model_bundle_sink(spark, sf):
 @query(model_sql("v_cohort v_visits v_dictionary v_scored", _TUNE + ", " + _SCM + ", tn AS (SELECT model AS tuned FROM met ORDER BY met.auc DESC, met.ap DESC, met.brier, model LIMIT 1), x AS (SELECT split, entity, label FROM sp UNION ALL SELECT 'train+validation', entity, label FROM sp WHERE split <> 'test'), pa AS (SELECT split, count(*) AS rows, count(DISTINCT entity) AS entities, CAST(sum(label) AS BIGINT) AS events FROM x GROUP BY 1), ov AS (SELECT count(*) FILTER (n > 1) AS shared FROM (SELECT entity, count(DISTINCT split) AS n FROM sp GROUP BY 1));; SELECT split, rows, entities, events, (SELECT count(*) FROM v_visits) AS source_rows, (SELECT count(*) FROM v_cohort) AS cohort_rows, shared, tuned, 'signal' AS best_model, (SELECT count(*) FROM v_dictionary WHERE provider = 'model') AS model_rows, 2 AS base_numeric, 200 AS bootstrap FROM pa, ov, tn"))
 def run_metadata_json(spark, sf):
     """The run's document, written as JSON and read again; a row for each part of the split."""
-    df = modelled(spark, sf)
+    parts = written(three(spark, sf))
+    df = modelled(spark, sf, parts)
     tuning = M.tune(_part(df, "train"), _part(df, "validation"), M.Arm("logistic", "logistic", tuple(SETS["flags"]), {"c": 1.0}), [{"c": c} for c in GRID], "visit_id")
     tuning = tuning.select(F.lit("logistic").alias("model"), F.col("model").alias("parameters"), "winner")
     features = {"base": {"numeric": SETS["base"]}, "flags": {"numeric": SETS["base"], "binary": ["flag_a", "flag_b"]}}
-    made = run_document(three(spark, sf), "entity", "label", features, {"threshold": 0.5, "bootstrap": REPS, "calibration_bins": 10}, table(spark, sf), tuning, view(spark, sf, "v_dictionary"), view(spark, sf, "v_visits"))
+    made = run_document(parts, "entity", "label", features, {"threshold": 0.5, "bootstrap": REPS, "calibration_bins": 10}, table(spark, sf), tuning, view(spark, sf, "v_dictionary"), view(spark, sf, "v_visits"))
     out = place(spark)
     made.coalesce(1).write.text(out)
     d = spark.read.json(out)

@@ -214,3 +214,39 @@ def test_bundle(spark, made, tmp_path):
 
 def test_feature_groups():
     assert M.feature_groups({"a": ["x", "gone"], "b": ["gone"]}, ("x", "c")) == {"a": ["x"]}
+
+
+def test_alike_rows_are_kept_as_one(spark, monkeypatch):
+    kept = []
+
+    class Counted(boosting.Kept):
+        def __init__(self, df):
+            super().__init__(df)
+            kept.append(self.rows.count())
+
+    monkeypatch.setattr(boosting, "Kept", Counted)
+    rows = [(float(i % 5), float(i % 2) if i % 7 else None, int(i * 7 % 11 < 4)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, label int")
+    p = {"trees": 12, "least": 1, "bins": 16}
+    many = boosting.fit(df, ("a", "b"), **p)
+    few = boosting.fit(df.groupBy("a", "b", "label").agg(F.count("*").cast("double").alias("w")), ("a", "b"), weight="w", **p)
+    assert kept[0] <= 30 and len(many.trees) == 12  # 5 values, 2 and null, 2 labels
+    x = np.array([[a, b] for a in range(5) for b in (0.0, 1.0, np.nan)])
+    score = lambda m: m.base + sum(t.scores(m.binned(x), boosting._missing(m.edges)) for t in m.trees)
+    assert np.allclose(score(many), score(few))
+
+
+def test_metrics_read_the_rows_once(spark):
+    df = spark.range(400).selectExpr("CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS model", "CASE WHEN id % 50 = 7 THEN NULL ELSE CAST(id * 7 % 5 < 2 AS INT) END AS y", "CASE WHEN id % 60 = 9 THEN NULL ELSE round(id * 13 % 97 / 97, 2) END AS risk")
+    got = E.metrics(df)
+    assert "Range (" not in got._jdf.queryExecution().executedPlan().toString()
+    want = E.confusion(df).join(E.ranking(df), "model").join(E.brier(df), "model")
+    assert got.dtypes == want.dtypes
+    for a, b in zip(got.orderBy("model").collect(), want.orderBy("model").collect(), strict=True):
+        assert all(a[c] == pytest.approx(b[c], abs=1e-12) if isinstance(a[c], float) else a[c] == b[c] for c in got.columns)
+
+
+def test_importance_samples_once(spark):
+    df = spark.range(300).selectExpr("id AS k", "CAST(id % 3 AS DOUBLE) AS a", "CAST(id % 7 AS DOUBLE) AS b", "CAST(id % 2 AS INT) AS label")
+    m = M.Logistic(("a", "b"), (1.0, -1.0), 0.0)
+    assert "Range (" not in M.permutation_importance(m, df, {"a": ["a"], "b": ["b"]}, "k", "label")._jdf.queryExecution().executedPlan().toString()
