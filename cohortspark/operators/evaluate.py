@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions.hashing import poisson_weights, seeds
 from cohortspark.functions.values import flag
 from cohortspark.operators.ranges import exact_quantiles, salted, with_range
+from cohortspark.sources.tables import written
 
 KEYS = ["model"]
 
@@ -21,7 +22,10 @@ def _share(a: Column, b: Column) -> Column:
 def confusion(scored: DataFrame, keys: list[str] = KEYS, threshold: float = 0.5) -> DataFrame:
     """Counts at risk >= threshold and the rates from them; empty denominators give 0."""
     high, y = F.col("risk") >= threshold, F.col("y") == 1
-    c = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(high & y).alias("tp"), F.count_if(high & ~y).alias("fp"), F.count_if(~high & ~y).alias("tn"), F.count_if(~high & y).alias("fn"))
+    return _rates(scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(high & y).alias("tp"), F.count_if(high & ~y).alias("fp"), F.count_if(~high & ~y).alias("tn"), F.count_if(~high & y).alias("fn")))
+
+
+def _rates(c: DataFrame) -> DataFrame:
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
     c = c.withColumns({"prevalence": _share(tp + fn, F.col("n")), "accuracy": _share(tp + tn, F.col("n")), "sensitivity": _share(tp, tp + fn), "specificity": _share(tn, tn + fp), "precision": _share(tp, tp + fp)})
     return c.withColumns({"balanced_accuracy": (F.col("sensitivity") + F.col("specificity")) / 2, "f1": _share(2 * tp, 2 * tp + fp + fn)})
@@ -70,7 +74,16 @@ def brier(scored: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 
 def metrics(scored: DataFrame, keys: list[str] = KEYS, threshold: float = 0.5) -> DataFrame:
-    return confusion(scored, keys, threshold).join(ranking(scored, keys), keys).join(brier(scored, keys), keys)
+    """The confusion's counts and rates, auc, ap and Brier score, all from sums by distinct score, which are written once: the rows are scored and read once."""
+    y, error = F.col("y") == 1, F.col("risk") - F.col("y")
+    by = scored.groupBy(*keys, "risk").agg(F.count(F.lit(1)).alias("_n"), F.count_if(y).alias("pos"), F.count_if(~y).alias("_no"), F.sum(error * error).alias("_b"), F.count(error).alias("_known"))
+    by = written(by)
+    total = lambda c, side: F.sum(F.when(side, F.col(c)).otherwise(0))
+    high = F.col("risk") >= threshold
+    c = by.groupBy(*keys).agg(F.sum("_n").alias("n"), total("pos", high).alias("tp"), total("_no", high).alias("fp"), total("_no", ~high).alias("tn"), total("pos", ~high).alias("fn"), F.try_divide(F.sum("_b"), F.sum("_known")).alias("brier"))
+    areas = ranking_of(by.select(*keys, "risk", "pos", (F.col("_n") - F.col("pos")).alias("neg")), keys)
+    rates = _rates(c.drop("brier"))
+    return rates.join(areas, keys).join(c.select(*keys, "brier"), keys)
 
 
 _KEY = np.dtype([("model", np.int32), ("risk", np.float64), ("event", np.bool_)])

@@ -13,6 +13,7 @@ from cohortspark.operators import evaluate as E
 from cohortspark.operators import split as S
 from cohortspark.operators.boosting import Boosted, Tree
 from cohortspark.operators.logistic import Candidate, Logistic, fit_all
+from cohortspark.sources.tables import written
 
 
 @dataclass(frozen=True)
@@ -163,9 +164,9 @@ def feature_groups(groups: dict[str, list[str]], columns: list[str] | tuple[str,
 def permutation_importance(model: Logistic | Boosted, df: DataFrame, blocks: dict[str, list[str]], key: str, label: str, repeats: int = 1, rows: int = 2000, buckets: int = 1) -> DataFrame:
     """Drop of auc when a block of columns is permuted jointly: mean and sample deviation over repeats, on at most `rows` rows (the documented bound of this diagnostic).
 
-    All blocks and repeats are stacked and evaluated in one job.
+    All blocks and repeats are stacked and evaluated in one job. The bounded rows are written once, as every block reads them.
     """
-    base = E.bounded_sample(df, key, "importance", rows)
+    base = written(E.bounded_sample(df, key, "importance", rows))
     stack = predict(model, base).select(F.lit("|0").alias("model"), F.col(label).alias("y"), "risk")
     for name, columns in blocks.items():
         for r in range(repeats):
