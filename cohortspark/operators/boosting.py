@@ -1,9 +1,10 @@
-"""Boosted trees on binned features: leaf-wise growth from gradient histograms that Spark sums, and an early stop by rounds without gain."""
+"""Boosted trees on binned features: leaf-wise growth from gradient histograms that Spark sums (or one task, for few rows), and an early stop by rounds without gain."""
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from cohortspark.operators.logistic import matrix
 from cohortspark.sources.tables import Kept
 
 SETTLED = 10  #: trees after which the rows' scores are kept, so that later passes walk only newer trees
+FEW = 1_000_000  #: values (kept rows times features) up to which one task takes all rows and grows all trees; beyond, every pass is a Spark job
 
 
 @dataclass(frozen=True)
@@ -97,30 +99,35 @@ def _batch(batch: pa.RecordBatch, width: int, trees: list[Tree], missing: int):
     return bins, batch.column("y").to_numpy(), batch.column("w").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(), raw
 
 
-def _histograms(trees: list[Tree], growing: Tree, slots: dict[int, int], width: int, missing: int):
-    """Sums of gradients, Hessians and rows by (slot of an open node, feature, bin); key -1 has the held rows' loss and weight."""
-    size = missing + 1
+def _sums(rows, growing: Tree, nodes: list[int], missing: int):
+    """Sums of gradients, Hessians and rows by (open node, feature, bin), flat, and the held rows' loss and weight."""
+    bins, y, w, held, n, raw = rows
+    width, size = bins.shape[1], missing + 1
+    total = np.zeros((3, len(nodes) * width * size))
+    w = w * n
+    loss, weight = float((w * (np.logaddexp(0, raw) - y * raw))[held].sum()), float(w[held].sum())
+    slot = np.full(len(growing.feature), -1)
+    slot[nodes] = np.arange(len(nodes))
+    s = slot[growing.nodes(bins, missing)]
+    ok = ~held & (s >= 0)
+    s, bins, p = s[ok], bins[ok], 1 / (1 + np.exp(-raw[ok]))
+    g, h = w[ok] * (p - y[ok]), w[ok] * p * (1 - p)
+    for j in range(width):
+        key = (s * width + j) * size + bins[:, j]
+        for i, v in enumerate((g, h, n[ok])):
+            total[i] += np.bincount(key, weights=v, minlength=total.shape[1])
+    return total, loss, weight
+
+
+def _histograms(trees: list[Tree], growing: Tree, nodes: list[int], width: int, missing: int):
+    """The sums of a task's rows; key -1 has the held rows' loss and weight."""
 
     def add(batches):
-        total = np.zeros((3, len(slots) * width * size))
+        total = np.zeros((3, len(nodes) * width * (missing + 1)))
         loss = weight = 0.0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins, y, w, held, n, raw = _batch(batch, width, trees, missing)
-            w = w * n
-            loss += float((w * (np.logaddexp(0, raw) - y * raw))[held].sum())
-            weight += float(w[held].sum())
-            slot = np.full(len(growing.feature), -1)
-            slot[list(slots)] = list(slots.values())
-            s = slot[growing.nodes(bins, missing)]
-            ok = ~held & (s >= 0)
-            s, bins, p = s[ok], bins[ok], 1 / (1 + np.exp(-raw[ok]))
-            g, h = w[ok] * (p - y[ok]), w[ok] * p * (1 - p)
-            for j in range(width):
-                key = (s * width + j) * size + bins[:, j]
-                for i, v in enumerate((g, h, n[ok])):
-                    total[i] += np.bincount(key, weights=v, minlength=total.shape[1])
+            if batch.num_rows:
+                total, loss, weight = (a + b for a, b in zip((total, loss, weight), _sums(_batch(batch, width, trees, missing), growing, nodes, missing), strict=True))
         some = np.flatnonzero(total[2])
         k = np.concatenate([some, [-1]])
         g, h, c = (np.concatenate([total[i][some], [x]]) for i, x in enumerate((loss, weight, 0.0)))
@@ -207,12 +214,80 @@ class _Grower:
                     asked += self.nodes[node]["children"]
 
 
+class _Jobs:
+    """Passes over kept rows as Spark jobs."""
+
+    def __init__(self, state: Kept, first: Tree, width: int, missing: int):
+        self.state, self.fresh, self.width, self.missing = state, [first], width, missing
+
+    def sums(self, growing: Tree, nodes: list[int]):
+        """Sums of gradients, Hessians and rows by (open node, feature, bin), flat, and the held rows' loss and weight."""
+        got = self.state.rows.mapInArrow(_histograms(list(self.fresh), growing, nodes, self.width, self.missing), "k long, g double, h double, c double").groupBy("k").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("c").alias("c")).toArrow()
+        flat = np.zeros((3, len(nodes) * self.width * (self.missing + 1)))
+        k, sums = got["k"].to_numpy(), np.stack([got[c].to_numpy() for c in "ghc"])
+        flat[:, k[k >= 0]] = sums[:, k >= 0]
+        return flat, *sums[:2, k < 0].sum(axis=1)
+
+    def add(self, tree: Tree) -> None:
+        self.fresh.append(tree)
+        if len(self.fresh) >= SETTLED:
+            self.state.replace(self.state.rows.mapInArrow(_added(list(self.fresh), self.width, self.missing), _STATE))
+            self.fresh.clear()
+
+
+class _Local:
+    """Passes over rows in this task's memory."""
+
+    def __init__(self, batches, first: Tree, width: int, missing: int):
+        *self.rows, self.raw = map(np.concatenate, zip(*(_batch(b, width, [first], missing) for b in batches if b.num_rows), strict=True))
+        self.missing = missing
+
+    def sums(self, growing: Tree, nodes: list[int]):
+        return _sums((*self.rows, self.raw), growing, nodes, self.missing)
+
+    def add(self, tree: Tree) -> None:
+        self.raw += tree.scores(self.rows[0], self.missing)
+
+
+def _boost(passes: _Jobs | _Local, sizes: list[int], trees: int, rate: float, leaves: int, l2: float, least: int, patience: int, tolerance: float) -> tuple[list[Tree], list[float]]:
+    """The trees, and the held rows' loss before each."""
+    grown, losses = [], []
+
+    def histograms(growing: Tree, nodes: list[int]) -> dict[int, np.ndarray]:
+        flat, loss, weight = passes.sums(growing, nodes)
+        if nodes == [0] and weight:
+            losses.append(float(loss / weight))
+        return dict(zip(nodes, np.moveaxis(flat.reshape(3, len(nodes), len(sizes), -1), 1, 0), strict=True))
+
+    for _ in range(trees):
+        tree = _Grower(histograms, sizes, leaves, l2, least, rate).grow()
+        if len(losses) > patience and min(losses[-patience:]) >= losses[-patience - 1] - tolerance:
+            break
+        if tree.feature == (-1,):
+            break  # no split gains anything
+        grown.append(tree)
+        passes.add(tree)
+    return grown, losses
+
+
+def _in_one_task(rows: DataFrame, first: Tree, width: int, missing: int, *args) -> tuple[list[Tree], list[float]]:
+    """_boost() by a task that takes all rows; only trees and losses come to the driver."""
+
+    def grow(batches):
+        grown, losses = _boost(_Local(batches, first, width, missing), *args)
+        yield pa.RecordBatch.from_pydict({"made": [json.dumps([[asdict(t) for t in grown], losses])]})
+
+    grown, losses = json.loads(rows.coalesce(1).mapInArrow(grow, "made string").first()["made"])
+    return [Tree(**{k: tuple(v) for k, v in t.items()}) for t in grown], losses
+
+
 def fit(rows: DataFrame, features: tuple[str, ...], label: str = "label", weight: str | None = None, held: Column | None = None, trees: int = 300, rate: float = 0.04, leaves: int = 15, l2: float = 0.05, least: int = 30, bins: int = 255, patience: int = 20, tolerance: float = 1e-7) -> Boosted:
     """Trees on the logistic loss. `held` rows don't train; growth stops when their loss hasn't fallen by `tolerance` in the last `patience` trees.
 
     Features are cut into at most `bins` bins at approximate quantiles, in one aggregate. Each tree takes about as many passes as it is deep; a
     pass brings back one histogram per open node, so what reaches the driver depends on leaves, features and bins alone. Null features have a bin of their own; rows without a label are left out.
     Rows that agree in bins, label, weight and being held are kept as one with their number, so that passes over few features don't grow with the rows.
+    Up to FEW values one task takes them all and grows the trees; both ways give the same trees, but for the order of sums.
     """
     names = list(features)
     some = rows.where(F.col(label).isNotNull())
@@ -230,34 +305,16 @@ def fit(rows: DataFrame, features: tuple[str, ...], label: str = "label", weight
     alike = plain.mapInArrow(binned, "b binary, y double, w double, held boolean").groupBy("b", "y", "w", "held").agg(F.count(F.lit(1)).alias("n"))
     with Kept(alike.withColumn("raw", F.lit(0.0))) as state:
         weights = F.col("n") * F.col("w")
-        mean = state.rows.where("not held").agg((F.sum(weights * F.col("y")) / F.sum(weights)).alias("m")).first()["m"]
+        one = state.rows.agg((F.sum(F.when(~F.col("held"), weights * F.col("y"))) / F.sum(F.when(~F.col("held"), weights))).alias("m"), F.count(F.lit(1)).alias("n")).first()
+        mean = one["m"]
         if mean is None or not 0 < mean < 1:
             return Boosted(tuple(names), edges, 0.0 if mean is None else math.copysign(30.0, mean - 0.5), ())
         base = math.log(mean / (1 - mean))
-        grown, fresh, losses = [], [_constant(base)], []
-
-        def histograms(growing: Tree, nodes: list[int]) -> dict[int, np.ndarray]:
-            slots = {n: i for i, n in enumerate(nodes)}
-            got = state.rows.mapInArrow(_histograms(list(fresh), growing, slots, width, missing), "k long, g double, h double, c double").groupBy("k").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("c").alias("c")).toArrow()
-            flat = np.zeros((3, len(nodes) * width * (missing + 1)))
-            k, sums = got["k"].to_numpy(), np.stack([got[c].to_numpy() for c in "ghc"])
-            flat[:, k[k >= 0]] = sums[:, k >= 0]
-            loss, held_weight = sums[:2, k < 0].sum(axis=1)
-            if nodes == [0] and held_weight:
-                losses.append(float(loss / held_weight))
-            return {n: h for n, h in zip(nodes, np.moveaxis(flat.reshape(3, len(nodes), width, missing + 1), 1, 0), strict=True)}
-
-        for _ in range(trees):
-            tree = _Grower(histograms, sizes, leaves, l2, least, rate).grow()
-            if len(losses) > patience and min(losses[-patience:]) >= losses[-patience - 1] - tolerance:
-                break
-            if tree.feature == (-1,):
-                break  # no split gains anything
-            grown.append(tree)
-            fresh.append(tree)
-            if len(fresh) >= SETTLED:
-                state.replace(state.rows.mapInArrow(_added(list(fresh), width, missing), _STATE))
-                fresh.clear()
+        args = sizes, trees, rate, leaves, l2, least, patience, tolerance
+        if one["n"] * width <= FEW:
+            grown, losses = _in_one_task(state.rows, _constant(base), width, missing, *args)
+        else:
+            grown, losses = _boost(_Jobs(state, _constant(base), width, missing), *args)
     return Boosted(tuple(names), edges, base, tuple(grown), tuple(losses))
 
 

@@ -394,7 +394,7 @@ def predict_positive(spark, sf):
 @query()
 def arm_matrix(spark, sf):
     df = modelled(spark, sf)
-    arms = {a.name: M.Arm(a.name, a.family, a.features, {"trees": 10} if a.family == "gbt" else {}) for a in M.arm_matrix(SETS, ["logistic", "gbt"])}
+    arms = {a.name: a for a in M.arm_matrix(SETS, ["logistic", "gbt"])}
     return E.metrics(M.scored(M.fit_arms(_part(df, "train"), arms), _part(df, "validation"), "visit_id", "label"))
 
 

@@ -122,6 +122,22 @@ def test_trees_stop_early_and_take_missing_values(made):
     assert M.fit(made.where("label = 1"), M.Arm("g", "gbt", ("x",))).trees == ()
 
 
+@pytest.mark.parametrize("more", [{}, {"stop": 0.2, "rate": 0.6, "patience": 3}])
+def test_one_task_and_jobs_grow_the_same_trees(made, monkeypatch, more):
+    """Wherever the kept rows are, with missing values and held rows, over more trees than passes walk anew."""
+    gone = made.withColumn("x", F.when(F.col("id") % 5 != 0, F.col("x"))).unionAll(made.where("id < 100"))
+    arm = M.Arm("g", "gbt", ("x", "c"), {"trees": boosting.SETTLED + 3, "least": 20, "leaves": 5, **more})
+    task = M.fit(gone, arm)
+    monkeypatch.setattr(boosting, "FEW", 0)
+    monkeypatch.setattr(boosting, "_in_one_task", None)
+    jobs = M.fit(gone, arm)
+    assert (len(jobs.trees) == boosting.SETTLED + 3) != bool(more) and (task.edges, len(task.trees)) == (jobs.edges, len(jobs.trees))
+    for a, b in zip(task.trees, jobs.trees, strict=True):
+        assert (a.feature, a.bin, a.missing_left, a.left, a.right) == (b.feature, b.bin, b.missing_left, b.left, b.right)
+        assert a.value == pytest.approx(b.value)
+    assert task.held_loss == pytest.approx(jobs.held_loss) and bool(task.held_loss) == bool(more)
+
+
 def test_tuning_ranks_candidates(made):
     arm = M.Arm("l", "logistic", ("x", "c"), {"c": 1.0})
     got = M.tune(made.where("id % 2 = 0"), made.where("id % 2 = 1"), arm, [{"c": 1e-6}, {"c": 1.0}], "id").collect()

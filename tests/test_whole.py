@@ -1,6 +1,8 @@
 """Registered queries do the whole job: expected rows come from plain Python over the input rows, not from the SQL texts."""
 
+import datetime
 import hashlib
+import random
 from collections import Counter
 
 import duckdb
@@ -9,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortspark.functions.hashing import MIXER, POISSON_STEPS
-from cohortspark.operators import evaluate, tokens
+from cohortspark.operators import evaluate, models, tokens
 from cohortspark.plans import ORACLES, QUERIES
 from cohortspark.plans.views import view
 
@@ -129,3 +131,23 @@ def test_clean_tokens_by_hand(spark):
         assert r["t"] == by_hand(r["c"]), repr(r["c"])
     wide = spark.createDataFrame([("a|B| n/a", None, "b|C", "", "*c* |d"), (None,) * 5], "a string, b string, c string, d string, e string")
     assert [r["t"] for r in wide.select(tokens.tokens_of_columns(wide.columns).alias("t")).collect()] == [["a", "b", "c", "d"], []]
+
+
+def test_arms_grow_all_trees(spark, tmp_path, monkeypatch):
+    """Labels that depend on bands of the price: trees end near the share of labels that are turned round, which a few of them can't."""
+    r = random.Random(8)
+    rows = []
+    for c in range(500):
+        for k in range(0, 8, 2):
+            price = round(r.uniform(1000, 400_000), 2)
+            band = (price // 80_000) % 2 == 0
+            for i, status in enumerate(("P", "F" if band != (r.random() < 0.05) else "O")):
+                rows.append((8 * c + k + i, c, status, price, datetime.datetime(1992 + k + i, 6, 15), f"{1 + c % 5}-X"))
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    fitted, fit = {}, models.fit_arms
+    monkeypatch.setattr(models, "fit_arms", lambda *args: fitted.update(fit(*args)) or fitted)
+    got = {x["model"]: x for x in QUERIES["arm_matrix"](spark, str(tmp_path)).collect()}
+    assert list(got) and got.keys() == fitted.keys() == {f"{f}_{s}" for f in ("logistic", "gbt") for s in ("base", "flags")}
+    assert [len(fitted[f"gbt_{s}"].trees) for s in ("base", "flags")] == [300, 300]
+    assert len({x["n"] for x in got.values()}) == 1 and got["gbt_base"]["n"] > 100
+    assert all(got[f"gbt_{s}"]["brier"] < 0.1 < 0.2 < got[f"logistic_{s}"]["brier"] for s in ("base", "flags")), got
